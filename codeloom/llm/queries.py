@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, sharding, token_store, urls
+from . import media, sharding, simhash, token_store, toxicity, urls
 
 #: The id that ends a document in the contracts.
 END_ID = 2
@@ -27,6 +27,10 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -35,11 +39,17 @@ def op9_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_jump_sharding": op3_jump_sharding,
+    "op4_simhash": op4_simhash,
     "op6_png_media": op6_png_media,
     "op9_url_vocabulary": op9_url_vocabulary,
+    "op10_toxicity": op10_toxicity,
 }
 
 
