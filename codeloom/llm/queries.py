@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, sharding, simhash, token_store, toxicity, urls
+from . import media, sharding, simhash, substring, token_store, toxicity, urls
 
 #: The id that ends a document in the contracts.
 END_ID = 2
@@ -31,6 +31,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_simhash": op4_simhash,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_png_media": op6_png_media,
     "op9_url_vocabulary": op9_url_vocabulary,
     "op10_toxicity": op10_toxicity,
