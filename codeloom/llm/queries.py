@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, sharding, simhash, substring, token_store, toxicity, urls
+from . import media, packing, sharding, simhash, substring, token_store, toxicity, urls
 
 #: The id that ends a document in the contracts.
 END_ID = 2
@@ -39,6 +39,10 @@ def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=END_ID)
+
+
 def op9_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_png_media": op6_png_media,
+    "op8_best_fit": op8_best_fit,
     "op9_url_vocabulary": op9_url_vocabulary,
     "op10_toxicity": op10_toxicity,
 }
