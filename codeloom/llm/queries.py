@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, sharding, simhash, substring, token_store, toxicity, urls
+from . import html, media, packing, sharding, simhash, substring, token_store, toxicity, urls
 
 #: The id that ends a document in the contracts.
 END_ID = 2
@@ -39,6 +40,10 @@ def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), urls.host_of(F.col("url")))
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=END_ID)
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_png_media": op6_png_media,
+    "op7_main_text": op7_main_text,
     "op8_best_fit": op8_best_fit,
     "op9_url_vocabulary": op9_url_vocabulary,
     "op10_toxicity": op10_toxicity,
