@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, media, packing, sharding, simhash, substring, token_store, toxicity, urls
+from . import decontaminate, html, media, packing, sharding, simhash, substring, token_store, toxicity, urls
 
 #: The id that ends a document in the contracts.
 END_ID = 2
@@ -24,6 +24,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(table(spark, sf_dir, "documents"), tokenizer(), END_ID)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 40)
 
@@ -58,6 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_decontamination": op2_decontamination,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_simhash": op4_simhash,
     "op5_repeated_passages": op5_repeated_passages,
