@@ -93,11 +93,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     found = found.join(items, "item_key").filter(F.col("n") * F.least(F.col("size"), F.lit(window)) >= F.least(F.col("size"), F.lit(min_tokens)))
     found = cut(found.select("row_key", "item_key", "offset"), "aligned")
     aligned = own.join(found, "row_key").join(items, "item_key")
-    both = aligned.select("row_key", "id", "item", "offset", "size", "item_slots", slot_tokens(F.col("body")).alias("slots"))
-    places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda j: (j + F.col("offset") >= 0) & (j + F.col("offset") < F.size("slots")))
-    pair = lambda j: F.struct(F.get("item_slots", j).alias("mine"), F.get("slots", (j + F.col("offset")).cast("int")).alias("theirs"))
-    pairs = F.filter(F.transform(places, pair), lambda p: canonical(p["mine"]) == canonical(p["theirs"]))
-    both = both.select("row_key", "id", "item", "size", pairs.alias("pairs"))
+
+    def aligned_pairs(slots: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda j: (j + F.col("offset") >= 0) & (j + F.col("offset") < F.size(slots)))
+        pair = F.transform(places, lambda j: F.struct(F.get("item_slots", j).alias("mine"), F.get(slots, (j + F.col("offset")).cast("int")).alias("theirs")))
+        return F.filter(pair, lambda p: canonical(p["mine"]) == canonical(p["theirs"]))
+
+    pairs = F.element_at(F.transform(F.array(slot_tokens(F.col("body"))), aligned_pairs), 1)
+    both = aligned.select("row_key", "id", "item", "size", pairs.alias("pairs"))
     slots = F.array_distinct(F.filter("pairs", lambda p: is_slot(p["mine"])))
     both = both.select("row_key", "id", "item", "size", F.size("pairs").alias("n_tokens"), slots.alias("slots"))
     one_value = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["mine"])))

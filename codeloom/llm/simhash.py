@@ -188,7 +188,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in: int = SHINGLE_WORDS, bits: int = LINK_BITS) -> DataFrame:
     """All columns of the rows that stay: one of each component, the one with the least id.
 
-    Rows without an id stay; of rows that share the least id, one stays if they are equal in text.
+    Rows without an id stay; rows that share an id are one document and stay or go together.
     """
     found = near_duplicates(df, id_col, text_col, words_in, bits)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()

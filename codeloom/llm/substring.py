@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import utf8
 
@@ -134,9 +135,13 @@ def bucket_column(id_: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, last, halve, lambda acc: acc["lo"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, kept (words left, joined by one space), n_words, n_removed and the removed ``spans`` in words."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: bool = False) -> DataFrame:
+    """id, kept (words left, joined by one space), n_words, n_removed and the removed ``spans`` in words.
+
+    With ``carry``, a struct column ``row`` has all columns of the row that the result is of.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if carry else F.lit(None).cast("boolean")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("row"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("id").alias("n")).first()
     total = size.b or 0
     share = min(MOST_BUCKET, max(LEAST_BUCKET, total // 256))
@@ -147,7 +152,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bounds = sorted(set(docs.agg(F.percentile_approx("id", F.lit(at), max(10_000, 10 * buckets))).first()[0]))
     ranges = buckets
     id_or_last = F.coalesce("id", F.lit(LAST_ID))
-    dealt = docs.select("id", "text", bucket_column(id_or_last, bounds).alias("bucket"))
+    dealt = docs.select("id", "text", "row", bucket_column(id_or_last, bounds).alias("bucket"))
 
     def send(table: pa.Table) -> pa.Table:
         b = Bucket(table, window)
@@ -175,7 +180,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def merge(docs_: pa.Table, bits: pa.Table) -> pa.Table:
         if not docs_.num_rows:
-            return out_schema.empty_table()
+            return pa.table([pa.array([], f.type) for f in out_schema] + [docs_.column("row")], names=[*out_schema.names, "row"])
         b = Bucket(docs_, window)
         e = _edges(b.distinct, ranges).tolist()
         earlier = np.zeros(len(b.distinct), bool)
@@ -193,13 +198,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             removed.append(len(words) - int(keep.sum()))
             spans.append([{"start": a, "stop": z} for a, z in zip(starts.tolist(), stops.tolist())])
         ids = docs_.column("id").take(pa.array(b.order))
-        return pa.table([ids, pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, out_schema.field("spans").type)], schema=out_schema)
+        texts = pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string())
+        columns = [ids, texts, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, out_schema.field("spans").type)]
+        return pa.table([*columns, docs_.column("row").take(pa.array(b.order))], names=[*out_schema.names, "row"])
 
     out_schema = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
     sent = dealt.groupBy("bucket").applyInArrow(send, "bucket int, range int, hashes binary")
     answers = sent.groupBy("range").applyInArrow(answer, "bucket int, range int, bits binary")
-    merged = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(merge, "id long, kept string, n_words long, n_removed long, spans array<struct<start:long,stop:long>>")
-    return merged.withColumnRenamed("id", id_col)
+    kinds = StructType.fromDDL("id long, kept string, n_words long, n_removed long, spans array<struct<start:long,stop:long>>").add("row", docs.schema["row"].dataType)
+    merged = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(merge, kinds)
+    return (merged if carry else merged.drop("row")).withColumnRenamed("id", id_col)
+
+
+def replace_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """All rows and columns of ``df``; texts that lose words become the words left, and ``length_col`` their characters."""
+    found = remove_repeats(df, id_col, text_col, window, carry=True)
+    cut_ = F.col("n_removed") > 0
+    new = {text_col: F.col("kept"), length_col: F.length("kept").cast("long")}
+    return found.select(*[F.when(cut_, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,9 +194,7 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scorer = fit(docs, labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")))
 
     @F.pandas_udf("int")
-    def rejected(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def rejected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             texts = b.tolist()
             yield pd.Series(np.concatenate([(scorer.score(texts[i : i + 256]) >= 0.5).astype("i4") for i in range(0, len(texts), 256)] or [np.zeros(0, "i4")]))
