@@ -1,0 +1,6 @@
+"""Operators bound to the test tables."""
+
+from . import graph_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
