@@ -39,7 +39,7 @@ def failure_throttle(events: DataFrame, key: str, time: str, failed: str, most:
 
     All failures count, so a range frame is right; the event itself isn't counted.
     """
-    at = F.unix_micros(time)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
     back = Window.partitionBy(key).orderBy("_at").rangeBetween(-minutes * 60_000_000, -1)
     n = F.coalesce(F.sum(F.col(failed).cast("int")).over(back), F.lit(0))
     return events.withColumn("_at", at).withColumn("failures", n).withColumn("locked", F.col("failures") >= most).drop("_at")
@@ -52,7 +52,7 @@ def sliding_limit(events: DataFrame, key: str, time: str, tie: str, limit: int,
     events are folded in arrival order from sorted Arrow batches.
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    slim = events.select(key, tie, F.unix_micros(time).alias("_at"))
+    slim = events.select(key, tie, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_at", tie], kind="stable")

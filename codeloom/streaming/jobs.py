@@ -48,7 +48,7 @@ def late_guard_stream(events: DataFrame, key: str, time: str, order: str, value:
         yield pd.DataFrame({key: [k[0]], value: [kept], "event_micros": pd.array([top], dtype="Int64")})
 
     kind = events.schema[key].dataType.simpleString()
-    slim = events.select(key, order, value, F.unix_micros(time).alias("_at"))
+    slim = events.select(key, order, value, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
     return slim.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {value} string, event_micros long", f"{value} string, event_micros long", "update", "NoTimeout")
 
 
