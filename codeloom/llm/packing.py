@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, small_batches
+from .common import cut, running, small_batches, tidy
 from .tokens import encode_documents
 
 CAPACITY = 1024
@@ -52,7 +52,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, PIECES)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), PIECES)
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -123,4 +123,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    return pack(pieces(df, tokenizer, id_col, text_col, end_id, capacity), capacity).withColumnRenamed("id", id_col)
+    # written before they are range-sorted, since sorting samples its input and would encode the texts twice
+    parts = cut(pieces(df, tokenizer, id_col, text_col, end_id, capacity), "pieces")
+    return pack(parts, capacity).withColumnRenamed("id", id_col)
