@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches
+from .common import cut, fresh_path, small_batches
 
 MANY_PAGES, MANY_SHARE, OWN_SHARE = 10, 0.1, 0.2
 
@@ -149,20 +149,19 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def blocks(html: str | None, own_share: float = OWN_SHARE) -> tuple[list[str], list[list[int]], list[int]]:
-    """Text blocks in page order; for each, hashes of the subtrees in doubt around it; hashes of what markup drops.
+def blocks(html: str | None, own_share: float = OWN_SHARE) -> tuple[list[str], list[list[int]]]:
+    """Text blocks in page order; for each, hashes of the subtrees in doubt around it.
 
     Text lies in the page's articles, else in its main elements, else in the whole page.
     """
     if not html:
-        return [], [], []
+        return [], []
     top = parse(html)
     _measure(top)
     roots = _roots(top, "article") or _roots(top, "main") or [top]
     most = own_share * sum(r.chars for r in roots)
     texts: list[str] = []
     around: list[list[int]] = []
-    dropped: set[int] = set()
     run: list[str] = []
     doubt: list[int] = []
 
@@ -188,7 +187,6 @@ def blocks(html: str | None, own_share: float = OWN_SHARE) -> tuple[list[str], l
                     doubt.pop()
                 continue
             if n.drop:
-                dropped.add(_signed(n.hash))
                 continue
             if n.tag == "br":
                 run.append(" ")
@@ -196,8 +194,6 @@ def blocks(html: str | None, own_share: float = OWN_SHARE) -> tuple[list[str], l
             kids = n.kids
             if n.tag == "header":
                 kids = _within(n, HEADINGS) if root.tag in ("article", "main") else []
-                if not kids:
-                    dropped.add(_signed(n.hash))
             if edge:
                 flush()
             if n.tag in CONTAINER and n.chars < most:
@@ -210,9 +206,7 @@ def blocks(html: str | None, own_share: float = OWN_SHARE) -> tuple[list[str], l
         walk(r)
         flush()
         doubt.clear()
-    if roots != [top]:
-        dropped |= {_signed(n.hash) for n in _outside(top, roots)}
-    return texts, around, sorted(dropped)
+    return texts, around
 
 
 def _within(n: Node, tags: frozenset[str]) -> list[Node]:
@@ -228,58 +222,39 @@ def _within(n: Node, tags: frozenset[str]) -> list[Node]:
     return out
 
 
-def _outside(top: Node, roots: list[Node]) -> list[Node]:
-    """The largest elements outside the roots."""
-    inner = {id(r) for r in roots}
-    todo, out = [top], []
-    path: list[Node] = []
-    # walk down only along elements that may hold a root: html, body and containers
-    while todo:
-        n = todo.pop()
-        if id(n) in inner:
-            continue
-        if n.tag in ("#page", "html", "body", "main"):
-            todo += [k for k in n.kids if not isinstance(k, str)]
-        else:
-            path.append(n)
-    for n in path:
-        stack, has = [n], False
-        while stack and not has:
-            x = stack.pop()
-            has = id(x) in inner
-            stack += [k for k in x.kids if not isinstance(k, str)]
-        if not has:
-            out.append(n)
-    return out
-
-
 def parsed(df: DataFrame, id_col: str, url_col: str, html_col: str, host: Column) -> DataFrame:
-    """id, url, host, blocks, around, dropped of every page, written once in the shared folder."""
+    """id, url, host, blocks, around of every page, written once in the shared folder."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 128):
             rows = [blocks(h) for h in b.column("html").to_pylist()]
-            cols = list(zip(*rows)) or [[], [], []]
+            cols = list(zip(*rows)) or [[], []]
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), b.column("host"), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(longs)), pa.array(cols[2], longs)], ["id", "url", "host", "blocks", "around", "dropped"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), b.column("host"), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(longs))], ["id", "url", "host", "blocks", "around"])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     kind = slim.schema["id"].dataType.simpleString()
-    out = slim.mapInArrow(scan, f"id {kind}, url string, host string, blocks array<string>, around array<array<long>>, dropped array<long>").withColumn("row", F.monotonically_increasing_id())
+    out = slim.mapInArrow(scan, f"id {kind}, url string, host string, blocks array<string>, around array<array<long>>").withColumn("row", F.monotonically_increasing_id())
     path = fresh_path(df.sparkSession, "pages")
     out.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def extract(df: DataFrame, host: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars and n_template (its subtrees that recur across the host)."""
+    """id, url, text, n_template (subtrees deleted because they recur across the host) and n_chars.
+
+    Only pages with a subtree in doubt are joined with the recurring ones; the others' text is settled.
+    """
     pages = parsed(df, id_col, url_col, html_col, host)
-    seen = pages.select("row", "host", F.explode(F.array_union(F.array_distinct(F.flatten("around")), F.col("dropped"))).alias("subtree"))
+    doubtful = F.exists("around", lambda a: F.size(a) > 0)
+    seen = pages.filter(doubtful).select("row", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
     size = pages.groupBy("host").agg(F.count("row").alias("pages"))
     often = seen.groupBy("host", "subtree").agg(F.count("row").alias("n")).filter(F.col("n") >= MANY_PAGES)
     often = often.join(size, "host").filter(F.col("n") >= MANY_SHARE * F.col("pages")).select("host", "subtree")
-    hits = seen.join(often, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    both = pages.join(hits, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
+    hits = cut(seen.join(often, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone")), "template-hits")
+    joined = pages.filter(doubtful).join(hits, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
     kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.arrays_overlap(x["around"], F.col("gone")))
-    text = F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n")
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.size("gone").alias("n_template")).withColumn("n_chars", F.length("text").cast("long"))
+    shape = lambda d, parts, n: d.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(parts, "\n").alias("text"), n.alias("n_template"))
+    settled = shape(pages.filter(~doubtful), F.col("blocks"), F.lit(0))
+    both = settled.union(shape(joined, F.transform(kept, lambda x: x["blocks"]), F.size("gone")))
+    return both.withColumn("n_chars", F.length("text").cast("long"))
