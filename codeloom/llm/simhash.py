@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, utf8
+from .common import cut, small_batches, tidy, utf8
 from .components import components
 
 SEED, SHINGLE_WORDS, LINK_BITS = 42, 3, 3
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(r, words_in) for r in utf8(b.column("text").to_pylist())], np.uint64)
             yield pa.RecordBatch.from_pydict({"id": b.column("id"), "fp": pa.array(fps.view(np.int64))})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), "id long, fp long")
 
 
 def parts(n: int) -> list[int]:
@@ -168,7 +168,7 @@ def link(groups: DataFrame, bits: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
 
-    return groups.mapInArrow(scan, "u long, v long")
+    return groups.mapInArrow(tidy(scan), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in: int = SHINGLE_WORDS, bits: int = LINK_BITS) -> DataFrame:

@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import utf8
+from .common import give_back, utf8
 
 WINDOW = 50
 #: A bucket's bytes of text lie between these, so that small inputs still make many tasks.
-LEAST_BUCKET, MOST_BUCKET = 4 << 20, 32 << 20
+LEAST_BUCKET, MOST_BUCKET = 4 << 20, 8 << 20
 #: Words hashed at once.
 SEGMENT = 1 << 16
 #: Two primes below 2^32 and a base for each.
@@ -200,7 +200,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ids = docs_.column("id").take(pa.array(b.order))
         texts = pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string())
         columns = [ids, texts, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, out_schema.field("spans").type)]
-        return pa.table([*columns, docs_.column("row").take(pa.array(b.order))], names=[*out_schema.names, "row"])
+        out = pa.table([*columns, docs_.column("row").take(pa.array(b.order))], names=[*out_schema.names, "row"])
+        del b
+        give_back()
+        return out
 
     out_schema = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
     sent = dealt.groupBy("bucket").applyInArrow(send, "bucket int, range int, hashes binary")

@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, sigmoid
-from .common import cut, small_batches
+from .common import cut, small_batches, tidy
 
 SAMPLE_ROWS = 20_000
 #: Learned lexicon: entries at most, toxic documents an entry needs, and its odds against the others' rate.
@@ -178,7 +177,7 @@ def score_rows(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col:
 
     out = F.coalesce(fold(F.col("id")) % HELD_OUT == 0, F.lit(False)).alias("held_out")
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.select("id", "text", out).mapInArrow(scan, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return slim.select("id", "text", out).mapInArrow(tidy(scan), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -193,10 +192,11 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scorer = fit(docs, labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")))
 
-    @F.pandas_udf("int")
-    def rejected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            texts = b.tolist()
-            yield pd.Series(np.concatenate([(scorer.score(texts[i : i + 256]) >= 0.5).astype("i4") for i in range(0, len(texts), 256)] or [np.zeros(0, "i4")]))
+    place = df.columns.index(text_col)
 
-    return df.filter(rejected(F.col(text_col)) == 0)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            yield b.filter(pa.array(scorer.score(b.column(place).to_pylist()) < 0.5))
+
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may hold dots or repeat
+    return plain.mapInArrow(tidy(keep), plain.schema).toDF(*df.columns)
