@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, in_order, small_batches
+from .common import fresh_path, in_order, small_batches, tidy
 from .tokens import encode_documents
 
 MAGIC = b"CLTOKEN1"
@@ -165,7 +165,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "uri": [f"{path}/{part:06d}-{name}.tok"], "n_docs": pa.array([len(writer.entries)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
 
     placed = docs.repartitionByRange(*in_order(["id"])).sortWithinPartitions(*in_order(["id"]))
-    files = placed.mapInArrow(write, "part long, uri string, n_docs long, n_tokens long").collect()
+    files = placed.mapInArrow(tidy(write), "part long, uri string, n_docs long, n_tokens long").collect()
     return [r.asDict() for r in sorted(files, key=lambda r: r.part)], dictionary
 
 
@@ -195,7 +195,7 @@ def read_tokens(spark, files: list[dict], dictionary: bytes) -> DataFrame:
                     })
 
     listed = spark.createDataFrame(rows, "uri string, base long").repartition(len(rows))
-    return listed.mapInArrow(read, schema)
+    return listed.mapInArrow(tidy(read), schema)
 
 
 def token_digest(df: DataFrame, tokenizer: str, end_id: int | None = None, **columns: str) -> DataFrame:

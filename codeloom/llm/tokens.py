@@ -9,16 +9,17 @@ Both give the ids of the whole text's encoding.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers; beyond it pieces are encoded anew each time.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 500_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_TAIL = re.compile(r"[!-/:-@\[-`{-~]+\Z")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space other than the space and the line feed.
 _RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -40,10 +41,12 @@ class PieceEncoder:
         self.letters = byte_letters()
         self.room = memo
         self.memo: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _model(self, part: str) -> bytes:
-        mapped = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        # of letters and printable ASCII only the space has another letter
+        mapped = part.replace(" ", self.letters[32]) if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _whole(self, part: str) -> bytes:
         return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
@@ -53,17 +56,25 @@ class PieceEncoder:
         body = part[1:] if part[:1] == " " else part
         if body.isalpha():
             return self._model(part)
-        tail = _TAIL.search(body)
-        if tail and tail.start() and body[: tail.start()].isalpha() and tail[0][0] != "'":
-            head = part[: len(part) - len(tail[0])]
-            known = self.memo.get(head[1:]) if head[:1] == " " else None
-            return (known or self._model(head)) + self._model(tail[0])
+        word = body.rstrip(_MARKS)
+        if word.isalpha():
+            head = part[: len(part) - len(body) + len(word)]
+            known = self.memo.get(word) if head[:1] == " " else None
+            return (known or self._model(head)) + self._marks(body[len(word) :])
         return self._whole(part)
 
+    def _marks(self, tail: str) -> bytes:
+        found = self.tails.get(tail)
+        if found is None:
+            found = self._model(tail)
+            if len(self.tails) < 4096:
+                self.tails[tail] = found
+        return found
+
     def spaced(self, word: str) -> bytes:
         """Ids of a word with a space before it, remembered while there is room."""
         out = self.part(" " + word)
-        if len(self.memo) < self.room and len(word) < 32:
+        if len(word) < 32 and len(self.memo) < self.room:
             self.memo[word] = out
         return out
 
