@@ -3,11 +3,11 @@
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders, so a question
 with other values has the same template. Hashes of every window of ``WINDOW`` template tokens of whole
 documents meet those of the benchmark. Windows of one document and item that lie at one offset belong
-together; where they cover ``MIN_TOKENS`` tokens, or the whole of a shorter item, the aligned tokens are compared
-exactly, and each value of the item must stand for one value of the document (slot consistency).
+together. At every such offset the aligned tokens are compared exactly: ``MIN_TOKENS`` of them must be equal, or the whole of a
+shorter item, and each value of the item must stand for one value of the document (slot consistency).
 
-Items shorter than a window are matched as one window of their own length. A benchmark window needs
-literal tokens in at least half its places.
+Items shorter than a window are matched as one window of their own length. A benchmark window of placeholders alone
+fits any run of values, so it is met by the values themselves.
 
 Cases: a null text has no tokens; items without tokens match nothing; a null id is a document like any other (its
 row has a null id); equal rows share one result row; an item id that occurs twice counts as one item with
@@ -80,26 +80,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         some = items.filter(F.least(F.col("size"), F.lit(window)) == w)
         keys = some.select("item_key", "item_tokens", F.posexplode(window_keys(F.col("item_tokens"), w)).alias("item_at", "key"))
         literal = F.size(F.filter(F.slice("item_tokens", F.col("item_at") + 1, F.lit(w)), lambda t: ~t.isin(NAME, UNIT, NUMBER)))
-        keys = cut(keys.filter(2 * literal >= w).select("item_key", "item_at", "key"), "item-windows")
-        if keys.count() <= BROADCAST_WINDOWS:
-            keys = F.broadcast(keys)
-        rows = own.select("row_key", F.posexplode(window_keys(template_tokens(F.col("body")), w)).alias("at", "key"))
-        hits = rows.join(keys, "key").groupBy("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.count("key").alias("n"))
-        found = hits if found is None else found.union(hits)
+        values = some.select("item_key", "item_tokens", F.posexplode(window_keys(F.col("item_slots"), w)).alias("item_at", "key"))
+        for some_keys, tokens in ((keys.filter(literal > 0), template_tokens), (values.filter(literal == 0), slot_tokens)):
+            some_keys = cut(some_keys.select("item_key", "item_at", "key"), "item-windows")
+            n = some_keys.count()
+            if not n:
+                continue
+            if n <= BROADCAST_WINDOWS:
+                some_keys = F.broadcast(some_keys)
+            rows = own.select("row_key", F.posexplode(window_keys(tokens(F.col("body")), w)).alias("at", "key"))
+            hits = rows.join(some_keys, "key").select("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("offset"))
+            found = hits if found is None else found.union(hits)
     schema = f"id {own.schema['id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, n_tokens int, n_slots int, row_key long"
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    # few windows at one offset can't make up the tokens that are asked for, whatever their places
-    found = found.join(items, "item_key").filter(F.col("n") * F.least(F.col("size"), F.lit(window)) >= F.least(F.col("size"), F.lit(min_tokens)))
-    found = cut(found.select("row_key", "item_key", "offset"), "aligned")
-    aligned = own.join(found, "row_key").join(items, "item_key")
+    found = cut(found.distinct(), "aligned")
+    # a document's tokens are made once, whatever the number of its offsets
+    places = found.groupBy("row_key").agg(F.collect_list(F.struct("item_key", "offset")).alias("places"))
+    aligned = own.join(places, "row_key").select("row_key", "id", slot_tokens(F.col("body")).alias("doc_slots"), "places")
+    aligned = aligned.select("row_key", "id", "doc_slots", F.inline("places")).join(items, "item_key")
 
     def aligned_pairs(slots: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda j: (j + F.col("offset") >= 0) & (j + F.col("offset") < F.size(slots)))
         pair = F.transform(places, lambda j: F.struct(F.get("item_slots", j).alias("mine"), F.get(slots, (j + F.col("offset")).cast("int")).alias("theirs")))
         return F.filter(pair, lambda p: canonical(p["mine"]) == canonical(p["theirs"]))
 
-    pairs = F.element_at(F.transform(F.array(slot_tokens(F.col("body"))), aligned_pairs), 1)
+    pairs = F.element_at(F.transform(F.array(F.col("doc_slots")), aligned_pairs), 1)
     both = aligned.select("row_key", "id", "item", "size", pairs.alias("pairs"))
     slots = F.array_distinct(F.filter("pairs", lambda p: is_slot(p["mine"])))
     both = both.select("row_key", "id", "item", "size", F.size("pairs").alias("n_tokens"), slots.alias("slots"))
