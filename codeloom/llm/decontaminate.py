@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders, so a question
-with other values has the same template. Hashes of every window of ``WINDOW`` template tokens of whole
+Numbers (with sign, separators and decimals), units after numbers and names (runs of capitalised words inside a sentence)
+become one typed placeholder each, so a question with other values has the same template. A run of names ends at
+a line break. Hashes of every window of ``WINDOW`` template tokens of whole
 documents meet those of the benchmark. Windows of one document and item that lie at one offset belong
 together. At every such offset the aligned tokens are compared exactly: ``MIN_TOKENS`` of them must be equal, or the whole of a
 shorter item, and each value of the item must stand for one value of the document (slot consistency).
@@ -28,31 +29,42 @@ BROADCAST_WINDOWS = 2_000_000
 #: Fixed words for units, as they stand after a number.
 UNITS = "km|kg|mg|cm|mm|ml|kwh|mph|kmh|gb|mb|ms|hz|khz|mhz|kw|ft|lb|lbs|oz|m|g|l|s|h|w|v|a|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|miles?|meters?|metres?|kilometers?|kilometres?|feet|inch|inches|yards?|grams?|kilograms?|tons?|tonnes?|liters?|litres?|gallons?|dollars?|euros?|cents?|pounds?|usd|eur|gbp|percent|degrees?|heures?|jours?|ans|mètres?|stunden?|tage?|jahre?|meter|horas?|días?|años?|metros?"
 NAME, UNIT, NUMBER = "§", "¤", "0"
+#: Stand for a comma, a point and a sign inside a number's value.
+COMMA, POINT, SIGN = "\ue000", "\ue001", "\ue002"
 _NAME_RE = r"(?<=[\p{L}§,;:][ \t\n\r])\p{Lu}\p{Ll}+"
+_SIGN_RE = r"(?<![\p{L}\p{N}§¤])[-−](?=[0-9])"
+_NUMBER_RE = rf"(?:{_SIGN_RE})?[0-9]+(?:[.,][0-9]+)*"
 _UNIT_RE = rf"([0-9]) ?((?i:{UNITS}))([^\p{{L}}\p{{N}}]|$)"
-_SPLIT_RE = r"[^\p{L}\p{N}§¤]+"
+_SPLIT_RE = rf"[^\p{{L}}\p{{N}}§¤{COMMA}{POINT}{SIGN}]+"
 
 
 def _split(marked: Column) -> Column:
     return F.array_remove(F.split(F.lower(marked), _SPLIT_RE), "")
 
 
+def _plain(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), COMMA + POINT + SIGN, "   ")
+
+
 def template_tokens(text: Column) -> Column:
     """Lower-cased tokens with placeholders."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME_RE, NAME)
+    t = F.regexp_replace(_plain(text), _NAME_RE + r"(?:[ \t]\p{Lu}\p{Ll}+)*", NAME)
     t = F.regexp_replace(t, _UNIT_RE, f"$1 {UNIT}$3")
-    return _split(F.regexp_replace(t, "[0-9]+", NUMBER))
+    return _split(F.regexp_replace(t, _NUMBER_RE, NUMBER))
 
 
 def slot_tokens(text: Column) -> Column:
     """The same tokens, with the values in their slots."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME_RE, f"{NAME}$0")
-    return _split(F.regexp_replace(t, _UNIT_RE, f"$1 {UNIT}$2$3"))
+    t = F.regexp_replace(_plain(text), _NAME_RE, f"{NAME}$0")
+    t = F.regexp_replace(t, rf"({NAME}\p{{Lu}}\p{{Ll}}+)[ \t](?={NAME}\p{{Lu}})", "$1")
+    t = F.regexp_replace(t, _UNIT_RE, f"$1 {UNIT}$2$3")
+    t = F.regexp_replace(t, _SIGN_RE, SIGN)
+    return _split(F.regexp_replace(F.regexp_replace(t, "(?<=[0-9]),(?=[0-9])", COMMA), r"(?<=[0-9])\.(?=[0-9])", POINT))
 
 
 def canonical(token: Column) -> Column:
     """The template token of a slot token."""
-    return F.when(token.startswith(NAME), F.regexp_replace(token, r"§\p{Ll}+", NAME)).when(token.startswith(UNIT), F.lit(UNIT)).otherwise(F.regexp_replace(token, "[0-9]+", NUMBER))
+    return F.when(token.startswith(NAME), F.regexp_replace(token, r"(?:§\p{Ll}+)+", NAME)).when(token.startswith(UNIT), F.lit(UNIT)).otherwise(F.regexp_replace(token, f"{SIGN}?[0-9]+(?:[{COMMA}{POINT}][0-9]+)*", NUMBER))
 
 
 def is_slot(token: Column) -> Column:

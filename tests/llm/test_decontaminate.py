@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import decontaminate
 
@@ -33,3 +34,23 @@ def test_one_word_changed(spark, at):
     assert len(words) == 16
     words[at] = "zzz"
     assert found(spark, [" ".join(words)]) == {(0, 3)}
+
+
+def test_values_of_other_length(spark):
+    """A value of other length than the item's takes one place all the same."""
+    items = [(1, "every red train on the old northern line needs 60 minutes for its daily trip past seven villages"), (2, "we asked why the old clerk in Paris had sent those seven letters away")]
+    first, second = (t for _, t in items)
+    values = ["75", "1,250", "62.50", "-3", "1.250,75"]
+    names = ["London", "New York", "Rio Grande City"]
+    texts = [f"noise {first.replace('60', v)} noise" for v in values] + [f"noise {second.replace('Paris', n)} noise" for n in names]
+    assert found(spark, texts, items) == {(i, 1) for i in range(5)} | {(i, 2) for i in range(5, 8)}
+    twice = [(1, "take 60 from the box and 60 from that bag so that both hold just the same now")]
+    other = "take {} from the box and {} from that bag so that both hold just the same now"
+    assert found(spark, [other.format("1,250", "1,250"), other.format("1,250", "1.250"), other.format("5", "-5")], twice) == {(0, 1)}
+
+
+def test_both_kinds_of_tokens_are_aligned(spark):
+    texts = ["in New York City-7 and McDonald Smith 5-3 of -4 km, a-5 v1.2.3 £1,250.75 then 3.", "said Bob\nAnswer 5 kg-7 \ue000 1\ue0002 §Bob-5 § -5 ¤-3 so,1,2 X Y", "go Éa Bc D Ef Gh-Ij 1. 2 ,3 −4"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in d.select(decontaminate.template_tokens(F.col("text")).alias("t"), F.transform(decontaminate.slot_tokens(F.col("text")), decontaminate.canonical).alias("s")).collect():
+        assert len(r.t) == len(r.s), (r.t, r.s)
