@@ -1,20 +1,25 @@
-"""Main text of web pages: markup says what is boilerplate, and so does recurrence across a host.
+"""Main text of web pages: subtrees that recur across a host go first, then markup names the rest of the boilerplate.
 
-Each page is parsed once. Elements that markup names as boilerplate (menus, footers, forms, adverts, comments,
-...) give no text. Every other container's subtree gets a hash of its tags and text; Spark counts on how
-many pages of a host each hash occurs, and subtrees that recur on ``MANY_PAGES`` pages and ``MANY_SHARE`` of the
-host's pages are deleted. Prose elements and subtrees that hold ``OWN_SHARE`` of a page's text are never deleted, so
-articles that are copied all over a host stay. What is parsed is written once; pages are never grouped by host.
+Each page is parsed once, and every element's subtree (its tags and text) gets a hash, keyed with the page's host. Spark
+counts on how many pages each key occurs. A subtree is deleted where its key occurs on ``MANY_PAGES`` pages more
+than its parent's does: a menu that all pages share goes, while the parts of an article that is copied as a whole occur
+as often as the copy itself and stay. Within the main text, prose elements and subtrees that hold ``OWN_SHARE`` of a page's
+text are never deleted. Of what is left, markup decides: text lies in the page's articles, else in its main
+elements, else anywhere, outside of elements whose tag, class, id or role names boilerplate.
+
+What is parsed is written once. Only keys are counted and joined; pages are never grouped by host. Pages whose main
+text holds no subtree that may go have their text settled when they are parsed.
 
 Cases: a null page is an empty one with empty text; a null url has the host ''; a page without elements is taken
-as text; unclosed and stray tags are repaired as browsers do; repeated rows give repeated results and count as
-pages each; an empty table gives no rows.
+as text; unclosed and stray tags are repaired as browsers do; very long pages are parsed whole; repeated rows give repeated results and
+count as pages each; further columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
@@ -22,13 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, small_batches
+from .common import cut, fresh_path, small_batches, tidy
 
-MANY_PAGES, MANY_SHARE, OWN_SHARE = 10, 0.1, 0.2
+MANY_PAGES, OWN_SHARE = 10, 0.2
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HINT = re.compile(r"[a-z]+")
+_SPACES = re.compile(r"\s{2,}")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -41,8 +47,8 @@ HINTS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose subtrees are compared across a host.
-CONTAINER = frozenset("center dd details div dl figure header li ol section span table td tr ul".split())
+#: Elements within the main text that may go where they recur; the others there are prose.
+CONTAINER = frozenset("center details div dl figure header ol section span table ul".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "figcaption", "li", "dd", "dt", "summary"}
 #: A start tag ends these open elements, looked for no further up than the stops.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
@@ -50,11 +56,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "drop", "kids", "hash", "chars")
+    """An element: its subtree's hash, characters of text in all, and of those that markup doesn't drop."""
+
+    __slots__ = ("tag", "drop", "kids", "hash", "raw", "chars", "at")
 
     def __init__(self, tag: str, drop: bool):
         self.tag, self.drop, self.kids = tag, drop, []
-        self.hash = self.chars = 0
+        self.hash = self.raw = self.chars = 0
+        self.at = -1
 
 
 def _named_boilerplate(tag: str, attrs: str) -> bool:
@@ -114,24 +123,28 @@ def parse(html: str) -> Node:
     return top
 
 
-def _measure(top: Node) -> None:
-    """Hash and number of characters of every subtree, children first."""
+def _measure(top: Node) -> list[Node]:
+    """Set hash and sizes of every subtree, children first; the elements that hold text, in page order."""
     order, todo = [], [top]
     while todo:
         n = todo.pop()
         order.append(n)
-        todo += [k for k in n.kids if not isinstance(k, str)]
+        todo += [k for k in reversed(n.kids) if not isinstance(k, str)]
     for n in reversed(order):
         h = xxhash.xxh64(n.tag)
         for k in n.kids:
             if isinstance(k, str):
                 flat = " ".join(k.split())
-                n.chars += len(flat) if not n.drop else 0
+                n.raw += len(flat)
+                n.chars += len(flat)
                 h.update(flat)
             else:
-                n.chars += 0 if n.drop else k.chars
+                n.raw += k.raw
+                n.chars += k.chars
                 h.update(k.hash.to_bytes(8, "little"))
+        n.chars = 0 if n.drop else n.chars
         n.hash = h.intdigest()
+    return [n for n in order if n.raw]
 
 
 def _roots(top: Node, tag: str) -> list[Node]:
@@ -145,68 +158,96 @@ def _roots(top: Node, tag: str) -> list[Node]:
     return [n for n in out if n.chars]
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def blocks(html: str | None, own_share: float = OWN_SHARE) -> tuple[list[str], list[list[int]]]:
-    """Text blocks in page order; for each, hashes of the subtrees in doubt around it.
+@dataclass
+class Page:
+    """Elements that hold text, in page order, and the main text's pieces.
 
-    Text lies in the page's articles, else in its main elements, else in the whole page.
+    Of an element: its ``key``, its ``parent``'s place (-1: none), whether it may go where it recurs (``open``), and
+    whether it holds main text (``main``). Of a piece: its text, the place of the element it stands in, its block.
     """
+
+    key: list[int] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    open: list[bool] = field(default_factory=list)
+    main: list[bool] = field(default_factory=list)
+    pieces: list[str] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
+    block: list[int] = field(default_factory=list)
+
+    def text(self, gone: set[tuple[int, int]] | None = None) -> str:
+        """The main text without the subtrees whose (key, parent's key) is in ``gone``."""
+        hidden = [False] * len(self.key)
+        for i, up in enumerate(self.parent) if gone else ():
+            hidden[i] = up >= 0 and (hidden[up] or self.open[i] and (self.key[i], self.key[up]) in gone)
+        runs: dict[int, list[str]] = {}
+        for piece, i, block in zip(self.pieces, self.at, self.block):
+            if not hidden[i]:
+                runs.setdefault(block, []).append(piece)
+        flat = (" ".join("".join(r).split()) for r in runs.values())
+        return "\n".join(f for f in flat if f)
+
+
+def read_page(html: str | None, host: str | None = "", own_share: float = OWN_SHARE) -> Page:
+    """Parse one page; keys are subtree hashes mixed with the host's."""
+    page = Page()
     if not html:
-        return [], []
+        return page
     top = parse(html)
-    _measure(top)
+    held = _measure(top)
+    for i, n in enumerate(held):
+        n.at = i
+    site = xxhash.xxh64_intdigest(host or "")
+    page.key = [_signed(n.hash ^ site) for n in held]
+    page.parent = [-1] * len(held)
+    for i, n in enumerate(held):
+        for k in n.kids:
+            if not isinstance(k, str) and k.raw:
+                page.parent[k.at] = i
     roots = _roots(top, "article") or _roots(top, "main") or [top]
     most = own_share * sum(r.chars for r in roots)
-    texts: list[str] = []
-    around: list[list[int]] = []
-    run: list[str] = []
-    doubt: list[int] = []
-
-    def flush() -> None:
-        if flat := " ".join("".join(run).split()):
-            texts.append(flat)
-            around.append(list(doubt))
-        run.clear()
+    page.open, page.main = [True] * len(held), [False] * len(held)
+    block = 0
 
     def walk(root: Node) -> None:
-        """Depth first without recursion; a mark (node, None) closes the node."""
-        todo: list = [(root, False)]
+        """Depth first without recursion; a mark (element, True, ...) closes it. ``at``: the nearest element that holds text."""
+        nonlocal block
+        todo: list = [(root, False, root.at)]
         while todo:
-            n, left = todo.pop()
+            n, left, at = todo.pop()
             if isinstance(n, str):
-                run.append(n)
+                page.pieces.append(_SPACES.sub(" ", n))
+                page.at.append(at)
+                page.block.append(block)
                 continue
-            edge = n.tag in BLOCK
-            if left:
-                if edge or doubt and doubt[-1] == _signed(n.hash):
-                    flush()
-                if n.tag in CONTAINER and n.chars < most and doubt and doubt[-1] == _signed(n.hash):
-                    doubt.pop()
-                continue
-            if n.drop:
-                continue
-            if n.tag == "br":
-                run.append(" ")
+            block += n.tag in BLOCK
+            if left or n.drop:
                 continue
             kids = n.kids
-            if n.tag == "header":
+            if n.tag == "br":
+                kids = [" "]
+            elif n.tag == "header":
                 kids = _within(n, HEADINGS) if root.tag in ("article", "main") else []
-            if edge:
-                flush()
-            if n.tag in CONTAINER and n.chars < most:
-                flush()
-                doubt.append(_signed(n.hash))
-            todo.append((n, True))
-            todo += [(k, False) for k in reversed(kids)]
+            if n.at >= 0:
+                at = n.at
+                page.main[at] = bool(n.chars and kids)
+                page.open[at] = n is not root and n.tag in CONTAINER and n.chars < most
+            todo.append((n, True, at))
+            todo += [(k, False, at) for k in reversed(kids)]
 
     for r in roots:
         walk(r)
-        flush()
-        doubt.clear()
-    return texts, around
+        block += 1
+    # what lies around main text isn't in doubt itself, unless it was looked at above
+    for i in {i for i in page.at if i >= 0} | {r.at for r in roots if r.at >= 0}:
+        up = page.parent[i]
+        while up >= 0 and not page.main[up]:
+            page.main[up], page.open[up] = True, False
+            up = page.parent[up]
+    return page
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _within(n: Node, tags: frozenset[str]) -> list[Node]:
@@ -222,39 +263,58 @@ def _within(n: Node, tags: frozenset[str]) -> list[Node]:
     return out
 
 
+SKELETON = "key array<long>, parent array<int>, open array<boolean>, main array<boolean>, pieces array<string>, at array<int>, block array<int>"
+_LISTS = [("key", pa.int64()), ("parent", pa.int32()), ("open", pa.bool_()), ("main", pa.bool_()), ("pieces", pa.string()), ("at", pa.int32()), ("block", pa.int32())]
+
+
 def parsed(df: DataFrame, id_col: str, url_col: str, html_col: str, host: Column) -> DataFrame:
-    """id, url, host, blocks, around of every page, written once in the shared folder."""
+    """Every page with its elements, written once: ``text`` where it is settled, else the ``pieces`` of the main text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 128):
-            rows = [blocks(h) for h in b.column("html").to_pylist()]
-            cols = list(zip(*rows)) or [[], []]
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), b.column("host"), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(longs))], ["id", "url", "host", "blocks", "around"])
+            pages = [read_page(h, s) for h, s in zip(b.column("html").to_pylist(), b.column("host").to_pylist())]
+            texts = [None if any(o and m for o, m in zip(p.open, p.main)) else p.text() for p in pages]
+            for p, t in zip(pages, texts):
+                if t is not None:
+                    p.pieces = p.at = p.block = []
+            lists = [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in _LISTS]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), *lists], ["id", "url", "text", *(name for name, _ in _LISTS)])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     kind = slim.schema["id"].dataType.simpleString()
-    out = slim.mapInArrow(scan, f"id {kind}, url string, host string, blocks array<string>, around array<array<long>>").withColumn("row", F.monotonically_increasing_id())
+    out = slim.mapInArrow(tidy(scan), f"id {kind}, url string, text string, {SKELETON}").withColumn("row", F.monotonically_increasing_id())
     path = fresh_path(df.sparkSession, "pages")
     out.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def extract(df: DataFrame, host: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_template (subtrees deleted because they recur across the host) and n_chars.
+def templates(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
+    """(row, key, up, main): the subtrees to delete from each page, by their own key and their parent's."""
+    often = pages.select(F.explode(F.array_distinct("key")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= many)
+    often = cut(often, "often")
+    inside = F.filter(F.arrays_zip("key", "parent", "open", "main"), lambda x: x["open"] & (x["parent"] >= 0))
+    held = F.transform(inside, lambda x: F.struct(x["key"].alias("key"), F.get("key", x["parent"]).alias("up"), x["main"].alias("main")))
+    seen = pages.select("row", F.explode(F.array_distinct(held)).alias("e")).select("row", "e.*")
+    above = often.select(F.col("key").alias("up"), F.col("n").alias("n_up"))
+    excess = F.col("n") - F.coalesce("n_up", F.lit(0)) >= many
+    return seen.join(often, "key").join(above, "up", "left").filter(excess).select("row", "key", "up", "main")
 
-    Only pages with a subtree in doubt are joined with the recurring ones; the others' text is settled.
-    """
+
+def extract(df: DataFrame, host: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = MANY_PAGES) -> DataFrame:
+    """id, url, text, n_template (subtrees deleted because they recur across the host) and n_chars of every page."""
     pages = parsed(df, id_col, url_col, html_col, host)
-    doubtful = F.exists("around", lambda a: F.size(a) > 0)
-    seen = pages.filter(doubtful).select("row", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
-    size = pages.groupBy("host").agg(F.count("row").alias("pages"))
-    often = seen.groupBy("host", "subtree").agg(F.count("row").alias("n")).filter(F.col("n") >= MANY_PAGES)
-    often = often.join(size, "host").filter(F.col("n") >= MANY_SHARE * F.col("pages")).select("host", "subtree")
-    hits = cut(seen.join(often, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone")), "template-hits")
-    joined = pages.filter(doubtful).join(hits, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
-    kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.arrays_overlap(x["around"], F.col("gone")))
-    shape = lambda d, parts, n: d.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(parts, "\n").alias("text"), n.alias("n_template"))
-    settled = shape(pages.filter(~doubtful), F.col("blocks"), F.lit(0))
-    both = settled.union(shape(joined, F.transform(kept, lambda x: x["blocks"]), F.size("gone")))
-    return both.withColumn("n_chars", F.length("text").cast("long"))
+    hits = templates(pages, many).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n_template"), F.collect_set(F.when(F.col("main"), F.struct("key", "up"))).alias("gone"))
+    hits = cut(hits, "template-hits")
+    count = F.coalesce("n_template", F.lit(0)).alias("n_template")
+    settled = pages.filter("text is not null").select("row", "id", "url", "text").join(hits.select("row", "n_template"), "row", "left").select("id", "url", "text", count)
+    doubtful = pages.filter("text is null").join(hits, "row", "left").select("id", "url", count, "gone", *(name for name, _ in _LISTS))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 128):
+            lists = zip(*(b.column(name).to_pylist() for name, _ in _LISTS))
+            texts = [Page(*own).text({(g["key"], g["up"]) for g in gone or ()}) for own, gone in zip(lists, b.column("gone").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), b.column("n_template")], ["id", "url", "text", "n_template"])
+
+    kind = pages.schema["id"].dataType.simpleString()
+    both = settled.union(doubtful.mapInArrow(tidy(finish), f"id {kind}, url string, text string, n_template int"))
+    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_template", F.length("text").cast("long").alias("n_chars"))

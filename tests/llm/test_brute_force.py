@@ -277,11 +277,18 @@ def test_media_digest(spark, edge, empty):
 # 7
 
 
+def lines(page):
+    return html.read_page(page).text().split("\n") if page else html.read_page(page).text()
+
+
 def test_main_text():
     page = "<html><head><title>t</title></head><body><header>Site</header><nav><a>m</a></nav><article><header><p>by x</p><h1>T&amp;t</h1></header><p>a<b>b</b> c<p>d&nbsp;&nbsp;e<script>var x='</p>'</script><ul><li>x<li>y</ul><div class='ad box'>buy</div><form>f</form><section id=comments><p>me too</p></section></article><footer>f</footer></body></html>"
-    assert html.blocks(page)[0] == ["T&t", "ab c", "d e", "x", "y"]
-    assert html.blocks(None)[0] == html.blocks("")[0] == [] and html.blocks("a &lt; b\n c")[0] == ["a < b c"]
-    assert html.blocks("<p>1<!-- open comment <p>2")[0] == ["1"] and html.blocks("<p a='x>1</p>")[0] == ["<p a='x>1"]
+    assert lines(page) == ["T&t", "ab c", "d e", "x", "y"]
+    assert lines(None) == lines("") == "" and lines("a &lt; b\n c") == ["a < b c"]
+    assert lines("<p>1<!-- open comment <p>2") == ["1"] and lines("<p a='x>1</p>") == ["<p a='x>1"]
+    assert lines("<p>one <span>big</span><b> </b>block<br>here</p>tail<div class=ad>x</div>end") == ["one big block here", "tail", "end"]
+    assert lines("<p>" + "word " * 400_000) == ["word " * 399_999 + "word"]
+    assert lines("<div>" * 5000 + "deep") == ["deep"]
 
 
 def test_templates_of_a_host_go_and_copied_articles_stay(spark):
@@ -295,6 +302,54 @@ def test_templates_of_a_host_go_and_copied_articles_stay(spark):
     assert html.extract(d.limit(0), urls.host_of(F.col("url"))).count() == 0
 
 
+def plain_extract(pages, many):
+    """(text, n_template) of (host, html) pages: one dictionary of counts by host, then one walk of each page."""
+    read = [html.read_page(h, s) for s, h in pages]
+    count = {}
+    for p in read:
+        for k in set(p.key):
+            count[k] = count.get(k, 0) + 1
+    out = []
+    for p in read:
+        gone = {(k, p.key[u]) for k, u, o in zip(p.key, p.parent, p.open) if o and u >= 0 and count[k] >= many and count[k] - (count[p.key[u]] if count[p.key[u]] >= many else 0) >= many}
+        kept = []
+        for i in range(len(p.key)):
+            chain, j = [], i
+            while j >= 0:
+                chain.append(j)
+                j = p.parent[j]
+            kept.append(not any(p.open[j] and p.parent[j] >= 0 and (p.key[j], p.key[p.parent[j]]) in gone for j in chain))
+        blocks = [" ".join("".join(t for t, i, at in zip(p.pieces, p.at, p.block) if at == b and kept[i]).split()) for b in sorted(set(p.block))]
+        mains = {(k, p.key[u], m) for k, u, o, m in zip(p.key, p.parent, p.open, p.main) if o and u >= 0 and (k, p.key[u]) in gone}
+        out.append(("\n".join(b for b in blocks if b), len(mains)))
+    return out
+
+
+def test_templates_against_plain_counts(spark):
+    rng = random.Random(12)
+    parts = ["<div>Join our list</div>", "<ul><li>Home<li>News</ul>", "<p>Yes.</p>", "<div><p>Share</p></div>", "<nav><a>x</a></nav>", "<section>Read <b>more</b></section>", "<footer>f</footer>", "tail <span>sp an</span> end"]
+    rows = []
+    for i in range(120):
+        own = "".join(f"<p>{rng.random()} {'words ' * rng.randint(0, 9)}</p>" for _ in range(rng.randint(0, 4)))
+        some = "".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))
+        inner = rng.choice(["<article>{1}{0}</article>{0}", "{0}{1}", "<div><main>{1}{0}</main></div>", "<div>{0}<div>{1}</div></div>"]).format(some, own)
+        rows.append((i, f"http://h{rng.randint(0, 2)}.example/{i}", f"<body>{inner}</body>"))
+    rows += [(200 + i, "http://h0.example/", rows[0][2]) for i in range(15)] + [(300, None, rows[1][2]), (301, "http://h0.example/", None)]
+    d = spark.createDataFrame([(*r, "k", 1, [2]) for r in rows], "page_id long, url string, html string, `key` string, n int, gone array<int>").repartition(5)
+    got = {r.page_id: (r.text, r.n_template) for r in html.extract(d, urls.host_of(F.col("url")), many=10).collect()}
+    hosts = [(u or "").partition("://")[2].partition("/")[0] for _, u, _ in rows]
+    want = plain_extract(list(zip(hosts, (h for _, _, h in rows))), 10)
+    assert got == {r[0]: w for r, w in zip(rows, want)}
+    assert sum(n > 0 for _, n in want) > 50 and any(t != html.read_page(r[2]).text() for r, (t, _) in zip(rows, want))
+
+
+def test_every_page_has_its_template_removed(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the test tables are not here")
+    got = queries.op7_main_text(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == 250 and sum(r.n_template > 0 for r in got) > 0
+
+
 # 8
 
 
