@@ -3,7 +3,8 @@
 A single space between two characters that aren't white space always starts a new pre-token, so a text
 may be cut there and its parts encoded on their own. Parts made of letters, with ASCII punctuation after
 them, go straight to the library's BPE model; any other part goes through the library's whole encoder.
-Both give the ids of the whole text's encoding.
+Both give the ids of the whole text's encoding. A text that holds one of the vocabulary's added tokens (as
+``<|endoftext|>``) goes through the whole encoder in one piece, since such tokens are found before pre-tokens are.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class PieceEncoder:
 
     def __init__(self, path: str, memo: int = MEMO_PIECES):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.letters = byte_letters()
         self.room = memo
@@ -81,6 +82,8 @@ class PieceEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(a in text for a in self.added):
+            return self._whole(text)
         loose = "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE)
         parts = _CUT.split(text) if loose else text.split(" ")
         get, spaced = self.memo.get, self.spaced
