@@ -7,7 +7,8 @@ document, each the compression of its ids as unsigned 32-bit integers; then the
 in ``dictionary.zdict``. One document is read with the trailer, its index entry and its frame alone.
 
 Cases: a null text is an empty one; a null id sorts after all others; rows that share an id each keep their
-own entry, in some order among themselves; an empty table makes no file and no row.
+own entry, in the order of a hash of their texts, and may lie in several files that follow each other; a very long text
+is one frame; further columns are left out, whatever their names; an empty table makes no file and no row.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from .tokens import encode_documents
 MAGIC = b"CLTOKEN1"
 TRAILER = struct.Struct("<QQII8s")
 INDEX = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("at", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
-#: The dictionary is fitted on about this many documents, chosen by a hash of the id; its size in bytes; ids used of each.
-SAMPLE_DOCS, DICT_BYTES, SAMPLE_IDS = 1024, 64 * 1024, 4096
+#: The dictionary is fitted on about this many documents, chosen by a hash of the id, and has this size in bytes.
+SAMPLE_DOCS, DICT_BYTES = 1024, 64 * 1024
+#: Ids that the sample takes of a document: all, or of a longer one a stretch of this many at a place drawn from its checksum.
+SAMPLE_IDS = 4096
 #: Bytes of frames read at once.
 READ_BYTES = 4 << 20
 
@@ -52,14 +55,15 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 
 
 def fit_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None, sample: int = SAMPLE_DOCS) -> bytes:
-    """Fit on about ``sample`` documents (all, of a table with fewer); at most twice as many reach the driver."""
+    """Fit on about ``sample`` documents (all, of a table with fewer); at most twice as many reach the driver, ``SAMPLE_IDS`` ids of each."""
     step = max(1, docs.count() // sample)
     chosen = docs.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).limit(2 * sample)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             arrays = encode_documents(tokenizer, b.column("text").to_pylist(), end_id)
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([a[:SAMPLE_IDS].tobytes() for a in arrays], pa.binary())})
+            places = [zlib.crc32(a.tobytes()) % max(1, len(a) - SAMPLE_IDS + 1) for a in arrays]
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([a[k : k + SAMPLE_IDS].tobytes() for a, k in zip(arrays, places)], pa.binary())})
 
     return train_dictionary([bytes(r.ids) for r in chosen.mapInArrow(ids, "ids binary").collect()])
 
@@ -164,7 +168,10 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "uri": [f"{path}/{part:06d}-{name}.tok"], "n_docs": pa.array([len(writer.entries)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
 
-    placed = docs.repartitionByRange(*in_order(["id"])).sortWithinPartitions(*in_order(["id"]))
+    # rows of one id, or without one, are told apart by their texts and their places in the input, so that no id needs one task
+    tied = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id())
+    keys = in_order(["id", "_tie", "_place"])
+    placed = tied.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
     files = placed.mapInArrow(tidy(write), "part long, uri string, n_docs long, n_tokens long").collect()
     return [r.asDict() for r in sorted(files, key=lambda r: r.part)], dictionary
 
