@@ -4,10 +4,12 @@ Features are lexicon densities, nearness of lexicon words to second-person words
 obfuscation rates of the whole text. The lexicon is a fixed list of insults and, from labelled rows, words and
 word beginnings that mark toxic texts. Rows used to learn are at most ``SAMPLE_ROWS`` labelled ones outside the
 held-out fold, chosen by a hash of the id: two fifths of them give the lexicon, two fifths the trees and
-one fifth the calibration, so no stage sees its own answers.
+one fifth the calibration, so no stage sees its own answers. Every word and word beginning that is frequent and telling enough
+enters the lexicon; the sample's bound bounds their number.
 
 Cases: a null text is an empty one and is scored; a null id is scored, is not held out and takes no label; an
-id labelled twice counts as toxic if any of its labels says so; null labels are left out; without labels of both
+id labelled twice counts as toxic if any of its labels says so; null labels are left out; a labelled id's rows with one text count once,
+and the sample's bound holds for rows, however often an id repeats; repeated rows are each scored; very long texts are scored whole; other columns don't matter; without labels of both
 kinds the fixed list alone gives the score; an empty table gives no rows.
 """
 
@@ -26,8 +28,8 @@ from .boosting import Boosted, sigmoid
 from .common import cut, small_batches, tidy
 
 SAMPLE_ROWS = 20_000
-#: Learned lexicon: entries at most, toxic documents an entry needs, and its odds against the others' rate.
-LEXICON_MOST, LEXICON_DOCS, LEXICON_ODDS = 4000, 5, 8.0
+#: Learned lexicon: toxic documents an entry needs, and its odds against the others' rate.
+LEXICON_DOCS, LEXICON_ODDS = 5, 8.0
 PREFIXES = (4, 5, 6)
 HELD_OUT = 5
 
@@ -113,8 +115,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, label, step) of at most ``most`` labelled rows outside the held-out fold; step 0-4."""
     one = labels.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("id")) % HELD_OUT != 0))
     one = one.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
-    # at most ``most`` ids and labels, so they may be broadcast
-    return docs.join(F.broadcast(one), "id").select("text", F.col("label").cast("int").alias("label"), (fold(F.col("id"), "/step") % 5).cast("int").alias("step"))
+    # at most ``most`` ids and labels, and as many texts of them, so both may be broadcast
+    body = F.xxhash64("text")
+    picked = docs.join(F.broadcast(one), "id").select("id", body.alias("body"), "label").distinct().orderBy(F.xxhash64("id"), "id", "body").limit(most)
+    picked = F.broadcast(cut(picked, "toxic-ids").withColumnRenamed("id", "_id"))
+    rows = docs.join(picked, (F.col("id") == F.col("_id")) & (body == F.col("body"))).dropDuplicates(["id", "body"])
+    return rows.select("text", F.col("label").cast("int").alias("label"), (fold(F.col("id"), "/step") % 5).cast("int").alias("step"))
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
@@ -128,7 +134,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     counted = terms.groupBy("term").agg(F.sum("label").alias("pos"), F.count("label").alias("all"))
     odds = ((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("all") - F.col("pos") + 0.5) / (n0 + 1))
     best = counted.filter(F.col("pos") >= LEXICON_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_ODDS)
-    found = best.orderBy(F.desc("pos"), "term").limit(LEXICON_MOST).collect()
+    found = best.orderBy("term").collect()
     kinds: tuple[dict[str, float], dict[str, float]] = ({}, {})
     for r in found:
         kinds[r.term.endswith("*")][r.term.rstrip("*")] = float(np.log(r.odds))

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from codeloom.llm import boosting, common, components, decontaminate, html, media, packing, queries, sharding, simhash, substring, token_store, tokens, toxicity, urls
 
@@ -39,18 +40,19 @@ def empty(spark):
 
 
 def test_pieces_encode_as_the_whole():
-    enc = tokens.encoder(queries.tokenizer())
+    enc, fresh = tokens.encoder(queries.tokenizer()), Tokenizer.from_file(queries.tokenizer())
     random.seed(5)
     alphabet = [*" \n\t'sabtréßÄ.,!?1290-_<|> 　\x1c\x85İ文😀", "<|endoftext|>", " '", "'ll", "  ", "don't"]
     for _ in range(3000):
         t = "".join(random.choices(alphabet, k=random.randint(0, 14)))
-        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
+    assert np.frombuffer(enc.encode("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
 
 
 def test_token_files(spark, edge, empty):
     got = {(r.doc_id, r.start): r for r in token_store.token_digest(edge, queries.tokenizer(), 2).collect()}
     assert len(got) == edge.count() == 9
-    enc = tokens.encoder(queries.tokenizer()).whole
+    enc = Tokenizer.from_file(queries.tokenizer())
     texts = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in edge.collect()))
     at = 0
     for null, i, t in texts:
@@ -443,6 +445,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[5000].predicted == 0
 
 
+def test_sample_is_bounded_by_rows(spark):
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(1, "same")] * 500 + [(2, "b"), (3, "c")], "id long, text string")
+    y = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 0)], "id long, label int")
+    assert toxicity.labelled_sample(d, y, 10).count() == 10
+    assert toxicity.labelled_sample(d.filter("text in ('same', 'b', 'c')"), y, 10).groupBy().count().first()[0] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3))
+
+
+def plain_features(text, lexicon):
+    """The densities, one by one, by loops over characters and words."""
+    import re as re_
+
+    raw = text.encode()
+    words = re_.findall(r"[^\W\d_]+", text.lower())
+    n, size = max(1, len(words)), max(1, len(raw))
+    share = lambda chars: sum(c in chars for c in raw) / size
+    hit = [w in toxicity.INSULTS or w in lexicon.words or any(w[:k] in lexicon.starts for k in (4, 5, 6)) for w in words]
+    return {0: sum(hit) / n, 1: sum(w in toxicity.INSULTS for w in words) / n, 8: any(hit) * sum(w in toxicity.SECOND_PERSON for w in words) / n, 11: share(b"!"), 12: share(b"?"), 15: share(b"0123456789"), 21: len(text) / n, 22: np.log1p(len(words))}
+
+
+def test_features_and_trees_against_loops():
+    rng = random.Random(4)
+    lexicon = toxicity.Lexicon({"zorg": 2.0}, {"blar": 1.5})
+    for _ in range(200):
+        t = " ".join(rng.choice(["you", "Idiot!", "zorg", "blarney", "ok?", "x1d10t", "HELLO", "42", "é", "i d i o t"]) for _ in range(rng.randint(0, 30)))
+        got = toxicity.features(t, lexicon)
+        assert all(abs(got[k] - v) < 1e-12 for k, v in plain_features(t, lexicon).items()), t
+    x = np.random.default_rng(1).random((600, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    assert ((boosting.Boosted().fit(x[:400], y[:400]).score(x[400:]) >= 0.5) == y[400:]).mean() > 0.9
+
+
 def test_toxicity_without_labels(spark, edge, empty):
     y = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_toxicity(edge, y).count() == 9 and toxicity.score_toxicity(empty, y).count() == 0
