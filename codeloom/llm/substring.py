@@ -1,18 +1,19 @@
 """Repeated passages: Rabin-Karp hashes of every fixed-length token window, counted in Spark.
 
-Documents are dealt into buckets that follow each other by id. A bucket's task hashes every window of its
-whole texts and sends the distinct hashes, sorted, to the tasks that own their ranges. A range's task counts
-in how many buckets each hash starts, and answers with one bit for each hash sent: set where an earlier bucket
-has it too. The bucket's task, with the same documents again, joins these bits with what it knows of its own
-documents' order and merges repeated windows into maximal intervals, which are removed.
+Documents are dealt into buckets of a few megabytes, whatever their ids. A bucket's task hashes every window of its
+whole texts and sends the distinct hashes, each with the least id that has it, to the tasks that own their ranges: a fixed
+number of messages a bucket, so messages grow with the input. A range's task finds the least id of each hash, and answers with one
+bit for each hash sent: set where a smaller id has it. The bucket's task, with the same documents again, joins these bits with
+what it knows of its own documents' ids and merges repeated windows into maximal intervals, which are removed.
 
 A window is sent once for each bucket that has it, so a passage in a third of all documents costs each bucket one
-hash. Hashes are two independent 32-bit residues, 64 bits together: in a corpus of n distinct windows about n^2 / 2^65
-pairs of them meet by chance.
+hash. Over ``OWNERS`` buckets meet in groups first; a group then sends its distinct hashes on as one owner, in
+finer ranges, so a task's memory doesn't grow with the input. Hashes are two independent 32-bit residues, 64 bits together: in a corpus
+of n distinct windows about n^2 / 2^65 pairs of them meet by chance.
 
-Cases: a null text has no words; texts shorter than a window stay whole; white space is that of ASCII; a
-null id sorts after all others; rows that share an id never remove each other's words; an empty table gives no
-rows.
+Cases: a null text has no words; texts shorter than a window stay whole; very long texts are hashed in segments; white space is that
+of ASCII; a null id sorts after all others; rows that share an id, or have none, never remove each other's words and may lie in different
+buckets; other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import give_back, utf8
+from .common import cut, give_back, utf8
 
 WINDOW = 50
 #: A bucket's bytes of text lie between these, so that small inputs still make many tasks.
 LEAST_BUCKET, MOST_BUCKET = 4 << 20, 8 << 20
 #: Words hashed at once.
 SEGMENT = 1 << 16
+#: Owners of hashes that meet in one task of a range, and the bits that tell ranges apart (fewer for up to ``FEW`` owners).
+OWNERS, RANGE_BITS, FEW, FEW_BITS = 4096, 10, 1024, 8
 #: Two primes below 2^32 and a base for each.
 PRIMES, BASES = (4294967291, 4294967279), (2862933555, 3935559001)
 LAST_ID = (1 << 63) - 1
@@ -92,21 +95,94 @@ class Bucket:
         self.first_id = self.ids[owner[first]] if len(first) else np.empty(0, np.int64)
 
 
-def _edges(distinct: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of ``ranges`` equal ranges of hashes begins among sorted hashes, and the end."""
-    cuts = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+def _edges(distinct: np.ndarray, first: int, bits: int, depth: int) -> np.ndarray:
+    """Where each of the 2^bits ranges that share the ``depth`` high bits ``first`` begins among sorted hashes, and the end."""
+    low = 64 - depth - bits
+    cuts = np.array([((first << bits) + r) << low for r in range(1, 1 << bits)], np.uint64)
     return np.concatenate([[0], np.searchsorted(distinct, cuts), [len(distinct)]])
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte plane by byte plane, so that shuffle compression finds the leading zeros."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    return steps.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Byte plane by byte plane, so that shuffle compression finds the leading zeros."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
+def _from_planes(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
+
+
+def _packed(hashes: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted hashes as differences, and their ids above the least of them."""
+    base = ids.min()
+    return int(base).to_bytes(8, "little", signed=True) + _planes(np.diff(hashes, prepend=np.uint64(0))) + _planes((ids - base).view(np.uint64))
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = 8 + (len(raw) - 8) // 2
+    base = np.int64(int.from_bytes(raw[:8], "little", signed=True))
+    return np.cumsum(_from_planes(raw[8:half]), dtype=np.uint64), _from_planes(raw[half:]).view(np.int64) + base
+
+
+SENT = pa.schema([("owner", pa.int64()), ("range", pa.int64()), ("hashes", pa.binary())])
+ANSWERED = pa.schema([("owner", pa.int64()), ("range", pa.int64()), ("bits", pa.binary())])
+
+
+def _send(owner: int, hashes: np.ndarray, ids: np.ndarray, first: int, bits: int, depth: int) -> pa.Table:
+    """One message for each range that has hashes."""
+    e = _edges(hashes, first, bits, depth).tolist()
+    full = [r for r in range(1 << bits) if e[r] < e[r + 1]]
+    blobs = [_packed(hashes[e[r] : e[r + 1]], ids[e[r] : e[r + 1]]) for r in full]
+    return pa.table([[owner] * len(full), [(first << bits) + r for r in full], blobs], schema=SENT)
+
+
+class Meeting:
+    """The messages of several owners for one range: their hashes, and the least id of each."""
+
+    def __init__(self, table: pa.Table):
+        self.owners, self.range = table.column("owner").to_pylist(), table.column("range")[0].as_py()
+        sent = [_unpacked(x) for x in table.column("hashes").to_pylist()]
+        self.edges = np.cumsum([0, *(len(h) for h, _ in sent)])
+        self.ids = np.concatenate([i for _, i in sent])
+        self.distinct, self.place = np.unique(np.concatenate([h for h, _ in sent]), return_inverse=True)
+        self.least = np.full(len(self.distinct), LAST_ID, np.int64)
+        np.minimum.at(self.least, self.place, self.ids)
+
+    def answers(self, elsewhere: np.ndarray | None = None) -> pa.Table:
+        """A bit for each hash sent: whether a smaller id has it, here or (by distinct hash) ``elsewhere``."""
+        less = self.least[self.place] < self.ids
+        if elsewhere is not None:
+            less |= elsewhere[self.place]
+        parts = [(o, less[a:z]) for o, a, z in zip(self.owners, self.edges[:-1].tolist(), self.edges[1:].tolist())]
+        told = [(o, np.packbits(p).tobytes()) for o, p in parts if p.any()]
+        return pa.table([[o for o, _ in told], [self.range] * len(told), [x for _, x in told]], schema=ANSWERED)
+
+
+def smaller_ids(sent: DataFrame, owners: int, bits: int, depth: int, most: int) -> DataFrame:
+    """(owner, range, bits) to the messages of ``owners`` owners in ranges of ``depth`` high bits."""
+    kinds = "owner long, range long, bits binary"
+    if owners <= most:
+        return sent.groupBy("range").applyInArrow(lambda t: Meeting(t).answers(), kinds)
+    sent = cut(sent, "window-hashes").withColumn("group", F.floor(F.col("owner") / most))
+
+    def pass_on(t: pa.Table) -> pa.Table:
+        m = Meeting(t)
+        return _send(m.owners[0] // most, m.distinct, m.least, m.range, bits, depth)
+
+    def come_back(t: pa.Table, above: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return ANSWERED.empty_table()
+        m = Meeting(t)
+        e = _edges(m.distinct, m.range, bits, depth).tolist()
+        elsewhere = np.zeros(len(m.distinct), bool)
+        for r, raw in zip(above.column("range").to_pylist(), above.column("bits").to_pylist()):
+            r -= m.range << bits
+            elsewhere[e[r] : e[r + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=e[r + 1] - e[r]).astype(bool)
+        return m.answers(elsewhere)
+
+    up = sent.groupBy("range", "group").applyInArrow(pass_on, "owner long, range long, hashes binary")
+    above = smaller_ids(up, -(-owners // most), bits, depth + bits, most).withColumn("coarse", F.shiftright("range", bits))
+    return sent.groupBy("range", "group").cogroup(above.groupBy("coarse", "owner")).applyInArrow(come_back, kinds)
 
 
 def spans_of(repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,107 +194,74 @@ def spans_of(repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
     return at[np.concatenate([[0], new + 1])], at[np.concatenate([new, [len(at) - 1]])] + window
 
 
-def bucket_column(id_: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds lie at or below the id, by binary search in the plan."""
-    if not bounds:
-        return F.lit(0)
-    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    last = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        below = F.get(listed, mid) <= id_
-        done = acc["lo"] >= acc["hi"]
-        return F.struct(F.when(done | ~below, acc["lo"]).otherwise(mid + 1).alias("lo"), F.when(done | below, acc["hi"]).otherwise(mid).alias("hi"))
-
-    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
-    return F.aggregate(steps, last, halve, lambda acc: acc["lo"])
-
-
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: bool = False) -> DataFrame:
     """id, kept (words left, joined by one space), n_words, n_removed and the removed ``spans`` in words.
 
-    With ``carry``, a struct column ``row`` has all columns of the row that the result is of.
+    With ``carry``, ``kept`` is the unchanged text where nothing is removed, and a struct column ``row`` has the further columns
+    of the row that the result is of, as c0, c1, ...
     """
-    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if carry else F.lit(None).cast("boolean")
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text_col]
+    rest = F.struct(*others) if carry else F.lit(None).cast("boolean")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("row"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("id").alias("n")).first()
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     total = size.b or 0
     share = min(MOST_BUCKET, max(LEAST_BUCKET, total // 256))
     buckets = int(min(total // share + 1, max(1, size.n)))
-    bounds: list[int] = []
-    if buckets > 1:
-        at = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("id", F.lit(at), max(10_000, 10 * buckets))).first()[0]))
-    ranges = buckets
-    id_or_last = F.coalesce("id", F.lit(LAST_ID))
-    dealt = docs.select("id", "text", "row", bucket_column(id_or_last, bounds).alias("bucket"))
+    bits = FEW_BITS if buckets <= FEW else RANGE_BITS
+    place = F.monotonically_increasing_id()
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64(place), F.lit(buckets)).cast("long"))
 
     def send(table: pa.Table) -> pa.Table:
         b = Bucket(table, window)
-        e = _edges(b.distinct, ranges).tolist()
-        full = [r for r in range(ranges) if e[r] < e[r + 1]]
-        blobs = [_packed(b.distinct[e[r] : e[r + 1]]) for r in full]
-        own = table.column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array([own] * len(full), pa.int32()), "range": pa.array(full, pa.int32()), "hashes": pa.array(blobs, pa.binary())})
-
-    def answer(table: pa.Table) -> pa.Table:
-        owners = table.column("bucket").to_pylist()
-        order = np.argsort(owners, kind="stable")
-        blobs = table.column("hashes").to_pylist()
-        sent = [_unpacked(blobs[i]) for i in order]
-        every = np.concatenate(sent)
-        _, first = np.unique(every, return_index=True)  # the first place is in the earliest bucket
-        again = np.ones(len(every), bool)
-        again[first] = False
-        own, bits = [], []
-        for i, part in zip(order, np.split(again, np.cumsum([len(s) for s in sent])[:-1])):
-            if part.any():
-                own.append(owners[i])
-                bits.append(np.packbits(part).tobytes())
-        return pa.table({"bucket": pa.array(own, pa.int32()), "range": pa.array([table.column("range")[0].as_py()] * len(own), pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-    def merge(docs_: pa.Table, bits: pa.Table) -> pa.Table:
+        return _send(table.column("bucket")[0].as_py(), b.distinct, b.first_id, 0, bits, 0)
+
+    def merge(docs_: pa.Table, answered: pa.Table) -> pa.Table:
         if not docs_.num_rows:
             return pa.table([pa.array([], f.type) for f in out_schema] + [docs_.column("row")], names=[*out_schema.names, "row"])
         b = Bucket(docs_, window)
-        e = _edges(b.distinct, ranges).tolist()
-        earlier = np.zeros(len(b.distinct), bool)
-        for r, raw in zip(bits.column("range").to_pylist(), bits.column("bits").to_pylist()):
-            earlier[e[r] : e[r + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=e[r + 1] - e[r]).astype(bool)
+        e = _edges(b.distinct, 0, bits, 0).tolist()
+        less = np.zeros(len(b.distinct), bool)
+        for r, raw in zip(answered.column("range").to_pylist(), answered.column("bits").to_pylist()):
+            less[e[r] : e[r + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=e[r + 1] - e[r]).astype(bool)
+        texts = docs_.column("text").take(pa.array(b.order)).to_pylist() if carry else None
         kept, counts, removed, spans = [], [], [], []
         for k, words in enumerate(b.words):
             own = b.place[b.bounds[k] : b.bounds[k + 1]]
-            starts, stops = spans_of(earlier[own] | (b.first_id[own] < b.ids[k]), window)
+            starts, stops = spans_of(less[own] | (b.first_id[own] < b.ids[k]), window)
             keep = np.ones(len(words), bool)
             for a, z in zip(starts.tolist(), stops.tolist()):
                 keep[a:z] = False
-            kept.append(b" ".join(compress(words, keep) if len(starts) else words))
+            whole = carry and not len(starts)
+            kept.append(texts[k] if whole else b" ".join(compress(words, keep) if len(starts) else words).decode("utf-8", "surrogatepass"))
             counts.append(len(words))
             removed.append(len(words) - int(keep.sum()))
             spans.append([{"start": a, "stop": z} for a, z in zip(starts.tolist(), stops.tolist())])
         ids = docs_.column("id").take(pa.array(b.order))
-        texts = pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string())
-        columns = [ids, texts, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, out_schema.field("spans").type)]
+        columns = [ids, pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, out_schema.field("spans").type)]
         out = pa.table([*columns, docs_.column("row").take(pa.array(b.order))], names=[*out_schema.names, "row"])
         del b
         give_back()
         return out
 
     out_schema = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-    sent = dealt.groupBy("bucket").applyInArrow(send, "bucket int, range int, hashes binary")
-    answers = sent.groupBy("range").applyInArrow(answer, "bucket int, range int, bits binary")
+    sent = dealt.groupBy("bucket").applyInArrow(send, "owner long, range long, hashes binary")
+    answers = smaller_ids(sent, buckets, bits, bits, OWNERS)
     kinds = StructType.fromDDL("id long, kept string, n_words long, n_removed long, spans array<struct<start:long,stop:long>>").add("row", docs.schema["row"].dataType)
-    merged = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(merge, kinds)
+    merged = dealt.groupBy("bucket").cogroup(answers.groupBy("owner")).applyInArrow(merge, kinds)
     return (merged if carry else merged.drop("row")).withColumnRenamed("id", id_col)
 
 
 def replace_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
     """All rows and columns of ``df``; texts that lose words become the words left, and ``length_col`` their characters."""
     found = remove_repeats(df, id_col, text_col, window, carry=True)
-    cut_ = F.col("n_removed") > 0
-    new = {text_col: F.col("kept"), length_col: F.length("kept").cast("long")}
-    return found.select(*[F.when(cut_, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in df.columns])
+
+    def column(i: int, c: str) -> Column:
+        if c == text_col:
+            return F.col("kept").alias(c)
+        own = F.col(f"row.c{i}")
+        return (F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(own) if c == length_col else own).alias(c)
+
+    return found.select(*[column(i, c) for i, c in enumerate(df.columns)])
 
 
 def digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:

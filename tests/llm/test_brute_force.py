@@ -226,6 +226,28 @@ def test_repeated_windows(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(d, window=5).collect()}
     assert got == plain_removal(rows, 5)
+    for name, value in (("OWNERS", 2), ("RANGE_BITS", 2), ("FEW", 0)):  # groups of groups
+        monkeypatch.setattr(substring, name, value)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(d, window=5).collect()} == got
+
+
+def test_a_third_of_the_rows_share_an_id(spark, monkeypatch):
+    random.seed(8)
+    passages = [" ".join(random.choices("abcdefg", k=12)) for _ in range(4)]
+    text = lambda: " ".join(random.choice([*passages, "x", "y z"]) for _ in range(random.randint(0, 6)))
+    rows = [(7 if i % 3 == 0 else None if i % 7 == 0 else i, text()) for i in range(90)]
+    monkeypatch.setattr(substring, "LEAST_BUCKET", 300)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(d, window=5).collect())
+    first, want = {}, []
+    split = [(1 << 62 if i is None else i, t.split()) for i, t in rows]
+    for i, w in split:
+        for a in range(len(w) - 4):
+            first[tuple(w[a : a + 5])] = min(i, first.get(tuple(w[a : a + 5]), 1 << 62))
+    for (i, w), (own, _) in zip(split, rows):
+        gone = {k for a in range(len(w) - 4) if first[tuple(w[a : a + 5])] < i for k in range(a, a + 5)}
+        want.append((own or 0, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    assert got == sorted(want)
 
 
 def test_repeats_on_edges(spark, edge, empty):
