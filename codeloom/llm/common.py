@@ -80,6 +80,21 @@ def running(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), weig
     return out.drop("_part", "_at", "_n", "_rows0", "_hpart", "_w", "_sum0", *names)
 
 
+#: Tasks that the rows of one key may be dealt over.
+SALTS = 1024
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: str, by: str) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each value of ``on``; a hot value's rows are dealt over ``SALTS`` keys.
+
+    ``by`` tells rows of one value apart. A value's row of ``side`` is repeated only for the salts that its rows have, so a
+    value with few rows costs no more rows than it has. Null values meet nothing.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    keys = salted.select(on, "_salt").distinct()
+    return salted.join(keys.join(side, on), [on, "_salt"]).drop("_salt")
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches to few rows, so that very long texts don't pile up in a Python worker."""
     for b in batches:

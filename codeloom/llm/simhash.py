@@ -12,7 +12,8 @@ is reached, so a group of many near copies costs little more than its size, and
 task. Groups of over ``GROUP_ROWS`` are dealt out as pairs of chunks.
 
 Cases: a null or empty text has fingerprint zero; a null id never names a component (null where all are null);
-equal texts share fingerprint and component; an empty table gives no rows.
+equal texts share fingerprint and component; very long texts are fingerprinted whole; rows that share an id each get their own text's
+fingerprint; further columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, tidy, utf8
+from .common import cut, small_batches, spread_join, tidy, utf8
 from .components import components
 
 SEED, SHINGLE_WORDS, LINK_BITS = 42, 3, 3
@@ -61,14 +62,15 @@ def fingerprint(raw: bytes, words_in: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in: int = SHINGLE_WORDS) -> DataFrame:
-    """``id`` and ``fp``, the fingerprint as a signed 64-bit integer."""
+    """``id``, ``body`` (hash of the text) and ``fp``, the fingerprint as a signed 64-bit integer."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             fps = np.array([fingerprint(r, words_in) for r in utf8(b.column("text").to_pylist())], np.uint64)
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "fp": pa.array(fps.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "body": b.column("body"), "fp": pa.array(fps.view(np.int64))})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), "id long, fp long")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(tidy(scan), "id long, body long, fp long")
 
 
 def parts(n: int) -> list[int]:
@@ -171,8 +173,8 @@ def link(groups: DataFrame, bits: int) -> DataFrame:
     return groups.mapInArrow(tidy(scan), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in: int = SHINGLE_WORDS, bits: int = LINK_BITS) -> DataFrame:
-    """id, fingerprint (hex) and component_id (least id reachable by links) of every row."""
+def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in: int = SHINGLE_WORDS, bits: int = LINK_BITS) -> DataFrame:
+    """``id``, ``body`` (hash of the text), ``fp`` and ``component_id`` (least id reachable by links) of every row."""
     docs = cut(fingerprints(df, id_col, text_col, words_in), "fingerprints")
     distinct = cut(docs.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
     placed = dealt(pivot_tables(distinct, bits)).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk")
@@ -180,16 +182,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = cut(named, "roots")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    out = docs.join(by_fp, F.col("fp") == F.col("_fp"))
+    by_fp = spread_join(named, least, "root", "fp").select("fp", "component_id")
+    return spread_join(docs, by_fp, "fp", "id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in: int = SHINGLE_WORDS, bits: int = LINK_BITS) -> DataFrame:
+    """id, fingerprint (hex) and component_id (least id reachable by links) of every row."""
+    out = components_of(df, id_col, text_col, words_in, bits)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in: int = SHINGLE_WORDS, bits: int = LINK_BITS) -> DataFrame:
-    """All columns of the rows that stay: one of each component, the one with the least id.
+    """All columns of the rows that stay: of each component, those with its least id.
 
-    Rows without an id stay; rows that share an id are one document and stay or go together.
+    Each row is judged by its own text, also where an id repeats with different texts. Rows without an id stay.
     """
-    found = near_duplicates(df, id_col, text_col, words_in, bits)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    found = components_of(df, id_col, text_col, words_in, bits)
+    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone"), F.col("body").alias("_body")).distinct()
+    return df.join(gone, (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_body")), "left_anti")
