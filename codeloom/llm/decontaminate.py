@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-Numbers (with sign, separators and decimals), units after numbers and names (runs of capitalised words inside a sentence)
+Numbers (with sign, separators, decimals and exponent), units after numbers and names (runs of capitalised words inside a sentence)
 become one typed placeholder each, so a question with other values has the same template. A run of names ends at
 a line break. Hashes of every window of ``WINDOW`` template tokens of whole
 documents meet those of the benchmark. Windows of one document and item that lie at one offset belong
@@ -12,7 +12,8 @@ fits any run of values, so it is met by the values themselves.
 
 Cases: a null text has no tokens; items without tokens match nothing; a null id is a document like any other (its
 row has a null id); equal rows share one result row; an item id that occurs twice counts as one item with
-several texts; an empty table gives no rows.
+several texts; among several offsets of one item in one document the counts of the best are given; very long texts are matched whole; further columns
+may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ BROADCAST_WINDOWS = 2_000_000
 #: Fixed words for units, as they stand after a number.
 UNITS = "km|kg|mg|cm|mm|ml|kwh|mph|kmh|gb|mb|ms|hz|khz|mhz|kw|ft|lb|lbs|oz|m|g|l|s|h|w|v|a|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|miles?|meters?|metres?|kilometers?|kilometres?|feet|inch|inches|yards?|grams?|kilograms?|tons?|tonnes?|liters?|litres?|gallons?|dollars?|euros?|cents?|pounds?|usd|eur|gbp|percent|degrees?|heures?|jours?|ans|mètres?|stunden?|tage?|jahre?|meter|horas?|días?|años?|metros?"
 NAME, UNIT, NUMBER = "§", "¤", "0"
+#: What a window's hash is made of.
+TEMPLATE, VALUES = "template", "values"
 #: Stand for a comma, a point and a sign inside a number's value.
 COMMA, POINT, SIGN = "\ue000", "\ue001", "\ue002"
 _NAME_RE = r"(?<=[\p{L}§,;:][ \t\n\r])\p{Lu}\p{Ll}+"
 _SIGN_RE = r"(?<![\p{L}\p{N}§¤])[-−](?=[0-9])"
-_NUMBER_RE = rf"(?:{_SIGN_RE})?[0-9]+(?:[.,][0-9]+)*"
+_EXPONENT_RE = "(?<=[0-9][eE])[-−](?=[0-9])"
+_NUMBER_RE = rf"(?:{_SIGN_RE})?[0-9]+(?:[.,][0-9]+)*(?:[eE][-+−]?[0-9]+)?"
+_VALUE_RE = f"{SIGN}?[0-9]+(?:[{COMMA}{POINT}][0-9]+)*(?:e{SIGN}?[0-9]+)?"
 _UNIT_RE = rf"([0-9]) ?((?i:{UNITS}))([^\p{{L}}\p{{N}}]|$)"
 _SPLIT_RE = rf"[^\p{{L}}\p{{N}}§¤{COMMA}{POINT}{SIGN}]+"
 
@@ -58,23 +63,24 @@ def slot_tokens(text: Column) -> Column:
     t = F.regexp_replace(_plain(text), _NAME_RE, f"{NAME}$0")
     t = F.regexp_replace(t, rf"({NAME}\p{{Lu}}\p{{Ll}}+)[ \t](?={NAME}\p{{Lu}})", "$1")
     t = F.regexp_replace(t, _UNIT_RE, f"$1 {UNIT}$2$3")
-    t = F.regexp_replace(t, _SIGN_RE, SIGN)
+    t = F.regexp_replace(F.regexp_replace(t, _SIGN_RE, SIGN), _EXPONENT_RE, SIGN)
+    t = F.regexp_replace(t, r"(?<=[0-9][eE])\+(?=[0-9])", "")
     return _split(F.regexp_replace(F.regexp_replace(t, "(?<=[0-9]),(?=[0-9])", COMMA), r"(?<=[0-9])\.(?=[0-9])", POINT))
 
 
 def canonical(token: Column) -> Column:
     """The template token of a slot token."""
-    return F.when(token.startswith(NAME), F.regexp_replace(token, r"(?:§\p{Ll}+)+", NAME)).when(token.startswith(UNIT), F.lit(UNIT)).otherwise(F.regexp_replace(token, f"{SIGN}?[0-9]+(?:[{COMMA}{POINT}][0-9]+)*", NUMBER))
+    return F.when(token.startswith(NAME), F.regexp_replace(token, r"(?:§\p{Ll}+)+", NAME)).when(token.startswith(UNIT), F.lit(UNIT)).otherwise(F.regexp_replace(token, _VALUE_RE, NUMBER))
 
 
 def is_slot(token: Column) -> Column:
     return token.startswith(NAME) | token.startswith(UNIT) | token.rlike("[0-9]")
 
 
-def window_keys(tokens: Column, size: int) -> Column:
-    """Hashes of every ``size`` consecutive tokens. The array is bound once, as a lambda's variable."""
-    keys = lambda a: F.when(F.size(a) >= size, F.transform(F.sequence(F.lit(1), F.size(a) - (size - 1)), lambda i: F.xxhash64(F.slice(a, i, size))))
-    return F.element_at(F.transform(F.array(tokens), keys), 1)
+def window_keys(tokens: Column, sizes: list[int], tag: str) -> Column:
+    """(at, key) of every window of each of the sizes: a hash of its tokens, its size by its length, and ``tag``. The array is bound once, as a lambda's variable."""
+    own = lambda a, w: F.when(F.size(a) >= w, F.transform(F.sequence(F.lit(0), F.size(a) - w), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(tag), F.slice(a, i + 1, w)).alias("key")))).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+    return F.element_at(F.transform(F.array(tokens), lambda a: F.concat(*[own(a, w) for w in sizes])), 1)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -85,24 +91,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = items.withColumn("size", F.size("item_tokens")).filter(F.col("size") > 0).distinct()
     items = items.withColumn("item_key", F.xxhash64("item", "item_slots"))
     items = cut(items, "items")
-    # each distinct length below the window, and the window itself: at most ``window`` values
-    sizes = sorted(r[0] for r in items.select(F.least(F.col("size"), F.lit(window)).alias("w")).distinct().collect())
+    length = F.least(F.col("size"), F.lit(window))
+    starts = items.select("item_key", "item_tokens", "item_slots", length.alias("w"), F.explode(F.sequence(F.lit(0), F.col("size") - length)).alias("item_at"))
+    part = lambda c: F.slice(c, F.col("item_at") + 1, F.col("w"))
+    literal = F.exists(part("item_tokens"), lambda t: ~t.isin(NAME, UNIT, NUMBER))
+    kind = F.when(literal, TEMPLATE).otherwise(VALUES)
+    keys = starts.select("item_key", "item_at", "w", kind.alias("kind"), F.when(literal, F.xxhash64(F.lit(TEMPLATE), part("item_tokens"))).otherwise(F.xxhash64(F.lit(VALUES), part("item_slots"))).alias("key"))
+    keys = cut(keys, "item-windows")
+    # at most ``window`` sizes of each kind; a document's tokens are made once for all of them
+    wanted = [(r.kind, r.w) for r in keys.groupBy("kind", "w").count().orderBy("kind", "w").collect()]
     found = None
-    for w in sizes:
-        some = items.filter(F.least(F.col("size"), F.lit(window)) == w)
-        keys = some.select("item_key", "item_tokens", F.posexplode(window_keys(F.col("item_tokens"), w)).alias("item_at", "key"))
-        literal = F.size(F.filter(F.slice("item_tokens", F.col("item_at") + 1, F.lit(w)), lambda t: ~t.isin(NAME, UNIT, NUMBER)))
-        values = some.select("item_key", "item_tokens", F.posexplode(window_keys(F.col("item_slots"), w)).alias("item_at", "key"))
-        for some_keys, tokens in ((keys.filter(literal > 0), template_tokens), (values.filter(literal == 0), slot_tokens)):
-            some_keys = cut(some_keys.select("item_key", "item_at", "key"), "item-windows")
-            n = some_keys.count()
-            if not n:
-                continue
-            if n <= BROADCAST_WINDOWS:
-                some_keys = F.broadcast(some_keys)
-            rows = own.select("row_key", F.posexplode(window_keys(tokens(F.col("body")), w)).alias("at", "key"))
-            hits = rows.join(some_keys, "key").select("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("offset"))
-            found = hits if found is None else found.union(hits)
+    if wanted:
+        lists = [window_keys(make(F.col("body")), [w for k, w in wanted if k == tag], tag) for tag, make in ((TEMPLATE, template_tokens), (VALUES, slot_tokens)) if any(k == tag for k, _ in wanted)]
+        rows = own.select("row_key", F.inline(F.concat(*lists)))
+        keys = keys.select("item_key", "item_at", "key")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_WINDOWS else keys
+        found = rows.join(keys, "key").select("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("offset"))
     schema = f"id {own.schema['id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, n_tokens int, n_slots int, row_key long"
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
