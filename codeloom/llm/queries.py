@@ -96,28 +96,34 @@ def _op9_sql() -> str:
 
 
 def _op2_sql() -> str:
-    """Windows as strings instead of hashes; for benchmarks whose items all have at least a window's tokens."""
+    """The same rules with windows as strings instead of hashes. Patterns that look around a match take two passes here."""
     d = decontaminate
-    name = r"([\p{L}§,;:][ \t\n\r])\p{Lu}\p{Ll}+"
-    named = r"([\p{L}§,;:][ \t\n\r])(\p{Lu}\p{Ll}+)"
-    unit = rf"([0-9]) ?((?i:{d.UNITS}))([^\p{{L}}\p{{N}}]|$)"
-    # two passes, since a match takes the characters before the name along
     once = lambda t, r, to: f"regexp_replace({t}, '{r}', '{to}', 'g')"
-    template = once(once(once(once("coalesce(text, '')", name, "\\1§"), name, "\\1§"), unit, "\\1 ¤\\3"), "[0-9]+", "0")
-    slots = once(once(once("coalesce(text, '')", named, "\\1§\\2"), named, "\\1§\\2"), unit, "\\1 ¤\\2\\3")
-    tokens = lambda t: f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}§¤]+'), lambda x: x <> '')"
+    twice = lambda t, r, to: once(once(t, r, to), r, to)
+    plain = f"translate(coalesce(text, ''), '{d.COMMA}{d.POINT}{d.SIGN}', '   ')"
+    before = r"([\p{L}§,;:][ \t\n\r])"
+    name = r"\p{Lu}\p{Ll}+"
+    unit = rf"([0-9]) ?((?i:{d.UNITS}))([^\p{{L}}\p{{N}}]|$)"
+    template = once(once(twice(plain, rf"{before}{name}(?:[ \t]{name})*", r"\1§"), unit, r"\1 ¤\3"), "[0-9]+(?:[.,][0-9]+)*(?:[eE][-+−]?[0-9]+)?", "0")
+    slots = twice(twice(plain, f"{before}({name})", r"\1§\2"), rf"(§{name})[ \t](§\p{{Lu}})", r"\1\2")
+    slots = once(once(slots, unit, r"\1 ¤\2\3"), r"(^|[^\p{L}\p{N}§¤])[-−]([0-9])", rf"\1{d.SIGN}\2")
+    slots = once(once(slots, r"([0-9][eE])[-−]([0-9])", rf"\1{d.SIGN}\2"), r"([0-9][eE])\+([0-9])", r"\1\2")
+    slots = twice(twice(slots, "([0-9]),([0-9])", rf"\1{d.COMMA}\2"), r"([0-9])\.([0-9])", rf"\1{d.POINT}\2")
+    tokens = lambda t: f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}§¤{d.COMMA}{d.POINT}{d.SIGN}]+'), lambda x: x <> '')"
     slot = "(starts_with(mine, '§') OR starts_with(mine, '¤') OR regexp_matches(mine, '[0-9]'))"
-    w = d.WINDOW
+    canon = lambda x: f"CASE WHEN starts_with({x}, '§') THEN regexp_replace({x}, '(?:§\\p{{Ll}}+)+', '§', 'g') WHEN starts_with({x}, '¤') THEN '¤' ELSE regexp_replace({x}, '{d._VALUE_RE}', '0', 'g') END"
+    cut = lambda x: f"array_to_string(list_slice({x}, k, k + w - 1), ' ')"
     return f"""
-    WITH doc AS (SELECT DISTINCT doc_id, text FROM documents),
-    d AS (SELECT row_number() OVER () AS r, doc_id, {tokens(template)} AS t, {tokens(slots)} AS s FROM doc),
-    i AS (SELECT row_number() OVER () AS q, item_id, {tokens(template)} AS t, {tokens(slots)} AS s FROM (SELECT DISTINCT item_id, text FROM benchmark)),
-    dw AS (SELECT r, k, array_to_string(list_slice(t, k, k + {w - 1}), ' ') AS win FROM (SELECT r, t, unnest(range(1, len(t) - {w - 2})) AS k FROM d)),
-    iw AS (SELECT q, k, array_to_string(list_slice(t, k, k + {w - 1}), ' ') AS win FROM (SELECT q, t, unnest(range(1, len(t) - {w - 2})) AS k FROM i)
-           WHERE 2 * len(list_filter(list_slice(t, k, k + {w - 1}), lambda x: x NOT IN ('§', '¤', '0'))) >= {w}),
-    h AS (SELECT r, q, dw.k - iw.k AS off FROM dw JOIN iw USING (win) GROUP BY ALL),
-    p AS (SELECT h.r, h.q, off, d.doc_id, i.item_id, len(i.t) AS size, unnest(range(1, len(i.t) + 1)) AS j, d.t AS dt, d.s AS ds, i.t AS it, i.s AS si FROM h JOIN d USING (r) JOIN i USING (q)),
-    a AS (SELECT r, q, off, doc_id, item_id, size, si[j] AS mine, ds[j + off] AS theirs FROM p WHERE j + off >= 1 AND j + off <= len(dt) AND it[j] = dt[j + off]),
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {tokens(template)} AS t, {tokens(slots)} AS s FROM (SELECT DISTINCT doc_id, text FROM documents)),
+    i AS (SELECT *, least(len(t), {d.WINDOW}) AS w FROM (SELECT row_number() OVER () AS q, item_id, {tokens(template)} AS t, {tokens(slots)} AS s FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(t) > 0),
+    iw AS (SELECT q, w, k, {cut('t')} AS win, {cut('s')} AS vals, len(list_filter(list_slice(t, k, k + w - 1), lambda x: x NOT IN ('§', '¤', '0'))) > 0 AS literal
+           FROM (SELECT q, w, t, s, unnest(range(1, len(t) - w + 2)) AS k FROM i)),
+    dw AS (SELECT r, w, k, {cut('t')} AS win, {cut('s')} AS vals FROM (SELECT r, w, t, s, unnest(range(1, len(t) - w + 2)) AS k FROM d, (SELECT DISTINCT w FROM i) WHERE len(t) >= w)),
+    h AS (SELECT r, q, dw.k - iw.k AS off FROM dw JOIN iw ON dw.w = iw.w AND dw.win = iw.win AND literal
+          UNION SELECT r, q, dw.k - iw.k FROM dw JOIN iw ON dw.w = iw.w AND dw.vals = iw.vals AND NOT literal),
+    p AS (SELECT h.r, h.q, off, d.doc_id, i.item_id, len(i.t) AS size, unnest(range(1, len(i.s) + 1)) AS j, d.s AS ds, i.s AS si FROM h JOIN d USING (r) JOIN i USING (q)),
+    b AS (SELECT r, q, off, doc_id, item_id, size, si[j] AS mine, ds[j + off] AS theirs FROM p WHERE j + off >= 1 AND j + off <= len(ds)),
+    a AS (SELECT * FROM b WHERE {canon('mine')} = {canon('theirs')}),
     g AS (SELECT r, q, off, doc_id, item_id, size, count(*) AS n, count(DISTINCT (mine, theirs)) FILTER (WHERE {slot}) AS pairs, count(DISTINCT mine) FILTER (WHERE {slot}) AS mines FROM a GROUP BY ALL)
     SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS n_tokens, CAST(max(pairs) AS INTEGER) AS n_slots
     FROM g WHERE pairs = mines AND n >= least(size, {d.MIN_TOKENS}) GROUP BY r, doc_id, item_id"""
