@@ -1,25 +1,28 @@
-"""Best-fit packing in bulk-synchronous rounds over range-sorted runs.
-
-Pieces are range-sorted by length and ranked within their length in written partitions. Pieces of one length are
-alike, and so are gaps of one size, so a round works on runs: one round for each length, longest first. It
-sweeps the sorted gaps from the smallest that fits upwards (the successor), gives each gap one piece by rank
-until pieces or gaps run out, updates the gaps, sweeps again while a gap fits, and opens new sequences for the
-rest. The counts by length, at most ``capacity`` rows, are all that reaches the driver. The rounds yield runs of
-(length, ranks, sequences, offset), and a join by length and block of ranks gives every piece its place.
+"""Best-fit packing in bulk-synchronous rounds of DataFrame sweeps over range-sorted runs.
+
+Pieces are range-sorted by length and ranked within their length in written partitions. Pieces of one length are alike,
+and so are sequences of one gap, so rounds work on tables of runs: pieces left by length, and gaps by size. A round
+sorts both on one line and sweeps it: every gap takes the longest piece that fits and that no smaller gap
+takes, which gives every piece its best fit, longest first. It is a matching of brackets: a run of pieces opens levels, a run of gaps
+closes the uppermost ones, and at each level a gap meets the piece before it. Ranks share the pieces of a length among the gaps that
+meet it; where pieces of that length are left over, a gap takes several at once. Gaps are updated, and the next round
+begins. Sequences are opened when no piece fits: as many as the tokens left need at least, and one for each piece of over half a
+sequence. Each round is written to the shared folder; the driver sees only totals. The rounds yield
+runs of (length, ranks, sequences, offset), and a join by length and block of ranks gives every piece its place.
 
 Cases: a null text is an empty one; a document without ids gives no piece; null ids are packed like others; rows
-that share an id are packed each; an empty table gives no rows.
+that share an id are packed each; equal rows take places in some order among themselves; a very long text is cut into full pieces; further columns
+are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, running, small_batches, tidy
@@ -55,64 +58,90 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, pieces, first sequence, offset), and the number of sequences.
-
-    ``counts`` has the pieces of each length. A gap run is (first sequence, sequences); all sequences of one
-    gap size are filled alike.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    sizes: list[int] = []  # the gap sizes that have runs, sorted
-    out, opened = [], 0
-
-    def put(size: int, run: tuple[int, int]) -> None:
-        if size:
-            if not gaps[size]:
-                bisect.insort(sizes, size)
-            gaps[size].append(run)
-
-    for length in sorted(counts, reverse=True):
-        if not 0 < length <= capacity:
-            raise ValueError(f"pieces of {length} ids don't fit")
-        rank, left = 0, counts[length]
-        while left and sizes and sizes[-1] >= length:
-            changed = []
-            at = bisect.bisect_left(sizes, length)
-            while left and at < len(sizes):
-                size = sizes[at]
-                while left and gaps[size]:
-                    first, n = gaps[size].pop()
-                    take = min(n, left)
-                    out.append((length, rank, take, first, capacity - size))
-                    changed.append((size - length, (first, take)))
-                    rank, left = rank + take, left - take
-                    if take < n:
-                        gaps[size].append((first + take, n - take))
-                if gaps[size]:
-                    break
-                sizes.pop(at)
-            for size, run in changed:
-                put(size, run)
-        if left:
-            fit = capacity // length
-            for n, each in ((left // fit, fit), (1 if left % fit else 0, left % fit)):
-                for k in range(each if n else 0):
-                    out.append((length, rank, n, opened, k * length))
-                    rank += n
-                if n:
-                    put(capacity - each * length, (opened, n))
-                    opened += n
-    return out, opened
+def _before(value: Column, part: str, order: Column) -> Column:
+    """Sum of ``value`` over the earlier rows of the same ``part``."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def matched(todo: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(length, size, units): how many gaps of a size take a piece of a length. At most one row for each length and size."""
+    pieces_ = todo.filter("left_ > 0").select(F.col("length").alias("at"), F.col("left_").alias("n"), F.lit(0).alias("kind"))
+    line = pieces_.union(gaps.groupBy(F.col("size").alias("at")).agg(F.sum("n").alias("n")).select("at", "n", F.lit(1).alias("kind")))
+    # at most two rows for each length up to the capacity
+    order = Window.partitionBy(F.lit(0)).orderBy("at", "kind")
+    line = line.withColumn("place", F.row_number().over(order)).withColumn("sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(order))
+    line = line.withColumn("open", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order))).withColumn("was", F.lag("open", 1, 0).over(order))
+    top = F.greatest("open", "was")
+    spans = line.select("at", "kind", "place", F.least("open", "was").alias("lo"), top.alias("hi")).filter("hi > lo")
+    # levels between neighbouring bounds are alike
+    bounds = spans.select(F.explode(F.array("lo", "hi")).alias("bound")).distinct()
+    every = Window.partitionBy(F.lit(0)).orderBy("bound")
+    bounds = bounds.select("bound", F.row_number().over(every).alias("i"), (F.lead("bound").over(every) - F.col("bound")).alias("units"))
+    ends = bounds.select(F.col("bound").alias("hi"), F.col("i").alias("end"))
+    levels = spans.join(bounds.select(F.col("bound").alias("lo"), F.col("i").alias("first")), "lo").join(ends, "hi")
+    levels = levels.select("at", "kind", "place", F.explode(F.sequence("first", F.col("end") - 1)).alias("i")).join(bounds.select("i", "units"), "i")
+    here = Window.partitionBy("i").orderBy("place")
+    met = levels.withColumn("length", F.lag("at").over(here)).withColumn("other", F.lag("kind").over(here)).filter("kind = 1 and other = 0")
+    return met.groupBy("length", F.col("at").alias("size")).agg(F.sum("units").alias("units"))
+
+
+def one_round(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """New runs, gaps and pieces left, told apart by ``kind``, from ``todo`` (length, taken, left_) and ``gaps`` (size, first, n)."""
+    met = matched(todo, gaps).join(todo, "length")
+    enough = F.floor(F.col("left_") / F.sum("units").over(Window.partitionBy("length")))
+    met = met.withColumn("copies", F.least(F.floor(F.col("size") / F.col("length")), enough).cast("long"))
+    met = met.withColumn("rank", F.col("taken") + _before(F.col("units") * F.col("copies"), "length", F.col("size")))
+    used = met.groupBy("length").agg(F.sum(F.col("units") * F.col("copies")).alias("used"))
+    met = met.select("size", "length", "units", "copies", "rank")
+    rest = gaps.groupBy("size").agg(F.sum("n").alias("n")).join(met.groupBy("size").agg(F.sum("units").alias("m")), "size", "left")
+    rest = rest.select("size", F.lit(0).alias("length"), (F.col("n") - F.coalesce("m", F.lit(0))).alias("units"), F.lit(0).alias("copies"), F.lit(0).alias("rank")).filter("units > 0")
+    met = met.union(rest).withColumn("from_", _before(F.col("units"), "size", F.desc("length")))
+    held = gaps.withColumn("begin", _before(F.col("n"), "size", F.col("first")))
+    lo, hi = F.greatest("from_", "begin"), F.least(F.col("from_") + F.col("units"), F.col("begin") + F.col("n"))
+    cuts = met.join(held, "size").select("size", "length", "units", "copies", "rank", (lo - F.col("from_")).alias("skip"), (F.col("first") + lo - F.col("begin")).alias("seq"), (hi - lo).alias("k")).filter("k > 0")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    runs = cuts.filter("length > 0").select("*", copy)
+    null = F.lit(None).cast("long")
+    runs = runs.select(F.lit("run").alias("kind"), F.col("length").alias("a"), (F.col("rank") + F.col("copy") * F.col("units") + F.col("skip")).alias("b"), F.col("k").alias("c"), F.col("seq").alias("d"), (F.lit(capacity) - F.col("size") + F.col("copy") * F.col("length")).alias("e"))
+    after = cuts.select(F.lit("gap").alias("kind"), (F.col("size") - F.col("copies") * F.col("length")).alias("a"), F.col("seq").alias("b"), F.col("k").alias("c"), null.alias("d"), null.alias("e")).filter("a > 0")
+    gone = F.coalesce("used", F.lit(0))
+    left = todo.join(used, "length", "left").select(F.lit("todo").alias("kind"), F.col("length").alias("a"), (F.col("taken") + gone).alias("b"), (F.col("left_") - gone).alias("c"), null.alias("d"), null.alias("e"))
+    return runs.union(after).union(left)
+
+
+def rounds(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Runs (run_length, first_rank, n, first_sequence, offset) that place all pieces. ``counts`` has ``length`` and ``n``."""
+    spark = counts.sparkSession
+    rows = counts.select(F.lit("todo").alias("kind"), F.col("length").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("n").cast("long").alias("c"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
+    state, opened, placed = cut(rows, "round"), 0, []
+    while True:
+        left = F.when(F.col("kind") == "todo", F.col("c"))
+        total = state.agg(
+            F.sum(left * F.col("a")).alias("tokens"), F.sum(F.when(2 * F.col("a") > capacity, left)).alias("large"), F.min(F.when(left > 0, F.col("a"))).alias("shortest"),
+            F.max(F.when(left > 0, F.col("a"))).alias("longest"), F.max(F.when(F.col("kind") == "gap", F.col("a"))).alias("gap"),
+        ).first()
+        if not total.tokens:
+            break
+        if total.longest > capacity or total.shortest < 1:
+            raise ValueError(f"pieces of {total.longest} ids don't fit")
+        todo = state.filter("kind = 'todo'").select(F.col("a").alias("length"), F.col("b").alias("taken"), F.col("c").alias("left_"))
+        gaps = state.filter("kind = 'gap'").select(F.col("a").alias("size"), F.col("b").alias("first"), F.col("c").alias("n"))
+        if (total.gap or 0) < total.shortest:
+            fresh = max(-(-total.tokens // capacity), total.large or 0)
+            gaps = gaps.union(spark.range(1).select(F.lit(capacity).cast("long"), F.lit(opened).cast("long"), F.lit(fresh).cast("long")))
+            opened += fresh
+        state = cut(one_round(todo, gaps, capacity), "round")
+        placed.append(state.filter("kind = 'run'"))
+    schema = "run_length long, first_rank long, n long, first_sequence long, offset long"
+    if not placed:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.union, placed).select(*[F.col(x).alias(y.split()[0]) for x, y in zip("abcde", schema.split(", "))])
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``id``, ``piece`` and ``length``."""
-    spark = parts.sparkSession
     ranked = running(parts, ["id", "piece", "start", "ids_crc32"], ["length"], label="pieces")
-    counts = {r.length: r.n for r in ranked.groupBy("length").agg((F.max("rank") + 1).alias("n")).collect()}
-    runs, _ = sweep(counts, capacity)
-    schema = "run_length long, first_rank long, n long, first_sequence long, offset long"
-    placed = spark.createDataFrame(runs, schema) if runs else spark.createDataFrame([], schema)
+    placed = rounds(ranked.groupBy("length").agg((F.max("rank") + 1).alias("n")), capacity)
     block = F.explode(F.sequence((F.col("first_rank") / RANK_BLOCK).cast("long"), ((F.col("first_rank") + F.col("n") - 1) / RANK_BLOCK).cast("long")))
     placed = placed.withColumn("block", block)
     mine = (F.col("run_length") == F.col("length")) & (F.col("block") == F.floor(F.col("rank") / RANK_BLOCK))

@@ -377,13 +377,44 @@ def test_every_page_has_its_template_removed(spark):
 # 8
 
 
-def test_sweep_is_tight_and_valid():
-    random.seed(1)
-    for _ in range(30):
+def best_fit_decreasing(lengths, capacity):
+    gaps: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        at = min((g for g in gaps if g >= length), default=None)
+        if at is not None:
+            gaps.remove(at)
+        gaps.append((capacity if at is None else at) - length)
+    return len(gaps)
+
+
+def plain_round(pieces, gaps):
+    """Longest piece first, each to the least gap that fits and that no other piece has."""
+    free, met = sorted(gaps), {}
+    for p in sorted(pieces, reverse=True):
+        at = next((g for g in free if g >= p), None)
+        if at is not None:
+            free.remove(at)
+            met[p, at] = met.get((p, at), 0) + 1
+    return met
+
+
+def test_a_round_matches_like_a_loop(spark):
+    rng = random.Random(1)
+    for _ in range(6):
+        pieces = [rng.randint(1, 30) for _ in range(rng.randint(1, 60))]
+        gaps = [rng.randint(1, 30) for _ in range(rng.randint(1, 60))]
+        todo = spark.createDataFrame([(x, 0, pieces.count(x)) for x in set(pieces)], "length long, taken long, left_ long")
+        runs = spark.createDataFrame([(g, i, 1) for i, g in enumerate(gaps)], "size long, first long, n long")
+        assert {(r.length, r.size): r.units for r in packing.matched(todo, runs).collect()} == plain_round(pieces, gaps)
+
+
+def test_rounds_are_tight_and_valid(spark):
+    rng = random.Random(2)
+    for top, most in ((64, 50), (9, 300), (64, 3)):
         counts: dict[int, int] = {}
-        for _ in range(random.randint(1, 60)):
-            counts[random.randint(1, 64)] = random.randint(1, 50)
-        runs, n = packing.sweep(counts, 64)
+        for _ in range(rng.randint(10, 40)):
+            counts[rng.randint(1, top)] = rng.randint(1, most)
+        runs = packing.rounds(spark.createDataFrame(list(counts.items()), "length long, n long"), 64).collect()
         fill: dict[int, list[tuple[int, int]]] = {}
         ranks: dict[int, list[int]] = {}
         for length, rank, k, seq, at in runs:
@@ -391,20 +422,13 @@ def test_sweep_is_tight_and_valid():
             for i in range(k):
                 fill.setdefault(seq + i, []).append((at, length))
         assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(v)) for k, v in counts.items()}
-        assert len(fill) == n
         for spans in fill.values():
             at = 0
             for a, length in sorted(spans):
                 assert a == at
                 at += length
             assert at <= 64
-        gaps: list[int] = []  # best fit one by one, longest first
-        for length in sorted((a for a, b in counts.items() for _ in range(b)), reverse=True):
-            at = min((g for g in gaps if g >= length), default=None)
-            if at is not None:
-                gaps.remove(at)
-            gaps.append((64 if at is None else at) - length)
-        assert n == len(gaps)
+        assert len(fill) <= 1.01 * best_fit_decreasing([a for a, b in counts.items() for _ in range(b)], 64) + 1
 
 
 def test_packing(spark, edge, empty):
