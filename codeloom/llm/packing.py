@@ -67,15 +67,15 @@ def matched(todo: DataFrame, gaps: DataFrame) -> DataFrame:
     """(length, size, units): how many gaps of a size take a piece of a length. At most one row for each length and size."""
     pieces_ = todo.filter("left_ > 0").select(F.col("length").alias("at"), F.col("left_").alias("n"), F.lit(0).alias("kind"))
     line = pieces_.union(gaps.groupBy(F.col("size").alias("at")).agg(F.sum("n").alias("n")).select("at", "n", F.lit(1).alias("kind")))
-    # at most two rows for each length up to the capacity
-    order = Window.partitionBy(F.lit(0)).orderBy("at", "kind")
-    line = line.withColumn("place", F.row_number().over(order)).withColumn("sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(order))
+    # at most two rows for each length up to the capacity, whatever the input: one task sorts them
+    order = Window.orderBy("at", "kind")
+    line = line.coalesce(1).withColumn("place", F.row_number().over(order)).withColumn("sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(order))
     line = line.withColumn("open", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order))).withColumn("was", F.lag("open", 1, 0).over(order))
     top = F.greatest("open", "was")
     spans = line.select("at", "kind", "place", F.least("open", "was").alias("lo"), top.alias("hi")).filter("hi > lo")
     # levels between neighbouring bounds are alike
     bounds = spans.select(F.explode(F.array("lo", "hi")).alias("bound")).distinct()
-    every = Window.partitionBy(F.lit(0)).orderBy("bound")
+    every = Window.orderBy("bound")
     bounds = bounds.select("bound", F.row_number().over(every).alias("i"), (F.lead("bound").over(every) - F.col("bound")).alias("units"))
     ends = bounds.select(F.col("bound").alias("hi"), F.col("i").alias("end"))
     levels = spans.join(bounds.select(F.col("bound").alias("lo"), F.col("i").alias("first")), "lo").join(ends, "hi")
@@ -87,32 +87,32 @@ def matched(todo: DataFrame, gaps: DataFrame) -> DataFrame:
 
 def one_round(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     """New runs, gaps and pieces left, told apart by ``kind``, from ``todo`` (length, taken, left_) and ``gaps`` (size, first, n)."""
-    met = matched(todo, gaps).join(todo, "length")
+    met = cut(matched(todo, gaps), "matched").join(F.broadcast(todo), "length")
     enough = F.floor(F.col("left_") / F.sum("units").over(Window.partitionBy("length")))
     met = met.withColumn("copies", F.least(F.floor(F.col("size") / F.col("length")), enough).cast("long"))
     met = met.withColumn("rank", F.col("taken") + _before(F.col("units") * F.col("copies"), "length", F.col("size")))
-    used = met.groupBy("length").agg(F.sum(F.col("units") * F.col("copies")).alias("used"))
-    met = met.select("size", "length", "units", "copies", "rank")
-    rest = gaps.groupBy("size").agg(F.sum("n").alias("n")).join(met.groupBy("size").agg(F.sum("units").alias("m")), "size", "left")
-    rest = rest.select("size", F.lit(0).alias("length"), (F.col("n") - F.coalesce("m", F.lit(0))).alias("units"), F.lit(0).alias("copies"), F.lit(0).alias("rank")).filter("units > 0")
-    met = met.union(rest).withColumn("from_", _before(F.col("units"), "size", F.desc("length")))
+    met = met.select("size", "length", "units", "copies", "rank").withColumn("from_", _before(F.col("units"), "size", F.desc("length")))
     held = gaps.withColumn("begin", _before(F.col("n"), "size", F.col("first")))
     lo, hi = F.greatest("from_", "begin"), F.least(F.col("from_") + F.col("units"), F.col("begin") + F.col("n"))
     cuts = met.join(held, "size").select("size", "length", "units", "copies", "rank", (lo - F.col("from_")).alias("skip"), (F.col("first") + lo - F.col("begin")).alias("seq"), (hi - lo).alias("k")).filter("k > 0")
-    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
-    runs = cuts.filter("length > 0").select("*", copy)
-    null = F.lit(None).cast("long")
-    runs = runs.select(F.lit("run").alias("kind"), F.col("length").alias("a"), (F.col("rank") + F.col("copy") * F.col("units") + F.col("skip")).alias("b"), F.col("k").alias("c"), F.col("seq").alias("d"), (F.lit(capacity) - F.col("size") + F.col("copy") * F.col("length")).alias("e"))
-    after = cuts.select(F.lit("gap").alias("kind"), (F.col("size") - F.col("copies") * F.col("length")).alias("a"), F.col("seq").alias("b"), F.col("k").alias("c"), null.alias("d"), null.alias("e")).filter("a > 0")
+    row = lambda kind, *v: F.struct(F.lit(kind).alias("kind"), *[(F.lit(None) if i >= len(v) else v[i]).cast("long").alias(c) for i, c in enumerate("abcde")])
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda j: row("run", F.col("length"), F.col("rank") + j * F.col("units") + F.col("skip"), F.col("k"), F.col("seq"), F.lit(capacity) - F.col("size") + j * F.col("length")))
+    after = row("gap", F.col("size") - F.col("copies") * F.col("length"), F.col("seq"), F.col("k"))
+    new = cuts.select(F.inline(F.concat(F.array(after), runs))).filter("kind = 'run' or a > 0")
+    # of a gap run, what lies behind all units that its size gives away stays as it is
+    given = met.groupBy("size").agg(F.sum("units").alias("m"))
+    over = F.greatest(F.coalesce("m", F.lit(0)) - F.col("begin"), F.lit(0))
+    stay = held.join(given, "size", "left").select(F.inline(F.array(row("gap", F.col("size"), F.col("first") + over, F.col("n") - over)))).filter("c > 0")
+    used = met.groupBy("length").agg(F.sum(F.col("units") * F.col("copies")).alias("used"))
     gone = F.coalesce("used", F.lit(0))
-    left = todo.join(used, "length", "left").select(F.lit("todo").alias("kind"), F.col("length").alias("a"), (F.col("taken") + gone).alias("b"), (F.col("left_") - gone).alias("c"), null.alias("d"), null.alias("e"))
-    return runs.union(after).union(left)
+    left = todo.join(used, "length", "left").select(F.inline(F.array(row("todo", F.col("length"), F.col("taken") + gone, F.col("left_") - gone)))).filter("c > 0")
+    return new.union(stay).union(left)
 
 
 def rounds(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Runs (run_length, first_rank, n, first_sequence, offset) that place all pieces. ``counts`` has ``length`` and ``n``."""
     spark = counts.sparkSession
-    rows = counts.select(F.lit("todo").alias("kind"), F.col("length").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("n").cast("long").alias("c"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
+    rows = counts.coalesce(1).select(F.lit("todo").alias("kind"), F.col("length").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("n").cast("long").alias("c"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
     state, opened, placed = cut(rows, "round"), 0, []
     while True:
         left = F.when(F.col("kind") == "todo", F.col("c"))
