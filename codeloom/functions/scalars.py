@@ -7,22 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Edition order; others come last.
-EDITION_RANK = {"community": 0, "enterprise": 1, "viindoo": 2, "oca": 3}
-EDITION_OTHER = 4
+#: Editions in ranking order where a caller names no others; editions outside the order come last.
+EDITIONS = ("community", "enterprise", "vendor", "association")
 #: Risk thresholds.
 RISK_HIGH, RISK_MEDIUM = 10, 4
 #: Fields that every model has, with type and comodel.
-MAGIC_FIELDS = (("id", "integer", None), ("create_uid", "many2one", "res.users"), ("create_date", "datetime", None), ("write_uid", "many2one", "res.users"), ("write_date", "datetime", None), ("display_name", "char", None))
+MAGIC_FIELDS = (
+    ("id", "integer", None),
+    ("display_name", "char", None),
+    ("create_uid", "many2one", "res.users"),
+    ("create_date", "datetime", None),
+    ("write_uid", "many2one", "res.users"),
+    ("write_date", "datetime", None),
+)
 UNRESOLVED = "__unresolved__"
 RELATIONAL = ("many2one", "one2many", "many2many")
 #: Characters that one token is reckoned at.
 CHARS_PER_TOKEN = 3.0
 
 
-def edition_rank(edition: Column) -> Column:
-    out = F.lit(EDITION_OTHER)
-    for name, rank in EDITION_RANK.items():
+def edition_rank(edition: Column, order: Sequence[str] = EDITIONS) -> Column:
+    out = F.lit(len(order))
+    for rank, name in enumerate(order):
         out = F.when(edition == name, rank).otherwise(out)
     return out
 
@@ -96,30 +102,61 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Fixed values: (prefixes or whole names, kind, super safety, return required), first fit wins.
+CONVENTIONS = (
+    (("_compute_",), (), "compute", "never", False),
+    (("_inverse_",), (), "inverse", "never", False),
+    (("_search_",), (), "search", "never", False),
+    (("_get_default_", "_default_"), (), "default", "never", False),
+    (("_get_",), (), "builder", "usually", False),
+    (("_prepare_",), (), "prepare", "usually", False),
+    (("_check_",), (), "check", "usually", False),
+    (("action_",), (), "action", "always", True),
+    ((), ("create", "write", "unlink", "copy", "read"), "crud", "always", True),
+    (("_",), (), "private", "usually", False),
+)
+
+
 def method_convention(name: Column) -> Column:
-    """(kind, super_safety, return_required) by a method's name; first rule that fits."""
-    rules: Sequence[tuple[Column, str, str, bool]] = (
-        (name.isin("create", "write", "unlink", "copy", "read", "search", "name_get", "default_get"), "crud", "required", True),
-        (name.startswith("_compute_"), "compute", "optional", False),
-        (name.startswith("_inverse_"), "inverse", "optional", False),
-        (name.startswith("_search_"), "search", "optional", True),
-        (name.startswith("_onchange_") | name.startswith("onchange_"), "onchange", "recommended", False),
-        (name.startswith("_check_"), "constraint", "recommended", False),
-        (name.startswith("action_") | name.startswith("button_"), "action", "recommended", True),
-        (name.startswith("_prepare_"), "prepare", "required", True),
-        (name.startswith("_get_"), "getter", "recommended", True),
-        (name.startswith("_"), "private", "recommended", False),
-    )
-    out = F.struct(F.lit("public").alias("kind"), F.lit("recommended").alias("super_safety"), F.lit(False).alias("return_required"))
-    for fits, kind, safety, returns in reversed(rules):
-        out = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.lit(safety).alias("super_safety"), F.lit(returns).alias("return_required"))).otherwise(out)
+    """(kind, super_safety, return_required) by a method's name; names that nothing fits are public."""
+    row = lambda kind, safety, returns: F.struct(F.lit(kind).alias("kind"), F.lit(safety).alias("super_safety"), F.lit(returns).alias("return_required"))
+    out = row("public", "usually", False)
+    for starts, names, *rest in reversed(CONVENTIONS):
+        fits = name.isin(*names) if names else F.lit(False)
+        for start in starts:
+            fits = fits | name.startswith(start)
+        out = F.when(fits, row(*rest)).otherwise(out)
     return out
 
 
 def effective_readonly(readonly: Column, related: Column, compute: Column, inverse: Column) -> Column:
-    """Three-valued: what is said, else true for computed or related fields without inverse, else unknown."""
-    derived = related.isNotNull() | compute.isNotNull()
-    return F.when(readonly.isNotNull(), readonly).when(derived & inverse.isNull(), F.lit(True)).when(derived, F.lit(False))
+    """What is said, else whether the field is computed or related without an inverse; plain fields can be written."""
+    derived = (related.isNotNull() | compute.isNotNull()) & inverse.isNull()
+    return F.coalesce(readonly, derived)
+
+
+#: Operators of domain terms, and the major versions in which others came.
+DOMAIN_OPERATORS = ("=", "!=", "<", "<=", ">", ">=", "=?", "=like", "=ilike", "like", "not like", "ilike", "not ilike", "in", "not in", "child_of")
+DOMAIN_OPERATORS_SINCE = ((9, ("parent_of",)), (17, ("any", "not any")), (19, ("any!", "not any!", "not =like", "not =ilike")))
+
+
+def is_domain_operator(operator: Column, version: Column) -> Column:
+    """Whether a version knows a term operator; a version that can't be read knows all."""
+    major = F.coalesce(F.split(version, r"\.")[0].try_cast("int"), F.lit(99))
+    known = operator.isin(*DOMAIN_OPERATORS)
+    for since, names in DOMAIN_OPERATORS_SINCE:
+        known = known | (major >= since) & operator.isin(*names)
+    return F.coalesce(known, F.lit(False))
+
+
+def any_of(values: Column, wanted: Sequence[str]) -> Column:
+    """Whether an array, null as none, holds any of the wanted values."""
+    return F.coalesce(F.arrays_overlap(values, F.array(*[F.lit(w) for w in wanted])), F.lit(False)) if wanted else F.lit(False)
+
+
+def first_of(values: Column, wanted: Sequence[str]) -> Column:
+    """The array's first element that is wanted, else null."""
+    return F.get(F.filter(values, lambda x: x.isin(*wanted)), 0) if wanted else F.lit(None).cast("string")
 
 
 def period_key(ts: Column) -> Column:

@@ -10,7 +10,23 @@ from .scalars import CHARS_PER_TOKEN
 #: Characters of a chunk window and of its overlap.
 WINDOW_CHARS, OVERLAP_CHARS = 2048, 256
 #: Fixed words that carry no search intent.
-STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "how", "what", "when", "where", "into", "use", "using", "example", "examples", "show", "find", "all", "are", "can", "does", "not")
+STOPWORDS = (
+    "a", "an", "the", "and", "or", "of", "to", "in", "for", "on", "with",
+    "is", "are", "was", "be", "by", "at", "as", "it", "its", "from", "how",
+    "can", "do", "use", "get", "set", "has",
+)
+#: Fixed words of rule messages that tell no rules apart.
+LINT_STOPWORDS = (
+    "with", "from", "this", "that", "have", "must", "should",
+    "function", "usage", "literal", "string", "alias", "option",
+    "the", "and", "use", "not", "for", "are", "when", "avoid",
+    "call", "called", "calling", "instead", "please", "using",
+)
+#: At-rules that are no literal style names, and what stands between parts of a selector.
+AT_RULES = ("@media", "@import", "@supports", "@keyframes", "@font-face", "@charset", "@namespace", "@layer", "@container")
+COMBINATORS = (">", "~", "+", "||")
+#: Lines of code longer than this are not matched against patterns.
+LINT_LINE_CHARS = 4000
 KEYWORD_CHARS = 3
 
 
@@ -41,33 +57,74 @@ def chunks(df: DataFrame, text_col: str = "text", budget: int | None = None, win
 
 
 def keywords(text: Column) -> Column:
-    """Lower-case words of at least three characters, in order, once each, without stopwords."""
-    words = F.filter(F.split(F.lower(text), r"[^\w.]+"), lambda w: (F.length(w) >= KEYWORD_CHARS) & ~w.isin(*STOPWORDS))
-    return F.array_distinct(words)
+    """Lower-case words of at least three characters, in order, once each, without stopwords and outer dots."""
+    words = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}_.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= KEYWORD_CHARS) & ~w.isin(*STOPWORDS)))
+
+
+def _bare_name(t: Column) -> Column:
+    return t.rlike(r"^[A-Za-z_][\w-]{1,63}$") & t.rlike("[-_]")
 
 
 def style_literal(text: Column) -> Column:
-    """Whether a style query names something literally: a selector, a variable, a compound or a BEM name."""
-    t = F.trim(text)
-    return t.rlike(r"^[.#][A-Za-z_][\w-]*") | t.rlike(r"^[$@][A-Za-z_][\w-]*$") | t.rlike(r"^--[\w-]+$") | t.rlike(r"^[a-z][\w-]*(\.|#|>|:{1,2}|\[)[\w\"'=\]-]+") | t.rlike(r"^[a-z][a-z0-9]*(?:-[a-z0-9]+)*(?:__[a-z0-9-]+)?(?:--[a-z0-9-]+)$") | t.rlike(r"^[a-z][a-z0-9]*(?:-[a-z0-9]+)*__[a-z0-9-]+$") | t.rlike(r"^o_[a-z0-9_]+$")
+    """Whether a style query names something as it is written: a variable, a selector, all parts of a descendant selector, or a compound name.
+
+    Plain words and at-rules are not literal.
+    """
+    t = F.trim(F.coalesce(text, F.lit("")))
+    one = ~F.contains(t, F.lit(" ")) & (F.length(t) > 1)
+    part = lambda p: p.isin(*COMBINATORS) | F.when(p.rlike(r"^[.#\[&*>~+:$@]"), F.length(p) > 1).otherwise(_bare_name(p))
+    return (
+        F.when((t == "") | F.lower(t).isin(*AT_RULES), False).when(t.rlike(r"^[$@\[&*>~+:]"), one)
+        .when(t.rlike(r"^[.#]"), F.when(F.contains(t, F.lit(" ")), F.forall(F.split(t, r"\s+"), part)).otherwise(F.length(t) > 1)).otherwise(_bare_name(t))
+    )
+
+
+def literal_column(text: Column) -> Column:
+    """Which column a literal style name is looked for in: variables stand in ``content``, all else in ``entity_name``."""
+    return F.when(F.trim(text).rlike(r"^[$@]"), "content").otherwise("entity_name")
 
 
 def lint_tokens(text: Column) -> Column:
-    """Distinct tokens of letters and underscores, longer than four characters less one, that tell rules apart."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z_]+"), lambda w: (F.length(w) > 3) & ~w.isin(*STOPWORDS)))
+    """Distinct words of letters and underscores, longer than three characters, that tell rules apart."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z_]+"), lambda w: (F.length(w) > 3) & ~w.isin(*LINT_STOPWORDS)))
 
 
-def fuzzy_lint(rule: Column, text: Column, least: int = 2) -> Column:
-    return F.size(F.array_intersect(lint_tokens(rule), lint_tokens(text))) >= least
+def fuzzy_lint(message: Column, line: Column, least: int = 2) -> Column:
+    """Whether a line shares at least two words with a rule's message."""
+    return F.size(F.array_intersect(lint_tokens(message), F.split(F.lower(line), "[^a-z_]+"))) >= least
 
 
 def noqa_rules(line: Column) -> Column:
-    """Null without a noqa mark; an empty array for a bare one (all rules); else the rules it lists."""
-    mark = F.regexp_extract(line, r"(?i)#\s*noqa(?!\w)(?:\s*:\s*([A-Z][\w-]*(?:\s*,\s*[A-Z][\w-]*)*))?", 0)
-    listed = F.regexp_extract(line, r"(?i)#\s*noqa(?!\w)\s*:\s*([A-Z][\w-]*(?:\s*,\s*[A-Z][\w-]*)*)", 1)
-    return F.when(mark == "", F.lit(None).cast("array<string>")).when(listed == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(listed, ","), lambda r: F.upper(F.trim(r))))
+    """Null without a noqa mark; ``*`` for a bare one (all rules); else the rules it lists. Letter case counts."""
+    mark = r"#\s*noqa(?::\s*([A-Za-z0-9,\s]+))?"
+    listed = F.filter(F.transform(F.split(F.regexp_extract(line, mark, 1), ","), F.trim), lambda r: r != "")
+    return F.when(line.rlike(r"#\s*noqa"), F.when(F.regexp_extract(line, mark, 1) == "", F.array(F.lit("*"))).otherwise(listed))
 
 
 def suppressed(line: Column, rule: Column) -> Column:
     rules = noqa_rules(line)
-    return F.coalesce((F.size(rules) == 0) | F.array_contains(rules, F.upper(rule)), F.lit(False))
+    return F.coalesce(F.array_contains(rules, F.lit("*")) | F.array_contains(rules, rule), F.lit(False))
+
+
+def chunk_header(kind: Column, module: Column, version: Column, owner: Column, name: Column, detail: Column) -> Column:
+    """The line that a chunk's text begins with: what it is and where it stands, so that searches meet it.
+
+    ``owner`` is the model or test class, ``detail`` a field's or view's type (with its parent), or what a test covers.
+    """
+    at = F.concat(F.lit("["), module, F.lit("] "))
+    inside = lambda a, b: F.concat(F.lit("("), a, b, F.lit(")"))
+    none = F.lit("")
+    return (
+        F.when(kind == "method", F.concat(at, owner, F.lit("."), name, F.lit(" "), inside(version, none)))
+        .when(kind == "field", F.concat(at, owner, F.lit(": "), name, F.lit(" "), inside(detail, none)))
+        .when(kind == "view", F.concat(at, name, F.lit(" "), inside(detail, none)))
+        .when(kind == "qweb", F.concat(at, name))
+        .when(kind == "test_method", F.concat(F.lit("[test] "), F.coalesce(detail, F.lit("<no model ref>")), F.lit(" via "), owner, F.lit("."), name, F.lit(" "), inside(version, none)))
+        .when(kind == "test_class", F.concat(F.lit("[test class] "), name, inside(F.coalesce(detail, F.lit("object")), none), F.lit(" in "), module, F.lit(" "), inside(version, none)))
+    )
+
+
+def headed(kind: Column, header: Column, body: Column) -> Column:
+    """A chunk's text; kinds without a header (scripts and styles) are their bodies."""
+    return F.when(header.isNull(), body).otherwise(F.concat_ws("\n", header, body))

@@ -68,6 +68,7 @@ def extract_keywords(text: str) -> list[str]:
 
     out: dict[str, None] = {}
     for w in re.split(r"[^\w.]+", text.lower()):
+        w = w.strip(".")
         if len(w) >= 3 and w not in STOPWORDS:
             out[w] = None
     return list(out)

@@ -102,7 +102,7 @@ def scripts(files: DataFrame) -> DataFrame:
 
 def suite_rows(source: str | None) -> list[dict]:
     s = source or ""
-    framework = "hoot" if "@odoo/hoot" in s else "qunit" if "QUnit." in s else "tour" if re.search(r"registry\.category\(\s*[\"']web_tour", s) else "unknown"
+    framework = "hoot" if re.search(r"[\"']@[\w.-]+/hoot", s) else "qunit" if "QUnit." in s else "tour" if re.search(r"registry\.category\(\s*[\"']web_tour", s) else "unknown"
     strings = lambda head: re.findall(head + r"\s*\(\s*[\"'`]([^\"'`]+)[\"'`]", s)
     return [{"framework": framework, "describe_blocks": strings(r"\b(?:describe|QUnit\.module)"), "test_names": strings(r"\b(?:test|QUnit\.test)"), "tags": strings(r"\.tags"), "mounts": sorted(set(re.findall(r"\bmount(?:View|WithCleanup)?\s*\(\s*([A-Z]\w*)", s)))}] if s.strip() else []
 

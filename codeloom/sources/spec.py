@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import LINT_LINE_CHARS, lint_tokens, suppressed
 from .python_code import _call_name, _each, _text
 
 SYMBOL = "path string, module string, version string, qualified_name string, kind string, signature string, line int, status string"
@@ -77,17 +80,35 @@ def curated_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, line, rule_id) where a rule's pattern is found and no noqa mark of that line covers it.
+    """(path, line, rule_id, match) where a rule fits a line and no noqa mark of that line covers it.
 
-    Patterns are Python regular expressions, so they run in Python; the rule list is small and goes with the tasks.
+    A rule's pattern is a Python regular expression, so lines are searched in Arrow batches in Python. A rule without a pattern, or with one that
+    doesn't compile, fits lines that share two words with its message; where none does but the whole file shares them, it is told of the first line.
+    ``rules`` is a curated list (rule_id, code_pattern, message) and goes with the tasks; ``lines`` has (path, line, text). Lines of over
+    ``LINT_LINE_CHARS`` characters are not searched for patterns.
     """
-    from ..functions.text import suppressed
-
-    known = [(r.rule_id, r.code_pattern) for r in rules.filter("code_pattern is not null").select("rule_id", "code_pattern").collect()]
-
-    @F.udf("array<string>", useArrow=True)
-    def found(text: str) -> list[str]:
-        return [i for i, p in known if re.search(p, text or "")]
-
-    hits = lines.withColumn("rule_id", F.explode(found(F.col("text"))))
-    return hits.filter(~suppressed(F.col("text"), F.col("rule_id"))).select("path", "line", "rule_id")
+    listed = rules.select("rule_id", *[F.col(c) if c in rules.columns else F.lit(None).cast("string").alias(c) for c in ("code_pattern", "message")])
+    known = [(r.rule_id, r.code_pattern, r.message) for r in listed.collect()]
+    patterns, fuzzy = [], []
+    for rule, pattern, message in known:
+        try:
+            patterns.append((rule, re.compile(pattern))) if pattern else fuzzy.append((rule, message))
+        except re.error:
+            fuzzy.append((rule, message))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [[i for i, p in patterns if len(t) <= LINT_LINE_CHARS and p.search(t)] for t in (x or "" for x in b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.string()))], [*b.schema.names, "hits"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.select("path", "line", "text").schema)
+    found = lines.select("path", "line", "text").mapInArrow(search, f"{kinds}, hits array<string>").select("path", "line", "text", F.explode("hits").alias("rule_id"), F.lit("pattern").alias("match"))
+    if fuzzy:
+        # words of a file are counted by rule, so no file meets in one value
+        words = lines.sparkSession.createDataFrame(fuzzy, "rule_id string, message string").select("rule_id", F.explode(lint_tokens(F.col("message"))).alias("word"))
+        shared = lines.select("path", "line", "text", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z_]+"))).alias("word")).join(F.broadcast(words), "word")
+        by_line = shared.groupBy("path", "line", "text", "rule_id").agg(F.count("word").alias("n")).filter("n >= 2").select("path", "line", "text", "rule_id", F.lit("fuzzy").alias("match"))
+        by_file = shared.groupBy("path", "rule_id").agg(F.count_distinct("word").alias("n")).filter("n >= 2").join(by_line.select("path", "rule_id").distinct(), ["path", "rule_id"], "left_anti")
+        first = lines.filter("line = 1").select("path", "line", "text").join(by_file.select("path", "rule_id"), "path").select("path", "line", "text", "rule_id", F.lit("fuzzy").alias("match"))
+        found = found.union(by_line).union(first)
+    return found.filter(~suppressed(F.col("text"), F.col("rule_id"))).select("path", "line", "rule_id", "match")

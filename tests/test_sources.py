@@ -6,7 +6,7 @@ from codeloom.sources import markup, python_code, repos, spec
 
 FILE = "path string, module string, version string, content string"
 MODEL = '''
-from odoo import api, fields, models
+from framework import api, fields, models
 class Order(models.Model):
     _name = "sale.order"
     _inherit = ["mail.thread"]
@@ -53,7 +53,7 @@ def test_python_tests(spark):
 
 
 def test_xml(spark):
-    src = '<odoo><record id="v1" model="ir.ui.view"><field name="name">n</field><field name="model">sale.order</field><field name="inherit_id" ref="base.v"/><field name="arch" type="xml"><xpath expr="//field" position="after"><field name="x" invisible="a == 1"/></xpath></field></record><template id="t1" inherit_id="web.layout"><p/></template><report id="r1" string="R" model="sale.order" name="sale.doc" report_type="qweb-pdf"/></odoo>'
+    src = '<data><record id="v1" model="ir.ui.view"><field name="name">n</field><field name="model">sale.order</field><field name="inherit_id" ref="base.v"/><field name="arch" type="xml"><xpath expr="//field" position="after"><field name="x" invisible="a == 1"/></xpath></field></record><template id="t1" inherit_id="web.layout"><p/></template><report id="r1" string="R" model="sale.order" name="sale.doc" report_type="qweb-pdf"/></data>'
     got = {r.xmlid: r for r in markup.views(spark.createDataFrame([("v.xml", "sale", "17.0", src), ("bad.xml", "sale", "17.0", "<a>"), ("n.xml", "sale", "17.0", None)], FILE)).collect()}
     assert set(got) == {"sale.v1", "sale.t1", "sale.r1"}
     assert got["sale.v1"].mode == "extension" and got["sale.v1"].xpaths[0].position == "after" and got["sale.v1"].conditions[0].field == "x"
@@ -69,7 +69,7 @@ def test_scripts_and_styles(spark):
     assert [(r.kind, r.name) for r in rows.filter("path = 's/main.scss'").orderBy("chunk_idx").collect()] == [("import", "vars"), ("variable", "primary"), ("mixin", "box"), ("selector", ".o_form"), ("media", "@media print")]
     assert [tuple(r) for r in markup.style_imports(rows).collect()] == [("s/main.scss", "s/_vars.scss")]
     assert {r.path: (r.selectors, r.mixins) for r in markup.style_counts(rows).collect()}["s/main.scss"] == (1, 1)
-    suite = markup.suite_rows('import { test } from "@odoo/hoot";\ndescribe("list", () => { test("opens", () => mountView(ListView)); });')[0]
+    suite = markup.suite_rows('import { test } from "@web/hoot";\ndescribe("list", () => { test("opens", () => mountView(ListView)); });')[0]
     assert (suite["framework"], suite["describe_blocks"], suite["test_names"], suite["mounts"]) == ("hoot", ["list"], ["opens"], ["ListView"])
 
 
@@ -94,4 +94,17 @@ def test_spec(spark):
     assert [(r["command"], r["flag"], r["default"]) for r in spec.flag_rows(cli)] == [("shell", "--interface", "'ipython'")]
     lines = spark.createDataFrame([("a.py", 1, "cr.commit()"), ("a.py", 2, "cr.commit()  # noqa: E8102"), ("a.py", 3, "x")], "path string, line int, text string")
     rules = spark.createDataFrame([("E8102", r"cr\.commit\(\)")], "rule_id string, code_pattern string")
-    assert [tuple(r) for r in spec.check_lines(lines, rules).collect()] == [("a.py", 1, "E8102")]
+    assert [tuple(r) for r in spec.check_lines(lines, rules).collect()] == [("a.py", 1, "E8102", "pattern")]
+
+
+def test_lint_falls_back_to_words(spark):
+    lines = spark.createDataFrame([("a.py", 1, "x = translation_of(y)"), ("a.py", 2, "the translation method"), ("b.py", 1, "first"), ("b.py", 2, "translation"), ("b.py", 3, "method"), ("c.py", 1, "translation method # noqa: W1"), ("d.py", 1, "z" * 5000)], "path string, line int, text string")
+    rules = spark.createDataFrame([("W1", "(unclosed", "avoid the translation method"), ("W2", None, "translation"), ("W3", "z+", "zz")], "rule_id string, code_pattern string, message string")
+    assert sorted(tuple(r) for r in spec.check_lines(lines, rules).collect()) == [("a.py", 2, "W1", "fuzzy"), ("b.py", 1, "W1", "fuzzy")]
+
+
+def test_editions(spark):
+    rows = [("vx_sale", None, "X", "/a/addons/vx_sale"), ("sale", "OEEL-1", None, "/x"), ("l10n", "OPL-1", "Vendor Co", "/x"), ("l10n", "OPL-1", "Other", "/x"), ("crm", "LGPL-3", None, "/src/addons/crm"), ("crm", "AGPL-3", None, "/src/crm"), ("web", "Assoc-1", None, "/x")]
+    d = spark.createDataFrame(rows, "name string, license string, author string, path string")
+    got = d.select(repos.edition(*(d[c] for c in d.columns), prefixes=["vx_"], authors=["Vendor"], association="assoc"))
+    assert [r[0] for r in got.collect()] == ["vendor", "enterprise", "vendor", "custom", "community", "custom", "association"]
