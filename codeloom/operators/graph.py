@@ -1,4 +1,7 @@
-"""Bounded traversals over edge tables. Each hop is a join followed by an aggregate by name, never a path."""
+"""Traversals over edge tables. Each hop is a join followed by an aggregate by name, never a path.
+
+Walks without a stated bound go on until a hop finds nothing new, however deep the graph is.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 INHERITS, DELEGATES = "INHERITS", "DELEGATES_TO"
 #: Order of edge kinds at one depth.
 KIND_RANK = {INHERITS: 0, DELEGATES: 1}
@@ -20,20 +25,20 @@ def ancestors(starts: DataFrame, edges: DataFrame, hops: int = 3, kinds: Sequenc
     """(start, name, depth, kind, via_field): the nearest way from each start to each ancestor's name.
 
     ``starts`` has ``start``; ``edges`` has ``src``, ``dst``, ``kind``, ``via_field``. A hop never re-enters the name it
-    leaves. At one depth INHERITS comes before DELEGATES_TO, then the least via_field. The start has depth 0. Names
-    are made distinct after each hop, so many paths to one name cost one row.
+    leaves. At one depth INHERITS comes before DELEGATES_TO, then the least via_field. The start has depth 0. A hop
+    joins the names of the last depth with the edges and keeps the nearest way to each name, so many paths to one name
+    cost one row and no hop is computed twice.
     """
-    step = edges.filter(F.col("kind").isin(*kinds) & (F.col("src") != F.col("dst"))).select("src", "dst", "kind", "via_field").distinct()
-    level = starts.select("start").distinct().select("start", F.col("start").alias("name"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("via_field"))
-    found = level
-    order = F.struct(_kind_rank(F.col("kind")).alias("r"), F.coalesce("via_field", F.lit("")).alias("v"))
+    step = edges.filter(F.col("kind").isin(*kinds) & (F.col("src") != F.col("dst"))).select("src", "dst", F.struct(_kind_rank(F.col("kind")).alias("r"), F.coalesce("via_field", F.lit("")).alias("v"), "kind", "via_field").alias("edge")).distinct()
+    none = F.lit(None).cast(step.schema["edge"].dataType)
+    found = starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth"), none.alias("edge")).distinct()
     for depth in range(1, hops + 1):
-        reached = level.select("start", "name").join(step, F.col("name") == F.col("src")).groupBy("start", "dst").agg(F.min_by(F.struct("kind", "via_field"), order).alias("w"))
-        level = reached.select("start", F.col("dst").alias("name"), F.lit(depth).alias("depth"), F.col("w.kind").alias("kind"), F.col("w.via_field").alias("via_field"))
-        found = found.union(level)
-    near = F.struct("depth", _kind_rank(F.col("kind")).alias("r"), F.coalesce("via_field", F.lit("")).alias("v"))
-    best = found.groupBy("start", "name").agg(F.min_by(F.struct("depth", "kind", "via_field"), near).alias("b"))
-    return best.select("start", "name", "b.depth", "b.kind", "b.via_field")
+        met = found.join(step.withColumnRenamed("edge", "_edge"), (F.col("name") == F.col("src")) & (F.col("depth") == depth - 1), "left")
+        own = F.struct("name", F.col("depth"), F.col("edge"))
+        beyond = F.struct(F.col("dst").alias("name"), F.lit(depth).alias("depth"), F.col("_edge").alias("edge"))
+        both = met.select("start", F.inline(F.when(F.col("dst").isNull(), F.array(own)).otherwise(F.array(own, beyond))))
+        found = both.groupBy("start", "name").agg(F.min(F.struct("depth", "edge")).alias("b")).select("start", "name", "b.depth", "b.edge")
+    return found.select("start", "name", "depth", F.col("edge.kind").alias("kind"), F.col("edge.via_field").alias("via_field"))
 
 
 def is_subtype(pairs: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
@@ -43,21 +48,22 @@ def is_subtype(pairs: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
     return pairs.join(reach, ["comodel", "target"], "left").select(*pairs.columns, F.coalesce("_hit", F.lit(False)).alias("ok"))
 
 
-def closure(roots: DataFrame, edges: DataFrame, hops: int = 20) -> DataFrame:
+def closure(roots: DataFrame, edges: DataFrame, hops: int | None = 20) -> DataFrame:
     """(root, name, depth): everything that a root depends on, at its shortest depth; the root itself is left out.
 
-    A loop of joins on the frontier; it stops when a hop reaches nothing new. What was reached is anti-joined, so
-    cycles end.
+    A loop of joins on the frontier. What was reached lies in one written table a hop and is anti-joined, so cycles end; the loop ends when a hop reaches
+    nothing new, or after ``hops`` (20 is the dependency listing's own bound; None has no bound).
     """
     step = edges.select("src", "dst").distinct()
-    found = roots.select("root", F.col("root").alias("name"), F.lit(0).alias("depth")).distinct()
-    level = found
-    for depth in range(1, hops + 1):
+    level = cut(roots.select("root", F.col("root").alias("name"), F.lit(0).alias("depth")).distinct())
+    found, depth = level, 0
+    while hops is None or depth < hops:
+        depth += 1
         near = level.select("root", "name").join(step, F.col("name") == F.col("src")).select("root", F.col("dst").alias("name")).distinct()
-        fresh = near.join(found.select("root", "name"), ["root", "name"], "left_anti").select("root", "name", F.lit(depth).alias("depth")).checkpoint()
-        if fresh.isEmpty():
+        level = cut(near.join(found.select("root", "name"), ["root", "name"], "left_anti").select("root", "name", F.lit(depth).alias("depth")))
+        if level.isEmpty():
             break
-        found, level = found.union(fresh), fresh
+        found = found.union(level)
     return found.filter("depth > 0")
 
 
@@ -112,36 +118,41 @@ def topological_order(names: Sequence[str], depends: dict[str, Sequence[str]]) -
     return out + sorted(inside - set(out))
 
 
-def levels(edges: DataFrame, names: DataFrame, rounds: int = 64) -> DataFrame:
-    """(name, level): the longest chain of dependencies below each name, by peeling; cycles have no level."""
-    step = edges.select("src", "dst").distinct().join(names.select(F.col("name").alias("dst")), "dst")
-    done = names.join(step.select(F.col("src").alias("name")).distinct(), "name", "left_anti").select("name", F.lit(0).alias("level"))
-    for k in range(1, rounds + 1):
-        open_ = step.join(done.select(F.col("name").alias("dst")), "dst", "left_anti").select(F.col("src").alias("name")).distinct()
-        fresh = names.select("name").join(done, "name", "left_anti").join(open_, "name", "left_anti").select("name", F.lit(k).alias("level")).checkpoint()
+def levels(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, level): the longest chain of dependencies below each name, by peeling; names on or above cycles have no level.
+
+    ``left`` has each name with edges to names that have no level yet. Names without such edges are peeled, and their edges go.
+    """
+    step = cut(edges.select("src", "dst").distinct().join(names.select(F.col("name").alias("dst")), "dst", "left_semi").join(names.select(F.col("name").alias("src")), "src", "left_semi"))
+    left, done, k = cut(names.select("name").distinct()), None, 0
+    while True:
+        fresh = cut(left.join(step.select(F.col("src").alias("name")).distinct(), "name", "left_anti").select("name", F.lit(k).alias("level")))
         if fresh.isEmpty():
-            break
-        done = done.union(fresh)
-    return done
+            return fresh if done is None else done
+        done = fresh if done is None else done.union(fresh)
+        peeled = fresh.select("name")
+        left = cut(left.join(peeled, "name", "left_anti"))
+        step = cut(step.join(peeled.withColumnRenamed("name", "dst"), "dst", "left_anti"))
+        k += 1
 
 
-def chain(starts: DataFrame, parents: DataFrame, hops: int = 32) -> DataFrame:
+def chain(starts: DataFrame, parents: DataFrame) -> DataFrame:
     """(start, name, depth) upwards along ``parents`` (name, parent); the start has depth 0, cycles end."""
     up = parents.filter(F.col("parent").isNotNull()).select(F.col("name").alias("src"), F.col("parent").alias("dst"))
-    above = closure(starts.select(F.col("start").alias("root")), up, hops).select(F.col("root").alias("start"), "name", "depth")
+    above = closure(starts.select(F.col("start").alias("root")), up, None).select(F.col("root").alias("start"), "name", "depth")
     return starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth")).distinct().union(above)
 
 
-def would_cycle(changes: DataFrame, parents: DataFrame, hops: int = 32) -> DataFrame:
+def would_cycle(changes: DataFrame, parents: DataFrame) -> DataFrame:
     """``changes`` (name, new_parent) with ``cycle``: whether the name is the new parent or one of its ancestors."""
-    above = chain(changes.select(F.col("new_parent").alias("start")).distinct(), parents, hops).select(F.col("start").alias("new_parent"), "name", F.lit(True).alias("_hit"))
+    above = chain(changes.select(F.col("new_parent").alias("start")).distinct(), parents).select(F.col("start").alias("new_parent"), "name", F.lit(True).alias("_hit"))
     return changes.join(above, ["new_parent", "name"], "left").select("name", "new_parent", F.coalesce("_hit", F.lit(False)).alias("cycle"))
 
 
-def descendant_conflicts(nodes: DataFrame, roots: DataFrame, hops: int = 32) -> DataFrame:
+def descendant_conflicts(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, name, version): descendants of a root whose version differs from the root's. ``nodes``: name, parent, version."""
     down = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("src"), F.col("name").alias("dst"))
-    below = closure(roots.select("root"), down, hops)
+    below = closure(roots.select("root"), down, None)
     mine = nodes.select(F.col("name").alias("root"), F.col("version").alias("_own"))
     return below.join(nodes.select("name", "version"), "name").join(mine, "root").filter(F.col("version") != F.col("_own")).select("root", "name", "version")
 

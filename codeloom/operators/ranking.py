@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edition_rank
+from .lineage import cut
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -34,8 +37,13 @@ def inherited_members(tags: DataFrame, members: DataFrame, module: str | None =
     module filter applies before the nearest owner is picked, so a farther owner can win.
     """
     rows = members if module is None else members.filter(F.col("module") == module)
+    # a model's members are joined once for each name that reaches it; the least struct is combined before the shuffle
     rows = tags.select("start", F.col("name").alias("owner"), "depth").join(rows.withColumnRenamed("model", "owner"), "owner")
-    return first_by(rows, ["start", "name"], [F.col("depth").asc(), edition_rank(F.col("edition")).asc(), F.col("module").asc_nulls_last(), F.col("owner").asc_nulls_last()])
+    last = lambda c: F.struct(F.col(c).isNull(), F.col(c))
+    order = F.struct(F.col("depth"), edition_rank(F.col("edition")).alias("e"), last("module").alias("m"), last("owner").alias("o"))
+    rest = [c for c in rows.columns if c not in ("start", "name")]
+    best = rows.groupBy("start", "name").agg(F.min(F.struct(order.alias("_order"), *rest)).alias("b"))
+    return best.select("start", "name", *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
 def field_lookup(wanted: DataFrame, tags: DataFrame, members: DataFrame, magic: DataFrame) -> DataFrame:
@@ -52,6 +60,26 @@ def field_lookup(wanted: DataFrame, tags: DataFrame, members: DataFrame, magic:
     return wanted.join(best, ["start", "field"], "left").select("start", "field", step.alias("step"), "depth", "owner", "module", "ttype")
 
 
+def via_rank(via: Column) -> Column:
+    """How directly a test covers something: by an assertion, in its body, or otherwise."""
+    return F.when(via == "assert", 0).when(via == "body", 1).otherwise(2)
+
+
+def tests_first(df: DataFrame, via: str, asserts: str, ties: Sequence[str], limit: int) -> DataFrame:
+    """Tests that assert first, then those with more assertions, then ``ties``; cut to ``limit``."""
+    return df.orderBy(via_rank(F.col(via)), F.col(asserts).desc_nulls_last(), *ties).limit(limit)
+
+
+def placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``place`` (from 0) in a total order: range-sorted and written, then counted by partition, so no task holds all rows."""
+    part = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    # one row a partition
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
+    return part.withColumn("_in", inside).join(before, F.col("_part") == F.col("_p")).withColumn("place", (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_at", "_in", "_p", "_before")
+
+
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """A page in a total order."""
     return df.orderBy(*order).offset(offset).limit(limit)

@@ -101,6 +101,31 @@ def coverage_edges(refs: DataFrame, members: DataFrame) -> DataFrame:
     return refs.join(members.filter("is_definition").select("model", "name", "module"), ["model", "name"]).select("test", "model", "name", "module", "via").distinct()
 
 
-def reachable_within(roots: DataFrame, edges: DataFrame, names: DataFrame, hops: int = 20) -> DataFrame:
-    """What the roots depend on, restricted to a list of names afterwards."""
-    return closure(roots, edges, hops).join(names.select("name"), "name", "left_semi")
+def reachable_within(roots: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """What the roots depend on at any depth, restricted to a list of names afterwards."""
+    return closure(roots, edges, None).join(names.select("name"), "name", "left_semi")
+
+
+def scoped_delete(nodes: DataFrame, scope: DataFrame, keys: Sequence[str], profile: str, col: str = "profile") -> DataFrame:
+    """Take one profile off the rows of a scope: rows that only it had go, rows that others share stay without it."""
+    keys = list(keys)
+    hit = nodes.join(scope.select(*keys).distinct(), keys, "left_semi").filter(F.array_contains(col, profile))
+    left = hit.withColumn(col, F.array_remove(col, profile)).filter(F.size(col) > 0).select(*nodes.columns)
+    rest = nodes.join(hit.select(*keys).distinct().withColumn("_hit", F.lit(True)), keys, "left")
+    rest = rest.filter(F.col("_hit").isNull() | ~F.coalesce(F.array_contains(col, profile), F.lit(False))).select(*nodes.columns)
+    return rest.unionByName(left)
+
+
+def gc_unseen(nodes: DataFrame, seen: DataFrame, scanned: DataFrame, keys: Sequence[str], scope: Sequence[str]) -> DataFrame:
+    """Rows of scanned scopes that the scan didn't see go (bundles, tests, test classes); rows of other scopes stay."""
+    stale = nodes.join(scanned.select(*scope).distinct(), list(scope), "left_semi").join(seen.select(*keys).distinct(), list(keys), "left_anti")
+    return nodes.join(stale.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def heal_flags(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("name", "version"), flag: str = "is_definition") -> DataFrame:
+    """Set a flag again by what the edges say: a row that extends another of its own name defines nothing.
+
+    ``edges`` has the keys of the rows that extend. Rows whose flag is already right are given unchanged.
+    """
+    extends = edges.select(*keys, "module").distinct().withColumn("_ext", F.lit(True))
+    return nodes.join(extends, [*keys, "module"], "left").withColumn(flag, F.coalesce(F.col("_ext"), F.lit(False)) == F.lit(False)).drop("_ext").select(*nodes.columns)

@@ -13,8 +13,8 @@ from ..functions.scalars import MAGIC_FIELDS
 from ..operators import diff, graph, joins, ranking, scope, store
 from .registry import Tables, query
 
-EDITIONS = ("community", "enterprise", "viindoo", "oca", "custom")
-_EDITION_SQL = "CASE {} WHEN 0 THEN 'community' WHEN 1 THEN 'enterprise' WHEN 2 THEN 'viindoo' WHEN 3 THEN 'oca' ELSE 'custom' END"
+EDITIONS = ("community", "enterprise", "vendor", "association", "custom")
+_EDITION_SQL = "CASE {} WHEN 0 THEN 'community' WHEN 1 THEN 'enterprise' WHEN 2 THEN 'vendor' WHEN 3 THEN 'association' ELSE 'custom' END"
 
 
 def edges(t: Tables) -> DataFrame:
@@ -34,7 +34,7 @@ E = """e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, 'INHERITS' AS kind,
   UNION ALL SELECT p_partkey, p_partkey // 3, 'DELEGATES_TO', 1, 'f' || (p_partkey % 5) FROM part WHERE p_partkey > 1 AND p_partkey // 3 > 0)"""
 M = f"""m AS (SELECT DISTINCT l_partkey AS model, 'f' || (l_suppkey % 40) AS name, 'm' || (l_suppkey % 7) AS module, {_EDITION_SQL.format('l_suppkey % 5')} AS edition,
   CASE l_suppkey % 4 WHEN 0 THEN 'char' WHEN 1 THEN 'integer' WHEN 2 THEN 'many2one' ELSE 'one2many' END AS ttype FROM lineitem)"""
-ER = "CASE edition WHEN 'community' THEN 0 WHEN 'enterprise' THEN 1 WHEN 'viindoo' THEN 2 WHEN 'oca' THEN 3 ELSE 4 END"
+ER = "CASE edition WHEN 'community' THEN 0 WHEN 'enterprise' THEN 1 WHEN 'vendor' THEN 2 WHEN 'association' THEN 3 ELSE 4 END"
 
 
 def tags_sql(hops: int, kinds: str = "'INHERITS', 'DELEGATES_TO'") -> str:
@@ -99,19 +99,19 @@ def field_lookup(t: Tables) -> DataFrame:
     return ranking.field_lookup(wanted, graph.ancestors(starts(t), edges(t)), members(t), magic).drop("ttype")
 
 
-@query(f"""WITH RECURSIVE {E}, r AS (SELECT p_partkey AS root, p_partkey AS name, 0 AS depth FROM part WHERE p_partkey % 10 = 0
+@query(f"""WITH RECURSIVE {E}, r AS (SELECT p_partkey AS root, p_partkey AS name, 0 AS depth FROM part
   UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src WHERE r.depth < 20)
   SELECT root, name, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE name <> root GROUP BY 1, 2""")
 def dependency_closure(t: Tables) -> DataFrame:
-    roots = t.part.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("root"))
+    roots = t.part.select(F.col("p_partkey").alias("root"))
     return graph.closure(roots, edges(t))
 
 
-@query(f"""WITH RECURSIVE {E}, r AS (SELECT p_partkey AS root, p_partkey AS name, 0 AS depth FROM part WHERE p_partkey % 10 = 0
-  UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src WHERE r.depth < 20)
+@query(f"""WITH RECURSIVE {E}, r AS (SELECT p_partkey AS root, p_partkey AS name, 0 AS depth FROM part
+  UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src)
   SELECT root, name, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE name <> root AND name % 7 = 0 GROUP BY 1, 2""")
 def reachable_in_list(t: Tables) -> DataFrame:
-    roots = t.part.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("root"))
+    roots = t.part.select(F.col("p_partkey").alias("root"))
     return store.reachable_within(roots, edges(t), t.part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("name")))
 
 
@@ -149,11 +149,11 @@ def recursive_chain(t: Tables) -> DataFrame:
     return graph.chain(starts(t), parents)
 
 
-@query("""WITH RECURSIVE up AS (SELECT p_partkey AS start, p_partkey AS name, 0 AS depth FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT u.start, u.name // 2, u.depth + 1 FROM up u WHERE u.name // 2 > 0)
+@query("""WITH RECURSIVE up AS (SELECT p_partkey AS start, p_partkey AS name, 0 AS depth FROM part UNION ALL SELECT u.start, u.name // 2, u.depth + 1 FROM up u WHERE u.name // 2 > 0)
   SELECT u.start, u.name, u.depth, l_suppkey AS repo FROM up u JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l ON l.l_partkey = u.name""")
 def chain_with_repos(t: Tables) -> DataFrame:
     parents = t.part.select(F.col("p_partkey").alias("name"), F.expr("nullif(p_partkey div 2, 0)").alias("parent"))
-    up = graph.chain(starts(t).filter("start % 20 = 0"), parents)
+    up = graph.chain(starts(t), parents)
     return up.join(t.lineitem.select(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("repo")).distinct(), "name")
 
 
@@ -165,12 +165,12 @@ def cycle_check(t: Tables) -> DataFrame:
     return graph.would_cycle(t.part.select(F.col("p_partkey").alias("name"), ((F.col("p_partkey") * 7) % 100 + 1).alias("new_parent")), parents)
 
 
-@query("""WITH RECURSIVE n AS (SELECT p_partkey AS name, p_size % 3 AS version FROM part), d AS (SELECT p_partkey AS root, p_partkey AS name FROM part WHERE p_partkey BETWEEN 5 AND 60
-  UNION SELECT d.root, p.p_partkey FROM d JOIN part p ON p.p_partkey // 2 = d.name)
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS name, p_size % 3 AS version FROM part), d AS (SELECT p_partkey AS root, p_partkey AS name FROM part
+  UNION SELECT d.root, p.p_partkey FROM d JOIN part p ON p.p_partkey // 2 = d.name AND p.p_partkey > 1)
   SELECT d.root, d.name, n.version FROM d JOIN n USING (name) JOIN n r ON r.name = d.root WHERE d.name <> d.root AND n.version <> r.version""")
 def descendant_conflict(t: Tables) -> DataFrame:
     nodes = t.part.select(F.col("p_partkey").alias("name"), F.expr("nullif(p_partkey div 2, 0)").alias("parent"), (F.col("p_size") % 3).alias("version"))
-    return graph.descendant_conflicts(nodes, t.part.filter("p_partkey between 5 and 60").select(F.col("p_partkey").alias("root")))
+    return graph.descendant_conflicts(nodes, t.part.select(F.col("p_partkey").alias("root")))
 
 
 @query("""WITH mods AS (SELECT s_suppkey AS name, s_nationkey AS repo FROM supplier), dep AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier WHERE s_suppkey > 1), ch AS (SELECT s_suppkey AS name FROM supplier WHERE s_suppkey % 9 = 0)
@@ -187,13 +187,14 @@ def dependency_levels(t: Tables) -> DataFrame:
     return graph.levels(e, t.part.select(F.col("p_partkey").alias("name")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier WHERE s_suppkey > 1 UNION SELECT s_suppkey, s_suppkey // 5 FROM supplier WHERE s_suppkey > 4),
+  l AS (SELECT s_suppkey AS name, 0 AS level FROM supplier UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.name)
+  SELECT module, row_number() OVER (ORDER BY level, module) - 1 AS place FROM (SELECT name AS module, max(level) AS level FROM l GROUP BY 1)""")
 def topological_order(t: Tables) -> DataFrame:
-    """Kahn's order of one repository's modules (the suppliers), which a driver holds."""
-    rows = t.supplier.select("s_suppkey").collect()
-    names = [f"m{r[0]:05d}" for r in rows]
-    deps = {f"m{r[0]:05d}": [f"m{r[0] // 2:05d}", f"m{r[0] // 5:05d}"] for r in rows}
-    return t.spark.createDataFrame(list(enumerate(graph.topological_order(names, deps))), "place int, module string")
+    """All modules in an order in which dependencies come first: by the longest chain below each, then by name."""
+    k = F.col("s_suppkey")
+    dep = t.supplier.filter("s_suppkey > 1").select(k.alias("src"), F.expr("s_suppkey div 2").alias("dst")).union(t.supplier.filter("s_suppkey > 4").select(k, F.expr("s_suppkey div 5")))
+    return ranking.placed(graph.levels(dep, t.supplier.select(k.alias("name"))).select(F.col("name").alias("module"), "level"), ["level", "module"]).select("module", "place")
 
 
 _DECL = "SELECT l_partkey AS model, l_suppkey AS sk, count(*) AS field_count FROM lineitem GROUP BY 1, 2"

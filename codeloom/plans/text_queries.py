@@ -83,11 +83,13 @@ def token_budget(t: Tables):
     return t.documents.select("doc_id", scalars.token_estimate(x).alias("tokens"), F.size(text.budget_pieces(x, 100)).alias("pieces"))
 
 
-@query("SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\pL\\pN_.]+'), lambda w: length(w) >= 3 AND w NOT IN ({}))) AS words FROM benchmark".format(", ".join(f"'{w}'" for w in text.STOPWORDS)).replace("list_distinct(list_filter", "list_sort(list_distinct(list_filter").replace("))) AS words", ")))) AS words"))
+_STOP = "a an the and or of to in for on with is are was be by at as it its from how can do use get set has".split()
+
+
+@query("""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN\\pM_.]+'), lambda w: trim(w, '.')), lambda w: length(w) >= 3 AND w NOT IN ({})))) AS words FROM documents""".format(", ".join(f"'{w}'" for w in _STOP)))
 def keywords(t: Tables):
-    """Words of ASCII and other letters; sorted for comparison."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_.]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*text.STOPWORDS))
-    return t.benchmark.select("item_id", F.sort_array(F.array_distinct(words)).alias("words"))
+    """Sorted for comparison."""
+    return t.documents.select("doc_id", F.sort_array(text.keywords(F.coalesce("text", F.lit("")))).alias("words"))
 
 
 @query("SELECT CASE WHEN contains(p_name, '.') THEN p_name ELSE p_brand || '.' || p_name END AS xmlid, p_partkey FROM part")
@@ -122,10 +124,10 @@ def late_event_guard(t: Tables):
     return events.late_guard(e, "user_id", "event_at", "event_id", ["status"], ["seats"])
 
 
-@query("""WITH e AS (SELECT event_id, user_id % 3 AS user_id, ts, value > 10 AS failed FROM events)
+@query("""WITH e AS (SELECT event_id, user_id, ts, value > 10 AS failed FROM events)
   SELECT event_id, n AS failures, n >= 5 AS locked FROM (SELECT event_id, CAST(coalesce(sum(CAST(failed AS INTEGER)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 900000000 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n FROM e)""")
 def failure_throttle(t: Tables):
-    e = t.events.select("event_id", (F.col("user_id") % 3).alias("user_id"), "ts", (F.col("value") > 10).alias("failed"))
+    e = t.events.select("event_id", "user_id", "ts", (F.col("value") > 10).alias("failed"))
     return events.failure_throttle(e, "user_id", "ts", "failed").select("event_id", "failures", "locked")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,26 +49,31 @@ def failure_throttle(events: DataFrame, key: str, time: str, failed: str, most:
 def sliding_limit(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: float) -> DataFrame:
     """(key, tie, allowed): admit an event while fewer than ``limit`` admitted ones lie in the window before it.
 
-    Denied events leave no trace, so each decision depends on those before it; a fold by key is needed. A key's
-    events are folded in arrival order from sorted Arrow batches.
+    Denied events leave no trace, so each decision depends on those before it. Keys are dealt over tasks and sorted by arrival; a task runs through
+    its rows in Arrow batches and keeps at most ``limit`` times of the key it is at, however many events that key has.
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     slim = events.select(key, tie, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", tie], kind="stable")
-        held: list[int] = []
-        head, out, width = 0, [], int(seconds * 1_000_000)
-        for at in pdf["_at"]:
-            while head < len(held) and held[head] <= at - width:
-                head += 1
-            ok = len(held) - head < limit
-            if ok:
-                held.append(at)
-            out.append(ok)
-        return pdf[[key, tie]].assign(allowed=out)
-
-    return slim.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean")
+    width = int(seconds * 1_000_000)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[int] = deque()
+        now: object = held  # no key yet
+        for b in batches:
+            out = []
+            for k, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if k != now:
+                    now = k
+                    held.clear()
+                while held and held[0] <= at - width:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], [key, tie, "allowed"])
+
+    placed = slim.repartition(key).sortWithinPartitions(key, "_at", tie)
+    return placed.mapInArrow(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean")
 
 
 def usage_by_month(events: DataFrame, key: str, time: str, amount: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ def test_nearest_owner_wins_and_delegation_carries_no_methods(spark):
     s = spark.createDataFrame([("child",)], "start string")
     tags = graph.ancestors(s, e)
     assert rows(tags, "name", "depth", "via_field") == [("child", 0, None), ("far", 2, None), ("mixin", 1, None), ("parent", 1, "p_id")]
-    m = spark.createDataFrame([("mixin", "x", "m1", "community", "char"), ("child", "x", "m9", "oca", "date"), ("far", "y", "m1", "oca", "int"), ("parent", "z", "m1", "oca", "int")], "model string, name string, module string, edition string, ttype string")
+    m = spark.createDataFrame([("mixin", "x", "m1", "community", "char"), ("child", "x", "m9", "association", "date"), ("far", "y", "m1", "association", "int"), ("parent", "z", "m1", "association", "int")], "model string, name string, module string, edition string, ttype string")
     got = ranking.inherited_members(tags, m)
     assert rows(got, "name", "owner", "ttype") == [("x", "child", "date"), ("y", "far", "int"), ("z", "parent", "int")]
     methods = graph.ancestors(s, e, kinds=("INHERITS",))
@@ -122,19 +122,41 @@ def test_chunks_cover_the_text(spark):
 
 
 def test_style_literals(spark):
-    yes, no = [".o_form", "#main", "$primary", "@brand", "--bs-gap", "a.btn", "card__title", "o_list_view"], ["how to style a button", "button", "Red Button"]
-    d = spark.createDataFrame([(x,) for x in yes + no], "q string").withColumn("lit", text.style_literal(F.col("q")))
+    yes = [".o_form", "#main", "$primary", "@brand", ".a .b", ".btn > .icon", "&:hover", "card__title", "o_list_view", "o-flex-center", "[data-x]", ".a my-name"]
+    no = ["how to style a button", "button", "Red Button", "@media", "@IMPORT", ".a plain english words", ".", "$", "$a b", "", " ", "a.btn", "&:hover .x"]
+    d = spark.createDataFrame([(x,) for x in [*yes, *no, None]], "q string").withColumn("lit", text.style_literal(F.col("q")))
     assert {r.q for r in d.collect() if r.lit} == set(yes)
+    assert [r[0] for r in d.filter("q in ('$primary', '.o_form')").orderBy("q").select(text.literal_column(F.col("q"))).collect()] == ["content", "entity_name"]
 
 
 def test_noqa_and_lint(spark):
-    d = spark.createDataFrame([("x = 1  # noqa",), ("x = 1  # noqa: E501, W1",), ("x = 1",)], "line string")
-    got = [(r[0], r[1]) for r in d.select(text.suppressed(F.col("line"), F.lit("e501")), text.suppressed(F.col("line"), F.lit("F1"))).collect()]
-    assert got == [(True, True), (True, False), (False, False)]
+    d = spark.createDataFrame([("x = 1  # noqa",), ("x = 1  # noqa: E501, W1",), ("x = 1",), ("x  # NOQA",)], "line string")
+    got = [(r[0], r[1], r[2]) for r in d.select(text.suppressed(F.col("line"), F.lit("E501")), text.suppressed(F.col("line"), F.lit("F1")), text.suppressed(F.col("line"), F.lit("e501"))).collect()]
+    assert got == [(True, True, True), (True, False, False), (False, False, False), (False, False, False)]
     d = spark.createDataFrame([("avoid translation method call", "translation of a method"), ("avoid translation", "translation")], "a string, b string")
     assert [r[0] for r in d.select(text.fuzzy_lint(F.col("a"), F.col("b"))).collect()] == [True, False]
 
 
+def test_conventions_readonly_and_domain_operators(spark):
+    names = {"_search_x": ("search", "never", False), "_get_default_x": ("default", "never", False), "_get_x": ("builder", "usually", False), "name_get": ("public", "usually", False), "button_x": ("public", "usually", False), "write": ("crud", "always", True), "action_x": ("action", "always", True), "_x": ("private", "usually", False), "_check_x": ("check", "usually", False)}
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: tuple(r.c) for r in d.select("n", scalars.method_convention(F.col("n")).alias("c")).collect()} == names
+    f = spark.createDataFrame([(None, None, None, None), (True, None, None, None), (False, "a.b", None, None), (None, "a.b", None, None), (None, None, "_c", None), (None, None, "_c", "_i"), (None, "a.b", None, "_i")], "r boolean, l string, c string, i string")
+    assert [r[0] for r in f.select(scalars.effective_readonly(F.col("r"), F.col("l"), F.col("c"), F.col("i"))).collect()] == [False, True, False, True, True, False, False]
+    o = spark.createDataFrame([("child_of", "8.0"), ("parent_of", "8.0"), ("parent_of", "9.0"), ("any", "16.0"), ("any", "17.0"), ("any!", "18.0"), ("not =like", "19.0"), ("any!", "master"), ("~", "19.0"), (None, "19.0")], "o string, v string")
+    assert [r[0] for r in o.select(scalars.is_domain_operator(F.col("o"), F.col("v"))).collect()] == [True, False, True, False, True, False, True, True, False, False]
+    a = spark.createDataFrame([(["one", "multi"],), (["x"],), (None,)], "d array<string>")
+    assert [tuple(r) for r in a.select(scalars.any_of(F.col("d"), ["multi", "one"]), scalars.first_of(F.col("d"), ["multi", "one"])).collect()] == [(True, "one"), (False, None), (False, None)]
+
+
+def test_chunk_headers(spark):
+    rows = [("method", "sale", "17.0", "sale.order", "write", None), ("field", "sale", "17.0", "sale.order", "name", "char"), ("view", "sale", "17.0", None, "sale.v", "form, inherit=base.v"), ("qweb", "web", "17.0", None, "web.t", None), ("test_method", "sale", "17.0", "TestSale", "test_a", "sale.order.name"), ("test_class", "sale", "17.0", None, "TestSale", "Base"), ("js_era3", "web", "17.0", None, "Card", None)]
+    d = spark.createDataFrame(rows, "kind string, module string, version string, owner string, name string, detail string")
+    h = text.chunk_header(*(F.col(c) for c in d.columns))
+    assert [r[0] for r in d.select(h).collect()] == ["[sale] sale.order.write (17.0)", "[sale] sale.order: name (char)", "[sale] sale.v (form, inherit=base.v)", "[web] web.t", "[test] sale.order.name via TestSale.test_a (17.0)", "[test class] TestSale(Base) in sale (17.0)", None]
+    assert d.filter("kind = 'js_era3'").select(text.headed(F.col("kind"), h, F.lit("body"))).first()[0] == "body"
+
+
 def test_like_escape_and_versions(spark):
     d = spark.createDataFrame([("50%_\\x",), ("50Z",)], "t string")
     assert d.filter(scalars.ilike_literal(F.col("t"), "50%_\\X")).count() == 1
@@ -163,7 +185,7 @@ def test_control(spark):
 
 
 def test_search_keywords_agree(spark):
-    q = "How to override the sale.order write method with super, sale.order"
+    q = "How to override the sale.order write method with super, sale.order. Größe naïve fields."
     d = spark.createDataFrame([(q,)], "q string")
     assert d.select(text.keywords(F.col("q"))).first()[0] == search.extract_keywords(q)
 
