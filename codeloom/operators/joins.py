@@ -35,3 +35,9 @@ def in_list(df: DataFrame, col: str, values: Sequence[object]) -> DataFrame:
 
 def uncovered(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_anti")
+
+
+def exists_in(left: DataFrame, right: DataFrame, key: str, name: str = "found") -> DataFrame:
+    """``left`` with whether ``right`` has a row of its key; many such rows count as one."""
+    have = right.select(key).distinct().withColumn(name, F.lit(True))
+    return left.join(have, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))

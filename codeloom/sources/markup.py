@@ -111,12 +111,20 @@ def script_tests(files: DataFrame) -> DataFrame:
     return _each(files, SUITE, suite_rows)
 
 
-def _rules(source: str) -> Iterator[tuple[str, str]]:
-    """(head, whole) of top-level statements and braced rules, comments left out."""
-    text = re.sub(r"/\*.*?\*/", " ", source, flags=re.S)
+_BLOCK_COMMENT = r"/\*.*?(?:\*/|\Z)"
+_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+#: Comments of CSS, and of languages that have line comments as well (an address's ``//`` begins none).
+_QUIET = {False: re.compile(f"{_BLOCK_COMMENT}|{_STRING}", re.S), True: re.compile(rf"{_BLOCK_COMMENT}|{_STRING}|(?<![:\w])//[^\n]*", re.S)}
+
+
+def _rules(source: str, line_comments: bool) -> Iterator[tuple[str, str]]:
+    """(head, whole) of top-level statements and braced rules, comments left out; braces in strings don't count."""
+    text = _QUIET[line_comments].sub(lambda m: m[0] if m[0][0] in "\"'" else " ", source)
+    shape = re.sub(_STRING, lambda m: "x" * len(m[0]), text)
     depth = at = 0
     head_end = None
-    for i, c in enumerate(text):
+    for m in re.finditer("[{};]", shape):
+        i, c = m.start(), m[0]
         if c == "{":
             depth += 1
             head_end = i if depth == 1 else head_end
@@ -125,7 +133,7 @@ def _rules(source: str) -> Iterator[tuple[str, str]]:
             if depth == 0 and head_end is not None:
                 yield text[at:head_end].strip(), text[at : i + 1].strip()
                 at, head_end = i + 1, None
-        elif c == ";" and depth == 0:
+        elif depth == 0:
             if whole := text[at : i + 1].strip():
                 yield whole, whole
             at = i + 1
@@ -133,7 +141,7 @@ def _rules(source: str) -> Iterator[tuple[str, str]]:
 
 def style_rows(source: str | None, language: str) -> list[dict]:
     out = []
-    for k, (head, whole) in enumerate(_rules(source or "")):
+    for k, (head, whole) in enumerate(_rules(source or "", language != "css")):
         if re.match(r"@(?:import|use|forward)\b", head):
             found = re.search(r"[\"']([^\"']+)[\"']", head)
             kind, name = "import", found[1] if found else head

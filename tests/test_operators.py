@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars, text
-from codeloom.operators import aggregates, control, diff, graph, ranking, scope, search, store
+from codeloom.operators import aggregates, control, diff, graph, ranking, scope, search, store, tools, validate
 from codeloom.streaming import events
 
 EDGE = "src string, dst string, kind string, via_field string"
@@ -193,3 +193,46 @@ def test_search_keywords_agree(spark):
 def test_quota_rounds_half_to_even(spark):
     used, plans = spark.createDataFrame([(1, 1)], "k int, used long"), spark.createDataFrame([(1, 80), (2, None), (3, 0)], "k int, quota long")
     assert rows(aggregates.quota(used, plans, "k"), "k", "remaining", "percent") == [(1, 79, 1.2), (2, None, None), (3, 0, None)]
+
+
+def test_suggestions_are_the_standard_librarys(spark):
+    from difflib import get_close_matches
+
+    names = ["partner_id", "partner_ids", "amount_total", "amount_tax", "name", "state"]
+    wrong = ["partner", "partnerid", "amount_totl", "nam", "zzz", "stat", "amount_t"]
+    w = spark.createDataFrame([("m", x) for x in wrong] + [("other", "name")], "model string, name string")
+    got = {(r.model, r.name): r.suggestion for r in validate.suggest(w, spark.createDataFrame([("m", n) for n in names], "model string, name string"), "model").collect()}
+    assert got == {("m", x): (get_close_matches(x, names, n=1, cutoff=0.7) or [None])[0] for x in wrong} | {("other", "name"): None}
+
+
+def test_deep_chains_have_no_cut(spark):
+    parents = spark.createDataFrame([(i, i + 1 if i < 100 else None) for i in range(101)], "name int, parent int")
+    up = graph.chain(spark.createDataFrame([(0,)], "start int"), parents)
+    assert up.count() == 101 and up.agg(F.max("depth")).first()[0] == 100
+    changes = spark.createDataFrame([(100, 0), (0, 100)], "name int, new_parent int")
+    assert rows(graph.would_cycle(changes, parents), "name", "cycle") == [(0, False), (100, True)]
+    e = parents.filter("parent is not null").select(F.col("name").alias("src"), F.col("parent").alias("dst"))
+    assert store.reachable_within(spark.createDataFrame([(0,)], "root int"), e, parents.select("name")).count() == 100
+    assert graph.levels(e, parents.select("name")).agg(F.max("level")).first()[0] == 100
+    assert graph.closure(spark.createDataFrame([(0,)], "root int"), e).count() == 20  # the dependency listing's own bound
+
+
+def test_webhooks_are_the_plain_loop(spark):
+    t = lambda d: None if d is None else datetime(2024, 1, d)
+    arrived = [("v", 1, 1, True, "s", 5, "a"), ("v", 1, 2, True, "s", 6, "replay"), ("v", 2, 3, True, "s", 4, "stale"), ("v", 3, 4, False, "s", 9, "forged"), ("v", 4, 5, True, "s", None, "untimed"), ("v", 5, 6, True, "n", 1, "new"), ("v", 6, 7, True, "s", 8, "done before"), ("v", 7, 8, True, "s", 5, "equal")]
+    ev = spark.createDataFrame([(v, i, t(r), ok, s, t(a), st) for v, i, r, ok, s, a, st in arrived], "vendor string, event_id int, received timestamp, valid boolean, subscription string, event_at timestamp, status string")
+    known = spark.createDataFrame([("v", 6, "then"), ("v", 7, None)], "vendor string, event_id int, processed_at string")
+    state = spark.createDataFrame([("s", "old", t(3)), ("x", "kept", None)], "subscription string, status string, event_at timestamp")
+    log, after = tools.webhook_batch(ev, known, state, "now")
+    assert rows(log, "event_id", "processed_at") == [(1, "now"), (2, "now"), (4, "now"), (5, "now"), (6, "then"), (7, "now")]
+    stored = {"s": ("old", 3), "x": ("kept", None)}
+    seen = {6}
+    for _, i, _, ok, s, a, st in arrived:
+        if not ok or i in seen:
+            continue
+        seen.add(i)
+        status, top = stored.get(s, (None, None))
+        if a is None or top is None or a >= top:
+            status = st
+        stored[s] = (status, max([x for x in (a, top) if x is not None], default=None))
+    assert {r.subscription: (r.status, r.event_at and r.event_at.day) for r in after.collect()} == stored
