@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW, MIN_TOKENS = 8, 13
-#: Benchmark windows that may be broadcast (16 bytes each); more of them are joined by shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Benchmark windows, and places in documents to check, that may be broadcast (16 to 24 bytes each); more of them are joined by shuffle.
+BROADCAST_WINDOWS, BROADCAST_PLACES = 2_000_000, 1_000_000
 
 #: Fixed words for units, as they stand after a number.
 UNITS = "km|kg|mg|cm|mm|ml|kwh|mph|kmh|gb|mb|ms|hz|khz|mhz|kw|ft|lb|lbs|oz|m|g|l|s|h|w|v|a|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|miles?|meters?|metres?|kilometers?|kilometres?|feet|inch|inches|yards?|grams?|kilograms?|tons?|tonnes?|liters?|litres?|gallons?|dollars?|euros?|cents?|pounds?|usd|eur|gbp|percent|degrees?|heures?|jours?|ans|mètres?|stunden?|tage?|jahre?|meter|horas?|días?|años?|metros?"
@@ -113,6 +113,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     found = cut(found.distinct(), "aligned")
     # a document's tokens are made once, whatever the number of its offsets
     places = found.groupBy("row_key").agg(F.collect_list(F.struct("item_key", "offset")).alias("places"))
+    places = F.broadcast(places) if found.count() <= BROADCAST_PLACES else places
     aligned = own.join(places, "row_key").select("row_key", "id", slot_tokens(F.col("body")).alias("doc_slots"), "places")
     aligned = aligned.select("row_key", "id", "doc_slots", F.inline("places")).join(items, "item_key")
 
@@ -139,4 +140,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_unseen(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the documents that contain no benchmark item."""
     gone = cut(matches(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("row_key").alias("_gone")).distinct(), "contaminated")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_PLACES else gone
     return docs.join(gone, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("_gone"), "left_anti")
