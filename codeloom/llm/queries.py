@@ -129,4 +129,17 @@ def _op2_sql() -> str:
     FROM g WHERE pairs = mines AND n >= least(size, {d.MIN_TOKENS}) GROUP BY r, doc_id, item_id"""
 
 
-ORACLES = {"op2_decontamination": _op2_sql(), "op9_url_vocabulary": _op9_sql()}
+def _op5_sql() -> str:
+    """Windows as strings; each word's place is marked where a repeated window covers it."""
+    w = substring.WINDOW
+    return f"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    win AS (SELECT doc_id, k, array_to_string(list_slice(words, k, k + {w - 1}), ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - {w - 2})) AS k FROM d WHERE len(words) >= {w})),
+    first AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + {w})) AS j FROM win JOIN first USING (s) WHERE least < doc_id),
+    each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM d),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
+    SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+ORACLES = {"op2_decontamination": _op2_sql(), "op5_repeated_passages": _op5_sql(), "op9_url_vocabulary": _op9_sql()}

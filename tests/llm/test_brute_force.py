@@ -127,6 +127,18 @@ def test_slots_are_gapless(spark, edge, empty):
     assert sharding.shard_rows(empty, 5).count() == 0
 
 
+def test_shards_are_the_plain_ones(spark, edge):
+    import struct
+
+    import xxhash
+
+    for r in sharding.shard_rows(edge.filter("doc_id is not null"), 40).collect():
+        key = xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+        assert (r.shard, r.grown_shard) == (plain_jump(key, 40), plain_jump(key, 41))
+        text = next(x.text for x in edge.collect() if x.doc_id == r.doc_id) or ""
+        assert (r.size, r.text_crc32, r.law) == (len(text.encode()) + 16, zlib.crc32(text.encode()), "key")
+
+
 # 4
 
 
@@ -288,6 +300,20 @@ def test_all_row_filters():
     assert (media._unfilter(kinds, rows) == want).all()
 
 
+def test_low_frequencies_against_sums():
+    rng = np.random.default_rng(3)
+    for rows in (1, 5, 70):
+        a = rng.integers(0, 256, (rows, 64)).astype(np.uint8)
+        n, k = media.SIDE, media.LOW
+        spans = lambda size: [(i * size // n, max(i * size // n + 1, (i + 1) * size // n)) for i in range(n)]
+        small = [[a[y0:y1, x0:x1].astype(float).mean() for x0, x1 in spans(64)] for y0, y1 in spans(rows)]
+        cos = [[np.cos(np.pi * (2 * x + 1) * u / (2 * n)) for x in range(n)] for u in range(k)]
+        low = [round(sum(small[y][x] * cos[v][y] * cos[u][x] for y in range(n) for x in range(n)), 6) for v in range(k) for u in range(k)]
+        middle = float(np.median(low[1:]))
+        bits = "".join("1" if v > middle else "0" for v in low)
+        assert media.frequency_hash(a) == f"{int(bits, 2):0{k * k // 4}x}"
+
+
 def test_media_digest(spark, edge, empty):
     got = media.media_digest(edge).collect()
     assert len(got) == 9 and media.media_digest(empty).count() == 0
@@ -367,6 +393,32 @@ def test_templates_against_plain_counts(spark):
     assert sum(n > 0 for _, n in want) > 50 and any(t != html.read_page(r[2]).text() for r, (t, _) in zip(rows, want))
 
 
+def test_templates_need_no_broadcast(spark):
+    """With the size limit of broadcasts at one byte all joins go by shuffle, and pages come out the same."""
+    pages = [(i, f"http://h{i % 2}.example/{i}", f"<body><div>Join our list</div><div><p>text {i} {'long ' * 9}</p></div></body>") for i in range(40)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = sorted(map(tuple, html.extract(d, urls.host_of(F.col("url"))).collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        found = html.extract(d, urls.host_of(F.col("url")))
+        assert sorted(map(tuple, found.collect())) == want and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_odd_pages_and_urls(spark):
+    """Very long pages and urls, repeated rows, further columns with names that the operators use."""
+    long = "<div><p>" + "word " * 300_000 + "</p></div>"
+    rows = [(1, "http://a.net/" + "x" * 200_000, long, 1, "k"), (1, "http://a.net/" + "x" * 200_000, long, 1, "k"), (2, "casino", "<p>t</p>", 2, "k"), (None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, n int, host string")
+    got = html.extract(d.withColumn("text", F.lit("mine")).withColumn("row", F.lit(1)), urls.host_of(F.col("url"))).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 5 * 300_000 - 1), (1, 5 * 300_000 - 1), (2, 1)]
+    judged = urls.judge_urls(d.withColumn("path", F.lit("mine"))).collect()
+    assert sorted((r.page_id or 0, len(r.path), r.verdict) for r in judged) == [(0, 0, "allow"), (1, 200_001, "allow"), (1, 200_001, "allow"), (2, 0, "block")]
+    assert urls.judge_urls(d.limit(0)).count() == 0
+
+
 def test_every_page_has_its_template_removed(spark):
     if not os.path.isdir("/root/testdata/sf0.01"):
         pytest.skip("the test tables are not here")
