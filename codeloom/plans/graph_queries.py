@@ -65,6 +65,28 @@ def inherited_members(t: Tables) -> DataFrame:
     return ranking.inherited_members(tags, members(t)).select("start", "name", "owner", "depth", "module", "edition", "ttype")
 
 
+#: One model, as a single request asks for it; the tables of all sizes have it.
+ONE = 120
+
+
+def one(t: Tables) -> DataFrame:
+    return starts(t).filter(F.col("start") == ONE)
+
+
+@query(f"{tags_sql(3)}, {M} " + _INHERITED.format(er=ER, where=f" WHERE a.start = {ONE}"))
+def one_model_members(t: Tables) -> DataFrame:
+    """A single request's form: members of one model."""
+    tags = graph.ancestors(one(t), edges(t))
+    return ranking.inherited_members(tags, members(t)).select("start", "name", "owner", "depth", "module", "edition", "ttype")
+
+
+@query(f"""{tags_sql(5, "'INHERITS'")} SELECT p.comodel, p.target, a.start IS NOT NULL AS ok FROM (SELECT {ONE}::BIGINT AS comodel, unnest([{ONE}, {ONE // 4}, {ONE // 32}, 7])::BIGINT AS target) p LEFT JOIN a ON a.start = p.comodel AND a.name = p.target""")
+def one_subtype(t: Tables) -> DataFrame:
+    """A single request's form: whether one model is what four others are."""
+    targets = F.explode(F.array(*[F.lit(x).cast("bigint") for x in (ONE, ONE // 4, ONE // 32, 7)])).alias("target")
+    return graph.is_subtype(one(t).select(F.col("start").alias("comodel"), targets), edges(t))
+
+
 @query(f"{tags_sql(3)}, {M} " + _INHERITED.format(er=ER, where=" WHERE m.module = 'm3'"))
 def inherited_members_of_module(t: Tables) -> DataFrame:
     tags = graph.ancestors(starts(t), edges(t))
@@ -99,6 +121,17 @@ def field_lookup(t: Tables) -> DataFrame:
     return ranking.field_lookup(wanted, graph.ancestors(starts(t), edges(t)), members(t), magic).drop("ttype")
 
 
+@query(
+    f"{tags_sql(3)}, {M}, c AS (SELECT a.depth, a.name AS owner, m.module FROM a JOIN m ON m.model = a.name WHERE a.start = {ONE} AND m.name = 'f17')"
+    f" SELECT {ONE}::BIGINT AS start, 'f17' AS field, CASE depth WHEN 0 THEN 'direct' ELSE 'inherited' END AS step, depth, owner, module FROM (SELECT 1) LEFT JOIN (SELECT * FROM c ORDER BY depth > 0, depth, CASE WHEN depth > 0 THEN owner END, module LIMIT 1) ON true"
+)
+def one_field_lookup(t: Tables) -> DataFrame:
+    """A single request's form: where one model has one field from."""
+    wanted = one(t).select("start", F.lit("f17").alias("field"))
+    magic = t.spark.createDataFrame([(n, k) for n, k, _ in MAGIC_FIELDS], "name string, ttype string")
+    return ranking.field_lookup(wanted, graph.ancestors(one(t), edges(t)), members(t), magic).drop("ttype")
+
+
 @query(f"""WITH RECURSIVE {E}, r AS (SELECT p_partkey AS root, p_partkey AS name, 0 AS depth FROM part
   UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src WHERE r.depth < 20)
   SELECT root, name, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE name <> root GROUP BY 1, 2""")

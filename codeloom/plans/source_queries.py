@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..sources import markup, python_code, repos, spec
 from .registry import Tables, query
 
-K = F.col("p_partkey")
+def key() -> Column:
+    return F.col("p_partkey")
 
 
 def filled(template: str, *values: Column) -> Column:
@@ -90,8 +91,8 @@ class part(osv.osv):
 
 def _models(t: Tables) -> DataFrame:
     half = F.expr("p_partkey div 2")
-    modern = filled(_MODEL, K, half, F.when(K % 2 == 0, "True").otherwise("False"), half, F.when(K % 3 == 0, "super().write(vals)").otherwise("pass"))
-    return files(t.part, F.concat(F.lit("models/p"), K, F.lit(".py")), F.concat(F.lit("m"), K % 9), F.when(K % 10 == 0, filled(_LEGACY, K, half)).otherwise(modern))
+    modern = filled(_MODEL, key(), half, F.when(key() % 2 == 0, "True").otherwise("False"), half, F.when(key() % 3 == 0, "super().write(vals)").otherwise("pass"))
+    return files(t.part, F.concat(F.lit("models/p"), key(), F.lit(".py")), F.concat(F.lit("m"), key() % 9), F.when(key() % 10 == 0, filled(_LEGACY, key(), half)).otherwise(modern))
 
 
 @query("""WITH x AS (SELECT 'part.' || p_partkey AS model, 'part.' || (p_partkey // 2) AS up, 'm' || (p_partkey % 9) AS module, p_partkey AS k, p_partkey % 10 = 0 AS old FROM part)
@@ -128,8 +129,8 @@ class TestPart%s(TransactionCase):
 
 @query("""SELECT 'TestPart' || p_partkey AS test_class, ['post_install', 't' || (p_partkey % 4)] AS tagged, ['TransactionCase'] AS bases, 'test_total' AS name, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS asserts, ['part.' || p_partkey] AS model_refs FROM part""")
 def parsed_tests(t: Tables) -> DataFrame:
-    src = filled(_SUITE, K % 4, K, K, F.when(K % 2 == 0, "self.assertTrue(part)").otherwise("pass"))
-    rows = python_code.tests(files(t.part, F.concat(F.lit("tests/t"), K, F.lit(".py")), F.lit("m"), src))
+    src = filled(_SUITE, key() % 4, key(), key(), F.when(key() % 2 == 0, "self.assertTrue(part)").otherwise("pass"))
+    rows = python_code.tests(files(t.part, F.concat(F.lit("tests/t"), key(), F.lit(".py")), F.lit("m"), src))
     return rows.filter("name = 'test_total'").select("test_class", "tagged", "bases", "name", "asserts", "model_refs")
 
 
@@ -143,9 +144,9 @@ _VIEW = (
   SELECT 'view' AS kind, m || '.v' || k AS xmlid, 'part.' || k AS model, CASE WHEN k % 3 = 0 THEN 'list' ELSE 'form' END AS view_type, CASE WHEN k % 2 = 0 THEN 'extension' ELSE 'primary' END AS mode, CASE WHEN k % 2 = 0 THEN m || '.base' END AS inherit_xmlid FROM x
   UNION ALL SELECT 'qweb', m || '.t' || k, NULL, NULL, 'extension', 'web.layout' FROM x UNION ALL SELECT 'report', m || '.r' || k, 'part', NULL, NULL, NULL FROM x""")
 def parsed_views(t: Tables) -> DataFrame:
-    tag = F.when(K % 3 == 0, "list").otherwise("form")
-    text = filled(_VIEW, K, K, F.when(K % 2 == 0, '<field name="inherit_id" ref="base"/>').otherwise(""), tag, K, tag, K, K)
-    v = markup.views(files(t.part, F.concat(F.lit("views/v"), K, F.lit(".xml")), F.concat(F.lit("m"), K % 9), F.when(K % 12 == 0, "<data>").otherwise(text)))
+    tag = F.when(key() % 3 == 0, "list").otherwise("form")
+    text = filled(_VIEW, key(), key(), F.when(key() % 2 == 0, '<field name="inherit_id" ref="base"/>').otherwise(""), tag, key(), tag, key(), key())
+    v = markup.views(files(t.part, F.concat(F.lit("views/v"), key(), F.lit(".xml")), F.concat(F.lit("m"), key() % 9), F.when(key() % 12 == 0, "<data>").otherwise(text)))
     return v.select("kind", "xmlid", "model", "view_type", "mode", "inherit_xmlid")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import search
+from ..operators import joins, search
 from ..streaming import events
 from .registry import Tables, query
 
@@ -38,6 +38,13 @@ def pattern_search(t: Tables):
     return search.pattern_search(t.embeddings, _query_vector(t), 5, F.col("label") % 2 == 0, None, key="vec_id").select("vec_id")
 
 
+@query(f"WITH b AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1), h AS (SELECT vec_id, label, {_COS} AS cos FROM embeddings a, b ORDER BY cos DESC, vec_id LIMIT 20) SELECT vec_id, label, (SELECT count(*) FROM embeddings e WHERE e.label = h.label) AS dependents FROM h WHERE label % 2 = 0 ORDER BY cos DESC, vec_id LIMIT 5")
+def one_pattern_lookup(t: Tables):
+    """A single request's form: five nearest of a kind with what depends on their modules."""
+    hits = search.pattern_search(t.embeddings, _query_vector(t), 5, F.col("label") % 2 == 0, None, key="vec_id").select("vec_id", "label")
+    return joins.counted(hits, t.embeddings.select("label"), "label", "dependents")
+
+
 @query("SELECT len(embedding) AS dim, count(*) AS n FROM embeddings GROUP BY 1")
 def vector_space(t: Tables):
     return search.one_space(t.embeddings)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
@@ -12,14 +12,15 @@ from ..sources import repos, spec
 from .graph_queries import _FIELDS_SQL, _INHERITED, EDITIONS, ER, M, edges, starts, tags_sql
 from .registry import Tables, query
 
-K = F.col("p_partkey")
+def key() -> Column:
+    return F.col("p_partkey")
 
 
 def fields(t: Tables) -> DataFrame:
     """Three fields a model, as ``_FIELDS_SQL`` has them."""
-    up = t.part.select(K.alias("model"), F.lit("up").alias("name"), F.lit("many2one").alias("ttype"), F.when(K % 11 != 0, F.expr("p_partkey div 2")).alias("comodel"))
-    third = t.part.filter("p_partkey % 3 = 0").select(K.alias("model"), F.lit("third").alias("name"), F.lit("one2many").alias("ttype"), F.expr("p_partkey div 3").alias("comodel"))
-    return up.union(third).union(t.part.select(K.alias("model"), F.lit("size").alias("name"), F.lit("integer").alias("ttype"), F.lit(None).cast("bigint").alias("comodel")))
+    up = t.part.select(key().alias("model"), F.lit("up").alias("name"), F.lit("many2one").alias("ttype"), F.when(key() % 11 != 0, F.expr("p_partkey div 2")).alias("comodel"))
+    third = t.part.filter("p_partkey % 3 = 0").select(key().alias("model"), F.lit("third").alias("name"), F.lit("one2many").alias("ttype"), F.expr("p_partkey div 3").alias("comodel"))
+    return up.union(third).union(t.part.select(key().alias("model"), F.lit("size").alias("name"), F.lit("integer").alias("ttype"), F.lit(None).cast("bigint").alias("comodel")))
 
 
 def walk_sql(paths: str, hops: int = 3) -> str:
@@ -52,8 +53,8 @@ _VERSIONS = ("8.0", "9.0", "17.0", "19.0", "main")
     CASE WHEN kind IN ('term', 'no_path') AND NOT (operator IN ('=', 'in', 'child_of') OR operator = 'parent_of' AND version <> '8.0' OR operator = 'any' AND version NOT IN ('8.0', '9.0')) THEN 'unknown_operator' END), '') AS problem
   FROM x LEFT JOIN s3 USING (model, path)""")
 def domain_check(t: Tables) -> DataFrame:
-    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (K % k + 1).cast("int"))
-    d = t.part.select(K.alias("id"), K.alias("model"), pick(_VERSIONS, 5).alias("version"), pick(_DOMAINS, 4).alias("domain"))
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (key() % k + 1).cast("int"))
+    d = t.part.select(key().alias("id"), key().alias("model"), pick(_VERSIONS, 5).alias("version"), pick(_DOMAINS, 4).alias("domain"))
     return validate.check_domains(d, fields(t), 3).withColumnRenamed("at", "idx")
 
 
@@ -62,7 +63,7 @@ def domain_check(t: Tables) -> DataFrame:
   SELECT model, '_compute_x' AS name, path AS dependency, CASE WHEN list_contains(parts, 'id') THEN 'depends_on_id' WHEN status <> 'ok' THEN status END AS problem FROM s3""")
 def depends_check(t: Tables) -> DataFrame:
     even, odd = F.array(*[F.lit(x) for x in ("up.size", "up.id", "nope")]), F.array(*[F.lit(x) for x in ("third", "up.up.third", "size.x")])
-    m = t.part.select(K.alias("model"), F.lit("_compute_x").alias("name"), F.when(K % 2 == 0, even).otherwise(odd).alias("depends"))
+    m = t.part.select(key().alias("model"), F.lit("_compute_x").alias("name"), F.when(key() % 2 == 0, even).otherwise(odd).alias("depends"))
     return validate.check_depends(m.union(m), fields(t), 3)
 
 
@@ -74,7 +75,7 @@ _INH = "'INHERITS'"
   FROM w LEFT JOIN f ON f.model = w.model AND f.name = w.field LEFT JOIN a ON a.start = f.comodel AND a.name = w.target""")
 def relation_check(t: Tables) -> DataFrame:
     pair = lambda f, target: F.struct(F.lit(f).alias("field"), target.cast("bigint").alias("target"))
-    w = t.part.select(K.alias("model"), F.inline(F.array(pair("up", F.expr("p_partkey div 8")), pair("size", F.lit(1)), pair("nope", F.lit(1)), pair("third", F.expr("p_partkey div 3")))))
+    w = t.part.select(key().alias("model"), F.inline(F.array(pair("up", F.expr("p_partkey div 8")), pair("size", F.lit(1)), pair("nope", F.lit(1)), pair("third", F.expr("p_partkey div 3")))))
     return validate.check_relations(w, fields(t), edges(t))
 
 
@@ -183,7 +184,7 @@ def profile_inspect(t: Tables) -> DataFrame:
   o AS (SELECT DISTINCT start AS profile, md.name FROM up JOIN r ON r.profile = up.name JOIN md USING (repo))
   SELECT profile, name, place, total FROM (SELECT profile, name, CAST(row_number() OVER (PARTITION BY profile ORDER BY name) AS INTEGER) AS place, count(*) OVER (PARTITION BY profile) AS total FROM o) WHERE place <= 50""")
 def profile_modules(t: Tables) -> DataFrame:
-    return tools.profile_modules(_profiles(t), _repos(t), t.part.select(K.alias("name"), (K % 500).alias("repo")), 0, 80).select("profile", "name", "place", "total")
+    return tools.profile_modules(_profiles(t), _repos(t), t.part.select(key().alias("name"), (key() % 500).alias("repo")), 0, 80).select("profile", "name", "place", "total")
 
 
 @query("SELECT p.s_suppkey AS name, c.s_suppkey AS child FROM supplier p LEFT JOIN supplier c ON c.s_suppkey // 2 = p.s_suppkey AND c.s_suppkey > 1")
@@ -250,9 +251,9 @@ def command_help(t: Tables) -> DataFrame:
   r AS (SELECT p_partkey AS command, '--f' || (p_partkey % 5) AS flag, 'edge' AS successor FROM part WHERE p_partkey % 3 = 0)
   SELECT w.command, w.flag, f.status IS NOT NULL AS known, f.status, f.type, f."default", coalesce(r.successor, f.replacement) AS replacement FROM w LEFT JOIN f USING (command, flag) LEFT JOIN r USING (command, flag)""")
 def flag_help(t: Tables) -> DataFrame:
-    flag = lambda m: F.concat(F.lit("--f"), K % m).alias("flag")
-    f = t.part.select(K.alias("command"), flag(5), F.col("p_brand").alias("status"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("default"), F.when(K % 2 == 0, "own").alias("replacement"))
-    return tools.flag_help(t.part.select(K.alias("command"), flag(7)), f, t.part.filter("p_partkey % 3 = 0").select(K.alias("command"), flag(5), F.lit("edge").alias("successor")))
+    flag = lambda m: F.concat(F.lit("--f"), key() % m).alias("flag")
+    f = t.part.select(key().alias("command"), flag(5), F.col("p_brand").alias("status"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("default"), F.when(key() % 2 == 0, "own").alias("replacement"))
+    return tools.flag_help(t.part.select(key().alias("command"), flag(7)), f, t.part.filter("p_partkey % 3 = 0").select(key().alias("command"), flag(5), F.lit("edge").alias("successor")))
 
 
 @query("""WITH tt AS (SELECT o_orderkey AS test, o_custkey AS test_class, o_custkey % 5 AS module, o_orderkey AS name, CASE o_orderstatus WHEN 'O' THEN 'assert' WHEN 'F' THEN 'body' ELSE 'other' END AS via, CAST(o_totalprice AS INTEGER) % 9 AS asserts FROM orders),
@@ -273,7 +274,7 @@ def tests_covering(t: Tables) -> DataFrame:
 def test_class_inspect(t: Tables) -> DataFrame:
     p = t.part
     c = p.select(F.col("p_brand").alias("name"), (F.col("p_size") % 5).alias("module"))
-    m = p.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("test_class"), (F.col("p_size") % 5).alias("module"), K.alias("method"), F.col("p_size").alias("asserts"))
+    m = p.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("test_class"), (F.col("p_size") % 5).alias("module"), key().alias("method"), F.col("p_size").alias("asserts"))
     i = p.select(F.col("p_brand").alias("name"), F.concat(F.lit("Base"), F.col("p_size") % 3).alias("base")).union(p.filter("p_size > 40").select("p_brand", F.lit("Brand#11")))
     return tools.test_class_inspect(c, m, i)
 
@@ -340,7 +341,7 @@ def gc_unseen(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey AS name, 'v' AS version, p_size AS module, p_partkey % 6 <> 0 AS is_definition FROM part")
 def heal_flags(t: Tables) -> DataFrame:
-    n = t.part.select(K.alias("name"), F.lit("v").alias("version"), F.col("p_size").alias("module"), F.lit(False).alias("is_definition"))
+    n = t.part.select(key().alias("name"), F.lit("v").alias("version"), F.col("p_size").alias("module"), F.lit(False).alias("is_definition"))
     return store.heal_flags(n, n.filter("name % 6 = 0"))
 
 
@@ -351,7 +352,7 @@ _SAFETY = ("never",) * 5 + ("usually",) * 3 + ("always",) * 2 + ("usually",) * 4
 
 @query(f"SELECT p_partkey, {list(_KINDS)}[p_partkey % 14 + 1] AS kind, {list(_SAFETY)}[p_partkey % 14 + 1] AS super_safety, p_partkey % 14 IN (8, 9) AS return_required FROM part")
 def method_conventions(t: Tables) -> DataFrame:
-    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (K % 14 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (key() % 14 + 1).cast("int"))
     return t.part.select("p_partkey", scalars.method_convention(name).alias("c")).select("p_partkey", "c.*")
 
 
@@ -359,7 +360,7 @@ def method_conventions(t: Tables) -> DataFrame:
 def effective_readonly(t: Tables) -> DataFrame:
     s = F.col("p_size")
     on = lambda c: F.when(c, F.lit("x"))
-    return t.part.select("p_partkey", scalars.effective_readonly(F.when(K % 3 == 0, K % 2 == 0), on(s % 2 == 0), on(s % 3 == 0), on(s % 5 == 0)).alias("readonly"))
+    return t.part.select("p_partkey", scalars.effective_readonly(F.when(key() % 3 == 0, key() % 2 == 0), on(s % 2 == 0), on(s % 3 == 0), on(s % 5 == 0)).alias("readonly"))
 
 
 _TOKENS = (".o_form", "$a", "@media", "@brand x", ".a .b-c", ".a plain word", "&:hover", "o-flex", "button", "> .x", ".btn > .icon", "#", " .x ", "--gap")
@@ -368,7 +369,7 @@ _LITERAL = (True, True, False, False, True, False, True, True, False, False, Tru
 
 @query(f"SELECT p_partkey, {[int(x) for x in _LITERAL]}[p_partkey % 14 + 1] = 1 AS literal, CASE WHEN p_partkey % 14 IN (1, 2, 3) THEN 'content' ELSE 'entity_name' END AS searched FROM part")
 def style_literals(t: Tables) -> DataFrame:
-    q = F.element_at(F.array(*[F.lit(n) for n in _TOKENS]), (K % 14 + 1).cast("int"))
+    q = F.element_at(F.array(*[F.lit(n) for n in _TOKENS]), (key() % 14 + 1).cast("int"))
     return t.part.select("p_partkey", text.style_literal(q).alias("literal"), text.literal_column(q).alias("searched"))
 
 
@@ -379,7 +380,7 @@ _LINES = ("cr.commit()", "cr.commit()  # noqa", "cr.commit() # noqa: E1, W2", "t
   SELECT path, line, 'E1' AS rule_id, 'pattern' AS match FROM l WHERE k IN (0, 5) UNION ALL SELECT path, line, 'W1', 'fuzzy' FROM l WHERE k = 3
   UNION ALL SELECT path, line, 'W2', 'fuzzy' FROM l WHERE k = 3""")
 def lint_check(t: Tables) -> DataFrame:
-    lines = t.part.select(F.concat(F.lit("p"), F.expr("p_partkey div 6")).alias("path"), ((K % 6).cast("int") + 1).alias("line"), F.element_at(F.array(*[F.lit(x) for x in _LINES]), (K % 6 + 1).cast("int")).alias("text"))
+    lines = t.part.select(F.concat(F.lit("p"), F.expr("p_partkey div 6")).alias("path"), ((key() % 6).cast("int") + 1).alias("line"), F.element_at(F.array(*[F.lit(x) for x in _LINES]), (key() % 6 + 1).cast("int")).alias("text"))
     rules = t.spark.createDataFrame([("E1", r"cr\.commit\(\)", "commit"), ("W1", "(unclosed", "avoid the translation method"), ("W2", None, "translation method string"), ("W3", None, "translation")], "rule_id string, code_pattern string, message string")
     return spec.check_lines(lines, rules)
 
@@ -414,7 +415,7 @@ def existence_probe(t: Tables) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '[m] ' || p_brand || '.' || p_name || ' (v)' || chr(10) || p_type WHEN 1 THEN '[m] ' || p_brand || ': ' || p_name || ' (d)' || chr(10) || p_type WHEN 2 THEN '[m] ' || p_name || ' (d)' || chr(10) || p_type WHEN 3 THEN '[m] ' || p_name || chr(10) || p_type ELSE p_type END AS content FROM part""")
 def chunk_texts(t: Tables) -> DataFrame:
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("method", "field", "view", "qweb", "css")]), (K % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("method", "field", "view", "qweb", "css")]), (key() % 5 + 1).cast("int"))
     head = text.chunk_header(kind, F.lit("m"), F.lit("v"), F.col("p_brand"), F.col("p_name"), F.lit("d"))
     return t.part.select("p_partkey", text.headed(kind, head, F.col("p_type")).alias("content"))
 
