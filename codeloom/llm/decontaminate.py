@@ -70,7 +70,8 @@ def slot_tokens(text: Column) -> Column:
 
 def canonical(token: Column) -> Column:
     """The template token of a slot token."""
-    return F.when(token.startswith(NAME), F.regexp_replace(token, r"(?:§\p{Ll}+)+", NAME)).when(token.startswith(UNIT), F.lit(UNIT)).otherwise(F.regexp_replace(token, _VALUE_RE, NUMBER))
+    return F.when(token.startswith(NAME), F.regexp_replace(token, r"(?:§\p{Ll}+)+", NAME)).when(token.startswith(UNIT), F.lit(UNIT)).otherwise(
+        F.regexp_replace(token, _VALUE_RE, NUMBER))
 
 
 def is_slot(token: Column) -> Column:
@@ -79,15 +80,19 @@ def is_slot(token: Column) -> Column:
 
 def window_keys(tokens: Column, sizes: list[int], tag: str) -> Column:
     """(at, key) of every window of each of the sizes: a hash of its tokens, its size by its length, and ``tag``. The array is bound once, as a lambda's variable."""
-    own = lambda a, w: F.when(F.size(a) >= w, F.transform(F.sequence(F.lit(0), F.size(a) - w), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(tag), F.slice(a, i + 1, w)).alias("key")))).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+    own = lambda a, w: F.when(F.size(a) >= w, F.transform(F.sequence(F.lit(0), F.size(a) - w),
+        lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(tag), F.slice(a, i + 1, w)).alias("key")))).otherwise(
+            F.array().cast("array<struct<at:int,key:bigint>>"))
     return F.element_at(F.transform(F.array(tokens), lambda a: F.concat(*[own(a, w) for w in sizes])), 1)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """One row for each document and item it contains: id, item, n_tokens (equal aligned tokens), n_slots, ``row_key``."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     own = own.withColumn("row_key", F.xxhash64("id", "body"))
-    items = benchmark.select(F.col(item_col).alias("item"), slot_tokens(F.col(item_text)).alias("item_slots"), template_tokens(F.col(item_text)).alias("item_tokens"))
+    items = benchmark.select(F.col(item_col).alias("item"), slot_tokens(F.col(item_text)).alias("item_slots"),
+        template_tokens(F.col(item_text)).alias("item_tokens"))
     items = items.withColumn("size", F.size("item_tokens")).filter(F.col("size") > 0).distinct()
     items = items.withColumn("item_key", F.xxhash64("item", "item_slots"))
     items = cut(items, "items")
@@ -96,13 +101,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     part = lambda c: F.slice(c, F.col("item_at") + 1, F.col("w"))
     literal = F.exists(part("item_tokens"), lambda t: ~t.isin(NAME, UNIT, NUMBER))
     kind = F.when(literal, TEMPLATE).otherwise(VALUES)
-    keys = starts.select("item_key", "item_at", "w", kind.alias("kind"), F.when(literal, F.xxhash64(F.lit(TEMPLATE), part("item_tokens"))).otherwise(F.xxhash64(F.lit(VALUES), part("item_slots"))).alias("key"))
+    keys = starts.select("item_key", "item_at", "w", kind.alias("kind"), F.when(literal, F.xxhash64(F.lit(TEMPLATE), part("item_tokens"))).otherwise(
+        F.xxhash64(F.lit(VALUES), part("item_slots"))).alias("key"))
     keys = cut(keys, "item-windows")
     # at most ``window`` sizes of each kind; a document's tokens are made once for all of them
     wanted = [(r.kind, r.w) for r in keys.groupBy("kind", "w").count().orderBy("kind", "w").collect()]
     found = None
     if wanted:
-        lists = [window_keys(make(F.col("body")), [w for k, w in wanted if k == tag], tag) for tag, make in ((TEMPLATE, template_tokens), (VALUES, slot_tokens)) if any(k == tag for k, _ in wanted)]
+        lists = [window_keys(make(F.col("body")), [w for k, w in wanted if k == tag], tag) for tag,
+            make in ((TEMPLATE, template_tokens), (VALUES, slot_tokens)) if any(k == tag for k, _ in wanted)]
         rows = own.select("row_key", F.inline(F.concat(*lists)))
         keys = keys.select("item_key", "item_at", "key")
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_WINDOWS else keys
@@ -128,7 +135,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     both = both.select("row_key", "id", "item", "size", F.size("pairs").alias("n_tokens"), slots.alias("slots"))
     one_value = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["mine"])))
     good = both.filter(one_value & (F.col("n_tokens") >= F.least(F.col("size"), F.lit(min_tokens))))
-    return good.groupBy("row_key", "id", "item").agg(F.max("n_tokens").alias("n_tokens"), F.max(F.size("slots")).alias("n_slots")).select("id", "item", "n_tokens", "n_slots", "row_key")
+    return good.groupBy("row_key", "id", "item").agg(F.max("n_tokens").alias("n_tokens"), F.max(F.size("slots")).alias("n_slots")).select("id",
+        "item", "n_tokens", "n_slots", "row_key")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **columns: str) -> DataFrame:

@@ -51,7 +51,9 @@ BLOCK = frozenset("address article blockquote body caption center dd details div
 CONTAINER = frozenset("center details div dl figure header ol section span table ul".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "figcaption", "li", "dd", "dt", "summary"}
 #: A start tag ends these open elements, looked for no further up than the stops.
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
+SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
+        "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -264,7 +266,8 @@ def _within(n: Node, tags: frozenset[str]) -> list[Node]:
 
 
 SKELETON = "key array<long>, parent array<int>, open array<boolean>, main array<boolean>, pieces array<string>, at array<int>, block array<int>"
-_LISTS = [("key", pa.int64()), ("parent", pa.int32()), ("open", pa.bool_()), ("main", pa.bool_()), ("pieces", pa.string()), ("at", pa.int32()), ("block", pa.int32())]
+_LISTS = [("key", pa.int64()), ("parent", pa.int32()), ("open", pa.bool_()), ("main", pa.bool_()), ("pieces", pa.string()), ("at", pa.int32()),
+    ("block", pa.int32())]
 
 
 def parsed(df: DataFrame, id_col: str, url_col: str, html_col: str, host: Column) -> DataFrame:
@@ -278,7 +281,8 @@ def parsed(df: DataFrame, id_col: str, url_col: str, html_col: str, host: Column
                 if t is not None:
                     p.pieces = p.at = p.block = []
             lists = [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in _LISTS]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), *lists], ["id", "url", "text", *(name for name, _ in _LISTS)])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), *lists],
+                ["id", "url", "text", *(name for name, _ in _LISTS)])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     kind = slim.schema["id"].dataType.simpleString()
@@ -303,17 +307,20 @@ def templates(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
 def extract(df: DataFrame, host: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = MANY_PAGES) -> DataFrame:
     """id, url, text, n_template (subtrees deleted because they recur across the host) and n_chars of every page."""
     pages = parsed(df, id_col, url_col, html_col, host)
-    hits = templates(pages, many).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n_template"), F.collect_set(F.when(F.col("main"), F.struct("key", "up"))).alias("gone"))
+    hits = templates(pages, many).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n_template"),
+        F.collect_set(F.when(F.col("main"), F.struct("key", "up"))).alias("gone"))
     hits = cut(hits, "template-hits")
     count = F.coalesce("n_template", F.lit(0)).alias("n_template")
-    settled = pages.filter("text is not null").select("row", "id", "url", "text").join(hits.select("row", "n_template"), "row", "left").select("id", "url", "text", count)
+    settled = pages.filter("text is not null").select("row", "id", "url", "text").join(hits.select("row", "n_template"), "row", "left").select("id",
+        "url", "text", count)
     doubtful = pages.filter("text is null").join(hits, "row", "left").select("id", "url", count, "gone", *(name for name, _ in _LISTS))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 128):
             lists = zip(*(b.column(name).to_pylist() for name, _ in _LISTS))
             texts = [Page(*own).text({(g["key"], g["up"]) for g in gone or ()}) for own, gone in zip(lists, b.column("gone").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), b.column("n_template")], ["id", "url", "text", "n_template"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), b.column("n_template")],
+                ["id", "url", "text", "n_template"])
 
     kind = pages.schema["id"].dataType.simpleString()
     both = settled.union(doubtful.mapInArrow(tidy(finish), f"id {kind}, url string, text string, n_template int"))

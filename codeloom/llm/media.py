@@ -156,7 +156,8 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for b in small_batches(batches, 64):
             raws = utf8(b.column("text").to_pylist())
             images = [encode_png(np.frombuffer(pad(r), np.uint8).reshape(-1, WIDTH)) for r in raws]
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "n_bytes": pa.array([len(r) for r in raws], pa.int64()), "media": pa.array(images, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "n_bytes": pa.array([len(r) for r in raws], pa.int64()),
+                "media": pa.array(images, pa.binary())})
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(write, "id long, n_bytes long, media binary")
 
@@ -170,10 +171,12 @@ def media_features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for png in b.column("media").to_pylist():
                 samples = decode_png(png)
                 payload = samples.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(png), hashlib.sha256(png).hexdigest(), frequency_hash(samples)))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(png),
+                    hashlib.sha256(png).hexdigest(), frequency_hash(samples)))
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_pydict({
-                "id": b.column("id"), "n_bytes": b.column("n_bytes"), "payload_bytes": pa.array(cols[0], pa.int64()), "payload_sha256": pa.array(cols[1], pa.string()), "tail_crc32": pa.array(cols[2], pa.int64()),
+                "id": b.column("id"), "n_bytes": b.column("n_bytes"), "payload_bytes": pa.array(cols[0], pa.int64()),
+                    "payload_sha256": pa.array(cols[1], pa.string()), "tail_crc32": pa.array(cols[2], pa.int64()),
                 "media_bytes": pa.array(cols[3], pa.int64()), "media_sha256": pa.array(cols[4], pa.string()), "feature": pa.array(cols[5], pa.string()),
             })
 

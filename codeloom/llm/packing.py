@@ -53,7 +53,8 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     rows.append((i, k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
                     at += n
             cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                ["id", "piece", "start", "length", "ids_crc32"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), PIECES)
 
@@ -69,7 +70,8 @@ def matched(todo: DataFrame, gaps: DataFrame) -> DataFrame:
     line = pieces_.union(gaps.groupBy(F.col("size").alias("at")).agg(F.sum("n").alias("n")).select("at", "n", F.lit(1).alias("kind")))
     # at most two rows for each length up to the capacity, whatever the input: one task sorts them
     order = Window.orderBy("at", "kind")
-    line = line.coalesce(1).withColumn("place", F.row_number().over(order)).withColumn("sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(order))
+    line = line.coalesce(1).withColumn("place", F.row_number().over(order)).withColumn("sum",
+        F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(order))
     line = line.withColumn("open", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order))).withColumn("was", F.lag("open", 1, 0).over(order))
     top = F.greatest("open", "was")
     spans = line.select("at", "kind", "place", F.least("open", "was").alias("lo"), top.alias("hi")).filter("hi > lo")
@@ -94,9 +96,11 @@ def one_round(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     met = met.select("size", "length", "units", "copies", "rank").withColumn("from_", _before(F.col("units"), "size", F.desc("length")))
     held = gaps.withColumn("begin", _before(F.col("n"), "size", F.col("first")))
     lo, hi = F.greatest("from_", "begin"), F.least(F.col("from_") + F.col("units"), F.col("begin") + F.col("n"))
-    cuts = met.join(held, "size").select("size", "length", "units", "copies", "rank", (lo - F.col("from_")).alias("skip"), (F.col("first") + lo - F.col("begin")).alias("seq"), (hi - lo).alias("k")).filter("k > 0")
+    cuts = met.join(held, "size").select("size", "length", "units", "copies", "rank", (lo - F.col("from_")).alias("skip"),
+        (F.col("first") + lo - F.col("begin")).alias("seq"), (hi - lo).alias("k")).filter("k > 0")
     row = lambda kind, *v: F.struct(F.lit(kind).alias("kind"), *[(F.lit(None) if i >= len(v) else v[i]).cast("long").alias(c) for i, c in enumerate("abcde")])
-    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda j: row("run", F.col("length"), F.col("rank") + j * F.col("units") + F.col("skip"), F.col("k"), F.col("seq"), F.lit(capacity) - F.col("size") + j * F.col("length")))
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda j: row("run", F.col("length"),
+        F.col("rank") + j * F.col("units") + F.col("skip"), F.col("k"), F.col("seq"), F.lit(capacity) - F.col("size") + j * F.col("length")))
     after = row("gap", F.col("size") - F.col("copies") * F.col("length"), F.col("seq"), F.col("k"))
     new = cuts.select(F.inline(F.concat(F.array(after), runs))).filter("kind = 'run' or a > 0")
     # of a gap run, what lies behind all units that its size gives away stays as it is
@@ -105,19 +109,22 @@ def one_round(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     stay = held.join(given, "size", "left").select(F.inline(F.array(row("gap", F.col("size"), F.col("first") + over, F.col("n") - over)))).filter("c > 0")
     used = met.groupBy("length").agg(F.sum(F.col("units") * F.col("copies")).alias("used"))
     gone = F.coalesce("used", F.lit(0))
-    left = todo.join(used, "length", "left").select(F.inline(F.array(row("todo", F.col("length"), F.col("taken") + gone, F.col("left_") - gone)))).filter("c > 0")
+    left = todo.join(used, "length", "left").select(F.inline(F.array(row("todo", F.col("length"), F.col("taken") + gone,
+        F.col("left_") - gone)))).filter("c > 0")
     return new.union(stay).union(left)
 
 
 def rounds(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Runs (run_length, first_rank, n, first_sequence, offset) that place all pieces. ``counts`` has ``length`` and ``n``."""
     spark = counts.sparkSession
-    rows = counts.coalesce(1).select(F.lit("todo").alias("kind"), F.col("length").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("n").cast("long").alias("c"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
+    rows = counts.coalesce(1).select(F.lit("todo").alias("kind"), F.col("length").cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
+        F.col("n").cast("long").alias("c"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
     state, opened, placed = cut(rows, "round"), 0, []
     while True:
         left = F.when(F.col("kind") == "todo", F.col("c"))
         total = state.agg(
-            F.sum(left * F.col("a")).alias("tokens"), F.sum(F.when(2 * F.col("a") > capacity, left)).alias("large"), F.min(F.when(left > 0, F.col("a"))).alias("shortest"),
+            F.sum(left * F.col("a")).alias("tokens"), F.sum(F.when(2 * F.col("a") > capacity, left)).alias("large"),
+                F.min(F.when(left > 0, F.col("a"))).alias("shortest"),
             F.max(F.when(left > 0, F.col("a"))).alias("longest"), F.max(F.when(F.col("kind") == "gap", F.col("a"))).alias("gap"),
         ).first()
         if not total.tokens:
@@ -150,7 +157,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("first_rank")).select(*parts.columns, "sequence_id", "offset")
 
 
-def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None,
+    capacity: int = CAPACITY) -> DataFrame:
     """doc id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     # written before they are range-sorted, since sorting samples its input and would encode the texts twice
     parts = cut(pieces(df, tokenizer, id_col, text_col, end_id, capacity), "pieces")

@@ -115,16 +115,21 @@ def _op2_sql() -> str:
     cut = lambda x: f"array_to_string(list_slice({x}, k, k + w - 1), ' ')"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, {tokens(template)} AS t, {tokens(slots)} AS s FROM (SELECT DISTINCT doc_id, text FROM documents)),
-    i AS (SELECT *, least(len(t), {d.WINDOW}) AS w FROM (SELECT row_number() OVER () AS q, item_id, {tokens(template)} AS t, {tokens(slots)} AS s FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(t) > 0),
-    iw AS (SELECT q, w, k, {cut('t')} AS win, {cut('s')} AS vals, len(list_filter(list_slice(t, k, k + w - 1), lambda x: x NOT IN ('§', '¤', '0'))) > 0 AS literal
+    i AS (SELECT *, least(len(t), {d.WINDOW}) AS w FROM (SELECT row_number() OVER () AS q, item_id, {tokens(template)} AS t, {tokens(slots)} AS s
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(t) > 0),
+    iw AS (SELECT q, w, k, {cut('t')} AS win, {cut('s')} AS vals, len(list_filter(list_slice(t, k, k + w - 1), lambda x: x NOT IN ('§', '¤',
+    '0'))) > 0 AS literal
            FROM (SELECT q, w, t, s, unnest(range(1, len(t) - w + 2)) AS k FROM i)),
-    dw AS (SELECT r, w, k, {cut('t')} AS win, {cut('s')} AS vals FROM (SELECT r, w, t, s, unnest(range(1, len(t) - w + 2)) AS k FROM d, (SELECT DISTINCT w FROM i) WHERE len(t) >= w)),
+    dw AS (SELECT r, w, k, {cut('t')} AS win, {cut('s')} AS vals FROM (SELECT r, w, t, s, unnest(range(1, len(t) - w + 2)) AS k FROM d,
+    (SELECT DISTINCT w FROM i) WHERE len(t) >= w)),
     h AS (SELECT r, q, dw.k - iw.k AS off FROM dw JOIN iw ON dw.w = iw.w AND dw.win = iw.win AND literal
           UNION SELECT r, q, dw.k - iw.k FROM dw JOIN iw ON dw.w = iw.w AND dw.vals = iw.vals AND NOT literal),
-    p AS (SELECT h.r, h.q, off, d.doc_id, i.item_id, len(i.t) AS size, unnest(range(1, len(i.s) + 1)) AS j, d.s AS ds, i.s AS si FROM h JOIN d USING (r) JOIN i USING (q)),
+    p AS (SELECT h.r, h.q, off, d.doc_id, i.item_id, len(i.t) AS size, unnest(range(1, len(i.s) + 1)) AS j, d.s AS ds, i.s AS si FROM h
+    JOIN d USING (r) JOIN i USING (q)),
     b AS (SELECT r, q, off, doc_id, item_id, size, si[j] AS mine, ds[j + off] AS theirs FROM p WHERE j + off >= 1 AND j + off <= len(ds)),
     a AS (SELECT * FROM b WHERE {canon('mine')} = {canon('theirs')}),
-    g AS (SELECT r, q, off, doc_id, item_id, size, count(*) AS n, count(DISTINCT (mine, theirs)) FILTER (WHERE {slot}) AS pairs, count(DISTINCT mine) FILTER (WHERE {slot}) AS mines FROM a GROUP BY ALL)
+    g AS (SELECT r, q, off, doc_id, item_id, size, count(*) AS n, count(DISTINCT (mine, theirs)) FILTER (WHERE {slot}) AS pairs, count(DISTINCT mine)
+    FILTER (WHERE {slot}) AS mines FROM a GROUP BY ALL)
     SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS n_tokens, CAST(max(pairs) AS INTEGER) AS n_slots
     FROM g WHERE pairs = mines AND n >= least(size, {d.MIN_TOKENS}) GROUP BY r, doc_id, item_id"""
 
@@ -134,12 +139,14 @@ def _op5_sql() -> str:
     w = substring.WINDOW
     return f"""
     WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
-    win AS (SELECT doc_id, k, array_to_string(list_slice(words, k, k + {w - 1}), ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - {w - 2})) AS k FROM d WHERE len(words) >= {w})),
+    win AS (SELECT doc_id, k, array_to_string(list_slice(words, k, k + {w - 1}), ' ') AS s FROM (SELECT doc_id, words, unnest(range(1,
+    len(words) - {w - 2})) AS k FROM d WHERE len(words) >= {w})),
     first AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
     gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + {w})) AS j FROM win JOIN first USING (s) WHERE least < doc_id),
     each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM d),
     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
-    SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+    SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT
+    JOIN kept USING (doc_id)"""
 
 
 ORACLES = {"op2_decontamination": _op2_sql(), "op5_repeated_passages": _op5_sql(), "op9_url_vocabulary": _op9_sql()}

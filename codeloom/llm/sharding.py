@@ -57,6 +57,7 @@ def shard_rows(df: DataFrame, shards: int, key_col: str = "doc_id", text_col: st
     raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
     slim = df.select(F.col(key_col).alias("_key"), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     hashed = slim.withColumn("_hash", F.xxhash64("_key"))
-    placed = hashed.select("_key", "size", "text_crc32", jump_shard(F.col("_hash"), shards).alias("shard"), jump_shard(F.col("_hash"), shards + 1).alias("grown_shard"))
+    placed = hashed.select("_key", "size", "text_crc32", jump_shard(F.col("_hash"), shards).alias("shard"),
+        jump_shard(F.col("_hash"), shards + 1).alias("grown_shard"))
     slots = running(placed, ["_key", "text_crc32", "size"], ["shard"], label="shards")
     return slots.select(F.col("_key").alias(key_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("rank").alias("slot"), "grown_shard")

@@ -237,16 +237,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             removed.append(len(words) - int(keep.sum()))
             spans.append([{"start": a, "stop": z} for a, z in zip(starts.tolist(), stops.tolist())])
         ids = docs_.column("id").take(pa.array(b.order))
-        columns = [ids, pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, out_schema.field("spans").type)]
+        columns = [ids, pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
+            pa.array(spans, out_schema.field("spans").type)]
         out = pa.table([*columns, docs_.column("row").take(pa.array(b.order))], names=[*out_schema.names, "row"])
         del b
         give_back()
         return out
 
-    out_schema = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
+    out_schema = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
+        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
     sent = dealt.groupBy("bucket").applyInArrow(send, "owner long, range long, hashes binary")
     answers = smaller_ids(sent, buckets, bits, bits, OWNERS)
-    kinds = StructType.fromDDL("id long, kept string, n_words long, n_removed long, spans array<struct<start:long,stop:long>>").add("row", docs.schema["row"].dataType)
+    kinds = StructType.fromDDL("id long, kept string, n_words long, n_removed long, spans array<struct<start:long,stop:long>>").add("row",
+        docs.schema["row"].dataType)
     merged = dealt.groupBy("bucket").cogroup(answers.groupBy("owner")).applyInArrow(merge, kinds)
     return (merged if carry else merged.drop("row")).withColumnRenamed("id", id_col)
 

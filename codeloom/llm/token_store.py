@@ -138,7 +138,8 @@ class Reader:
             k = until
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> tuple[list[dict], bytes]:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> tuple[
+    list[dict], bytes]:
     """Encode whole texts and write them as files under ``path`` in ascending id order.
 
     Returns the files in order (uri, n_docs, n_tokens) and the dictionary. A task names its file anew at each
@@ -166,7 +167,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
         if writer:
             writer.finish()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "uri": [f"{path}/{part:06d}-{name}.tok"], "n_docs": pa.array([len(writer.entries)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "uri": [f"{path}/{part:06d}-{name}.tok"],
+                "n_docs": pa.array([len(writer.entries)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
 
     # rows of one id, or without one, are told apart by their texts and their places in the input, so that no id needs one task
     tied = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id())
@@ -197,8 +199,10 @@ def read_tokens(spark, files: list[dict], dictionary: bytes) -> DataFrame:
                     x = reader.index
                     n = x["n_tokens"].astype("i8")
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(x["doc_id"], mask=x["null_id"].astype(bool)), "start": pa.array(start + np.cumsum(n) - n), "n_tokens": pa.array(n), "ids_crc32": pa.array(crcs),
-                        "file": [uri] * len(x), "frame_at": pa.array(x["at"].astype("i8")), "frame_bytes": pa.array(x["size"].astype("i8")), "dictionary_sha256": [digest] * len(x),
+                        "doc_id": pa.array(x["doc_id"], mask=x["null_id"].astype(bool)), "start": pa.array(start + np.cumsum(n) - n),
+                            "n_tokens": pa.array(n), "ids_crc32": pa.array(crcs),
+                        "file": [uri] * len(x), "frame_at": pa.array(x["at"].astype("i8")), "frame_bytes": pa.array(x["size"].astype("i8")),
+                            "dictionary_sha256": [digest] * len(x),
                     })
 
     listed = spark.createDataFrame(rows, "uri string, base long").repartition(len(rows))

@@ -99,8 +99,10 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     fixed = sum(f for _, _, f in hits)
     upper, lower = share(_UPPER), share(_LOWER)
     return [
-        len(hits) / n, fixed / n, sum(weights) / n, max(weights, default=0.0), np.log1p(len(hits)), len({words[i] for i, _, _ in hits}) / n, float(len({words[i] for i, _, _ in hits})),
-        near, len(second) / n, upper / max(1e-9, upper + lower), len(_CAPS.findall(raw)) / n, share(b"!"), share(b"?"), share(_POINT), share(_SYMBOL), share(_DIGIT),
+        len(hits) / n, fixed / n, sum(weights) / n, max(weights, default=0.0), np.log1p(len(hits)), len({words[i] for i, _, _ in hits}) / n,
+            float(len({words[i] for i, _, _ in hits})),
+        near, len(second) / n, upper / max(1e-9, upper + lower), len(_CAPS.findall(raw)) / n, share(b"!"), share(b"?"), share(_POINT), share(_SYMBOL),
+            share(_DIGIT),
         len(mixed) / n, len(spaced) / n, hidden / n, float(hidden), len(_REPEAT.findall(low)) / n, len(text) / n, np.log1p(len(words)),
     ]
 
@@ -126,7 +128,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Words and word beginnings whose share of toxic rows is far above their share of others."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    starts = F.flatten(F.array(*[F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]))
+    starts = F.flatten(F.array(*[F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w,
+        k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]))
     terms = sample.select("label", F.explode(F.array_distinct(F.concat(words, starts))).alias("term"))
     n1, n0 = (sample.filter(F.col("label") == y).count() for y in (1, 0))
     if not n1 or not n0:
@@ -179,14 +182,16 @@ def score_rows(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             s = scorer.score(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "held_out": b.column("held_out"), "score": pa.array(s), "predicted": pa.array((s >= 0.5).astype("i4"))})
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "held_out": b.column("held_out"), "score": pa.array(s),
+                "predicted": pa.array((s >= 0.5).astype("i4"))})
 
     out = F.coalesce(fold(F.col("id")) % HELD_OUT == 0, F.lit(False)).alias("held_out")
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return slim.select("id", "text", out).mapInArrow(tidy(scan), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
+    label_col: str = "toxic") -> DataFrame:
     """Fit on the labelled rows of ``df``, then score every row."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))

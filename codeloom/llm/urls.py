@@ -23,7 +23,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: One of these rejects.
 STRICT = ("adult", "porn", "xxx", "nsfw", "hentai", "camgirls", "escorts", "casino", "slots", "warez", "phishing", "malware", "viagra", "cialis", "jackpot")
 #: Several distinct ones of these reject.
-SOFT = ("spam", "farm", "cheap", "pills", "free", "bet", "bets", "betting", "win", "winner", "bonus", "poker", "ads", "track", "tracker", "click", "popup", "banner", "affiliate", "sexy", "dating", "loan", "loans", "payday", "crack", "keygen", "torrent", "pharmacy", "replica", "discount")
+SOFT = ("spam", "farm", "cheap", "pills", "free", "bet", "bets", "betting", "win", "winner", "bonus", "poker", "ads", "track", "tracker", "click",
+    "popup", "banner", "affiliate", "sexy", "dating", "loan", "loans", "payday", "crack", "keygen", "torrent", "pharmacy", "replica", "discount")
 SOFT_HITS = 2
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,10 +83,13 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return best
 
 
-def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
+def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT,
+    soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """id, host, path, rule, verdict, and the counts of strict and of distinct soft terms."""
     url = F.col("url")
-    parts = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host_of(url).alias("host"), path_of(url).alias("path"), vocabulary_hits(F.translate(url, UPPER, LOWER), strict, soft).alias("hits"))
+    parts = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host_of(url).alias("host"), path_of(url).alias("path"),
+        vocabulary_hits(F.translate(url, UPPER, LOWER), strict, soft).alias("hits"))
     ruled = parts.withColumn("ruled", longest_rule(F.col("host"), F.col("path"), rules))
     by_method = F.when((F.col("hits.strict") >= 1) | (F.col("hits.soft") >= soft_hits), "block").otherwise("allow")
-    return ruled.select(F.col("id").alias(id_col), "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce(F.col("ruled.verdict"), by_method).alias("verdict"), F.col("hits.strict").alias("strict_hits"), F.col("hits.soft").alias("soft_hits"))
+    return ruled.select(F.col("id").alias(id_col), "host", "path", F.col("ruled.rule").alias("rule"),
+        F.coalesce(F.col("ruled.verdict"), by_method).alias("verdict"), F.col("hits.strict").alias("strict_hits"), F.col("hits.soft").alias("soft_hits"))
