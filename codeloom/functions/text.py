@@ -120,8 +120,10 @@ def chunk_header(kind: Column, module: Column, version: Column, owner: Column, n
         .when(kind == "field", F.concat(at, owner, F.lit(": "), name, F.lit(" "), inside(detail, none)))
         .when(kind == "view", F.concat(at, name, F.lit(" "), inside(detail, none)))
         .when(kind == "qweb", F.concat(at, name))
-        .when(kind == "test_method", F.concat(F.lit("[test] "), F.coalesce(detail, F.lit("<no model ref>")), F.lit(" via "), owner, F.lit("."), name, F.lit(" "), inside(version, none)))
-        .when(kind == "test_class", F.concat(F.lit("[test class] "), name, inside(F.coalesce(detail, F.lit("object")), none), F.lit(" in "), module, F.lit(" "), inside(version, none)))
+        .when(kind == "test_method", F.concat(F.lit("[test] "), F.coalesce(detail, F.lit("<no model ref>")), F.lit(" via "), owner, F.lit("."), name,
+            F.lit(" "), inside(version, none)))
+        .when(kind == "test_class", F.concat(F.lit("[test class] "), name, inside(F.coalesce(detail, F.lit("object")), none), F.lit(" in "), module,
+            F.lit(" "), inside(version, none)))
     )
 
 

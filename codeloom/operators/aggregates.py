@@ -66,7 +66,8 @@ def quota(used: DataFrame, plans: DataFrame, key: str) -> DataFrame:
     """used, quota, remaining (not below 0) and percent with one digit, half to even; unlimited (null) quota has null rest."""
     j = plans.join(used, key, "left").withColumn("used", F.coalesce("used", F.lit(0)))
     left = F.when(F.col("quota").isNotNull(), F.greatest(F.col("quota") - F.col("used"), F.lit(0)))
-    return j.select(key, "quota", "used", left.alias("remaining"), F.when(F.col("quota") > 0, F.bround(100.0 * F.col("used") / F.col("quota"), 1)).alias("percent"))
+    return j.select(key, "quota", "used", left.alias("remaining"), F.when(F.col("quota") > 0,
+        F.bround(100.0 * F.col("used") / F.col("quota"), 1)).alias("percent"))
 
 
 def legacy_count(df: DataFrame, keys: list[str], prop: str) -> DataFrame:

@@ -31,7 +31,8 @@ def lifecycle(old: DataFrame, new: DataFrame, old_version: str, new_version: str
     d = version_diff(old, new, key)
     at = lambda b: F.when(F.col("bucket").isin(*b), F.lit(new_version))
     side = F.when(F.col("bucket").isin("removed", "replaced"), F.lit(old_version)).otherwise(F.lit(new_version))
-    return d.filter(F.col("bucket") != "stable").select(key, side.alias("version"), at(["added"]).alias("added_in"), at(["removed", "replaced"]).alias("removed_in"), at(["deprecated"]).alias("deprecated_in"))
+    return d.filter(F.col("bucket") != "stable").select(key, side.alias("version"), at(["added"]).alias("added_in"),
+        at(["removed", "replaced"]).alias("removed_in"), at(["deprecated"]).alias("deprecated_in"))
 
 
 def flag_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -29,7 +29,8 @@ def ancestors(starts: DataFrame, edges: DataFrame, hops: int = 3, kinds: Sequenc
     joins the names of the last depth with the edges and keeps the nearest way to each name, so many paths to one name
     cost one row and no hop is computed twice.
     """
-    step = edges.filter(F.col("kind").isin(*kinds) & (F.col("src") != F.col("dst"))).select("src", "dst", F.struct(_kind_rank(F.col("kind")).alias("r"), F.coalesce("via_field", F.lit("")).alias("v"), "kind", "via_field").alias("edge")).distinct()
+    step = edges.filter(F.col("kind").isin(*kinds) & (F.col("src") != F.col("dst"))).select("src", "dst",
+        F.struct(_kind_rank(F.col("kind")).alias("r"), F.coalesce("via_field", F.lit("")).alias("v"), "kind", "via_field").alias("edge")).distinct()
     none = F.lit(None).cast(step.schema["edge"].dataType)
     found = starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth"), none.alias("edge")).distinct()
     for depth in range(1, hops + 1):
@@ -75,7 +76,8 @@ def walk_paths(paths: DataFrame, members: DataFrame, hops: int) -> DataFrame:
     join for all paths at once.
     """
     parts = F.filter(F.split("path", r"\."), lambda p: p != "")
-    now = paths.select("model", "path", parts.alias("parts"), F.col("model").alias("here"), F.lit(None).cast("string").alias("status"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("ttype"), F.lit(None).cast("string").alias("comodel"))
+    now = paths.select("model", "path", parts.alias("parts"), F.col("model").alias("here"), F.lit(None).cast("string").alias("status"),
+        F.lit(0).alias("at"), F.lit(None).cast("string").alias("ttype"), F.lit(None).cast("string").alias("comodel"))
     now = now.withColumn("status", F.when(F.size("parts") == 0, F.lit("missing")))
     have = members.select(F.col("model").alias("_m"), F.col("name").alias("_n"), F.col("ttype").alias("_t"), F.col("comodel").alias("_c"))
     for k in range(hops):
@@ -88,7 +90,8 @@ def walk_paths(paths: DataFrame, members: DataFrame, hops: int) -> DataFrame:
             .when(~F.col("_t").isin("many2one", "one2many", "many2many"), "not_relational").when(F.col("_c").isNull(), "dangling_comodel")
         )
         now = joined.select(
-            "model", "path", "parts", F.when(live & F.col("_c").isNotNull(), F.col("_c")).otherwise(F.col("here")).alias("here"), state.alias("status"), F.when(live, F.lit(k)).otherwise(F.col("at")).alias("at"),
+            "model", "path", "parts", F.when(live & F.col("_c").isNotNull(), F.col("_c")).otherwise(F.col("here")).alias("here"),
+                state.alias("status"), F.when(live, F.lit(k)).otherwise(F.col("at")).alias("at"),
             F.when(live, F.col("_t")).otherwise(F.col("ttype")).alias("ttype"), F.when(live, F.col("_c")).otherwise(F.col("comodel")).alias("comodel"),
         )
     return now.select("model", "path", F.coalesce("status", F.lit("too_long")).alias("status"), "at", "ttype", "comodel")
@@ -123,7 +126,8 @@ def levels(edges: DataFrame, names: DataFrame) -> DataFrame:
 
     ``left`` has each name with edges to names that have no level yet. Names without such edges are peeled, and their edges go.
     """
-    step = cut(edges.select("src", "dst").distinct().join(names.select(F.col("name").alias("dst")), "dst", "left_semi").join(names.select(F.col("name").alias("src")), "src", "left_semi"))
+    step = cut(edges.select("src", "dst").distinct().join(names.select(F.col("name").alias("dst")), "dst", "left_semi").join(
+        names.select(F.col("name").alias("src")), "src", "left_semi"))
     left, done, k = cut(names.select("name").distinct()), None, 0
     while True:
         fresh = cut(left.join(step.select(F.col("src").alias("name")).distinct(), "name", "left_anti").select("name", F.lit(k).alias("level")))
@@ -145,7 +149,8 @@ def chain(starts: DataFrame, parents: DataFrame) -> DataFrame:
 
 def would_cycle(changes: DataFrame, parents: DataFrame) -> DataFrame:
     """``changes`` (name, new_parent) with ``cycle``: whether the name is the new parent or one of its ancestors."""
-    above = chain(changes.select(F.col("new_parent").alias("start")).distinct(), parents).select(F.col("start").alias("new_parent"), "name", F.lit(True).alias("_hit"))
+    above = chain(changes.select(F.col("new_parent").alias("start")).distinct(), parents).select(F.col("start").alias("new_parent"), "name",
+        F.lit(True).alias("_hit"))
     return changes.join(above, ["new_parent", "name"], "left").select("name", "new_parent", F.coalesce("_hit", F.lit(False)).alias("cycle"))
 
 

@@ -18,7 +18,8 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def declaring_order() -> list[Column]:
     """Five tiers: definition first, more fields, more dependents, edition, module name."""
-    return [F.col("is_definition").desc_nulls_last(), F.col("field_count").desc_nulls_last(), F.col("dependents").desc_nulls_last(), edition_rank(F.col("edition")).asc(), F.col("module").asc_nulls_last()]
+    return [F.col("is_definition").desc_nulls_last(), F.col("field_count").desc_nulls_last(), F.col("dependents").desc_nulls_last(),
+        edition_rank(F.col("edition")).asc(), F.col("module").asc_nulls_last()]
 
 
 def declaring_module(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,10 +53,14 @@ def field_lookup(wanted: DataFrame, tags: DataFrame, members: DataFrame, magic:
     ``wanted`` has (start, field). The result says by ``step`` (direct, magic, inherited) where each was found; fields
     found nowhere have a null step.
     """
-    have = tags.select("start", F.col("name").alias("owner"), "depth").join(members.select(F.col("model").alias("owner"), F.col("name").alias("field"), "module", "ttype"), "owner")
-    found = wanted.join(have, ["start", "field"]).select("start", "field", F.when(F.col("depth") == 0, 0).otherwise(2).alias("prio"), "depth", "owner", "module", "ttype")
-    fixed = wanted.join(magic.select(F.col("name").alias("field"), "ttype"), "field").select("start", "field", F.lit(1).alias("prio"), F.lit(0).alias("depth"), F.col("start").alias("owner"), F.lit(None).cast("string").alias("module"), "ttype")
-    best = first_by(found.unionByName(fixed), ["start", "field"], [F.col("prio"), F.col("depth"), F.when(F.col("prio") == 0, F.lit(None)).otherwise(F.col("owner")).asc_nulls_first(), F.col("module").asc_nulls_last()])
+    have = tags.select("start", F.col("name").alias("owner"), "depth").join(members.select(F.col("model").alias("owner"),
+        F.col("name").alias("field"), "module", "ttype"), "owner")
+    found = wanted.join(have, ["start", "field"]).select("start", "field", F.when(F.col("depth") == 0, 0).otherwise(2).alias("prio"), "depth",
+        "owner", "module", "ttype")
+    fixed = wanted.join(magic.select(F.col("name").alias("field"), "ttype"), "field").select("start", "field", F.lit(1).alias("prio"),
+        F.lit(0).alias("depth"), F.col("start").alias("owner"), F.lit(None).cast("string").alias("module"), "ttype")
+    best = first_by(found.unionByName(fixed), ["start", "field"], [F.col("prio"), F.col("depth"),
+        F.when(F.col("prio") == 0, F.lit(None)).otherwise(F.col("owner")).asc_nulls_first(), F.col("module").asc_nulls_last()])
     step = F.when(F.col("prio") == 0, "direct").when(F.col("prio") == 1, "magic").when(F.col("prio") == 2, "inherited")
     return wanted.join(best, ["start", "field"], "left").select("start", "field", step.alias("step"), "depth", "owner", "module", "ttype")
 
@@ -72,12 +77,15 @@ def tests_first(df: DataFrame, via: str, asserts: str, ties: Sequence[str], limi
 
 def placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``place`` (from 0) in a total order: range-sorted and written, then counted by partition, so no task holds all rows."""
-    part = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    part = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at",
+        F.monotonically_increasing_id()))
     # one row a partition
     sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
-    return part.withColumn("_in", inside).join(before, F.col("_part") == F.col("_p")).withColumn("place", (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_at", "_in", "_p", "_before")
+    return part.withColumn("_in", inside).join(before, F.col("_part") == F.col("_p")).withColumn("place",
+        (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_at", "_in", "_p", "_before")
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

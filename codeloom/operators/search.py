@@ -54,7 +54,8 @@ def merge_literal_first(literal: DataFrame, semantic: DataFrame, keys: list[str]
     return best.select(*keys, "b.score", "b.match").orderBy(F.desc("score"), *keys).limit(k)
 
 
-def pattern_search(df: DataFrame, query: Sequence[float], limit: int, category: Column | None, version: Column | None, vec: str = "embedding", key: str = "id") -> DataFrame:
+def pattern_search(df: DataFrame, query: Sequence[float], limit: int, category: Column | None, version: Column | None, vec: str = "embedding",
+    key: str = "id") -> DataFrame:
     """Over-fetch max(4 * limit, 20), then the category, then the version window, then the cut: in this order."""
     hits = top_k(df, query, max(4 * limit, 20), vec, key)
     for condition in (category, version):

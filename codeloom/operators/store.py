@@ -84,7 +84,8 @@ def inherits_test(classes: DataFrame, helpers: DataFrame) -> DataFrame:
     b = classes.select("name", "version", F.explode("bases").alias("base")).distinct()
     h = helpers.select(F.col("name").alias("base"), "version", F.lit("helper").alias("_h")).distinct()
     c = classes.select(F.col("name").alias("base"), "version", F.lit("class").alias("_c")).distinct()
-    return b.join(h, ["base", "version"], "left").join(c, ["base", "version"], "left").withColumn("kind", F.coalesce("_h", "_c")).filter("kind is not null").select("name", "version", "base", "kind")
+    return b.join(h, ["base", "version"], "left").join(c, ["base", "version"], "left").withColumn("kind", F.coalesce("_h", "_c")).filter(
+        "kind is not null").select("name", "version", "base", "kind")
 
 
 def promote_helpers(classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,7 +99,8 @@ def coverage_edges(refs: DataFrame, members: DataFrame) -> DataFrame:
 
     ``refs``: test, model, name, via; ``members``: model, name, module, is_definition.
     """
-    return refs.join(members.filter("is_definition").select("model", "name", "module"), ["model", "name"]).select("test", "model", "name", "module", "via").distinct()
+    return refs.join(members.filter("is_definition").select("model", "name", "module"), ["model", "name"]).select("test", "model", "name", "module",
+        "via").distinct()
 
 
 def reachable_within(roots: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -128,4 +130,5 @@ def heal_flags(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("name"
     ``edges`` has the keys of the rows that extend. Rows whose flag is already right are given unchanged.
     """
     extends = edges.select(*keys, "module").distinct().withColumn("_ext", F.lit(True))
-    return nodes.join(extends, [*keys, "module"], "left").withColumn(flag, F.coalesce(F.col("_ext"), F.lit(False)) == F.lit(False)).drop("_ext").select(*nodes.columns)
+    return nodes.join(extends, [*keys, "module"], "left").withColumn(flag, F.coalesce(F.col("_ext"), F.lit(False)) == F.lit(False)).drop(
+        "_ext").select(*nodes.columns)

@@ -43,10 +43,13 @@ def fields_listing(tags: DataFrame, members: DataFrame, module: str | None = Non
     rows = inherited_members(tags, members, module).select("start", "name", "owner", "ttype", F.lit(False).alias("builtin"))
     if module is None:
         starts = tags.select("start").distinct()
-        owned = tags.select("start", F.col("name").alias("owner")).join(members.filter(F.col("name").isin(*(n for n, _, _ in MAGIC_FIELDS))).select(F.col("model").alias("owner"), "name"), "owner").select("start", "name").distinct()
+        owned = tags.select("start", F.col("name").alias("owner")).join(members.filter(F.col("name").isin(*(n for n, _, _ in MAGIC_FIELDS))).select(
+            F.col("model").alias("owner"), "name"), "owner").select("start", "name").distinct()
         # six rows, one for each built-in field
-        prelude = starts.select("start", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("ttype")) for n, t, _ in MAGIC_FIELDS])).alias("m")).select("start", "m.*")
-        prelude = prelude.join(owned, ["start", "name"], "left_anti").select("start", "name", F.col("start").alias("owner"), "ttype", F.lit(True).alias("builtin"))
+        prelude = starts.select("start", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("ttype")) for n, t,
+            _ in MAGIC_FIELDS])).alias("m")).select("start", "m.*")
+        prelude = prelude.join(owned, ["start", "name"], "left_anti").select("start", "name", F.col("start").alias("owner"), "ttype",
+            F.lit(True).alias("builtin"))
         rows = rows.unionByName(prelude)
     if kind:
         rows = rows.filter(F.col("ttype") == kind)
@@ -63,7 +66,8 @@ def module_summary(modules: DataFrame, models: DataFrame, views: DataFrame, scri
 
     ``models`` has (module, name, is_definition), ``views`` (module, type), ``scripts`` (module), ``depends`` (src, dst).
     """
-    own = models.groupBy("module").agg(F.count_distinct(F.when(F.col("is_definition"), F.col("name"))).alias("defined"), F.count_distinct(F.when(~F.col("is_definition"), F.col("name"))).alias("extended"))
+    own = models.groupBy("module").agg(F.count_distinct(F.when(F.col("is_definition"), F.col("name"))).alias("defined"),
+        F.count_distinct(F.when(~F.col("is_definition"), F.col("name"))).alias("extended"))
     by_type = views.groupBy("module", "type").agg(F.count(F.lit(1)).alias("n"))
     top = by_type.groupBy("module").agg(F.sum("n").alias("views"), F.min(F.struct((-F.col("n")).alias("n"), "type"))["type"].alias("main_type"))
     d = depends.select("src", "dst").distinct()
@@ -118,7 +122,8 @@ def children(profiles: DataFrame) -> DataFrame:
 
 def repos_in_state(repos: DataFrame, profiles: DataFrame, status: str) -> DataFrame:
     """Repositories of a status with their profile's version; those without a profile are left out."""
-    return repos.filter(F.col("status") == status).join(profiles.select(F.col("name").alias("profile"), "version"), "profile").select("repo", "profile", "version")
+    return repos.filter(F.col("status") == status).join(profiles.select(F.col("name").alias("profile"), "version"), "profile").select("repo",
+        "profile", "version")
 
 
 def unclaimed(rows: DataFrame, email: str) -> DataFrame:
@@ -156,9 +161,12 @@ def style_overrides(chunks: DataFrame, imports: DataFrame, queries: Sequence[str
     all of them in its rows. Variables are looked for in the content, all else in the entity's name; shorter ones come first.
     Queries that name nothing literally give no rows.
     """
-    wanted = F.array(*[F.struct(F.lit(q).alias("query"), F.lower(F.trim(F.lit(q))).alias("part"), literal_column(F.lit(q)).alias("column"), style_literal(F.lit(q)).alias("literal")) for q in queries])
+    wanted = F.array(*[F.struct(F.lit(q).alias("query"), F.lower(F.trim(F.lit(q))).alias("part"), literal_column(F.lit(q)).alias("column"),
+        style_literal(F.lit(q)).alias("literal")) for q in queries])
     text = lambda w: F.when(w["column"] == "content", F.col("content")).otherwise(F.col("entity_name"))
-    hits = chunks.select("path", "module", "entity_name", "chunk_idx", F.explode(F.transform(F.filter(wanted, lambda w: w["literal"] & F.contains(F.lower(text(w)), w["part"])), lambda w: F.struct(w["query"].alias("query"), F.length(text(w)).alias("size")))).alias("w"))
+    hits = chunks.select("path", "module", "entity_name", "chunk_idx", F.explode(F.transform(
+        F.filter(wanted, lambda w: w["literal"] & F.contains(F.lower(text(w)), w["part"])),
+            lambda w: F.struct(w["query"].alias("query"), F.length(text(w)).alias("size")))).alias("w"))
     hits = hits.select("path", "module", "entity_name", "chunk_idx", "w.*")
     order = Window.partitionBy("query").orderBy("size", "module", "path", "chunk_idx")
     best = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
@@ -178,7 +186,8 @@ def flag_help(wanted: DataFrame, flags: DataFrame, replaced: DataFrame) -> DataF
     """
     edge = replaced.groupBy("command", "flag").agg(F.min("successor").alias("_successor"))
     j = wanted.join(flags, ["command", "flag"], "left").join(edge, ["command", "flag"], "left")
-    return j.select("command", "flag", F.col("status").isNotNull().alias("known"), "status", "type", "default", F.coalesce("_successor", "replacement").alias("replacement"))
+    return j.select("command", "flag", F.col("status").isNotNull().alias("known"), "status", "type", "default",
+        F.coalesce("_successor", "replacement").alias("replacement"))
 
 
 def command_help(commands: DataFrame, flags: DataFrame) -> DataFrame:
@@ -187,10 +196,12 @@ def command_help(commands: DataFrame, flags: DataFrame) -> DataFrame:
     # a sub-command's name is cut at its spaces, so it meets its parents by equality
     words = F.split("name", " ")
     above = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.array_join(F.slice(words, 1, k), " "))
-    subs = commands.filter(F.col("name").contains(" ")).select(F.explode(above).alias("_parent"), "name").groupBy(F.col("_parent").alias("_name")).agg(F.sort_array(F.collect_set("name")).alias("subcommands"))
+    subs = commands.filter(F.col("name").contains(" ")).select(F.explode(above).alias("_parent"), "name").groupBy(
+        F.col("_parent").alias("_name")).agg(F.sort_array(F.collect_set("name")).alias("subcommands"))
     empty = F.array().cast("array<string>")
     out = commands.join(own, "name", "left").join(subs, F.col("name") == F.col("_name"), "left")
-    return out.select("name", F.coalesce("flags", empty).alias("flags"), F.coalesce("subcommands", empty).alias("subcommands"), (~F.col("name").contains(" ")).alias("top"))
+    return out.select("name", F.coalesce("flags", empty).alias("flags"), F.coalesce("subcommands", empty).alias("subcommands"),
+        (~F.col("name").contains(" ")).alias("top"))
 
 
 def tests_covering(edges: DataFrame, tests: DataFrame, classes: DataFrame, target: Sequence[str]) -> DataFrame:
@@ -219,7 +230,8 @@ def test_class_inspect(classes: DataFrame, methods: DataFrame, inherits: DataFra
 def test_bases(helpers: DataFrame, inherits: DataFrame, origin: str = "framework") -> DataFrame:
     """The framework's helper classes with the helpers that each derives from."""
     own = helpers.filter(F.col("origin") == origin).select("name", "test_type")
-    up = inherits.join(helpers.select(F.col("name").alias("base")).distinct(), "base", "left_semi").groupBy("name").agg(F.sort_array(F.collect_set("base")).alias("parents"))
+    up = inherits.join(helpers.select(F.col("name").alias("base")).distinct(), "base", "left_semi").groupBy("name").agg(
+        F.sort_array(F.collect_set("base")).alias("parents"))
     return own.join(up, "name", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
 
 
@@ -232,7 +244,9 @@ def coverage_audit(fields: DataFrame, edges: DataFrame) -> DataFrame:
     rows = fields.select("module", "model", "name").distinct().join(covered, ["module", "model", "name"], "left")
     missing = rows.filter("_c is null")
     place = F.row_number().over(Window.partitionBy("module").orderBy("model", "name"))
-    shown = missing.withColumn("_p", place).filter(F.col("_p") <= UNCOVERED_SHOWN).groupBy("module").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "model", "name"))), lambda x: F.concat_ws(".", x["model"].cast("string"), x["name"])).alias("shown"))
+    shown = missing.withColumn("_p", place).filter(F.col("_p") <= UNCOVERED_SHOWN).groupBy("module").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_p", "model", "name"))), lambda x: F.concat_ws(".", x["model"].cast("string"),
+            x["name"])).alias("shown"))
     totals = rows.groupBy("module").agg(F.count(F.lit(1)).alias("fields"), F.count_if(F.col("_c").isNull()).alias("uncovered"))
     out = totals.join(shown, "module", "left").withColumn("shown", F.coalesce("shown", F.array().cast("array<string>")))
     return out.withColumn("percent", F.bround(100.0 * (F.col("fields") - F.col("uncovered")) / F.col("fields"), 1))
@@ -252,19 +266,26 @@ def webhook_batch(events: DataFrame, known: DataFrame, state: DataFrame, now: st
     ``state`` (subscription, status, event_at). Events that aren't valid are not recorded. A replay of a finished event changes nothing; one that was recorded
     but never finished is applied again. Of a subscription's events, one older than what is stored changes nothing.
     """
-    fresh = events.filter("valid").groupBy("vendor", "event_id").agg(F.min_by(F.struct("subscription", "event_at", "status", "received"), "received").alias("e")).select("vendor", "event_id", "e.*")
+    fresh = events.filter("valid").groupBy("vendor", "event_id").agg(F.min_by(F.struct("subscription", "event_at", "status", "received"),
+        "received").alias("e")).select("vendor", "event_id", "e.*")
     open_ = fresh.join(known.filter("processed_at is not null").select("vendor", "event_id"), ["vendor", "event_id"], "left_anti")
-    log = known.join(open_.select("vendor", "event_id"), ["vendor", "event_id"], "left_anti").unionByName(open_.select("vendor", "event_id", F.lit(now).alias("processed_at")))
+    log = known.join(open_.select("vendor", "event_id"), ["vendor", "event_id"], "left_anti").unionByName(
+        open_.select("vendor", "event_id", F.lit(now).alias("processed_at")))
     # stored rows are the first arrivals of their subscriptions
-    rows = state.select("subscription", "status", "event_at", F.lit(None).cast("timestamp").alias("received")).unionByName(open_.select("subscription", "status", "event_at", "received"))
-    before = Window.partitionBy("subscription").orderBy(F.col("received").asc_nulls_first(), F.col("event_at"), F.col("status")).rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("_n", F.row_number().over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_top", F.max("event_at").over(before))
+    rows = state.select("subscription", "status", "event_at", F.lit(None).cast("timestamp").alias("received")).unionByName(
+        open_.select("subscription", "status", "event_at", "received"))
+    before = Window.partitionBy("subscription").orderBy(F.col("received").asc_nulls_first(), F.col("event_at"), F.col("status")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    seen = rows.withColumn("_n", F.row_number().over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_top",
+        F.max("event_at").over(before))
     applies = F.col("event_at").isNull() | F.col("_top").isNull() | (F.col("event_at") >= F.col("_top"))
     after = seen.groupBy("subscription").agg(F.max_by("status", F.when(applies, F.col("_n"))).alias("status"), F.max("event_at").alias("event_at"))
     return log, after
 
 
 __all__ = [
-    "chunk_counts", "children", "command_help", "coverage_audit", "entity_lookup", "fields_listing", "flag_help", "load_order", "model_summary", "module_summary", "newest", "override_points", "profile_modules",
-    "profile_repos", "repos_in_state", "script_suites", "style_overrides", "stylesheets", "test_bases", "test_class_inspect", "tests_covering", "tests_first", "unclaimed", "view_type", "webhook_batch",
+    "chunk_counts", "children", "command_help", "coverage_audit", "entity_lookup", "fields_listing", "flag_help", "load_order", "model_summary",
+        "module_summary", "newest", "override_points", "profile_modules",
+    "profile_repos", "repos_in_state", "script_suites", "style_overrides", "stylesheets", "test_bases", "test_class_inspect", "tests_covering",
+        "tests_first", "unclaimed", "view_type", "webhook_batch",
 ]

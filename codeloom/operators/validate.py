@@ -103,9 +103,11 @@ def check_depends(methods: DataFrame, members: DataFrame, hops: int = 5) -> Data
     A path through ``id`` is an error whatever it leads to.
     """
     deps = methods.select("model", "name", F.explode("depends").alias("dependency")).distinct()
-    walked = walk_paths(deps.select("model", F.col("dependency").alias("path")).distinct(), members, hops).select("model", F.col("path").alias("dependency"), "status")
+    walked = walk_paths(deps.select("model", F.col("dependency").alias("path")).distinct(), members, hops).select("model",
+        F.col("path").alias("dependency"), "status")
     by_id = F.array_contains(F.split("dependency", r"\."), "id")
-    return deps.join(walked, ["model", "dependency"]).select("model", "name", "dependency", F.when(by_id, "depends_on_id").when(F.col("status") != "ok", F.col("status")).alias("problem"))
+    return deps.join(walked, ["model", "dependency"]).select("model", "name", "dependency",
+        F.when(by_id, "depends_on_id").when(F.col("status") != "ok", F.col("status")).alias("problem"))
 
 
 def check_relations(wanted: DataFrame, members: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
@@ -118,5 +120,6 @@ def check_relations(wanted: DataFrame, members: DataFrame, edges: DataFrame, hop
     pairs = rows.filter("comodel is not null").select("comodel", "target").distinct()
     sub = is_subtype(pairs, edges, hops).withColumnsRenamed({"comodel": "_c", "target": "_t"})
     rows = rows.join(sub, (F.col("comodel") == F.col("_c")) & (F.col("target") == F.col("_t")), "left")
-    status = F.when(F.col("_found").isNull(), "missing").when(~F.col("ttype").isin(*RELATIONAL), "not_relational").when(F.col("comodel").isNull(), "no_comodel").when(F.coalesce("ok", F.lit(False)), "ok").otherwise("mismatch")
+    status = F.when(F.col("_found").isNull(), "missing").when(~F.col("ttype").isin(*RELATIONAL), "not_relational").when(F.col("comodel").isNull(),
+        "no_comodel").when(F.coalesce("ok", F.lit(False)), "ok").otherwise("mismatch")
     return rows.select("model", "field", "target", status.alias("status"))

@@ -31,7 +31,8 @@ _MANIFEST = """{
 def _manifests(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     text = filled(
-        _MANIFEST, k, F.when(k % 3 == 0, "1.0").otherwise(F.concat(F.lit("1"), k % 4 + 4, F.lit(".0.1.0"))), F.when(k % 5 == 0, "None").when(k % 5 == 1, "'OEEL-1'").otherwise("'LGPL-3'"), F.expr("s_suppkey div 2"),
+        _MANIFEST, k, F.when(k % 3 == 0, "1.0").otherwise(F.concat(F.lit("1"), k % 4 + 4, F.lit(".0.1.0"))),
+            F.when(k % 5 == 0, "None").when(k % 5 == 1, "'OEEL-1'").otherwise("'LGPL-3'"), F.expr("s_suppkey div 2"),
         F.col("s_nationkey"), F.when(k % 2 == 0, "True").otherwise("False"), F.when(k % 7 == 0, "False").otherwise("True"), k,
     )
     broken = F.when(k % 11 == 0, F.regexp_replace(text, "'category'", "category")).when(k % 13 == 0, "[1, 2").otherwise(text)
@@ -39,10 +40,12 @@ def _manifests(t: Tables) -> DataFrame:
 
 
 _REG = """m AS (SELECT s_suppkey AS k, 's' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN '16.0' ELSE '1' || (s_suppkey % 4 + 4) || '.0' END AS version,
-  CASE s_suppkey % 5 WHEN 0 THEN 'LGPL-3' WHEN 1 THEN 'OEEL-1' ELSE 'LGPL-3' END AS license, s_nationkey, s_suppkey // 2 AS up FROM supplier WHERE s_suppkey % 7 <> 0 AND (s_suppkey % 13 <> 0 OR s_suppkey % 11 = 0))"""
+  CASE s_suppkey % 5 WHEN 0 THEN 'LGPL-3' WHEN 1 THEN 'OEEL-1' ELSE 'LGPL-3' END AS license, s_nationkey, s_suppkey // 2 AS up FROM supplier
+    WHERE s_suppkey % 7 <> 0 AND (s_suppkey % 13 <> 0 OR s_suppkey % 11 = 0))"""
 
 
-@query(f"SELECT WITHCTE FROM m".replace("SELECT WITHCTE", f"WITH {_REG} SELECT name, version, license, CASE WHEN k % 11 = 0 THEN NULL ELSE 'Sales/' || s_nationkey END AS category, CASE WHEN k % 11 = 0 THEN NULL ELSE 'A, B' END AS author, ['base', 'm' || up] AS depends, k % 2 = 0 AS auto_install") + " WHERE license <> 'OEEL-1'")
+@query(f"SELECT WITHCTE FROM m".replace("SELECT WITHCTE",
+    f"WITH {_REG} SELECT name, version, license, CASE WHEN k % 11 = 0 THEN NULL ELSE 'Sales/' || s_nationkey END AS category, CASE WHEN k % 11 = 0 THEN NULL ELSE 'A, B' END AS author, ['base', 'm' || up] AS depends, k % 2 = 0 AS auto_install") + " WHERE license <> 'OEEL-1'")
 def module_registry(t: Tables) -> DataFrame:
     r = repos.registry(repos.module_rows(_manifests(t)), "16.0")
     return r.select("name", "version", "license", "category", "author", "depends", "auto_install")
@@ -53,7 +56,8 @@ def manifest_edges(t: Tables) -> DataFrame:
     return repos.dependency_edges(repos.registry(repos.module_rows(_manifests(t)), "16.0"))
 
 
-@query(f"""WITH {_REG} SELECT name AS module, 'web.bundle' AS bundle, '["a' || k || '.js", ["include", "web.other"]]' AS entries, ['web.other'] AS includes FROM m WHERE license <> 'OEEL-1' AND k % 11 <> 0""")
+@query(f"""WITH {_REG} SELECT name AS module, 'web.bundle' AS bundle, '["a' || k || '.js", ["include", "web.other"]]' AS entries,
+    ['web.other'] AS includes FROM m WHERE license <> 'OEEL-1' AND k % 11 <> 0""")
 def asset_bundles(t: Tables) -> DataFrame:
     return repos.asset_contributions(repos.registry(repos.module_rows(_manifests(t)), "16.0"))
 
@@ -91,22 +95,29 @@ class part(osv.osv):
 
 def _models(t: Tables) -> DataFrame:
     half = F.expr("p_partkey div 2")
-    modern = filled(_MODEL, key(), half, F.when(key() % 2 == 0, "True").otherwise("False"), half, F.when(key() % 3 == 0, "super().write(vals)").otherwise("pass"))
-    return files(t.part, F.concat(F.lit("models/p"), key(), F.lit(".py")), F.concat(F.lit("m"), key() % 9), F.when(key() % 10 == 0, filled(_LEGACY, key(), half)).otherwise(modern))
+    modern = filled(_MODEL, key(), half, F.when(key() % 2 == 0, "True").otherwise("False"), half,
+        F.when(key() % 3 == 0, "super().write(vals)").otherwise("pass"))
+    return files(t.part, F.concat(F.lit("models/p"), key(), F.lit(".py")), F.concat(F.lit("m"), key() % 9),
+        F.when(key() % 10 == 0, filled(_LEGACY, key(), half)).otherwise(modern))
 
 
-@query("""WITH x AS (SELECT 'part.' || p_partkey AS model, 'part.' || (p_partkey // 2) AS up, 'm' || (p_partkey % 9) AS module, p_partkey AS k, p_partkey % 10 = 0 AS old FROM part)
-  SELECT model, module, 'field' AS kind, 'size' AS name, 'integer' AS ttype, NULL AS comodel, NOT old AND k % 2 = 0 AS required FROM x UNION ALL SELECT model, module, 'field', 'up_id', 'many2one', up, false FROM x
+@query("""WITH x AS (SELECT 'part.' || p_partkey AS model, 'part.' || (p_partkey // 2) AS up, 'm' || (p_partkey % 9) AS module, p_partkey AS k,
+    p_partkey % 10 = 0 AS old FROM part)
+  SELECT model, module, 'field' AS kind, 'size' AS name, 'integer' AS ttype, NULL AS comodel, NOT old AND k % 2 = 0 AS required FROM x UNION ALL
+    SELECT model, module, 'field', 'up_id', 'many2one', up, false FROM x
   UNION ALL SELECT model, module, 'field', 'total', 'float', NULL, false FROM x WHERE NOT old""")
 def parsed_fields(t: Tables) -> DataFrame:
-    return python_code.members(_models(t)).filter("kind = 'field'").select("model", "module", "kind", "name", "ttype", "comodel", F.coalesce("required", F.lit(False)).alias("required"))
+    return python_code.members(_models(t)).filter("kind = 'field'").select("model", "module", "kind", "name", "ttype", "comodel",
+        F.coalesce("required", F.lit(False)).alias("required"))
 
 
 @query("""WITH x AS (SELECT 'part.' || p_partkey AS model, p_partkey AS k, p_partkey % 10 = 0 AS old FROM part)
-  SELECT model, '_compute_total' AS name, ['up_id.size', 'size'] AS depends, false AS has_super FROM x WHERE NOT old UNION ALL SELECT model, 'write', [], k % 3 = 0 FROM x WHERE NOT old UNION ALL SELECT model, 'write', [], false FROM x WHERE old""")
+  SELECT model, '_compute_total' AS name, ['up_id.size', 'size'] AS depends, false AS has_super FROM x WHERE NOT old UNION ALL SELECT model, 'write',
+    [], k % 3 = 0 FROM x WHERE NOT old UNION ALL SELECT model, 'write', [], false FROM x WHERE old""")
 def parsed_methods(t: Tables) -> DataFrame:
     m = python_code.members(_models(t)).filter("kind = 'method'")
-    return m.select("model", "name", F.coalesce("depends", F.array().cast("array<string>")).alias("depends"), F.coalesce("has_super", F.lit(False)).alias("has_super"))
+    return m.select("model", "name", F.coalesce("depends", F.array().cast("array<string>")).alias("depends"),
+        F.coalesce("has_super", F.lit(False)).alias("has_super"))
 
 
 @query("SELECT 'part.' || p_partkey AS model, 'part.' || (p_partkey // 2) AS dst, 'INHERITS' AS kind FROM part WHERE p_partkey % 10 <> 0 AND p_partkey > 0")
@@ -127,7 +138,8 @@ class TestPart%s(TransactionCase):
 """
 
 
-@query("""SELECT 'TestPart' || p_partkey AS test_class, ['post_install', 't' || (p_partkey % 4)] AS tagged, ['TransactionCase'] AS bases, 'test_total' AS name, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS asserts, ['part.' || p_partkey] AS model_refs FROM part""")
+@query("""SELECT 'TestPart' || p_partkey AS test_class, ['post_install', 't' || (p_partkey % 4)] AS tagged, ['TransactionCase'] AS bases,
+    'test_total' AS name, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS asserts, ['part.' || p_partkey] AS model_refs FROM part""")
 def parsed_tests(t: Tables) -> DataFrame:
     src = filled(_SUITE, key() % 4, key(), key(), F.when(key() % 2 == 0, "self.assertTrue(part)").otherwise("pass"))
     rows = python_code.tests(files(t.part, F.concat(F.lit("tests/t"), key(), F.lit(".py")), F.lit("m"), src))
@@ -141,12 +153,15 @@ _VIEW = (
 
 
 @query("""WITH x AS (SELECT p_partkey AS k, 'm' || (p_partkey % 9) AS m FROM part WHERE p_partkey % 12 <> 0)
-  SELECT 'view' AS kind, m || '.v' || k AS xmlid, 'part.' || k AS model, CASE WHEN k % 3 = 0 THEN 'list' ELSE 'form' END AS view_type, CASE WHEN k % 2 = 0 THEN 'extension' ELSE 'primary' END AS mode, CASE WHEN k % 2 = 0 THEN m || '.base' END AS inherit_xmlid FROM x
-  UNION ALL SELECT 'qweb', m || '.t' || k, NULL, NULL, 'extension', 'web.layout' FROM x UNION ALL SELECT 'report', m || '.r' || k, 'part', NULL, NULL, NULL FROM x""")
+  SELECT 'view' AS kind, m || '.v' || k AS xmlid, 'part.' || k AS model, CASE WHEN k % 3 = 0 THEN 'list' ELSE 'form' END AS view_type, CASE
+    WHEN k % 2 = 0 THEN 'extension' ELSE 'primary' END AS mode, CASE WHEN k % 2 = 0 THEN m || '.base' END AS inherit_xmlid FROM x
+  UNION ALL SELECT 'qweb', m || '.t' || k, NULL, NULL, 'extension', 'web.layout' FROM x UNION ALL SELECT 'report', m || '.r' || k, 'part', NULL, NULL,
+    NULL FROM x""")
 def parsed_views(t: Tables) -> DataFrame:
     tag = F.when(key() % 3 == 0, "list").otherwise("form")
     text = filled(_VIEW, key(), key(), F.when(key() % 2 == 0, '<field name="inherit_id" ref="base"/>').otherwise(""), tag, key(), tag, key(), key())
-    v = markup.views(files(t.part, F.concat(F.lit("views/v"), key(), F.lit(".xml")), F.concat(F.lit("m"), key() % 9), F.when(key() % 12 == 0, "<data>").otherwise(text)))
+    v = markup.views(files(t.part, F.concat(F.lit("views/v"), key(), F.lit(".xml")), F.concat(F.lit("m"), key() % 9),
+        F.when(key() % 12 == 0, "<data>").otherwise(text)))
     return v.select("kind", "xmlid", "model", "view_type", "mode", "inherit_xmlid")
 
 
@@ -157,14 +172,17 @@ Form%s.include({x: 1});"""
 
 
 @query("""WITH x AS (SELECT s_suppkey AS k FROM supplier)
-  SELECT 'component' AS kind, 'era3' AS era, 'Card' || k AS name, NULL AS target, 'web.Card' || k AS template FROM x UNION ALL SELECT 'patch', 'era3', 'fix', 'View' || k, NULL FROM x
+  SELECT 'component' AS kind, 'era3' AS era, 'Card' || k AS name, NULL AS target, 'web.Card' || k AS template FROM x UNION ALL SELECT 'patch', 'era3',
+    'fix', 'View' || k, NULL FROM x
   UNION ALL SELECT 'component', 'era1', 'Old' || k, NULL, NULL FROM x UNION ALL SELECT 'patch', 'era2', NULL, 'Form' || k, NULL FROM x""")
 def parsed_scripts(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
-    return markup.scripts(files(t.supplier, F.concat(F.lit("s"), k, F.lit(".js")), F.lit("web"), filled(_SCRIPT, k, k, k, k, k))).select("kind", "era", "name", "target", "template")
+    return markup.scripts(files(t.supplier, F.concat(F.lit("s"), k, F.lit(".js")), F.lit("web"), filled(_SCRIPT, k, k, k, k, k))).select("kind",
+        "era", "name", "target", "template")
 
 
-@query("""SELECT 's' || s_suppkey || '.js' AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'hoot' ELSE 'qunit' END AS framework, ['list ' || s_suppkey] AS describe_blocks, CASE WHEN s_suppkey % 2 = 0 THEN ['opens', 'closes'] ELSE ['opens'] END AS test_names FROM supplier""")
+@query("""SELECT 's' || s_suppkey || '.js' AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'hoot' ELSE 'qunit' END AS framework,
+    ['list ' || s_suppkey] AS describe_blocks, CASE WHEN s_suppkey % 2 = 0 THEN ['opens', 'closes'] ELSE ['opens'] END AS test_names FROM supplier""")
 def parsed_script_tests(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     hoot = filled('import { test } from "@web/hoot";\ndescribe("list %s", () => { test("opens", () => 1); test("closes", () => 2); });', k)
@@ -184,17 +202,20 @@ $primary%s: red;
 
 def _sheets(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
-    return markup.styles(files(t.supplier, F.concat(F.lit("scss/_s"), k, F.lit(".scss")), F.lit("web"), filled(_SHEET, F.expr("s_suppkey div 2"), k, k, k)), "scss")
+    return markup.styles(files(t.supplier, F.concat(F.lit("scss/_s"), k, F.lit(".scss")), F.lit("web"),
+        filled(_SHEET, F.expr("s_suppkey div 2"), k, k, k)), "scss")
 
 
 @query("""WITH x AS (SELECT s_suppkey AS k, 'scss/_s' || s_suppkey || '.scss' AS path FROM supplier)
-  SELECT path, 0 AS chunk_idx, 'import' AS kind, 's' || (k // 2) AS name FROM x UNION ALL SELECT path, 1, 'variable', 'primary' || k FROM x UNION ALL SELECT path, 2, 'mixin', 'box' || k FROM x
+  SELECT path, 0 AS chunk_idx, 'import' AS kind, 's' || (k // 2) AS name FROM x UNION ALL SELECT path, 1, 'variable', 'primary' || k FROM x UNION ALL
+    SELECT path, 2, 'mixin', 'box' || k FROM x
   UNION ALL SELECT path, 3, 'selector', '.o_form' || k FROM x UNION ALL SELECT path, 4, 'media', '@media print' FROM x""")
 def parsed_styles(t: Tables) -> DataFrame:
     return _sheets(t).select("path", "chunk_idx", "kind", "name")
 
 
-@query("""SELECT 'scss/_s' || a.s_suppkey || '.scss' AS src, 'scss/_s' || b.s_suppkey || '.scss' AS dst FROM supplier a JOIN supplier b ON a.s_suppkey // 2 = b.s_suppkey AND a.s_suppkey <> b.s_suppkey""")
+@query("""SELECT 'scss/_s' || a.s_suppkey || '.scss' AS src, 'scss/_s' || b.s_suppkey || '.scss' AS dst FROM supplier a
+    JOIN supplier b ON a.s_suppkey // 2 = b.s_suppkey AND a.s_suppkey <> b.s_suppkey""")
 def style_imports(t: Tables) -> DataFrame:
     return markup.style_imports(_sheets(t))
 
@@ -219,13 +240,16 @@ def old%s(a):
 
 
 @query("""WITH x AS (SELECT n_nationkey AS k FROM nation) SELECT 'Env' || k AS qualified_name, 'class' AS kind, NULL AS signature, 'stable' AS status FROM x
-  UNION ALL SELECT 'Env' || k || '.ref', 'method', 'self, xmlid, raise_if=True', 'stable' FROM x UNION ALL SELECT 'old' || k, 'function', 'a', 'deprecated' FROM x""")
+  UNION ALL SELECT 'Env' || k || '.ref', 'method', 'self, xmlid, raise_if=True', 'stable' FROM x UNION ALL SELECT 'old' || k, 'function', 'a',
+    'deprecated' FROM x""")
 def core_symbols(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
-    return spec.symbols(files(t.nation, F.concat(F.lit("c"), k, F.lit(".py")), F.lit("core"), filled(_CORE, k, k))).select("qualified_name", "kind", "signature", "status")
+    return spec.symbols(files(t.nation, F.concat(F.lit("c"), k, F.lit(".py")), F.lit("core"), filled(_CORE, k, k))).select("qualified_name", "kind",
+        "signature", "status")
 
 
-@query("""WITH x AS (SELECT n_nationkey AS k FROM nation) SELECT 'shell' AS command, '--interface' || k AS flag, '''ipython''' AS "default", 'h' AS help FROM x UNION ALL SELECT 'server', '--port' || k, CAST(8000 + k AS VARCHAR), NULL FROM x""")
+@query("""WITH x AS (SELECT n_nationkey AS k FROM nation) SELECT 'shell' AS command, '--interface' || k AS flag, '''ipython''' AS "default",
+    'h' AS help FROM x UNION ALL SELECT 'server', '--port' || k, CAST(8000 + k AS VARCHAR), NULL FROM x""")
 def cli_flags(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
     text = filled("class Shell:\n    def run(self):\n        p.add_argument('-i', '--interface%s', default='ipython', help='h')\ngroup.add_option('--port%s', my_default=%s)\n", k, k, k + 8000)

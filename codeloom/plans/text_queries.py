@@ -23,8 +23,10 @@ def cosine_topk(t: Tables):
     return hits.select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"""WITH b AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1), h AS (SELECT vec_id, label AS module, {_COS} AS cos FROM embeddings a, b), d AS (SELECT label AS module, count(*) AS dependents FROM embeddings GROUP BY 1)
-  SELECT vec_id, module, round(cos * (1 + 0.02 * ln(coalesce(dependents, 0) + 1.0)) + CASE WHEN module % 4 = 0 THEN 0.2 ELSE 0.0 END, 6) AS score FROM h LEFT JOIN d USING (module)""")
+@query(f"""WITH b AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1), h AS (SELECT vec_id, label AS module, {_COS} AS cos
+    FROM embeddings a, b), d AS (SELECT label AS module, count(*) AS dependents FROM embeddings GROUP BY 1)
+  SELECT vec_id, module, round(cos * (1 + 0.02 * ln(coalesce(dependents, 0) + 1.0)) + CASE WHEN module % 4 = 0 THEN 0.2 ELSE 0.0 END, 6) AS score
+    FROM h LEFT JOIN d USING (module)""")
 def centrality_rerank(t: Tables):
     q = F.array(*[F.lit(float(x)) for x in _query_vector(t)])
     e = t.embeddings.withColumnRenamed("label", "module")
@@ -68,9 +70,11 @@ def lexical_search(t: Tables):
     return found.select("p_partkey", "p_name")
 
 
-@query("""WITH l AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings WHERE label = 1), s AS (SELECT vec_id, label / 10.0 AS score FROM embeddings WHERE vec_id % 2 = 0),
+@query("""WITH l AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings WHERE label = 1), s AS (SELECT vec_id,
+    label / 10.0 AS score FROM embeddings WHERE vec_id % 2 = 0),
   u AS (SELECT vec_id, 2.0 + ((SELECT count(*) FROM l) - place) * 1e-6 AS score, 'literal' AS match FROM l UNION ALL SELECT vec_id, score, 'semantic' FROM s)
-  SELECT vec_id, round(score, 7) AS score, match FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC) AS rn FROM u) WHERE rn = 1 ORDER BY score DESC, vec_id LIMIT 60""")
+  SELECT vec_id, round(score, 7) AS score, match FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC) AS rn FROM u)
+    WHERE rn = 1 ORDER BY score DESC, vec_id LIMIT 60""")
 def literal_first_merge(t: Tables):
     from pyspark.sql import Window
 
@@ -79,12 +83,14 @@ def literal_first_merge(t: Tables):
     return search.merge_literal_first(lit, sem, ["vec_id"], 60).withColumn("score", F.round("score", 7))
 
 
-@query("""SELECT doc_id, CAST(k AS INTEGER) AS chunk_idx, substring(text, k * 1792 + 1, 2048) AS content FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) > 2048 THEN CAST(ceil((length(text) - 2048) / 1792) AS BIGINT) ELSE 0 END + 1)) AS k FROM documents WHERE length(text) > 0)""")
+@query("""SELECT doc_id, CAST(k AS INTEGER) AS chunk_idx, substring(text, k * 1792 + 1, 2048) AS content FROM (SELECT doc_id, text, unnest(range(0,
+    CASE WHEN length(text) > 2048 THEN CAST(ceil((length(text) - 2048) / 1792) AS BIGINT) ELSE 0 END + 1)) AS k FROM documents WHERE length(text) > 0)""")
 def chunk_windows(t: Tables):
     return text.chunks(t.documents.select("doc_id", "text"))
 
 
-@query("""SELECT doc_id, CAST(coalesce(ceil(length(text) / 3.0), 0) AS INTEGER) AS tokens, CAST(CASE WHEN length(text) <= 300 THEN 1 ELSE ceil(length(text) / 300.0) END AS INTEGER) AS pieces FROM documents""")
+@query("""SELECT doc_id, CAST(coalesce(ceil(length(text) / 3.0), 0) AS INTEGER) AS tokens, CAST(CASE WHEN length(text) <= 300 THEN 1
+    ELSE ceil(length(text) / 300.0) END AS INTEGER) AS pieces FROM documents""")
 def token_budget(t: Tables):
     x = F.col("text")
     return t.documents.select("doc_id", scalars.token_estimate(x).alias("tokens"), F.size(text.budget_pieces(x, 100)).alias("pieces"))
@@ -93,7 +99,8 @@ def token_budget(t: Tables):
 _STOP = "a an the and or of to in for on with is are was be by at as it its from how can do use get set has".split()
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN\\pM_.]+'), lambda w: trim(w, '.')), lambda w: length(w) >= 3 AND w NOT IN ({})))) AS words FROM documents""".format(", ".join(f"'{w}'" for w in _STOP)))
+@query("""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN\\pM_.]+'),
+    lambda w: trim(w, '.')), lambda w: length(w) >= 3 AND w NOT IN ({})))) AS words FROM documents""".format(", ".join(f"'{w}'" for w in _STOP)))
 def keywords(t: Tables):
     """Sorted for comparison."""
     return t.documents.select("doc_id", F.sort_array(text.keywords(F.coalesce("text", F.lit("")))).alias("words"))
@@ -123,16 +130,20 @@ def props_json(t: Tables):
 _LATE = "SELECT user_id, event_id, ts - (event_id % 5) * INTERVAL 1 DAY AS event_at, event_type AS status, CASE WHEN event_id % 4 = 0 THEN event_type END AS seats FROM events"
 
 
-@query(f"""WITH e AS (SELECT *, max(event_at) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ({_LATE}))
-  SELECT user_id, arg_max(status, event_id) FILTER (WHERE top IS NULL OR event_at >= top) AS status, arg_max(seats, event_id) FILTER (WHERE seats IS NOT NULL) AS seats, max(event_at) AS event_at FROM e GROUP BY 1""")
+@query(f"""WITH e AS (SELECT *, max(event_at) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+    FROM ({_LATE}))
+  SELECT user_id, arg_max(status, event_id) FILTER (WHERE top IS NULL OR event_at >= top) AS status, arg_max(seats, event_id)
+    FILTER (WHERE seats IS NOT NULL) AS seats, max(event_at) AS event_at FROM e GROUP BY 1""")
 def late_event_guard(t: Tables):
     shift = F.make_interval(days=(F.col("event_id") % 5).cast("int"))
-    e = t.events.select("user_id", "event_id", (F.col("ts") - shift).alias("event_at"), F.col("event_type").alias("status"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("seats"))
+    e = t.events.select("user_id", "event_id", (F.col("ts") - shift).alias("event_at"), F.col("event_type").alias("status"),
+        F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("seats"))
     return events.late_guard(e, "user_id", "event_at", "event_id", ["status"], ["seats"])
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, value > 10 AS failed FROM events)
-  SELECT event_id, n AS failures, n >= 5 AS locked FROM (SELECT event_id, CAST(coalesce(sum(CAST(failed AS INTEGER)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 900000000 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n FROM e)""")
+  SELECT event_id, n AS failures, n >= 5 AS locked FROM (SELECT event_id, CAST(coalesce(sum(CAST(failed AS INTEGER)) OVER (PARTITION BY user_id
+    ORDER BY epoch_us(ts) RANGE BETWEEN 900000000 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n FROM e)""")
 def failure_throttle(t: Tables):
     e = t.events.select("event_id", "user_id", "ts", (F.col("value") > 10).alias("failed"))
     return events.failure_throttle(e, "user_id", "ts", "failed").select("event_id", "failures", "locked")
@@ -155,7 +166,9 @@ def tumbling(t: Tables):
     return events.tumbling(t.events, "ts", "1 day", "value", "event_type").withColumn("total", F.round("total", 4))
 
 
-@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new, event_id FROM events),
-  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, sid""")
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts,
+    event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new, event_id FROM events),
+  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM e) SELECT user_id, min(ts) AS session_start,
+    count(*) AS n FROM s GROUP BY user_id, sid""")
 def session(t: Tables):
     return events.sessions(t.events, "user_id", "ts", "6 hours")

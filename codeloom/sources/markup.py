@@ -43,7 +43,9 @@ def _view(record: ET.Element, f: dict[str, ET.Element]) -> dict:
     xpaths = [{"expr": x.get("expr"), "position": x.get("position", "inside")} for x in (arch.iter("xpath") if arch is not None else ())]
     kind = tops[0].tag if tops and tops[0].tag not in ("xpath", "data") else None
     text = lambda k: (f[k].text or "").strip() or None if k in f else None
-    return {"kind": "view", "xmlid": record.get("id"), "name": text("name"), "model": text("model"), "view_type": text("type") or kind, "mode": text("mode") or ("extension" if parent else "primary"), "inherit_xmlid": parent, "xpaths": xpaths, "conditions": _conditions(arch) if arch is not None else [], "content": ET.tostring(arch, encoding="unicode") if arch is not None else None}
+    return {"kind": "view", "xmlid": record.get("id"), "name": text("name"), "model": text("model"), "view_type": text("type") or kind,
+        "mode": text("mode") or ("extension" if parent else "primary"), "inherit_xmlid": parent, "xpaths": xpaths,
+            "conditions": _conditions(arch) if arch is not None else [], "content": ET.tostring(arch, encoding="unicode") if arch is not None else None}
 
 
 def xml_rows(source: str | None, module: str) -> list[dict]:
@@ -59,9 +61,12 @@ def xml_rows(source: str | None, module: str) -> list[dict]:
             out.append(_view(e, f))
         elif e.tag == "record" and e.get("model") == "ir.actions.report" or e.tag == "report":
             get = lambda k, a=None: (f[k].text if k in f else e.get(a or k))  # noqa: B023, E731
-            out.append({"kind": "report", "xmlid": e.get("id"), "name": get("name", "string"), "model": get("model"), "report_name": get("report_name", "name"), "report_type": get("report_type")})
+            out.append({"kind": "report", "xmlid": e.get("id"), "name": get("name", "string"), "model": get("model"),
+                "report_name": get("report_name", "name"), "report_type": get("report_type")})
         elif e.tag == "template" or e.get("t-name"):
-            out.append({"kind": "qweb", "xmlid": e.get("id") or e.get("t-name"), "name": e.get("name"), "inherit_xmlid": e.get("inherit_id") or e.get("t-inherit"), "mode": e.get("t-inherit-mode") or ("extension" if e.get("inherit_id") else "primary"), "content": ET.tostring(e, encoding="unicode")})
+            out.append({"kind": "qweb", "xmlid": e.get("id") or e.get("t-name"), "name": e.get("name"),
+                "inherit_xmlid": e.get("inherit_id") or e.get("t-inherit"), "mode": e.get("t-inherit-mode") or (
+                    "extension" if e.get("inherit_id") else "primary"), "content": ET.tostring(e, encoding="unicode")})
     for r in out:
         r["xmlid"], r["inherit_xmlid"] = qualified(r["xmlid"], module), qualified(r.get("inherit_xmlid"), module)
     return out
@@ -87,12 +92,14 @@ _SCRIPT_SHAPES = (
 def script_rows(source: str | None) -> list[dict]:
     """Components and patches, each with the source from its head to the next one's."""
     source = source or ""
-    found = sorted(((m.start(), kind, era, m.groupdict()) for kind, era, shape in _SCRIPT_SHAPES for m in shape.finditer(source)), key=lambda x: (x[0], x[1], x[2]))
+    found = sorted(((m.start(), kind, era, m.groupdict()) for kind, era, shape in _SCRIPT_SHAPES for m in shape.finditer(source)),
+        key=lambda x: (x[0], x[1], x[2]))
     out = []
     for (at, kind, era, g), z in zip(found, [*(f[0] for f in found[1:]), len(source)]):
         body = source[at:z]
         template = re.search(r"static\s+template\s*=\s*[\"']([^\"']+)[\"']|template\s*:\s*[\"']([^\"']+)[\"']", body)
-        out.append({"kind": kind, "era": era, "name": g.get("name"), "target": g.get("target"), "extends": g.get("extends"), "template": (template[1] or template[2]) if template else None, "content": body.strip()})
+        out.append({"kind": kind, "era": era, "name": g.get("name"), "target": g.get("target"), "extends": g.get("extends"),
+            "template": (template[1] or template[2]) if template else None, "content": body.strip()})
     return out or ([{"kind": "chunk", "era": None, "content": source}] if source.strip() else [])
 
 
@@ -102,9 +109,11 @@ def scripts(files: DataFrame) -> DataFrame:
 
 def suite_rows(source: str | None) -> list[dict]:
     s = source or ""
-    framework = "hoot" if re.search(r"[\"']@[\w.-]+/hoot", s) else "qunit" if "QUnit." in s else "tour" if re.search(r"registry\.category\(\s*[\"']web_tour", s) else "unknown"
+    framework = "hoot" if re.search(r"[\"']@[\w.-]+/hoot", s) else "qunit" if "QUnit." in s else "tour" if re.search(
+        r"registry\.category\(\s*[\"']web_tour", s) else "unknown"
     strings = lambda head: re.findall(head + r"\s*\(\s*[\"'`]([^\"'`]+)[\"'`]", s)
-    return [{"framework": framework, "describe_blocks": strings(r"\b(?:describe|QUnit\.module)"), "test_names": strings(r"\b(?:test|QUnit\.test)"), "tags": strings(r"\.tags"), "mounts": sorted(set(re.findall(r"\bmount(?:View|WithCleanup)?\s*\(\s*([A-Z]\w*)", s)))}] if s.strip() else []
+    return [{"framework": framework, "describe_blocks": strings(r"\b(?:describe|QUnit\.module)"), "test_names": strings(r"\b(?:test|QUnit\.test)"),
+        "tags": strings(r"\.tags"), "mounts": sorted(set(re.findall(r"\bmount(?:View|WithCleanup)?\s*\(\s*([A-Z]\w*)", s)))}] if s.strip() else []
 
 
 def script_tests(files: DataFrame) -> DataFrame:
@@ -179,7 +188,8 @@ def style_counts(chunks: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     count = lambda k: F.count_if(F.col("kind") == k)
-    return chunks.groupBy("path", "module", "version", "language").agg(count("selector").alias("selectors"), count("variable").alias("variables"), count("import").alias("imports"), count("mixin").alias("mixins"))
+    return chunks.groupBy("path", "module", "version", "language").agg(count("selector").alias("selectors"), count("variable").alias("variables"),
+        count("import").alias("imports"), count("mixin").alias("mixins"))
 
 
 def language_of(path: str) -> str:

@@ -39,8 +39,11 @@ def _field(name: str, call: ast.Call) -> dict:
     relational = ttype in ("many2one", "one2many", "many2many")
     first = _text(call.args[0]) if call.args else None
     return {
-        "kind": "field", "name": name, "line": call.lineno, "ttype": ttype, "comodel": (_text(kw.get("comodel_name")) or first) if relational else None, "compute": _text(kw.get("compute")), "related": _text(kw.get("related")) or (".".join(_words(kw["related"])) if "related" in kw else None),
-        "required": bool(_flag(kw.get("required"))), "readonly": _flag(kw.get("readonly")), "inverse": _text(kw.get("inverse")), "label": _text(kw.get("string")) or (None if relational else first),
+        "kind": "field", "name": name, "line": call.lineno, "ttype": ttype, "comodel": (_text(
+            kw.get("comodel_name")) or first) if relational else None, "compute": _text(kw.get("compute")),
+                "related": _text(kw.get("related")) or (".".join(_words(kw["related"])) if "related" in kw else None),
+        "required": bool(_flag(kw.get("required"))), "readonly": _flag(kw.get("readonly")), "inverse": _text(kw.get("inverse")),
+            "label": _text(kw.get("string")) or (None if relational else first),
     }
 
 
@@ -48,7 +51,8 @@ def _method(node: ast.FunctionDef) -> dict:
     calls = [x for x in ast.walk(node) if isinstance(x, ast.Call)]
     depends = [w for d in node.decorator_list if isinstance(d, ast.Call) and _call_name(d) == "depends" for a in d.args for w in _words(a)]
     refs = {x.attr for x in ast.walk(node) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "self"}
-    return {"kind": "method", "name": node.name, "line": node.lineno, "decorators": [_call_name(d) for d in node.decorator_list], "depends": depends, "has_super": any(isinstance(c.func, ast.Name) and c.func.id == "super" for c in calls), "field_refs": sorted(refs)}
+    return {"kind": "method", "name": node.name, "line": node.lineno, "decorators": [_call_name(d) for d in node.decorator_list], "depends": depends,
+        "has_super": any(isinstance(c.func, ast.Name) and c.func.id == "super" for c in calls), "field_refs": sorted(refs)}
 
 
 def parse_modern(source: str) -> list[dict]:
@@ -62,7 +66,8 @@ def parse_modern(source: str) -> list[dict]:
         d = own.get("_inherits")
         via = {k: v for a, b in zip(d.keys, d.values) if (k := _text(a)) and (v := _text(b))} if isinstance(d, ast.Dict) else {}
         head = {"model": name or inherit[0], "is_definition": bool(name) and name not in inherit, "inherit": inherit, "inherits": via}
-        fields = [_field(k, v) for k, v in own.items() if isinstance(v, ast.Call) and isinstance(v.func, ast.Attribute) and isinstance(v.func.value, ast.Name) and v.func.value.id == "fields"]
+        fields = [_field(k, v) for k, v in own.items() if isinstance(v, ast.Call) and isinstance(v.func, ast.Attribute) and isinstance(v.func.value,
+            ast.Name) and v.func.value.id == "fields"]
         rows = fields + [_method(n) for n in cls.body if isinstance(n, ast.FunctionDef)]
         out += [head | r for r in rows or [{"kind": "model", "name": head["model"], "line": cls.lineno}]]
     return out
@@ -87,7 +92,8 @@ def parse_legacy(source: str) -> list[dict]:
         rows = []
         for m in re.finditer(r"""(?:['"](\w+)['"]\s*:|^\s+(\w+)\s*=)\s*fields\.(\w+)\(\s*(?:['"]([\w. ]+)['"])?""", body, re.M):
             ttype = m[3].lower()
-            rows.append({"kind": "field", "name": m[1] or m[2], "line": base + body.count("\n", 0, m.start(3)) + 1, "ttype": ttype, "comodel": m[4] if ttype in ("many2one", "one2many", "many2many") else None, "required": False})
+            rows.append({"kind": "field", "name": m[1] or m[2], "line": base + body.count("\n", 0, m.start(3)) + 1, "ttype": ttype,
+                "comodel": m[4] if ttype in ("many2one", "one2many", "many2many") else None, "required": False})
         for m in re.finditer(r"^\s+def\s+(\w+)\s*\(", body, re.M):
             rows.append({"kind": "method", "name": m[1], "line": base + body.count("\n", 0, m.start(1)) + 1, "has_super": False})
         out += [head | r for r in rows or [{"kind": "model", "name": head["model"], "line": base + 1}]]
@@ -109,7 +115,8 @@ def _table(schema: str, rows: list[dict]) -> pd.DataFrame:
 def _each(files: DataFrame, schema: str, parse) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield _table(schema, [{"path": p, "module": m, "version": v} | r for p, m, v, c in zip(b["path"], b["module"], b["version"], b["content"]) for r in parse(c)])
+            yield _table(schema, [{"path": p, "module": m, "version": v} | r for p, m, v, c in zip(b["path"], b["module"], b["version"],
+                b["content"]) for r in parse(c)])
 
     return files.select("path", "module", "version", "content").mapInPandas(run, schema)
 
@@ -121,8 +128,10 @@ def members(files: DataFrame) -> DataFrame:
 
 def inherit_edges(rows: DataFrame) -> DataFrame:
     """INHERITS and DELEGATES_TO edges of parsed models; ``order`` is the place in the inherit list."""
-    a = rows.select("model", "module", "version", "inherit").distinct().select("model", "module", "version", F.posexplode("inherit").alias("order", "dst")).withColumns({"kind": F.lit("INHERITS"), "via_field": F.lit(None).cast("string")})
-    b = rows.select("model", "module", "version", F.explode("inherits").alias("dst", "via_field")).distinct().withColumns({"order": F.lit(None).cast("int"), "kind": F.lit("DELEGATES_TO")})
+    a = rows.select("model", "module", "version", "inherit").distinct().select("model", "module", "version",
+        F.posexplode("inherit").alias("order", "dst")).withColumns({"kind": F.lit("INHERITS"), "via_field": F.lit(None).cast("string")})
+    b = rows.select("model", "module", "version", F.explode("inherits").alias("dst", "via_field")).distinct().withColumns(
+        {"order": F.lit(None).cast("int"), "kind": F.lit("DELEGATES_TO")})
     return a.unionByName(b).filter(F.col("dst") != F.col("model"))
 
 
@@ -138,11 +147,13 @@ def _test_rows(source: str | None) -> list[dict]:
         for fn in (n for n in cls.body if isinstance(n, ast.FunctionDef) and (n.name.startswith("test") or n.name in ("setUp", "setUpClass"))):
             calls = [x for x in ast.walk(fn) if isinstance(x, ast.Call)]
             asserts = sum(_call_name(c).startswith("assert") for c in calls)
-            models = {w for x in ast.walk(fn) if isinstance(x, ast.Subscript) and isinstance(x.value, ast.Attribute) and x.value.attr == "env" and (w := _text(x.slice))}
+            models = {w for x in ast.walk(fn) if isinstance(x, ast.Subscript) and isinstance(x.value, ast.Attribute) and x.value.attr == "env" and (
+                w := _text(x.slice))}
             via = "setup" if fn.name.startswith("setUp") else "assert" if asserts else "body"
             attrs = {x.attr for x in ast.walk(fn) if isinstance(x, ast.Attribute)}
             called = {c.func.attr for c in calls if isinstance(c.func, ast.Attribute)}
-            out.append({"test_class": cls.name, "bases": bases, "tagged": tags, "name": fn.name, "line": fn.lineno, "asserts": asserts, "via": via, "model_refs": sorted(models), "field_refs": sorted(attrs - called), "method_refs": sorted(called)})
+            out.append({"test_class": cls.name, "bases": bases, "tagged": tags, "name": fn.name, "line": fn.lineno, "asserts": asserts, "via": via,
+                "model_refs": sorted(models), "field_refs": sorted(attrs - called), "method_refs": sorted(called)})
     return out
 
 

@@ -54,7 +54,8 @@ def find_manifests(spark: SparkSession, root: str) -> DataFrame:
     """Manifests of either name; where a folder has both, the modern one counts."""
     both = [read_files(spark, root, name).withColumn("rank", F.lit(i)) for i, name in enumerate(MANIFESTS)]
     folder = F.regexp_replace("path", "/[^/]+$", "")
-    return both[0].unionByName(both[1]).withColumn("folder", folder).groupBy("folder").agg(F.min_by(F.struct("path", "content"), "rank").alias("f")).select("f.path", "f.content")
+    return both[0].unionByName(both[1]).withColumn("folder", folder).groupBy("folder").agg(
+        F.min_by(F.struct("path", "content"), "rank").alias("f")).select("f.path", "f.content")
 
 
 def parse_manifest(text: str) -> dict:
@@ -83,7 +84,10 @@ def module_rows(manifests: DataFrame) -> DataFrame:
                 d = parse_manifest(text or "")
                 word = lambda k: str(d[k]) if d.get(k) else None  # noqa: B023, E731
                 assets = d.get("assets") if isinstance(d.get("assets"), dict) else {}
-                out.append((path, path.rsplit("/", 2)[-2], word("name"), word("version"), word("license"), ", ".join(d["author"]) if isinstance(d.get("author"), (list, tuple)) else word("author"), word("category"), [str(x) for x in d.get("depends") or []], bool(d.get("auto_install")), bool(d.get("application")), bool(d.get("installable", True)), bool(d), {str(k): repr(v) for k, v in assets.items()}))
+                out.append((path, path.rsplit("/", 2)[-2], word("name"), word("version"), word("license"),
+                    ", ".join(d["author"]) if isinstance(d.get("author"), (list, tuple)) else word("author"), word("category"),
+                        [str(x) for x in d.get("depends") or []], bool(d.get("auto_install")), bool(d.get("application")),
+                            bool(d.get("installable", True)), bool(d), {str(k): repr(v) for k, v in assets.items()}))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MODULE.split(", ")])
 
     return manifests.mapInPandas(parse, MODULE)
@@ -100,7 +104,8 @@ COMMUNITY_LICENSES = ("LGPL-3", "LGPL-3.0", "GPL-3", "GPL-3.0", "AGPL-3", "AGPL-
 ENTERPRISE_LICENSE, COMMERCIAL_LICENSE = "OEEL-1", "OPL-1"
 
 
-def edition(name: Column, license_: Column, author: Column, path: Column, prefixes: Sequence[str] = (), authors: Sequence[str] = (), association: str | None = None, vendor: str = "vendor", member: str = "association") -> Column:
+def edition(name: Column, license_: Column, author: Column, path: Column, prefixes: Sequence[str] = (), authors: Sequence[str] = (),
+    association: str | None = None, vendor: str = "vendor", member: str = "association") -> Column:
     """Edition of a module; the first rule that fits.
 
     A vendor's modules are known by name ``prefixes``, or by its ``authors`` where the licence is commercial; those of an ``association`` by
@@ -112,7 +117,8 @@ def edition(name: Column, license_: Column, author: Column, path: Column, prefix
     written = some([F.coalesce(author.contains(a), F.lit(False)) for a in authors])
     return (
         F.when(mine, vendor).when(licence == ENTERPRISE_LICENSE, "enterprise").when((licence == COMMERCIAL_LICENSE) & written, vendor)
-        .when(licence.contains(association.upper()) if association else F.lit(False), member).when(licence.isin(*COMMUNITY_LICENSES) & F.coalesce(path.contains("/addons/"), F.lit(False)), "community").otherwise("custom")
+        .when(licence.contains(association.upper()) if association else F.lit(False), member).when(
+            licence.isin(*COMMUNITY_LICENSES) & F.coalesce(path.contains("/addons/"), F.lit(False)), "community").otherwise("custom")
     )
 
 

@@ -25,7 +25,8 @@ def symbol_rows(source: str | None) -> list[dict]:
         return []
 
     def row(node, prefix: str, kind: str) -> dict:
-        marks = any(_call_name(d) == "deprecated" for d in node.decorator_list) or any(isinstance(x, ast.Name) and x.id == "DeprecationWarning" for x in ast.walk(node) if not isinstance(node, ast.ClassDef))
+        marks = any(_call_name(d) == "deprecated" for d in node.decorator_list) or any(isinstance(x,
+            ast.Name) and x.id == "DeprecationWarning" for x in ast.walk(node) if not isinstance(node, ast.ClassDef))
         signature = ast.unparse(node.args) if hasattr(node, "args") else None
         return {"qualified_name": prefix + node.name, "kind": kind, "signature": signature, "line": node.lineno, "status": "deprecated" if marks else "stable"}
 
@@ -62,7 +63,8 @@ def flag_rows(source: str | None) -> list[dict]:
             kw = {k.arg: k.value for k in call.keywords if k.arg}
             default = kw.get("my_default", kw.get("default"))
             for flag in (w for a in call.args if (w := _text(a)) and w.startswith("--")):
-                out.append({"command": command, "flag": flag, "default": None if default is None else ast.unparse(default), "type": ast.unparse(kw["type"]) if "type" in kw else None, "help": _text(kw.get("help"))})
+                out.append({"command": command, "flag": flag, "default": None if default is None else ast.unparse(default),
+                    "type": ast.unparse(kw["type"]) if "type" in kw else None, "help": _text(kw.get("help"))})
     return out
 
 
@@ -72,11 +74,13 @@ def flags(files: DataFrame) -> DataFrame:
 
 def lint_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rules from JSON files with a declared schema."""
-    return spark.read.option("multiLine", True).schema("rule_id string, version string, kind string, message string, severity string, file_pattern string, fix_template string, core_symbol string, code_pattern string").json(path)
+    return spark.read.option("multiLine", True).schema(
+        "rule_id string, version string, kind string, message string, severity string, file_pattern string, fix_template string, core_symbol string, code_pattern string").json(path)
 
 
 def curated_symbols(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema("qualified_name string, kind string, version string, signature string, status string, replacement string").json(path)
+    return spark.read.option("multiLine", True).schema(
+        "qualified_name string, kind string, version string, signature string, status string, replacement string").json(path)
 
 
 def check_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -102,13 +106,19 @@ def check_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.string()))], [*b.schema.names, "hits"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.select("path", "line", "text").schema)
-    found = lines.select("path", "line", "text").mapInArrow(search, f"{kinds}, hits array<string>").select("path", "line", "text", F.explode("hits").alias("rule_id"), F.lit("pattern").alias("match"))
+    found = lines.select("path", "line", "text").mapInArrow(search, f"{kinds}, hits array<string>").select("path", "line", "text",
+        F.explode("hits").alias("rule_id"), F.lit("pattern").alias("match"))
     if fuzzy:
         # words of a file are counted by rule, so no file meets in one value
-        words = lines.sparkSession.createDataFrame(fuzzy, "rule_id string, message string").select("rule_id", F.explode(lint_tokens(F.col("message"))).alias("word"))
-        shared = lines.select("path", "line", "text", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z_]+"))).alias("word")).join(F.broadcast(words), "word")
-        by_line = shared.groupBy("path", "line", "text", "rule_id").agg(F.count("word").alias("n")).filter("n >= 2").select("path", "line", "text", "rule_id", F.lit("fuzzy").alias("match"))
-        by_file = shared.groupBy("path", "rule_id").agg(F.count_distinct("word").alias("n")).filter("n >= 2").join(by_line.select("path", "rule_id").distinct(), ["path", "rule_id"], "left_anti")
-        first = lines.filter("line = 1").select("path", "line", "text").join(by_file.select("path", "rule_id"), "path").select("path", "line", "text", "rule_id", F.lit("fuzzy").alias("match"))
+        words = lines.sparkSession.createDataFrame(fuzzy, "rule_id string, message string").select("rule_id",
+            F.explode(lint_tokens(F.col("message"))).alias("word"))
+        shared = lines.select("path", "line", "text", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z_]+"))).alias("word")).join(
+            F.broadcast(words), "word")
+        by_line = shared.groupBy("path", "line", "text", "rule_id").agg(F.count("word").alias("n")).filter("n >= 2").select("path", "line", "text",
+            "rule_id", F.lit("fuzzy").alias("match"))
+        by_file = shared.groupBy("path", "rule_id").agg(F.count_distinct("word").alias("n")).filter("n >= 2").join(
+            by_line.select("path", "rule_id").distinct(), ["path", "rule_id"], "left_anti")
+        first = lines.filter("line = 1").select("path", "line", "text").join(by_file.select("path", "rule_id"), "path").select("path", "line", "text",
+            "rule_id", F.lit("fuzzy").alias("match"))
         found = found.union(by_line).union(first)
     return found.filter(~suppressed(F.col("text"), F.col("rule_id"))).select("path", "line", "rule_id", "match")

@@ -32,7 +32,8 @@ def late_guard(events: DataFrame, key: str, time: str, order: str, guarded: Sequ
     seen = events.withColumn("_top", F.max(time).over(before))
     applies = F.col(time).isNull() | F.col("_top").isNull() | (F.col(time) >= F.col("_top"))
     last = lambda c, on: F.max_by(F.col(c), F.when(on, F.col(order)))
-    return seen.groupBy(key).agg(*[last(c, applies).alias(c) for c in guarded], *[last(c, F.col(c).isNotNull()).alias(c) for c in open_], F.max(time).alias(time))
+    return seen.groupBy(key).agg(*[last(c, applies).alias(c) for c in guarded], *[last(c, F.col(c).isNotNull()).alias(c) for c in open_],
+        F.max(time).alias(time))
 
 
 def failure_throttle(events: DataFrame, key: str, time: str, failed: str, most: int = USER_FAILURES, minutes: int = THROTTLE_MINUTES) -> DataFrame:
@@ -89,7 +90,8 @@ def add_counters(old: DataFrame, new: DataFrame, keys: Sequence[str], amount: st
 
 def tumbling(events: DataFrame, time: str, width: str, value: str, *keys: str) -> DataFrame:
     w = F.window(time, width)
-    return events.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), *keys, "n", "total")
+    return events.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(
+        F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
 def sliding(events: DataFrame, time: str, width: str, slide: str, *keys: str) -> DataFrame:

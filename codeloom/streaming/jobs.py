@@ -49,7 +49,8 @@ def late_guard_stream(events: DataFrame, key: str, time: str, order: str, value:
 
     kind = events.schema[key].dataType.simpleString()
     slim = events.select(key, order, value, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
-    return slim.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {value} string, event_micros long", f"{value} string, event_micros long", "update", "NoTimeout")
+    return slim.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {value} string, event_micros long", f"{value} string, event_micros long",
+        "update", "NoTimeout")
 
 
 def count_usage(events: DataFrame, key: str, time: str, add: Callable[[DataFrame, int], None]) -> StreamingQuery:
