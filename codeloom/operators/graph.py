@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import Growing, cut
 
 INHERITS, DELEGATES = "INHERITS", "DELEGATES_TO"
 #: Order of edge kinds at one depth.
@@ -55,17 +55,15 @@ def closure(roots: DataFrame, edges: DataFrame, hops: int | None = 20) -> DataFr
     A loop of joins on the frontier. What was reached lies in one written table a hop and is anti-joined, so cycles end; the loop ends when a hop reaches
     nothing new, or after ``hops`` (20 is the dependency listing's own bound; None has no bound).
     """
-    step = edges.select("src", "dst").distinct()
-    level = cut(roots.select("root", F.col("root").alias("name"), F.lit(0).alias("depth")).distinct())
-    found, depth = level, 0
+    step = cut(edges.select("src", "dst").distinct())
+    found, depth = Growing(roots.select("root", F.col("root").alias("name"), F.lit(0).alias("depth")).distinct()), 0
     while hops is None or depth < hops:
         depth += 1
-        near = level.select("root", "name").join(step, F.col("name") == F.col("src")).select("root", F.col("dst").alias("name")).distinct()
-        level = cut(near.join(found.select("root", "name"), ["root", "name"], "left_anti").select("root", "name", F.lit(depth).alias("depth")))
-        if level.isEmpty():
+        near = found.last().select("root", "name").join(step, F.col("name") == F.col("src")).select("root", F.col("dst").alias("name")).distinct()
+        fresh = near.join(found.all().select("root", "name"), ["root", "name"], "left_anti")
+        if not found.add(fresh.select("root", "name", F.lit(depth).alias("depth"))):
             break
-        found = found.union(level)
-    return found.filter("depth > 0")
+    return found.all().filter("depth > 0")
 
 
 def walk_paths(paths: DataFrame, members: DataFrame, hops: int) -> DataFrame:
@@ -130,11 +128,12 @@ def levels(edges: DataFrame, names: DataFrame) -> DataFrame:
         names.select(F.col("name").alias("src")), "src", "left_semi"))
     left, done, k = cut(names.select("name").distinct()), None, 0
     while True:
-        fresh = cut(left.join(step.select(F.col("src").alias("name")).distinct(), "name", "left_anti").select("name", F.lit(k).alias("level")))
-        if fresh.isEmpty():
-            return fresh if done is None else done
-        done = fresh if done is None else done.union(fresh)
-        peeled = fresh.select("name")
+        fresh = left.join(step.select(F.col("src").alias("name")).distinct(), "name", "left_anti").select("name", F.lit(k).alias("level"))
+        if done is None:
+            done = Growing(fresh)
+        elif not done.add(fresh):
+            return done.all()
+        peeled = done.last().select("name")
         left = cut(left.join(peeled, "name", "left_anti"))
         step = cut(step.join(peeled.withColumnRenamed("name", "dst"), "dst", "left_anti"))
         k += 1

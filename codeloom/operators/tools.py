@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MAGIC_FIELDS, ilike_literal
 from ..functions.text import literal_column, style_literal
+from ..streaming.events import late_guard
 from .graph import chain, closure, levels
 from .joins import counted
 from .ranking import declaring_module, first_by, inherited_members, tests_first
@@ -272,14 +273,10 @@ def webhook_batch(events: DataFrame, known: DataFrame, state: DataFrame, now: st
     log = known.join(open_.select("vendor", "event_id"), ["vendor", "event_id"], "left_anti").unionByName(
         open_.select("vendor", "event_id", F.lit(now).alias("processed_at")))
     # stored rows are the first arrivals of their subscriptions
-    rows = state.select("subscription", "status", "event_at", F.lit(None).cast("timestamp").alias("received")).unionByName(
-        open_.select("subscription", "status", "event_at", "received"))
-    before = Window.partitionBy("subscription").orderBy(F.col("received").asc_nulls_first(), F.col("event_at"), F.col("status")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    seen = rows.withColumn("_n", F.row_number().over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_top",
-        F.max("event_at").over(before))
-    applies = F.col("event_at").isNull() | F.col("_top").isNull() | (F.col("event_at") >= F.col("_top"))
-    after = seen.groupBy("subscription").agg(F.max_by("status", F.when(applies, F.col("_n"))).alias("status"), F.max("event_at").alias("event_at"))
+    stored = state.select("subscription", "status", "event_at", F.lit(None).cast("timestamp").alias("received"))
+    rows = stored.unionByName(open_.select("subscription", "status", "event_at", "received"))
+    arrival = F.struct(F.col("received").isNotNull().alias("new"), "received", "event_at", "status")
+    after = late_guard(rows.withColumn("_arrival", arrival), "subscription", "event_at", "_arrival", ["status"])
     return log, after
 
 

@@ -23,28 +23,44 @@ def intake(events: DataFrame, keys: Sequence[str] = ("vendor", "event_id"), orde
 def late_guard(events: DataFrame, key: str, time: str, order: str, guarded: Sequence[str], open_: Sequence[str] = ()) -> DataFrame:
     """State of each key after its events in arrival order.
 
-    An event that is older than the latest event time so far changes nothing in ``guarded``; equal or missing times
-    apply. The stored time only grows. ``open_`` columns take the last non-null value whatever the time. An
-    event applies if no earlier arrival has a greater time, so the state is the last applied event's, and one
-    window by key finds it.
-    """
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = events.withColumn("_top", F.max(time).over(before))
-    applies = F.col(time).isNull() | F.col("_top").isNull() | (F.col(time) >= F.col("_top"))
-    last = lambda c, on: F.max_by(F.col(c), F.when(on, F.col(order)))
-    return seen.groupBy(key).agg(*[last(c, applies).alias(c) for c in guarded], *[last(c, F.col(c).isNotNull()).alias(c) for c in open_],
-        F.max(time).alias(time))
-
+    An event that is older than the latest event time so far changes nothing in ``guarded``; equal or missing times apply. The stored
+    time only grows. ``open_`` columns take the last non-null value whatever the time.
 
-def failure_throttle(events: DataFrame, key: str, time: str, failed: str, most: int = USER_FAILURES, minutes: int = THROTTLE_MINUTES) -> DataFrame:
+    So the state is that of the last arrival with the key's greatest time, or of a later arrival without a time. Both are plain aggregates,
+    combined before the shuffle: a key's events never meet in one task.
+    """
+    values = F.struct(*guarded)
+    timed = F.struct(F.col(order).alias("n"), values.alias("v"))
+    state = events.groupBy(key).agg(
+        F.max_by(timed, F.when(F.col(time).isNotNull(), F.struct(time, order))).alias("_timed"),
+        F.max_by(timed, F.when(F.col(time).isNull(), F.col(order))).alias("_untimed"),
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in open_],
+        F.max(time).alias(time),
+    )
+    later = F.col("_timed").isNull() | F.coalesce(F.col("_untimed.n") > F.col("_timed.n"), F.lit(False))
+    last = F.when(later, F.col("_untimed.v")).otherwise(F.col("_timed.v"))
+    return state.withColumn("_v", last).select(key, *[F.col("_v")[c].alias(c) for c in guarded], *open_, time)
+
+
+def failure_throttle(
+    events: DataFrame, key: str, time: str, failed: str, most: int = USER_FAILURES, minutes: int = THROTTLE_MINUTES, span: int = 96
+) -> DataFrame:
     """Every event with the failures of its key in the last minutes before it, and whether it is locked out.
 
-    All failures count, so a range frame is right; the event itself isn't counted.
+    All failures count, so a range frame is right; the event itself isn't counted. A key's events are dealt by time: a group holds
+    ``span`` times the minutes, and the failures of the minutes before it once more.
     """
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    back = Window.partitionBy(key).orderBy("_at").rangeBetween(-minutes * 60_000_000, -1)
+    width = minutes * 60_000_000
+    at = events.withColumn("_at", F.unix_micros(F.col(time).cast("timestamp")))
+    group = lambda c: F.floor(c / (span * width))
+    own = F.struct(group(F.col("_at")).alias("_group"), F.lit(True).alias("_own"))
+    next_ = F.struct(group(F.col("_at") + width).alias("_group"), F.lit(False).alias("_own"))
+    again = F.coalesce(F.col(failed), F.lit(False)) & (group(F.col("_at") + width) > group(F.col("_at")))
+    dealt = at.select("*", F.inline(F.when(again, F.array(own, next_)).otherwise(F.array(own))))
+    back = Window.partitionBy(key, "_group").orderBy("_at").rangeBetween(-width, -1)
     n = F.coalesce(F.sum(F.col(failed).cast("int")).over(back), F.lit(0))
-    return events.withColumn("_at", at).withColumn("failures", n).withColumn("locked", F.col("failures") >= most).drop("_at")
+    counted = dealt.withColumn("failures", n).filter("_own")
+    return counted.withColumn("locked", F.col("failures") >= most).drop("_at", "_group", "_own")
 
 
 def sliding_limit(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: float) -> DataFrame:
