@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, running, small_batches, tidy
+from .common import cut, forget_plans, running, small_batches, tidy
 from .tokens import encode_documents
 
 CAPACITY = 1024
@@ -138,6 +138,7 @@ def rounds(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             gaps = gaps.union(spark.range(1).select(F.lit(capacity).cast("long"), F.lit(opened).cast("long"), F.lit(fresh).cast("long")))
             opened += fresh
         state = cut(one_round(todo, gaps, capacity), "round")
+        forget_plans(spark)
         placed.append(state.filter("kind = 'run'"))
     schema = "run_length long, first_rank long, n long, first_sequence long, offset long"
     if not placed:
