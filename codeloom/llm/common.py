@@ -115,12 +115,6 @@ def give_back() -> None:
         trim(0)
 
 
-def forget_plans(spark: SparkSession) -> None:
-    """Collect the plans of finished rounds on both sides of the driver, so that a loop of many small jobs doesn't fill its heap."""
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
-
-
 Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
