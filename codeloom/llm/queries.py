@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, media, packing, sharding, simhash, substring, token_store, toxicity, urls
+from . import decontaminate, divergence, html, media, mixing, packing, quantize, sharding, simhash, substring, token_store, toxicity, urls
 
 #: The id that ends a document in the contracts.
 END_ID = 2
@@ -60,6 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_decontamination": op2_decontamination,
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_url_vocabulary": op9_url_vocabulary,
     "op10_toxicity": op10_toxicity,
+    "op11_heap_lloyd": op11_heap_lloyd,
+    "op12_curriculum": op12_curriculum,
+    "op13_divergence": op13_divergence,
 }
 
 
@@ -149,4 +164,64 @@ def _op5_sql() -> str:
     JOIN kept USING (doc_id)"""
 
 
-ORACLES = {"op2_decontamination": _op2_sql(), "op5_repeated_passages": _op5_sql(), "op9_url_vocabulary": _op9_sql()}
+def _op12_sql() -> str:
+    """Targets by a join of sources with those before them; the order and its running sum by windows over all documents."""
+    m = mixing
+
+    def time(knots: tuple[tuple[float, float], ...]) -> str:
+        areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:])]
+        cases, before = "", 0.0
+        for (t0, w0), (t1, w1), area in zip(knots, knots[1:], areas):
+            rest = f"greatest(share * {sum(areas)}::DOUBLE - {before}::DOUBLE, 0)"
+            root = f"({w0}::DOUBLE + sqrt(greatest({w0 * w0}::DOUBLE + {2 * (w1 - w0) / (t1 - t0)}::DOUBLE * {rest}, 0)))"
+            before += area
+            cases += f" WHEN share * {sum(areas)}::DOUBLE <= {before}::DOUBLE OR {t1} = 1 THEN least({t0}::DOUBLE + 2 * {rest} / {root}, {t1})"
+        return f"CASE{cases} END"
+
+    weight = "[" + ", ".join(map(str, m.WEIGHTS)) + f"][1 + place % {len(m.WEIGHTS)}]"
+    positions = " ".join(f"WHEN {i} THEN {time(k)}" for i, k in enumerate(m.SCHEDULES))
+    return rf"""
+    WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+    w AS (SELECT *, {weight} AS w, sum(size) OVER () AS words FROM s),
+    l AS (SELECT a.place, {m.REPEATS} * a.size * sum(b.w) FILTER (WHERE b.size * a.w >= a.size * b.w)
+            <= a.w * (any_value(a.words) - coalesce(sum({m.REPEATS} * b.size) FILTER (WHERE b.size * a.w < a.size * b.w), 0)) AS stops
+          FROM w a CROSS JOIN w b GROUP BY a.place, a.size, a.w),
+    f AS (SELECT w.*, stops, words - coalesce(sum({m.REPEATS} * size) FILTER (WHERE stops) OVER (), 0) AS free, sum(w) FILTER (WHERE NOT stops) OVER () AS over FROM w JOIN l USING (place)),
+    q AS (SELECT source, place, CAST(size AS BIGINT) AS source_size, CASE WHEN stops THEN CAST({m.REPEATS} * size AS DOUBLE) ELSE CAST(free * w AS DOUBLE) / CAST(over AS DOUBLE) END AS target,
+          CAST(CASE WHEN stops THEN {m.REPEATS} * size ELSE CAST(free AS HUGEINT) * w // CAST(over AS HUGEINT) END AS BIGINT) AS quota FROM f),
+    o AS (SELECT *, row_number() OVER o AS rank, CAST(sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before FROM d
+          WINDOW o AS (PARTITION BY source ORDER BY md5('{m.SEED}' || coalesce(':' || doc_id, '')), doc_id, md5(text), size)),
+    e AS (SELECT o.* EXCLUDE (source, text), place, source_size, target, quota, unnest(range({m.REPEATS})) AS e FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source),
+    n AS (SELECT *, greatest(0, least(size, quota - e * source_size - before)) AS n FROM e),
+    h AS (SELECT *, (e * source_size + before + n / 2) / quota AS share FROM n WHERE n > 0),
+    t AS (SELECT *, CASE place % {len(m.SCHEDULES)} {positions} END AS position FROM h),
+    p AS (SELECT *, CAST(sum(n) OVER (ORDER BY position, place, e, rank ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS start FROM t),
+    a AS (SELECT place, rank, sum(n) AS taken, min(start) AS first_start, min(position) AS first_position, max(position) AS last_position FROM p GROUP BY ALL)
+    SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_start, first_position, last_position
+    FROM (SELECT * FROM e WHERE e = 0) LEFT JOIN a USING (place, rank)"""
+
+
+def _op13_sql() -> str:
+    """Shares in 128-bit integers; every pair of a language's sources over every kept term."""
+    d = divergence
+    share = lambda n, whole: f"1 + ({d.SCALE}::HUGEINT * ({n} + {d.PRIOR})) // ({whole})"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+    v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    s AS (SELECT lang, source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS have, {share('coalesce(c.n, 0)', f's.n + {d.PRIOR} * v.v')} AS p, {share('k.total', f'v.n + {d.PRIOR} * v.v')} AS q
+          FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE have > 0 AND p > q),
+    y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM y WHERE part = 'pair' OR rank <= 50"""
+
+
+ORACLES = {"op2_decontamination": _op2_sql(), "op5_repeated_passages": _op5_sql(), "op9_url_vocabulary": _op9_sql(), "op12_curriculum": _op12_sql(), "op13_divergence": _op13_sql()}
