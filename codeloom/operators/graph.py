@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import Growing, cut
+from .ordering import reach
 
 INHERITS, DELEGATES = "INHERITS", "DELEGATES_TO"
 #: Order of edge kinds at one depth.
 KIND_RANK = {INHERITS: 0, DELEGATES: 1}
 
+#: Hops of a walk that share one plan; after them, what is under way is written.
+WALK_HOPS = 6
+
 
 def _kind_rank(kind: Column) -> Column:
     return F.when(kind == INHERITS, 0).otherwise(1)
@@ -66,20 +70,30 @@ def closure(roots: DataFrame, edges: DataFrame, hops: int | None = 20) -> DataFr
     return found.all().filter("depth > 0")
 
 
-def walk_paths(paths: DataFrame, members: DataFrame, hops: int) -> DataFrame:
+def walk_paths(paths: DataFrame, members: DataFrame) -> DataFrame:
     """Resolve dotted paths: (model, path) to the stop (``status``, ``at``), final ``ttype`` and ``comodel``.
 
     ``members`` has (model, name, ttype, comodel), one row for each model and name. Hops before the last must be relational.
     Status: ok, missing, not_relational, dangling_comodel. A path of dots alone is missing at 0. Each hop is one
-    join for all paths at once.
+    join for all paths that are still under way, and every part is walked however long the path is.
     """
     parts = F.filter(F.split("path", r"\."), lambda p: p != "")
-    now = paths.select("model", "path", parts.alias("parts"), F.col("model").alias("here"), F.lit(None).cast("string").alias("status"),
-        F.lit(0).alias("at"), F.lit(None).cast("string").alias("ttype"), F.lit(None).cast("string").alias("comodel"))
-    now = now.withColumn("status", F.when(F.size("parts") == 0, F.lit("missing")))
+    null = F.lit(None).cast("string")
+    now = paths.select("model", "path", parts.alias("parts"))
+    now = now.select("model", "path", "parts", F.col("model").alias("here"), F.when(F.size("parts") == 0, "missing").alias("status"), F.lit(0).alias("at"),
+        null.alias("ttype"), null.alias("comodel"))
+    longest = now.agg(F.max(F.size("parts"))).first()[0] or 0
     have = members.select(F.col("model").alias("_m"), F.col("name").alias("_n"), F.col("ttype").alias("_t"), F.col("comodel").alias("_c"))
-    for k in range(hops):
-        live = F.col("status").isNull() & (F.size("parts") > k)
+    if longest > WALK_HOPS:
+        have = cut(have)
+    stopped = None
+    for k in range(longest):
+        if k and k % WALK_HOPS == 0:  # stopped paths are set aside, so a few long ones don't drag all along
+            now = cut(now)
+            ended = now.filter("status is not null")
+            stopped = ended if stopped is None else stopped.unionByName(ended)
+            now = now.filter("status is null")
+        live = F.col("status").isNull()
         hop = F.when(live, F.get("parts", F.lit(k)))
         joined = now.withColumn("_hop", hop).join(have, (F.col("here") == F.col("_m")) & (F.col("_hop") == F.col("_n")), "left")
         last = F.size("parts") == k + 1
@@ -92,7 +106,8 @@ def walk_paths(paths: DataFrame, members: DataFrame, hops: int) -> DataFrame:
                 state.alias("status"), F.when(live, F.lit(k)).otherwise(F.col("at")).alias("at"),
             F.when(live, F.col("_t")).otherwise(F.col("ttype")).alias("ttype"), F.when(live, F.col("_c")).otherwise(F.col("comodel")).alias("comodel"),
         )
-    return now.select("model", "path", F.coalesce("status", F.lit("too_long")).alias("status"), "at", "ttype", "comodel")
+    done = now if stopped is None else stopped.unionByName(now)
+    return done.select("model", "path", "status", "at", "ttype", "comodel")
 
 
 def topological_order(names: Sequence[str], depends: dict[str, Sequence[str]]) -> list[str]:
@@ -140,10 +155,8 @@ def levels(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def chain(starts: DataFrame, parents: DataFrame) -> DataFrame:
-    """(start, name, depth) upwards along ``parents`` (name, parent); the start has depth 0, cycles end."""
-    up = parents.filter(F.col("parent").isNotNull()).select(F.col("name").alias("src"), F.col("parent").alias("dst"))
-    above = closure(starts.select(F.col("start").alias("root")), up, None).select(F.col("root").alias("start"), "name", "depth")
-    return starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth")).distinct().union(above)
+    """(start, name, depth) upwards along ``parents`` (name, parent); the start has depth 0, cycles end. Depth d takes about log2(d) rounds."""
+    return reach(starts.select("start"), parents.select(F.col("name").alias("src"), F.col("parent").alias("dst")))
 
 
 def would_cycle(changes: DataFrame, parents: DataFrame) -> DataFrame:
@@ -155,8 +168,8 @@ def would_cycle(changes: DataFrame, parents: DataFrame) -> DataFrame:
 
 def descendant_conflicts(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, name, version): descendants of a root whose version differs from the root's. ``nodes``: name, parent, version."""
-    down = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("src"), F.col("name").alias("dst"))
-    below = closure(roots.select("root"), down, None)
+    down = nodes.select(F.col("parent").alias("src"), F.col("name").alias("dst"))
+    below = reach(roots.select(F.col("root").alias("start")), down).filter("depth > 0").select(F.col("start").alias("root"), "name")
     mine = nodes.select(F.col("name").alias("root"), F.col("version").alias("_own"))
     return below.join(nodes.select("name", "version"), "name").join(mine, "root").filter(F.col("version") != F.col("_own")).select("root", "name", "version")
 

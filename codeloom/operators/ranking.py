@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import edition_rank
+from ..functions.scalars import edition_rank, version_key
 from .lineage import cut
 
 
@@ -88,6 +88,13 @@ def placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
         (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_at", "_in", "_p", "_before")
 
 
+def newest_versions(df: DataFrame, version: str = "version") -> DataFrame:
+    """``df`` with ``place`` from 0: versions ``N.M`` by their numbers, newest first, then names of another shape."""
+    key = version_key(F.col(version))
+    keyed = df.withColumn("_other", key.isNull()).withColumn("_major", -key["major"]).withColumn("_minor", -key["minor"])
+    return placed(keyed, ["_other", "_major", "_minor", version]).drop("_other", "_major", "_minor")
+
+
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """A page in a total order."""
     return df.orderBy(*order).offset(offset).limit(limit)

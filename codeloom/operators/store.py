@@ -60,15 +60,83 @@ def is_definition(name: Column, own_name_set: Column, inherit: Column) -> Column
     return own_name_set & ~F.coalesce(F.array_contains(inherit, name), F.lit(False))
 
 
-def missing_stubs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Names that edges point at but no node has."""
-    return edges.select(F.col("dst").alias("name")).distinct().join(nodes.select("name"), "name", "left_anti")
+#: The module of placeholders; kinds that have placeholders; kinds whose key has no module, so that a real row can take a placeholder's place.
+UNRESOLVED = "__unresolved__"
+PLACEHOLDER_KINDS = ("Model", "View", "QWebTmpl", "OWLComp")
+HEALED_KINDS = ("View", "QWebTmpl")
+#: Kinds that go with their module.
+CHILD_KINDS = ("Model", "Field", "Method", "View", "QWebTmpl", "Report", "JSPatch", "OWLComp")
 
 
-def gc_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Placeholders (``unresolved``) that no edge reaches any more go; all other nodes stay."""
-    used = edges.select(F.col("dst").alias("name")).distinct()
-    return nodes.filter(~F.coalesce("unresolved", F.lit(False))).unionByName(nodes.filter("unresolved").join(used, "name", "left_semi"))
+def _of(version: str | None) -> Column:
+    return F.lit(True) if version is None else F.coalesce(F.col("version") == version, F.lit(False))
+
+
+def _flag(c: str = "unresolved") -> Column:
+    return F.coalesce(F.col(c), F.lit(False))
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges none of whose ends is a node of ``gone`` (id)."""
+    ids = gone.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns)
+
+
+def gc_placeholders(nodes: DataFrame, edges: DataFrame, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without placeholders, then healed.
+
+    ``nodes``: id, kind, module, version, unresolved; ``edges``: src, dst, unresolved (both may have more columns). A placeholder carries the flag *and* the
+    module of placeholders; edges reaching it don't keep it, they go with it. A real row that still carries the flag stays.
+    """
+    hit = F.col("kind").isin(*PLACEHOLDER_KINDS) & _of(version) & _flag() & F.coalesce(F.col("module") == UNRESOLVED, F.lit(False))
+    left = nodes.filter(~F.coalesce(hit, F.lit(False)))
+    return heal_flags(left, _without(edges, nodes.filter(hit)), version)
+
+
+def heal_flags(nodes: DataFrame, edges: DataFrame, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clear the flag of rows that are resolved by now: views and templates of a real module, and edges to any node of a real module.
+
+    A null module is no placeholder's. Edges to a node that isn't there keep their flag.
+    """
+    real = F.coalesce(F.col("module"), F.lit("")) != UNRESOLVED
+    stale = F.coalesce(F.col("kind").isin(*HEALED_KINDS), F.lit(False)) & _of(version) & real
+    healed = nodes.withColumn("unresolved", F.when(stale & _flag(), False).otherwise(F.col("unresolved"))).select(*nodes.columns)
+    ends = nodes.filter(_of(version) & real).select(F.col("id").alias("dst"), F.lit(True).alias("_real")).distinct()
+    clear = edges.join(ends, "dst", "left").withColumn("unresolved", F.when(F.col("_real") & _flag(), False).otherwise(F.col("unresolved")))
+    return healed, clear.select(*edges.columns)
+
+
+def gc_bundles(bundles: DataFrame, contributes: DataFrame, includes: DataFrame, extends: DataFrame, version: str | None = None) -> DataFrame:
+    """Asset bundles (id, version) that a module contributes to, that take part in an include, or that another extends; the rest goes.
+
+    ``contributes`` (module, bundle), ``includes`` (src, dst) in either direction, ``extends`` (src, dst) inbound alone.
+    """
+    used = contributes.select(F.col("bundle").alias("id")).union(includes.select("src")).union(includes.select("dst")).union(extends.select("dst")).distinct()
+    return bundles.filter(~_of(version)).unionByName(bundles.filter(_of(version)).join(used, "id", "left_semi").select(*bundles.columns))
+
+
+def gc_dep_stubs(modules: DataFrame, children: DataFrame, edges: DataFrame, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Modules and edges without stubs: modules of no repository that nothing is defined in. Their edges go with them.
+
+    ``modules``: id, version, repo_id; ``children``: module (an id); ``edges``: src, dst. A stub that is still depended on comes back with the next scan.
+    """
+    stubs = modules.filter(_of(version) & F.col("repo_id").isNull()).join(children.select(F.col("module").alias("id")).distinct(), "id", "left_anti")
+    gone = stubs.select("id")
+    return modules.join(gone, "id", "left_anti").select(*modules.columns), _without(edges, gone)
+
+
+def delete_repo(modules: DataFrame, nodes: DataFrame, edges: DataFrame, repo: str, version: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Modules, nodes and edges without a repository's modules of one version and what is defined in them.
+
+    ``modules``: id, name, repo, version; ``nodes``: id, kind, module, version; ``edges``: src, dst over both. Children go by module
+    name and version. Bundles and style sheets are shared by modules of a version, so they stay.
+    """
+    hit = F.coalesce((F.col("repo") == repo) & (F.col("version") == version), F.lit(False))
+    gone = modules.filter(hit)
+    names = gone.select(F.col("name").alias("module"), "version").distinct()
+    children = nodes.filter(F.col("kind").isin(*CHILD_KINDS)).join(names, ["module", "version"], "left_semi")
+    left = nodes.join(children.select("id"), "id", "left_anti").select(*nodes.columns)
+    return modules.filter(~hit), left, _without(edges, gone.select("id").union(children.select("id")))
 
 
 def gc_stale(nodes: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,10 +156,19 @@ def inherits_test(classes: DataFrame, helpers: DataFrame) -> DataFrame:
         "kind is not null").select("name", "version", "base", "kind")
 
 
-def promote_helpers(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Test classes that other test classes derive from."""
-    used = edges.select(F.col("base").alias("name"), "version").distinct()
-    return classes.join(used, ["name", "version"], "left_semi")
+def promote_helpers(classes: DataFrame, edges: DataFrame, helpers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Test classes with ``is_helper``, and the helpers with one row for each promoted class.
+
+    ``classes``: id, name, module, version, defines_no_test_methods, is_helper, profile; ``edges``: src, dst (ids); ``helpers``: name, module, version, origin,
+    profile. A class is promoted where another class derives from it and it has no test methods of its own; a class with tests never is. Once
+    promoted it stays so. A helper that is there takes the origin and joins the profiles.
+    """
+    used = edges.select(F.col("dst").alias("id")).distinct().withColumn("_used", F.lit(True))
+    fits = F.col("_used") & F.coalesce("defines_no_test_methods", F.lit(False))
+    out = classes.join(used, "id", "left").withColumn("is_helper", F.coalesce(fits, F.lit(False)) | F.coalesce("is_helper", F.lit(False))).select(*classes.columns)
+    keys = ["name", "module", "version"]
+    rows = out.filter("is_helper").groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("profile", F.array().cast("array<string>")))))).alias("profile"))
+    return out, upsert(helpers, rows.select(*keys, F.lit("addon").alias("origin"), "profile"), keys, ["profile"])
 
 
 def coverage_edges(refs: DataFrame, members: DataFrame) -> DataFrame:
@@ -108,27 +185,7 @@ def reachable_within(roots: DataFrame, edges: DataFrame, names: DataFrame) -> Da
     return closure(roots, edges, None).join(names.select("name"), "name", "left_semi")
 
 
-def scoped_delete(nodes: DataFrame, scope: DataFrame, keys: Sequence[str], profile: str, col: str = "profile") -> DataFrame:
-    """Take one profile off the rows of a scope: rows that only it had go, rows that others share stay without it."""
-    keys = list(keys)
-    hit = nodes.join(scope.select(*keys).distinct(), keys, "left_semi").filter(F.array_contains(col, profile))
-    left = hit.withColumn(col, F.array_remove(col, profile)).filter(F.size(col) > 0).select(*nodes.columns)
-    rest = nodes.join(hit.select(*keys).distinct().withColumn("_hit", F.lit(True)), keys, "left")
-    rest = rest.filter(F.col("_hit").isNull() | ~F.coalesce(F.array_contains(col, profile), F.lit(False))).select(*nodes.columns)
-    return rest.unionByName(left)
-
-
 def gc_unseen(nodes: DataFrame, seen: DataFrame, scanned: DataFrame, keys: Sequence[str], scope: Sequence[str]) -> DataFrame:
-    """Rows of scanned scopes that the scan didn't see go (bundles, tests, test classes); rows of other scopes stay."""
+    """Rows of scanned scopes that the scan didn't see go (tests, test classes); rows of other scopes stay."""
     stale = nodes.join(scanned.select(*scope).distinct(), list(scope), "left_semi").join(seen.select(*keys).distinct(), list(keys), "left_anti")
     return nodes.join(stale.select(*keys).distinct(), list(keys), "left_anti")
-
-
-def heal_flags(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("name", "version"), flag: str = "is_definition") -> DataFrame:
-    """Set a flag again by what the edges say: a row that extends another of its own name defines nothing.
-
-    ``edges`` has the keys of the rows that extend. Rows whose flag is already right are given unchanged.
-    """
-    extends = edges.select(*keys, "module").distinct().withColumn("_ext", F.lit(True))
-    return nodes.join(extends, [*keys, "module"], "left").withColumn(flag, F.coalesce(F.col("_ext"), F.lit(False)) == F.lit(False)).drop(
-        "_ext").select(*nodes.columns)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MAGIC_FIELDS, ilike_literal
+from ..functions.scalars import MAGIC_FIELDS, ilike_literal, method_convention
 from ..functions.text import literal_column, style_literal
 from ..streaming.events import late_guard
 from .graph import chain, closure, levels
@@ -144,15 +144,32 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
 
 
 def override_points(methods: DataFrame) -> DataFrame:
-    """(model, name, modules, with_super, chain): methods that several modules define, with the modules in load order.
+    """Each method with its convention and the chain of modules that define it, by module: (model, name, version, kind, super_safety,
+    return_required, with_super, chain).
 
-    ``methods`` has (model, name, module, level, has_super).
+    ``methods`` has (model, name, version, module, edition, has_super). A method of one module is a chain of one.
     """
-    grouped = methods.groupBy("model", "name").agg(
-        F.count_distinct("module").alias("modules"), F.count_if(F.coalesce("has_super", F.lit(False))).alias("with_super"),
-        F.transform(F.array_sort(F.collect_set(F.struct("level", "module"))), lambda x: x["module"]).alias("chain"),
-    )
-    return grouped.filter("modules >= 2")
+    link = F.struct("module", "edition", F.coalesce("has_super", F.lit(False)).alias("has_super"))
+    grouped = methods.groupBy("model", "name", "version").agg(F.count_if(F.coalesce("has_super", F.lit(False))).alias("with_super"), F.array_sort(F.collect_list(link)).alias("chain"))
+    return grouped.withColumn("_c", method_convention(F.col("name"))).select("model", "name", "version", "_c.kind", "_c.super_safety", "_c.return_required", "with_super", "chain")
+
+
+def override_diff(points: DataFrame, old: str, new: str) -> DataFrame:
+    """How each method's chain differs between two versions of ``override_points``: (model, name, change, added, removed, kind, super_safety).
+
+    ``change`` is added, removed, changed or same; ``added`` and ``removed`` are modules in order. ``kind`` and ``super_safety`` say "old -> new"
+    where they differ.
+    """
+    side = lambda v, p: points.filter(F.col("version") == v).select("model", "name", *[F.col(c).alias(p + c) for c in ("kind", "super_safety")],
+        F.transform("chain", lambda x: x["module"]).alias(p + "modules"))
+    both = side(old, "_old_").join(side(new, "_new_"), ["model", "name"], "full")
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce("_old_modules", none), F.coalesce("_new_modules", none)
+    moved = lambda c: F.when(F.col(f"_old_{c}").isNotNull() & F.col(f"_new_{c}").isNotNull() & (F.col(f"_old_{c}") != F.col(f"_new_{c}")),
+        F.concat_ws(" -> ", f"_old_{c}", f"_new_{c}")).otherwise(F.coalesce(f"_new_{c}", f"_old_{c}"))
+    gone, fresh = F.array_except(a, b), F.array_except(b, a)
+    change = F.when(F.col("_old_modules").isNull(), "added").when(F.col("_new_modules").isNull(), "removed").when((F.size(gone) > 0) | (F.size(fresh) > 0), "changed").otherwise("same")
+    return both.select("model", "name", change.alias("change"), fresh.alias("added"), gone.alias("removed"), moved("kind").alias("kind"), moved("super_safety").alias("super_safety"))
 
 
 def style_overrides(chunks: DataFrame, imports: DataFrame, queries: Sequence[str], limit: int = 5) -> DataFrame:
@@ -282,7 +299,7 @@ def webhook_batch(events: DataFrame, known: DataFrame, state: DataFrame, now: st
 
 __all__ = [
     "chunk_counts", "children", "command_help", "coverage_audit", "entity_lookup", "fields_listing", "flag_help", "load_order", "model_summary",
-        "module_summary", "newest", "override_points", "profile_modules",
+        "module_summary", "newest", "override_diff", "override_points", "profile_modules",
     "profile_repos", "repos_in_state", "script_suites", "style_overrides", "stylesheets", "test_bases", "test_class_inspect", "tests_covering",
         "tests_first", "unclaimed", "view_type", "webhook_batch",
 ]

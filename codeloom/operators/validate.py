@@ -82,14 +82,14 @@ def domain_terms(domains: DataFrame, text: str = "domain") -> DataFrame:
     return parsed.select(*rest, F.inline("terms"))
 
 
-def check_domains(domains: DataFrame, members: DataFrame, hops: int = 5) -> DataFrame:
+def check_domains(domains: DataFrame, members: DataFrame) -> DataFrame:
     """(id, at, path, operator, problem): what is wrong with each term of ``domains`` (id, model, version, domain); null where nothing is.
 
     A path must resolve hop by hop, and the version must know the operator. Connectors are passed over; both problems of a term are told.
     """
     terms = domain_terms(domains)
     paths = terms.filter("kind = 'term'").select("model", "path").distinct()
-    walked = walk_paths(paths, members, hops).select(F.col("model").alias("_m"), F.col("path").alias("_p"), "status")
+    walked = walk_paths(paths, members).select(F.col("model").alias("_m"), F.col("path").alias("_p"), "status")
     joined = terms.filter("kind <> 'connector'").join(walked, (F.col("model") == F.col("_m")) & (F.col("path") == F.col("_p")), "left")
     path = F.when(F.col("kind") == "term", F.when(F.col("status") != "ok", F.col("status"))).otherwise(F.col("kind"))
     operator = F.when(F.col("kind").isin("term", "no_path") & ~is_domain_operator(F.col("operator"), F.col("version")), "unknown_operator")
@@ -97,13 +97,13 @@ def check_domains(domains: DataFrame, members: DataFrame, hops: int = 5) -> Data
     return joined.select("id", "at", "path", "operator", problem.alias("problem"))
 
 
-def check_depends(methods: DataFrame, members: DataFrame, hops: int = 5) -> DataFrame:
+def check_depends(methods: DataFrame, members: DataFrame) -> DataFrame:
     """(model, name, dependency, problem) of every dependency path of ``methods`` (model, name, depends); overrides of one method are united.
 
     A path through ``id`` is an error whatever it leads to.
     """
     deps = methods.select("model", "name", F.explode("depends").alias("dependency")).distinct()
-    walked = walk_paths(deps.select("model", F.col("dependency").alias("path")).distinct(), members, hops).select("model",
+    walked = walk_paths(deps.select("model", F.col("dependency").alias("path")).distinct(), members).select("model",
         F.col("path").alias("dependency"), "status")
     by_id = F.array_contains(F.split("dependency", r"\."), "id")
     return deps.join(walked, ["model", "dependency"]).select("model", "name", "dependency",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAGIC_FIELDS
-from ..operators import diff, graph, joins, ranking, scope, store
+from ..operators import diff, graph, joins, ordering, ranking, scope, store
 from .registry import Tables, query
 
 EDITIONS = ("community", "enterprise", "vendor", "association", "custom")
@@ -183,7 +183,7 @@ def path_walk(t: Tables) -> DataFrame:
         F.expr("p_partkey div 3").alias("comodel"))
     size = t.part.select(k.alias("model"), F.lit("size").alias("name"), F.lit("integer").alias("ttype"), F.lit(None).cast("bigint").alias("comodel"))
     paths = t.part.select(k.alias("model"), F.explode(F.array(*[F.lit(p) for p in _PATHS])).alias("path"))
-    return graph.walk_paths(paths, up.union(third).union(size), 3).select("model", "path", "status", F.col("at").alias("stopped_at"))
+    return graph.walk_paths(paths, up.union(third).union(size)).select("model", "path", "status", F.col("at").alias("stopped_at"))
 
 
 @query("""WITH RECURSIVE up AS (SELECT p_partkey AS start, p_partkey AS name, 0 AS depth FROM part UNION ALL SELECT u.start, u.name // 2, u.depth + 1
@@ -236,17 +236,26 @@ def dependency_levels(t: Tables) -> DataFrame:
     return graph.levels(e, t.part.select(F.col("p_partkey").alias("name")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier WHERE s_suppkey > 1 UNION SELECT s_suppkey, s_suppkey // 5
-    FROM supplier WHERE s_suppkey > 4),
-  l AS (SELECT s_suppkey AS name, 0 AS level FROM supplier UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.name)
-  SELECT module, row_number() OVER (ORDER BY level, module) - 1 AS place FROM (SELECT name AS module, max(level) AS level FROM l GROUP BY 1)""")
+_ORDER_EDGES = """e AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier WHERE s_suppkey > 1 UNION SELECT s_suppkey, s_suppkey // 5 FROM supplier WHERE s_suppkey > 4
+    UNION SELECT s_suppkey, (s_suppkey * 7) % 90 + 1 FROM supplier WHERE s_suppkey % 9 = 0 UNION SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 31 = 0
+    UNION SELECT s_suppkey, -s_suppkey FROM supplier WHERE s_suppkey % 4 = 0)"""
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT s_suppkey AS name FROM supplier), {_ORDER_EDGES}, i AS (SELECT src, dst FROM e SEMI JOIN n ON n.name = e.dst),
+  q AS (SELECT 0 AS wave, name, CASE WHEN name NOT IN (SELECT src FROM i) THEN row_number() OVER (PARTITION BY name NOT IN (SELECT src FROM i) ORDER BY name) - 1 END AS place FROM n
+    UNION ALL
+    SELECT wave + 1, name, coalesce(place, CASE WHEN waits = 0 THEN given + row_number() OVER (PARTITION BY place IS NULL AND waits = 0 ORDER BY after, name) - 1 END)
+    FROM (SELECT q.wave, q.name, any_value(q.place) AS place, count(i.dst) FILTER (WHERE d.place IS NULL) AS waits, max(d.place) AS after,
+        (SELECT count(place) FROM q) AS given FROM q LEFT JOIN i ON i.src = q.name LEFT JOIN q d ON d.name = i.dst GROUP BY q.wave, q.name) WHERE wave < 40),
+  l AS (SELECT name, place FROM q WHERE wave = 40)
+  SELECT name AS module, coalesce(place, (SELECT count(place) FROM l) + row_number() OVER (PARTITION BY place IS NULL ORDER BY name) - 1) AS place FROM l""")
 def topological_order(t: Tables) -> DataFrame:
-    """All modules in an order in which dependencies come first: by the longest chain below each, then by name."""
+    """All modules in Kahn's queue order over a graph with cycles, loops and dependencies that are missing; what lies on or above a cycle comes last, by name."""
     k = F.col("s_suppkey")
-    dep = t.supplier.filter("s_suppkey > 1").select(k.alias("src"), F.expr("s_suppkey div 2").alias("dst")).union(
-        t.supplier.filter("s_suppkey > 4").select(k, F.expr("s_suppkey div 5")))
-    return ranking.placed(graph.levels(dep, t.supplier.select(k.alias("name"))).select(F.col("name").alias("module"), "level"),
-        ["level", "module"]).select("module", "place")
+    s = t.supplier
+    dep = s.filter("s_suppkey > 1").select(k.alias("src"), F.expr("s_suppkey div 2").alias("dst")).union(s.filter("s_suppkey > 4").select(k, F.expr("s_suppkey div 5")))
+    dep = dep.union(s.filter("s_suppkey % 9 = 0").select(k, k * 7 % 90 + 1)).union(s.filter("s_suppkey % 31 = 0").select(k, k)).union(s.filter("s_suppkey % 4 = 0").select(k, -k))
+    return ordering.kahn_order(dep, s.select(k.alias("name"))).select(F.col("name").alias("module"), "place")
 
 
 _DECL = "SELECT l_partkey AS model, l_suppkey AS sk, count(*) AS field_count FROM lineitem GROUP BY 1, 2"
@@ -329,14 +338,6 @@ def same_name_inherits(t: Tables) -> DataFrame:
     return store.same_name_inherits(m)
 
 
-@query("""WITH n AS (SELECT p_partkey AS name, p_partkey % 4 = 1 AS unresolved FROM part), e AS (SELECT DISTINCT p_partkey // 2 AS dst FROM part
-    WHERE p_partkey % 3 = 0)
-  SELECT name, unresolved FROM n WHERE NOT unresolved OR name IN (SELECT dst FROM e)""")
-def gc_placeholders(t: Tables) -> DataFrame:
-    n = t.part.select(F.col("p_partkey").alias("name"), (F.col("p_partkey") % 4 == 1).alias("unresolved"))
-    return store.gc_orphans(n, t.part.filter("p_partkey % 3 = 0").select(F.expr("p_partkey div 2").alias("dst")))
-
-
 @query("""SELECT DISTINCT o_orderkey AS test, l_partkey AS model, l_suppkey AS name, 'm' || (l_suppkey % 7) AS module, o_orderpriority AS via
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 7 < 4""")
 def coverage_edges(t: Tables) -> DataFrame:

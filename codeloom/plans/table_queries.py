@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import version_key
 from ..operators import aggregates, control, diff, joins, ranking
 from .registry import Tables, query
 
@@ -106,13 +104,12 @@ def overflow_probe(t: Tables):
     return ranking.probe(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 20)
 
 
-@query("""WITH v AS (SELECT DISTINCT (p_size % 15) || '.' || (p_partkey % 3) AS version FROM part) SELECT version, row_number() OVER (ORDER BY
-    CAST(split_part(version, '.', 1) AS INT) DESC, CAST(split_part(version, '.', 2) AS INT) DESC) AS place FROM v ORDER BY place LIMIT 25""")
+@query("""WITH v AS (SELECT DISTINCT CASE WHEN p_partkey % 50 = 0 THEN 'main' || (p_size % 3) ELSE (p_size % 15) || '.' || (p_partkey % 7) END AS version FROM part)
+  SELECT version, row_number() OVER (ORDER BY TRY_CAST(split_part(version, '.', 1) AS INT) DESC NULLS LAST, TRY_CAST(split_part(version, '.', 2) AS INT) DESC NULLS LAST, version) - 1 AS place FROM v""")
 def version_order(t: Tables):
-    v = t.part.select(F.concat_ws(".", (F.col("p_size") % 15).cast("string"), (F.col("p_partkey") % 3).cast("string")).alias("version")).distinct()
-    # at most 25 rows after the cut, so one window numbers them
-    top = v.orderBy(version_key(F.col("version")).desc_nulls_last()).limit(25)
-    return top.select("version", F.row_number().over(Window.orderBy(version_key(F.col("version")).desc_nulls_last())).cast("bigint").alias("place"))
+    """All versions, newest first; names of another shape come last."""
+    version = F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("main"), F.col("p_size") % 3)).otherwise(F.concat_ws(".", (F.col("p_size") % 15).cast("string"), (F.col("p_partkey") % 7).cast("string")))
+    return ranking.newest_versions(t.part.select(version.alias("version")).distinct()).select("version", "place")
 
 
 @query("SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS period FROM orders ORDER BY 1 DESC LIMIT 6")

@@ -63,7 +63,7 @@ _VERSIONS = ("8.0", "9.0", "17.0", "19.0", "main")
 def domain_check(t: Tables) -> DataFrame:
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (key() % k + 1).cast("int"))
     d = t.part.select(key().alias("id"), key().alias("model"), pick(_VERSIONS, 5).alias("version"), pick(_DOMAINS, 4).alias("domain"))
-    return validate.check_domains(d, fields(t), 3).withColumnRenamed("at", "idx")
+    return validate.check_domains(d, fields(t)).withColumnRenamed("at", "idx")
 
 
 @query(f"""WITH x AS (SELECT p_partkey AS model, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['up.size', 'up.id', 'nope'] ELSE ['third', 'up.up.third',
@@ -74,7 +74,7 @@ def domain_check(t: Tables) -> DataFrame:
 def depends_check(t: Tables) -> DataFrame:
     even, odd = F.array(*[F.lit(x) for x in ("up.size", "up.id", "nope")]), F.array(*[F.lit(x) for x in ("third", "up.up.third", "size.x")])
     m = t.part.select(key().alias("model"), F.lit("_compute_x").alias("name"), F.when(key() % 2 == 0, even).otherwise(odd).alias("depends"))
-    return validate.check_depends(m.union(m), fields(t), 3)
+    return validate.check_depends(m.union(m), fields(t))
 
 
 _INH = "'INHERITS'"
@@ -255,15 +255,6 @@ def chunk_counts(t: Tables) -> DataFrame:
         F.col("l_partkey").alias("entity")))
 
 
-@query("""SELECT l_partkey AS model, l_linenumber AS name, count(DISTINCT l_suppkey) AS modules, count(*)
-    FILTER (WHERE l_returnflag = 'R') AS with_super, list_transform(list_sort(list(DISTINCT {'level': l_suppkey % 4, 'module': l_suppkey})), lambda x: x.module) AS chain
-  FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) >= 2""")
-def override_points(t: Tables) -> DataFrame:
-    s = F.col("l_suppkey")
-    return tools.override_points(t.lineitem.select(F.col("l_partkey").alias("model"), F.col("l_linenumber").alias("name"), s.alias("module"),
-        (s % 4).alias("level"), (F.col("l_returnflag") == "R").alias("has_super")))
-
-
 _STYLES = (".ad", "$a", "@media", "article > p", "o-x", "&copy")
 
 
@@ -403,18 +394,6 @@ def webhook_state(t: Tables) -> DataFrame:
     return _webhooks(t)[1]
 
 
-@query("""WITH n AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN ['a', 'b'] WHEN c_custkey % 3 = 0 THEN ['a']
-    ELSE ['b'] END AS profile FROM customer)
-  SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN list_filter(profile, lambda x: x <> 'a') ELSE profile END AS profile FROM n
-    WHERE c_nationkey >= 10 OR len(list_filter(profile, lambda x: x <> 'a')) > 0""")
-def scoped_delete(t: Tables) -> DataFrame:
-    k = F.col("c_custkey")
-    both = F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).when(k % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
-    n = t.customer.select("c_custkey", "c_nationkey", both.alias("profile"))
-    return store.scoped_delete(n, t.nation.filter("n_nationkey < 10").select(F.col("n_nationkey").alias("c_nationkey")).join(n, "c_nationkey").select(
-        "c_custkey"), ["c_custkey"], "a").select("c_custkey", "profile")
-
-
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 4 <> 0 OR (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_quantity > 20)")
 def gc_unseen(t: Tables) -> DataFrame:
     n = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
@@ -422,12 +401,6 @@ def gc_unseen(t: Tables) -> DataFrame:
         "l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey AS name, 'v' AS version, p_size AS module, p_partkey % 6 <> 0 AS is_definition FROM part")
-def heal_flags(t: Tables) -> DataFrame:
-    n = t.part.select(key().alias("name"), F.lit("v").alias("version"), F.col("p_size").alias("module"), F.lit(False).alias("is_definition"))
-    return store.heal_flags(n, n.filter("name % 6 = 0"))
-
-
 _NAMES = ("_compute_x", "_inverse_x", "_search_x", "_get_default_x", "_default_x", "_get_x", "_prepare_x", "_check_x", "action_x", "write", "writes",
     "_x", "name_get", "button_x")
 _KINDS = ("compute", "inverse", "search", "default", "default", "builder", "prepare", "check", "action", "crud", "public", "private", "public", "public")

@@ -82,7 +82,7 @@ def sliding_limit(events: DataFrame, key: str, time: str, tie: str, limit: int,
                 if k != now:
                     now = k
                     held.clear()
-                while held and held[0] <= at - width:
+                while held and held[0] < at - width:  # an event just as old as the window still counts
                     held.popleft()
                 out.append(len(held) < limit)
                 if out[-1]:
