@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -17,8 +16,8 @@ class Limiter(StatefulProcessor):
     the key's state goes.
     """
 
-    def __init__(self, key: str, tie: str, limit: int, seconds: float):
-        self.key, self.tie, self.limit, self.width = key, tie, limit, int(seconds * 1_000_000)
+    def __init__(self, key: str, time: str, tie: str, limit: int, seconds: float):
+        self.key, self.time, self.tie, self.limit, self.width = key, time, tie, limit, int(seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -26,9 +25,9 @@ class Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [r[0] for r in self.times.get()] if self.times.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["_at", self.tie], kind="stable")
+        batch = pd.concat(list(rows)).sort_values([self.time, self.tie], kind="stable")
         allowed = []
-        for at in batch["_at"].tolist():
+        for at in batch[self.time].astype("datetime64[us]").astype("int64").tolist():
             held = [t for t in held if t >= at - self.width]  # an event just as old as the window still counts
             allowed.append(len(held) < self.limit)
             if allowed[-1]:
@@ -56,5 +55,5 @@ def sliding_limit_stream(events: DataFrame, key: str, time: str, tie: str, limit
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    slim = events.withWatermark(time, late).select(key, tie, time, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
-    return slim.groupBy(key).transformWithStateInPandas(Limiter(key, tie, limit, seconds), f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean", "append", "eventTime")
+    slim = events.withWatermark(time, late).select(key, tie, time)
+    return slim.groupBy(key).transformWithStateInPandas(Limiter(key, time, tie, limit, seconds), f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean", "append", "eventTime")

@@ -85,8 +85,8 @@ def test_the_limit_as_a_stream(spark, tmp_path):
         for k in range(4):
             spark.createDataFrame(ordered[k * 10 : k * 10 + 10], KIND).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         source = jobs.read_events(spark, f"{tmp_path}/in", KIND, 1)
-        got = run(limits.sliding_limit_stream(source, "user", "at", "n", 3, 3600, "1 day"), "limit", "append", tmp_path)
-        want = events.sliding_limit(spark.createDataFrame(ROWS, KIND), "user", "at", "n", 3, 3600)
+        got = run(limits.sliding_limit_stream(source, "user", "at", "n", 1, 3600, "1 day"), "limit", "append", tmp_path)
+        want = events.sliding_limit(spark.createDataFrame(ROWS, KIND), "user", "at", "n", 1, 3600)
         assert {r.allowed for r in want.collect()} == {True, False}
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     finally:
