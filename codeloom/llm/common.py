@@ -88,6 +88,22 @@ def running(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), weig
     return out.drop("_part", "_at", "_n", "_rows0", "_hpart", "_w", "_sum0", *names)
 
 
+def without(df: DataFrame, gone: DataFrame, keys: Sequence[Column], hint: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` are no row of ``gone``, column by column; ``df`` may have any names. With ``hint``, ``gone`` is broadcast."""
+    taken = {c.lower() for c in df.columns}
+    names: list[str] = []
+    for i in range(len(gone.columns)):
+        name = f"_gone{i}"
+        while name in taken:
+            name += "_"
+        names.append(name)
+    gone = gone.toDF(*names)
+    on = keys[0] == F.col(names[0])
+    for key, name in zip(keys[1:], names[1:]):
+        on = on & (key == F.col(name))
+    return df.join(F.broadcast(gone) if hint else gone, on, "left_anti")
+
+
 #: Tasks that the rows of one key may be dealt over.
 SALTS = 1024
 

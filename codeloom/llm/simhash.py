@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, spread_join, tidy, utf8
+from .common import cut, small_batches, spread_join, tidy, utf8, without
 from .components import components
 
 SEED, SHINGLE_WORDS, LINK_BITS = 42, 3, 3
@@ -198,5 +198,5 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Each row is judged by its own text, also where an id repeats with different texts. Rows without an id stay.
     """
     found = components_of(df, id_col, text_col, words_in, bits)
-    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone"), F.col("body").alias("_body")).distinct()
-    return df.join(gone, (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_body")), "left_anti")
+    gone = found.filter(F.col("id") != F.col("component_id")).select("id", "body").distinct()
+    return without(df, gone, [F.col(id_col).cast("long"), F.xxhash64(text_col)])
