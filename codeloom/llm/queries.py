@@ -115,34 +115,39 @@ def _op2_sql() -> str:
     d = decontaminate
     once = lambda t, r, to: f"regexp_replace({t}, '{r}', '{to}', 'g')"
     twice = lambda t, r, to: once(once(t, r, to), r, to)
-    plain = f"translate(coalesce(text, ''), '{d.COMMA}{d.POINT}{d.SIGN}', '   ')"
+    plain = f"translate(coalesce(text, ''), '{d.COMMA}{d.POINT}{d.SIGN}{d.START}', '    ')"
+    numbers = _words(tuple(d.NUMBER_WORDS))
     before = r"([\p{L}§,;:][ \t\n\r])"
     name = r"\p{Lu}\p{Ll}+"
     unit = rf"([0-9]) ?((?i:{d.UNITS}))([^\p{{L}}\p{{N}}]|$)"
     template = once(once(twice(plain, rf"{before}{name}(?:[ \t]{name})*", r"\1§"), unit, r"\1 ¤\3"), "[0-9]+(?:[.,][0-9]+)*(?:[eE][-+−]?[0-9]+)?", "0")
     slots = twice(twice(plain, f"{before}({name})", r"\1§\2"), rf"(§{name})[ \t](§\p{{Lu}})", r"\1\2")
-    slots = once(once(slots, unit, r"\1 ¤\2\3"), r"(^|[^\p{L}\p{N}§¤])[-−]([0-9])", rf"\1{d.SIGN}\2")
+    slots = twice(once(slots, unit, r"\1 ¤\2\3"), rf"(^|[^\p{{L}}\p{{N}}§¤{d.START}])({name})", rf"\1{d.START}\2")
+    slots = once(slots, r"(^|[^\p{L}\p{N}§¤])[-−]([0-9])", rf"\1{d.SIGN}\2")
     slots = once(once(slots, r"([0-9][eE])[-−]([0-9])", rf"\1{d.SIGN}\2"), r"([0-9][eE])\+([0-9])", r"\1\2")
     slots = twice(twice(slots, "([0-9]),([0-9])", rf"\1{d.COMMA}\2"), r"([0-9])\.([0-9])", rf"\1{d.POINT}\2")
-    tokens = lambda t: f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}§¤{d.COMMA}{d.POINT}{d.SIGN}]+'), lambda x: x <> '')"
-    slot = "(starts_with(mine, '§') OR starts_with(mine, '¤') OR regexp_matches(mine, '[0-9]'))"
-    canon = lambda x: f"CASE WHEN starts_with({x}, '§') THEN regexp_replace({x}, '(?:§\\p{{Ll}}+)+', '§', 'g') WHEN starts_with({x}, '¤') THEN '¤' ELSE regexp_replace({x}, '{d._VALUE_RE}', '0', 'g') END"
+    tokens = lambda t: f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}§¤{d.COMMA}{d.POINT}{d.SIGN}{d.START}]+'), lambda x: x <> '')"
+    words = lambda t: f"list_transform({tokens(t)}, lambda x: CASE WHEN x IN ({numbers}) THEN '0' ELSE x END)"
+    bare = lambda x: f"translate({x}, '{d.START}', '')"
+    slot = f"(starts_with(mine, '§') OR starts_with(mine, '¤') OR regexp_matches(mine, '[0-9]') OR {bare('mine')} IN ({numbers}))"
+    canon = lambda x: f"CASE WHEN starts_with({x}, '§') THEN regexp_replace({x}, '(?:§\\p{{Ll}}+)+', '§', 'g') WHEN starts_with({x}, '¤') THEN '¤' WHEN {bare(x)} IN ({numbers}) THEN '0' ELSE regexp_replace({bare(x)}, '{d._VALUE_RE}', '0', 'g') END"
+    is_start, is_name = lambda x: f"starts_with({x}, '{d.START}')", lambda x: f"starts_with({x}, '§')"
     cut = lambda x: f"array_to_string(list_slice({x}, k, k + w - 1), ' ')"
     return f"""
-    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {tokens(template)} AS t, {tokens(slots)} AS s FROM (SELECT DISTINCT doc_id, text FROM documents)),
-    i AS (SELECT *, least(len(t), {d.WINDOW}) AS w FROM (SELECT row_number() OVER () AS q, item_id, {tokens(template)} AS t, {tokens(slots)} AS s
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words(template)} AS t, {tokens(slots)} AS s FROM (SELECT DISTINCT doc_id, text FROM documents)),
+    i AS (SELECT *, least(len(t), {d.WINDOW}) AS w FROM (SELECT row_number() OVER () AS q, item_id, {words(template)} AS t, {tokens(slots)} AS s
     FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(t) > 0),
-    iw AS (SELECT q, w, k, {cut('t')} AS win, {cut('s')} AS vals, len(list_filter(list_slice(t, k, k + w - 1), lambda x: x NOT IN ('§', '¤',
-    '0'))) > 0 AS literal
+    iw AS (SELECT q, w, k, {cut('t')} AS win, {bare(cut('s'))} AS vals, len(list_filter(list_slice(t, k, k + w - 1), lambda x: x NOT IN ('§', '¤',
+    '0'))) >= {d.LITERALS} AS literal
            FROM (SELECT q, w, t, s, unnest(range(1, len(t) - w + 2)) AS k FROM i)),
-    dw AS (SELECT r, w, k, {cut('t')} AS win, {cut('s')} AS vals FROM (SELECT r, w, t, s, unnest(range(1, len(t) - w + 2)) AS k FROM d,
+    dw AS (SELECT r, w, k, {cut('t')} AS win, {bare(cut('s'))} AS vals FROM (SELECT r, w, t, s, unnest(range(1, len(t) - w + 2)) AS k FROM d,
     (SELECT DISTINCT w FROM i) WHERE len(t) >= w)),
     h AS (SELECT r, q, dw.k - iw.k AS off FROM dw JOIN iw ON dw.w = iw.w AND dw.win = iw.win AND literal
           UNION SELECT r, q, dw.k - iw.k FROM dw JOIN iw ON dw.w = iw.w AND dw.vals = iw.vals AND NOT literal),
     p AS (SELECT h.r, h.q, off, d.doc_id, i.item_id, len(i.t) AS size, unnest(range(1, len(i.s) + 1)) AS j, d.s AS ds, i.s AS si FROM h
     JOIN d USING (r) JOIN i USING (q)),
     b AS (SELECT r, q, off, doc_id, item_id, size, si[j] AS mine, ds[j + off] AS theirs FROM p WHERE j + off >= 1 AND j + off <= len(ds)),
-    a AS (SELECT * FROM b WHERE {canon('mine')} = {canon('theirs')}),
+    a AS (SELECT * FROM b WHERE {canon('mine')} = {canon('theirs')} OR {is_start('mine')} AND ({is_start('theirs')} OR {is_name('theirs')}) OR {is_name('mine')} AND {is_start('theirs')}),
     g AS (SELECT r, q, off, doc_id, item_id, size, count(*) AS n, count(DISTINCT (mine, theirs)) FILTER (WHERE {slot}) AS pairs, count(DISTINCT mine)
     FILTER (WHERE {slot}) AS mines FROM a GROUP BY ALL)
     SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS n_tokens, CAST(max(pairs) AS INTEGER) AS n_slots
@@ -181,7 +186,8 @@ def _op12_sql() -> str:
     weight = "[" + ", ".join(map(str, m.WEIGHTS)) + f"][1 + place % {len(m.WEIGHTS)}]"
     positions = " ".join(f"WHEN {i} THEN {time(k)}" for i, k in enumerate(m.SCHEDULES))
     return rf"""
-    WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size FROM documents),
+    WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size FROM documents),
     s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
     w AS (SELECT *, {weight} AS w, sum(size) OVER () AS words FROM s),
     l AS (SELECT a.place, {m.REPEATS} * a.size * sum(b.w) FILTER (WHERE b.size * a.w >= a.size * b.w)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate
+from codeloom.llm import decontaminate, near_copies, simhash
 
 ITEMS = [
     (1, "What is 12 + 30 - 7 + 45 * 3 / 9 - 2?"),
@@ -54,3 +54,49 @@ def test_both_kinds_of_tokens_are_aligned(spark):
     d = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in d.select(decontaminate.template_tokens(F.col("text")).alias("t"), F.transform(decontaminate.slot_tokens(F.col("text")), decontaminate.canonical).alias("s")).collect():
         assert len(r.t) == len(r.s), (r.t, r.s)
+
+
+def test_first_words_that_are_names(spark):
+    items = [(1, "Alice buys 3 pens and 4 books for Bob at the shop")]
+    texts = ["Maria buys 5 pens and 6 books for Tom at the shop", "he said: Maria buys 5 pens and 6 books for Tom at the shop.", "so, then Maria buys 5 pens and 6 books for Tom at the shop", "Maria buys 5 pens and 6 books for Tom and Maria"]
+    assert found(spark, texts, items) == {(0, 1), (1, 1), (2, 1)}
+
+
+def test_numbers_in_words(spark):
+    items = [(1, "the basket has two apples and the fleet has twelve engines and seven wings in all of it")]
+    texts = [f"noise the basket has {a} apples and the fleet has {b} engines and {c} wings in all of it noise" for a, b, c in (("three", "twenty", "nine"), ("3", "20", "9"), ("two", "two", "seven"), ("acht", "doce", "cent"))]
+    assert found(spark, texts, items) == {(0, 1), (1, 1), (2, 1), (3, 1)}
+
+
+def test_a_run_of_values_needs_words_beside_it(spark):
+    items = [(1, "compute 1 2 3 4 5 6 7"), (2, "Compute 1 2 3 4 5 6 7 now or not, by hand")]
+    assert found(spark, ["they compute 9 8 7 6 5 4 3 now", "they compute 1 2 3 4 5 6 7 now", "please compute 9 8 7 6 5 4 3 now or not, by hand"], items) == {(1, 1), (2, 2)}
+
+
+def test_shuffled_plan_gives_the_same_rows(spark, monkeypatch):
+    """With no room for broadcasts, windows and places meet by shuffle."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    left = sorted(r.doc_id for r in decontaminate.keep_unseen(docs, bench).select("doc_id").collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_PLACES", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == want and want
+        assert sorted(r.doc_id for r in decontaminate.keep_unseen(docs, bench).select("doc_id").collect()) == left
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_clashing_names(spark):
+    """Columns named as the stages' own don't stop them."""
+    rows = [(1, "every quiet farmer walked slowly over green hills toward that distant river crossing", "a", 1, 2, "x"), (2, "other words", "b", 3, 4, "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _body int, _gone0 int, row_key string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.keep_unseen(d, bench).collect()] == [rows[1]]
+    twice = d.union(d.withColumn("doc_id", d.doc_id + 10))
+    for keep in (simhash.keep_first, near_copies.keep_first):
+        got = keep(twice)
+        assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == [1, 2]
