@@ -90,6 +90,7 @@ class part(osv.osv):
     }
     def write(self, cr):
         print 'x'
+        %s
 """
 
 
@@ -98,7 +99,7 @@ def _models(t: Tables) -> DataFrame:
     modern = filled(_MODEL, key(), half, F.when(key() % 2 == 0, "True").otherwise("False"), half,
         F.when(key() % 3 == 0, "super().write(vals)").otherwise("pass"))
     return files(t.part, F.concat(F.lit("models/p"), key(), F.lit(".py")), F.concat(F.lit("m"), key() % 9),
-        F.when(key() % 10 == 0, filled(_LEGACY, key(), half)).otherwise(modern))
+        F.when(key() % 10 == 0, filled(_LEGACY, key(), half, F.when(key() % 20 == 0, "return super(part, self).write(cr)").otherwise("return True  # no super() here"))).otherwise(modern))
 
 
 @query("""WITH x AS (SELECT 'part.' || p_partkey AS model, 'part.' || (p_partkey // 2) AS up, 'm' || (p_partkey % 9) AS module, p_partkey AS k,
@@ -113,7 +114,7 @@ def parsed_fields(t: Tables) -> DataFrame:
 
 @query("""WITH x AS (SELECT 'part.' || p_partkey AS model, p_partkey AS k, p_partkey % 10 = 0 AS old FROM part)
   SELECT model, '_compute_total' AS name, ['up_id.size', 'size'] AS depends, false AS has_super FROM x WHERE NOT old UNION ALL SELECT model, 'write',
-    [], k % 3 = 0 FROM x WHERE NOT old UNION ALL SELECT model, 'write', [], false FROM x WHERE old""")
+    [], k % 3 = 0 FROM x WHERE NOT old UNION ALL SELECT model, 'write', [], k % 20 = 0 FROM x WHERE old""")
 def parsed_methods(t: Tables) -> DataFrame:
     m = python_code.members(_models(t)).filter("kind = 'method'")
     return m.select("model", "name", F.coalesce("depends", F.array().cast("array<string>")).alias("depends"),
@@ -146,6 +147,39 @@ def parsed_tests(t: Tables) -> DataFrame:
     return rows.filter("name = 'test_total'").select("test_class", "tagged", "bases", "name", "asserts", "model_refs")
 
 
+_USES = """
+class TestPart%s(TransactionCase):
+    def setUp(self):
+        super().setUp()
+        self.part = self.env["part.%s"].create({})
+
+    def test_total(self):
+        one = self.part
+        self.assertEqual(one.total, 1)
+        one.with_context(x=1).write({"size": 2})
+        other = self.env["part.%s"].search([])
+        for o in other:
+            o.size
+        one = None
+        one.up_id
+        unknown.total
+
+    def helper(self):
+        return self.part.sudo().size
+"""
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, 'TestPart' || p_partkey AS c, 'part.' || p_partkey AS own, 'part.' || (p_partkey // 2) AS up FROM part WHERE p_partkey % 10 <> 0),
+  u AS (SELECT c, 'test_total' AS test, own AS model, 'total' AS name, 'assert' AS via, true AS asserted FROM x UNION ALL SELECT c, 'test_total', own, 'write', 'assert', false FROM x
+    UNION ALL SELECT c, 'test_total', up, 'size', 'assert', false FROM x UNION ALL SELECT c, 'helper', own, 'size', 'body', false FROM x)
+  SELECT c AS test_class, test, model, name, 'm' || (p_partkey % 9) AS module, via, asserted FROM u JOIN part ON model = 'part.' || p_partkey WHERE name <> 'total' OR p_partkey % 10 <> 0""")
+def test_coverage(t: Tables) -> DataFrame:
+    """Edges from tests to members by def-use chains: a name that lost its record, or never had one, covers nothing."""
+    text = filled(_USES, key(), key(), F.expr("p_partkey div 2"))
+    src = files(t.part.filter("p_partkey % 10 <> 0"), F.concat(F.lit("tests/t"), key(), F.lit(".py")), F.lit("m"), text)
+    return python_code.coverage(python_code.uses(src), python_code.members(_models(t)))
+
+
 _VIEW = (
     '<data><record id="v%s" model="ir.ui.view"><field name="name">n</field><field name="model">part.%s</field>%s<field name="arch" type="xml"><%s><field name="size" invisible="a == %s"/></%s></field></record>'
     '<template id="t%s" inherit_id="web.layout"><p/></template><report id="r%s" string="R" model="part" name="part.doc" report_type="pdf"/></data>'
@@ -181,6 +215,33 @@ def parsed_scripts(t: Tables) -> DataFrame:
         "era", "name", "target", "template")
 
 
+_TRICKY = """/** @odoo-module **/
+import { Component, useState } from "@web/core%s";
+// class Ghost%s extends Component {}
+const text = "patch(Ghost.prototype, 'x', {})", re = /class Ghost extends Component {"/g;
+const tpl = `class Ghost extends Component { ${new (class Inner%s extends Component { })} }`;
+export class Card%s extends owl.Component {
+    static template = "web.Card%s"; /* static template = "no" */
+    async load() { return this.orm.searchRead("part.%s", [["a", "=", "}"]]); }
+}
+registry.category("fields").add("card%s", Card%s);
+Card%s.patch("web.fix", T => class extends T { });
+odoo.define("web.old%s", function (require) { var W = require("web.Widget"); });"""
+
+
+@query("""WITH x AS (SELECT s_suppkey AS k FROM supplier), r AS (
+  SELECT k, 'import' AS kind, '{ Component, useState }' AS name, '@web/core' || k AS target, NULL AS extends, NULL AS template, NULL AS bound_model FROM x
+  UNION ALL SELECT k, 'component', 'Inner' || k, NULL, 'Component', NULL, NULL FROM x UNION ALL SELECT k, 'component', 'Card' || k, NULL, 'owl.Component', 'web.Card' || k, 'part.' || k FROM x
+  UNION ALL SELECT k, 'registry', 'card' || k, 'fields', 'Card' || k, NULL, NULL FROM x UNION ALL SELECT k, 'patch', 'web.fix', 'Card' || k, NULL, NULL, NULL FROM x
+  UNION ALL SELECT k, 'module', 'web.old' || k, NULL, NULL, NULL, NULL FROM x UNION ALL SELECT k, 'import', 'W', 'web.Widget', NULL, NULL, NULL FROM x)
+  SELECT 's' || k || '.js' AS path, kind, name, target, extends, template, bound_model FROM r""")
+def script_graph(t: Tables) -> DataFrame:
+    """Imports, classes, registry entries and patches of code alone: shapes in comments, strings, templates and regular expressions are none."""
+    k = F.col("s_suppkey")
+    rows = markup.scripts(files(t.supplier, F.concat(F.lit("s"), k, F.lit(".js")), F.lit("web"), filled(_TRICKY, *[k] * 10)))
+    return rows.select("path", "kind", "name", "target", "extends", "template", "bound_model")
+
+
 @query("""SELECT 's' || s_suppkey || '.js' AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'hoot' ELSE 'qunit' END AS framework,
     ['list ' || s_suppkey] AS describe_blocks, CASE WHEN s_suppkey % 2 = 0 THEN ['opens', 'closes'] ELSE ['opens'] END AS test_names FROM supplier""")
 def parsed_script_tests(t: Tables) -> DataFrame:

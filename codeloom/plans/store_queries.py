@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ann, embedding, graph, lineage, sinks, store, tools
+from ..operators import ann, embedding, graph, history, lineage, sinks, store, tools
 from .registry import Tables, query
 from .text_queries import _COS
 from .tool_queries import _KINDS, _NAMES, _SAFETY, fields, key, walk_sql
@@ -222,3 +222,51 @@ def deep_paths(t: Tables) -> DataFrame:
     """Paths of up to twelve parts: every part is walked."""
     paths = t.part.select(key().alias("model"), F.explode(F.array(*[F.lit(p) for p in _LONG])).alias("path"))
     return graph.walk_paths(paths, fields(t)).select("model", "path", "status")
+
+
+# incremental ingest. Repositories are customers' tens; a commit's parent is ten before it, every seventh merges one thirty before; at 110 a history is broken off
+
+_HEADS_SQL = """c AS (SELECT c_custkey % 10 AS repo, c_custkey AS sha, c_custkey - 10 AS parent FROM customer WHERE c_custkey % 110 <> 0 UNION ALL SELECT c_custkey % 10, c_custkey, c_custkey - 30 FROM customer WHERE c_custkey % 70 = 0),
+  m AS (SELECT c_custkey % 10 AS repo, max(c_custkey) AS new FROM customer GROUP BY 1), h AS (SELECT repo, new, CASE repo WHEN 1 THEN new WHEN 2 THEN NULL WHEN 3 THEN -5 ELSE new - 10 * (repo + 3) END AS old FROM m)"""
+_TREES_SQL = """f AS (SELECT p_partkey % 10 AS repo, 'addons/m' || (p_partkey % 40) || CASE WHEN p_partkey % 3 = 0 THEN '/models/' WHEN p_partkey % 40 = 8 THEN '/' ELSE '/sub/' END AS dir, p_partkey AS k, p_size FROM part),
+  mf AS (SELECT DISTINCT repo, 'addons/m' || (k % 40) || '/__manifest__.py' AS path, 0 AS blob FROM f WHERE k % 40 <> 9 UNION ALL SELECT DISTINCT repo, 'addons/m' || (k % 40) || '/sub/__openerp__.py', 0 FROM f WHERE k % 40 = 16),
+  ot AS (SELECT repo, dir || k || '.py' AS path, p_size AS blob FROM f WHERE k % 97 <> 5 UNION ALL SELECT * FROM mf), nt AS (SELECT repo, dir || k || '.py' AS path, p_size + CASE WHEN k % 89 = 7 THEN 1 ELSE 0 END AS blob FROM f WHERE k % 101 <> 3 UNION ALL SELECT * FROM mf)"""
+
+
+def _trees(t: Tables) -> tuple[DataFrame, DataFrame]:
+    k = key()
+    folder = F.concat(F.lit("addons/m"), k % 40, F.when(k % 3 == 0, "/models/").when(k % 40 == 8, "/").otherwise("/sub/"))
+    f = t.part.select((k % 10).alias("repo"), F.concat(folder, k, F.lit(".py")).alias("path"), F.col("p_size").alias("blob"), k.alias("k"))
+    manifest = lambda keep, end: t.part.filter(keep).select((k % 10).alias("repo"), F.concat(F.lit("addons/m"), k % 40, F.lit(end)).alias("path"), F.lit(0).alias("blob")).distinct()
+    both = manifest(k % 40 != 9, "/__manifest__.py").union(manifest(k % 40 == 16, "/sub/__openerp__.py"))
+    new = f.filter("k % 101 <> 3").withColumn("blob", F.col("blob") + (F.col("k") % 89 == 7).cast("int"))
+    return f.filter("k % 97 <> 5").drop("k").union(both), new.drop("k").union(both)
+
+
+def _history(t: Tables) -> tuple[DataFrame, DataFrame]:
+    k = F.col("c_custkey")
+    parents = F.when(k % 110 == 0, F.when(k % 70 == 0, F.array(k - 30)).otherwise(F.array().cast("array<long>"))).when(k % 70 == 0, F.array(k - 10, k - 30)).otherwise(F.array(k - 10))
+    commits = t.customer.select((k % 10).alias("repo"), k.alias("sha"), parents.alias("parents"))
+    new = t.customer.groupBy((k % 10).alias("repo")).agg(F.max(k).alias("new"))
+    old = F.when(F.col("repo") == 1, F.col("new")).when(F.col("repo") == 3, F.lit(-5)).when(F.col("repo") != 2, F.col("new") - 10 * (F.col("repo") + 3))
+    return new.withColumn("old", old), commits
+
+
+@query(f"""WITH RECURSIVE {_HEADS_SQL}, up AS (SELECT repo, new AS sha FROM h UNION SELECT up.repo, c.parent FROM up JOIN c ON c.repo = up.repo AND c.sha = up.sha)
+  SELECT repo, CASE WHEN old = new THEN 'skip' WHEN old IN (SELECT c_custkey FROM customer) AND EXISTS (SELECT 1 FROM up WHERE up.repo = h.repo AND up.sha = h.old) THEN 'incremental' ELSE 'full' END AS mode FROM h""")
+def ingest_modes(t: Tables) -> DataFrame:
+    """Skip, incremental or full by the history of each repository."""
+    heads, commits = _history(t)
+    return history.ingest_plan(heads, commits, *_trees(t))[0]
+
+
+@query(f"""WITH RECURSIVE {_HEADS_SQL}, up AS (SELECT repo, new AS sha FROM h UNION SELECT up.repo, c.parent FROM up JOIN c ON c.repo = up.repo AND c.sha = up.sha), {_TREES_SQL},
+  mode AS (SELECT repo, CASE WHEN old = new THEN 'skip' WHEN old IN (SELECT c_custkey FROM customer) AND EXISTS (SELECT 1 FROM up WHERE up.repo = h.repo AND up.sha = h.old) THEN 'incremental' ELSE 'full' END AS mode FROM h),
+  d AS (SELECT repo, coalesce(o.path, n.path) AS path FROM ot o FULL JOIN nt n USING (repo, path) WHERE o.blob IS DISTINCT FROM n.blob),
+  mods AS (SELECT DISTINCT repo, regexp_replace(path, '/[^/]*$', '') AS module FROM nt WHERE path LIKE '%\\_\\_.py' ESCAPE '\\'),
+  near AS (SELECT d.repo, d.path, arg_max(m.module, length(m.module)) AS module FROM d JOIN mods m ON m.repo = d.repo AND starts_with(d.path, m.module || '/') GROUP BY ALL)
+  SELECT DISTINCT near.repo, module, mode FROM near JOIN mode USING (repo) WHERE mode = 'incremental' UNION ALL SELECT repo, module, mode FROM mods JOIN mode USING (repo) WHERE mode = 'full'""")
+def ingest_modules(t: Tables) -> DataFrame:
+    """The modules to scan: those with a changed file, or all of a repository whose history was rewritten."""
+    heads, commits = _history(t)
+    return history.ingest_plan(heads, commits, *_trees(t))[1]

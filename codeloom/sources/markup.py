@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .python_code import _each
 
 VIEW = "path string, module string, version string, kind string, xmlid string, name string, model string, view_type string, mode string, inherit_xmlid string, xpaths array<struct<expr:string,position:string>>, conditions array<struct<element:string,attr:string,expr:string,field:string,legacy:boolean>>, report_name string, report_type string, content string"
-SCRIPT = "path string, module string, version string, kind string, era string, name string, target string, template string, extends string, content string"
+SCRIPT = "path string, module string, version string, kind string, era string, name string, target string, template string, extends string, bound_model string, content string"
 SUITE = "path string, module string, version string, framework string, describe_blocks array<string>, test_names array<string>, tags array<string>, mounts array<string>"
 STYLE = "path string, module string, version string, language string, kind string, name string, chunk_idx int, content string"
 
@@ -80,26 +80,104 @@ def views(files: DataFrame) -> DataFrame:
     return _each(packed, VIEW, lambda c: xml_rows((c or "\n").split("\n", 1)[-1], (c or "").split("\n", 1)[0]))
 
 
+_SCRIPT_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[`/{}]|[\w$)\]]+|\S", re.S)
+_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+#: Words after which a slash begins a regular expression, as after an operator.
+_BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
+
+
+def code_only(source: str) -> str:
+    """``source`` with the insides of comments, strings, templates and regular expressions blanked; every place stays where it was.
+
+    Quotes stay, and so does code inside of a template's ``${}``. A stack of brackets tells where such code ends.
+    """
+    out, at, last, stack = list(source), 0, "", []
+
+    def blank(a: int, z: int) -> None:
+        out[a:z] = [c if c == "\n" else " " for c in source[a:z]]
+
+    def template(a: int) -> int:
+        end = _TEMPLATE.match(source, a).end()
+        blank(a, end)
+        if source.startswith("${", end):
+            stack.append("`")
+            return end + 2
+        return end + 1
+
+    while m := _SCRIPT_TOKEN.search(source, at):
+        token, at = m[0], m.end()
+        if token[:2] in ("//", "/*"):
+            blank(m.start(), at)
+            continue
+        if token[0] in "\"'":
+            blank(m.start() + 1, at - (len(token) > 1 and token[-1] == token[0]))
+        elif token == "`":
+            at = template(at)
+        elif token == "/" and not (last and (last[-1].isalnum() or last[-1] in "_$)]\"'`}") and last not in _BEFORE_REGEX) and (r := _REGEX.match(source, m.start())):
+            blank(m.start() + 1, r.end())
+            at = r.end()
+        elif token == "{":
+            stack.append("{")
+        elif token == "}" and stack and stack.pop() == "`":
+            at = template(at)
+        last = token
+    return "".join(out)
+
+
+_CLOSES = {")": "(", "]": "[", "}": "{"}
+
+
+def _end(code: str, at: int) -> int:
+    """The place behind the bracket that closes the first one opened from ``at`` on; the end of the code where none does."""
+    depth = 0
+    for m in re.finditer(r"[()\[\]{}]", code[at:]):
+        depth += -1 if m[0] in _CLOSES else 1
+        if depth <= 0:
+            return at + m.end()
+    return len(code)
+
+
+#: A quoted text in blanked code; its words are read from the source at the same place.
+_Q = r"[\"'`][^\"'`]*[\"'`]"
 _SCRIPT_SHAPES = (
-    # kind, era, pattern with name (or target) groups; fixed shapes of the three generations
-    ("component", "era1", re.compile(r"(?P<name>[\w.]+)\s*=\s*(?P<extends>[\w.]+)\.extend\s*\(")),
-    ("patch", "era2", re.compile(r"(?P<target>[\w.]+)\.include\s*\(\s*\{")),
-    ("component", "era3", re.compile(r"class\s+(?P<name>\w+)\s+extends\s+(?P<extends>[\w.]+)\s*\{")),
-    ("patch", "era3", re.compile(r"\bpatch\s*\(\s*(?P<target>[\w.]+?)(?:\.prototype)?\s*,\s*(?:[\"'](?P<name>[^\"']+)[\"']\s*,)?")),
+    # kind, era, pattern with name, target and extends groups; fixed shapes of the three generations
+    ("component", "era1", re.compile(r"(?P<name>[\w.$]+)\s*=\s*(?P<extends>[\w.$]+)\.extend\s*\(")),
+    ("patch", "era2", re.compile(r"(?P<target>[\w.$]+)\.include\s*\(\s*\{")),
+    ("module", "era2", re.compile(rf"\bodoo\.define\s*\(\s*(?P<name>{_Q})")),
+    ("import", "era2", re.compile(rf"(?:(?P<name>[\w$]+)\s*=\s*)?\brequire\s*\(\s*(?P<target>{_Q})\s*\)")),
+    ("component", "era3", re.compile(r"\bclass\s+(?P<name>[\w$]+)\s+extends\s+(?P<extends>[\w.$]+)\s*\{")),
+    ("patch", "era3", re.compile(rf"(?<![\w.$])patch\s*\(\s*(?P<target>[\w.$]+?)(?:\.prototype)?\s*,\s*(?:(?P<name>{_Q})\s*,)?")),
+    ("patch", "era3", re.compile(rf"(?P<target>[\w$]+)\.patch\s*\(\s*(?P<name>{_Q})\s*,")),
+    ("import", "era3", re.compile(rf"\bimport\s+(?:(?P<name>[\w$*{{}},\s]+?)\s+from\s+)?(?P<target>{_Q})")),
+    ("registry", "era3", re.compile(rf"\bregistry\s*\.category\s*\(\s*(?P<target>{_Q})\s*\)\s*\.add\s*\(\s*(?P<name>{_Q})\s*,\s*(?P<extends>[\w.$]+)?")),
 )
+_MODEL_READ = re.compile(rf"\borm\s*\.\s*(?:read|readGroup|searchRead|search_read)\s*\(\s*(?P<a>{_Q})|\b(?:resModel|model)\s*:\s*(?P<b>{_Q})")
 
 
 def script_rows(source: str | None) -> list[dict]:
-    """Components and patches, each with the source from its head to the next one's."""
+    """Components, patches, modules, imports and registry entries, each with its source up to the bracket that closes it.
+
+    Shapes count in code alone, never in comments, strings, templates or regular expressions.
+    """
     source = source or ""
-    found = sorted(((m.start(), kind, era, m.groupdict()) for kind, era, shape in _SCRIPT_SHAPES for m in shape.finditer(source)),
-        key=lambda x: (x[0], x[1], x[2]))
+    code = code_only(source)
+    found = sorted(((m.start(), kind, era, m) for kind, era, shape in _SCRIPT_SHAPES for m in shape.finditer(code)), key=lambda x: (x[0], x[1], x[2]))
     out = []
-    for (at, kind, era, g), z in zip(found, [*(f[0] for f in found[1:]), len(source)]):
-        body = source[at:z]
-        template = re.search(r"static\s+template\s*=\s*[\"']([^\"']+)[\"']|template\s*:\s*[\"']([^\"']+)[\"']", body)
-        out.append({"kind": kind, "era": era, "name": g.get("name"), "target": g.get("target"), "extends": g.get("extends"),
-            "template": (template[1] or template[2]) if template else None, "content": body.strip()})
+    for at, kind, era, m in found:
+        def word(group: str) -> str | None:
+            if group not in m.re.groupindex or m[group] is None:  # noqa: B023
+                return None
+            return " ".join(source[m.start(group) : m.end(group)].split()).strip("\"'`")  # noqa: B023
+
+        braced = m.end() - 1 if m[0].endswith(("{", "(")) else at
+        end = m.end() if kind == "import" else _end(code, braced)
+        inside = code[at:end]
+        quoted = lambda r, *groups: next((source[at + r.start(g) + 1 : at + r.end(g) - 1] for g in groups if r[g] is not None), None)  # noqa: B023, E731
+        template = re.search(rf"\bstatic\s+template\s*=\s*(?P<a>{_Q})|\btemplate\s*:\s*(?P<b>{_Q})", inside) if kind == "component" else None
+        bound = _MODEL_READ.search(inside) if kind == "component" else None
+        out.append({"kind": kind, "era": era, "name": word("name"), "target": word("target"), "extends": word("extends"), "template": quoted(template, "a", "b") if template else None,
+            "bound_model": quoted(bound, "a", "b") if bound else None, "content": source[at:end].strip()})
     return out or ([{"kind": "chunk", "era": None, "content": source}] if source.strip() else [])
 
 

@@ -6,9 +6,10 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MEMBER = "path string, module string, version string, model string, is_definition boolean, inherit array<string>, inherits map<string,string>, kind string, name string, line int, ttype string, comodel string, compute string, related string, required boolean, readonly boolean, inverse string, label string, decorators array<string>, depends array<string>, has_super boolean, field_refs array<string>"
 TEST = "path string, module string, version string, test_class string, bases array<string>, tagged array<string>, name string, line int, asserts int, via string, model_refs array<string>, field_refs array<string>, method_refs array<string>"
@@ -88,14 +89,18 @@ def parse_legacy(source: str) -> list[dict]:
         if not one and not inherit:
             continue
         name = one[1] if one else None
-        head = {"model": name or inherit[0], "is_definition": bool(name) and name not in inherit, "inherit": inherit, "inherits": {}}
+        via = re.search(r"^\s+_inherits\s*=\s*\{([^}]*)\}", body, re.M)
+        via = dict(re.findall(r"""['"]([\w.]+)['"]\s*:\s*['"](\w+)['"]""", via[1])) if via else {}
+        head = {"model": name or inherit[0], "is_definition": bool(name) and name not in inherit, "inherit": inherit, "inherits": via}
         rows = []
         for m in re.finditer(r"""(?:['"](\w+)['"]\s*:|^\s+(\w+)\s*=)\s*fields\.(\w+)\(\s*(?:['"]([\w. ]+)['"])?""", body, re.M):
             ttype = m[3].lower()
             rows.append({"kind": "field", "name": m[1] or m[2], "line": base + body.count("\n", 0, m.start(3)) + 1, "ttype": ttype,
                 "comodel": m[4] if ttype in ("many2one", "one2many", "many2many") else None, "required": False})
-        for m in re.finditer(r"^\s+def\s+(\w+)\s*\(", body, re.M):
-            rows.append({"kind": "method", "name": m[1], "line": base + body.count("\n", 0, m.start(1)) + 1, "has_super": False})
+        heads = list(re.finditer(r"^\s+def\s+(\w+)\s*\(", body, re.M))
+        for m, end in zip(heads, [*(h.start() for h in heads[1:]), len(body)]):
+            code = re.sub(r"#[^\n]*", "", body[m.end() : end])
+            rows.append({"kind": "method", "name": m[1], "line": base + body.count("\n", 0, m.start(1)) + 1, "has_super": bool(re.search(r"\bsuper\s*\(", code))})
         out += [head | r for r in rows or [{"kind": "model", "name": head["model"], "line": base + 1}]]
     return out
 
@@ -107,18 +112,19 @@ def parse_source(source: str | None) -> list[dict]:
         return parse_legacy(source or "")
 
 
-def _table(schema: str, rows: list[dict]) -> pd.DataFrame:
-    names = [c.strip().split(" ")[0] for c in re.split(r",\s(?=\w+ )", schema)]
-    return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
-
-
 def _each(files: DataFrame, schema: str, parse) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that ``parse`` makes of each file's content, as Arrow batches: no data frame is built in between."""
+    kinds = to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema)
+    maps = {k.name for k in kinds if pa.types.is_map(k.type)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _table(schema, [{"path": p, "module": m, "version": v} | r for p, m, v, c in zip(b["path"], b["module"], b["version"],
-                b["content"]) for r in parse(c)])
+            columns = zip(*(b.column(c).to_pylist() for c in ("path", "module", "version", "content")))
+            rows = [{"path": p, "module": m, "version": v} | r for p, m, v, c in columns for r in parse(c)]
+            value = lambda r, name: list(r[name].items()) if name in maps and r.get(name) is not None else r.get(name)
+            yield pa.RecordBatch.from_arrays([pa.array([value(r, k.name) for r in rows], k.type) for k in kinds], schema=kinds)
 
-    return files.select("path", "module", "version", "content").mapInPandas(run, schema)
+    return files.select("path", "module", "version", "content").mapInArrow(run, schema)
 
 
 def members(files: DataFrame) -> DataFrame:
@@ -135,6 +141,10 @@ def inherit_edges(rows: DataFrame) -> DataFrame:
     return a.unionByName(b).filter(F.col("dst") != F.col("model"))
 
 
+#: Methods that set a test up or take it down.
+FIXTURES = ("setUp", "setUpClass", "tearDown", "tearDownClass")
+
+
 def _test_rows(source: str | None) -> list[dict]:
     try:
         tree = ast.parse(source or "")
@@ -144,12 +154,12 @@ def _test_rows(source: str | None) -> list[dict]:
     for cls in (n for n in tree.body if isinstance(n, ast.ClassDef)):
         bases = [_call_name(b) for b in cls.bases]
         tags = [w for d in cls.decorator_list if isinstance(d, ast.Call) and _call_name(d) == "tagged" for a in d.args for w in _words(a)]
-        for fn in (n for n in cls.body if isinstance(n, ast.FunctionDef) and (n.name.startswith("test") or n.name in ("setUp", "setUpClass"))):
+        for fn in (n for n in cls.body if isinstance(n, ast.FunctionDef)):
             calls = [x for x in ast.walk(fn) if isinstance(x, ast.Call)]
             asserts = sum(_call_name(c).startswith("assert") for c in calls)
             models = {w for x in ast.walk(fn) if isinstance(x, ast.Subscript) and isinstance(x.value, ast.Attribute) and x.value.attr == "env" and (
                 w := _text(x.slice))}
-            via = "setup" if fn.name.startswith("setUp") else "assert" if asserts else "body"
+            via = "setup" if fn.name in FIXTURES else "assert" if fn.name.startswith("test_") else "body"
             attrs = {x.attr for x in ast.walk(fn) if isinstance(x, ast.Attribute)}
             called = {c.func.attr for c in calls if isinstance(c.func, ast.Attribute)}
             out.append({"test_class": cls.name, "bases": bases, "tagged": tags, "name": fn.name, "line": fn.lineno, "asserts": asserts, "via": via,
@@ -158,5 +168,117 @@ def _test_rows(source: str | None) -> list[dict]:
 
 
 def tests(files: DataFrame) -> DataFrame:
-    """A row for each test and set-up method, with what it refers to."""
+    """A row for each method of a test class, with what it refers to by name."""
     return _each(files, TEST, _test_rows)
+
+
+USE = "path string, module string, version string, test_class string, test string, line int, via string, model string, name string, called boolean, asserted boolean"
+#: Methods that give records of the model they are called on.
+SAME_MODEL = frozenset("browse copy create exists filtered new search sorted sudo with_company with_context with_env with_user".split())
+
+
+class _Flow(ast.NodeVisitor):
+    """Definitions and uses of one method: which names hold records of which model, and which of the model's members are read or called.
+
+    Statements are taken in order. A name that is given another value loses its model; what is set on ``self`` or ``cls`` in a fixture
+    holds in all tests of the class.
+    """
+
+    def __init__(self, known: dict[str, str]):
+        self.known, self.uses, self.asserts = dict(known), [], 0
+
+    def model(self, e: ast.AST) -> str | None:
+        if isinstance(e, ast.Subscript) and isinstance(e.value, ast.Attribute) and e.value.attr == "env":
+            return _text(e.slice)
+        if isinstance(e, ast.Name):
+            return self.known.get(e.id)
+        if isinstance(e, ast.Attribute) and isinstance(e.value, ast.Name) and e.value.id in ("self", "cls"):
+            return self.known.get(f"self.{e.attr}")
+        if isinstance(e, ast.Call) and isinstance(e.func, ast.Attribute) and e.func.attr in SAME_MODEL:
+            return self.model(e.func.value)
+        return None
+
+    def _set(self, target: ast.AST, model: str | None) -> None:
+        name = target.id if isinstance(target, ast.Name) else None
+        if isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and target.value.id in ("self", "cls"):
+            name = f"self.{target.attr}"
+        if isinstance(target, (ast.Tuple, ast.List)):
+            for t in target.elts:
+                self._set(t, None)
+        if name and model:
+            self.known[name] = model
+        elif name:
+            self.known.pop(name, None)
+
+    def visit_Assign(self, node: ast.Assign) -> None:
+        self.visit(node.value)
+        model = self.model(node.value)
+        for t in node.targets:
+            if isinstance(t, ast.Attribute):
+                self.visit(t)
+            self._set(t, model)
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        if node.value is not None:
+            self.visit(node.value)
+            self._set(node.target, self.model(node.value))
+
+    def visit_For(self, node: ast.For) -> None:
+        self.visit(node.iter)
+        self._set(node.target, self.model(node.iter))  # records are walked one by one
+        for x in node.body + node.orelse:
+            self.visit(x)
+
+    def visit_Call(self, node: ast.Call) -> None:
+        inside = _call_name(node).startswith("assert")
+        self.asserts += inside
+        if isinstance(node.func, ast.Attribute):
+            self._use(node.func, True)
+            self.visit(node.func.value)
+        for x in [*node.args, *(k.value for k in node.keywords)]:
+            self.visit(x)
+        self.asserts -= inside
+
+    def visit_Attribute(self, node: ast.Attribute) -> None:
+        self._use(node, False)
+        self.visit(node.value)
+
+    def _use(self, node: ast.Attribute, called: bool) -> None:
+        if (model := self.model(node.value)) and not node.attr.startswith("_"):
+            self.uses.append((node.lineno, model, node.attr, called, self.asserts > 0))
+
+
+def use_rows(source: str | None) -> list[dict]:
+    """Uses of model members in the methods of test classes, by def-use chains from ``env[...]``; source that doesn't parse has none."""
+    try:
+        tree = ast.parse(source or "")
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for cls in (n for n in tree.body if isinstance(n, ast.ClassDef)):
+        methods = sorted((n for n in cls.body if isinstance(n, ast.FunctionDef)), key=lambda n: (n.name != "setUpClass", n.name != "setUp"))
+        shared: dict[str, str] = {}
+        for fn in methods:
+            flow = _Flow(shared)
+            for x in fn.body:
+                flow.visit(x)
+            if fn.name in ("setUp", "setUpClass"):
+                shared = {k: v for k, v in flow.known.items() if k.startswith("self.")}
+            via = "setup" if fn.name in FIXTURES else "assert" if fn.name.startswith("test_") else "body"
+            out += [{"test_class": cls.name, "test": fn.name, "line": line, "via": via, "model": m, "name": a, "called": c, "asserted": t} for line, m, a, c, t in dict.fromkeys(flow.uses)]
+    return out
+
+
+def uses(files: DataFrame) -> DataFrame:
+    """A row for each place where a test reads or calls a member of a model that is known there."""
+    return _each(files, USE, use_rows)
+
+
+def coverage(used: DataFrame, members: DataFrame) -> DataFrame:
+    """Test -> member edges, in every module that defines the model's member: (test_class, test, model, name, module, via, asserted).
+
+    ``members``: model, name, module, kind (field or method). A member that is only named like one of another model's is not covered.
+    """
+    kind = F.when(F.col("called"), "method").otherwise("field")
+    refs = used.groupBy("test_class", "test", "model", "name", kind.alias("kind"), "via").agg(F.max("asserted").alias("asserted"))
+    return refs.join(members.select("model", "name", "kind", "module").distinct(), ["model", "name", "kind"]).select("test_class", "test", "model", "name", "module", "via", "asserted")

@@ -30,8 +30,11 @@ class old(osv.osv):
         'partner': fields.many2one('res.partner', 'P'),
         'n': fields.integer('N'),
     }
+    _inherits = {'res.partner': 'partner'}
     def go(self, cr):
-        print 'x'
+        print 'x'  # super(
+    def write(self, cr):
+        return super(old, self).write(cr)
 """
 
 
@@ -41,9 +44,10 @@ def test_python_models(spark):
     assert got["sale.order", "field", "line_ids"].comodel == "sale.line" and got["sale.order", "field", "name"].required and got["sale.order", "field", "name"].label == "Reference"
     assert got["sale.order", "method", "_compute_total"].depends == ["line_ids.price", "name"] and got["sale.order", "method", "write"].has_super
     assert got["sale.order", "field", "total"].readonly is False and got["sale.order", "field", "name"].readonly is None
-    assert got["old.model", "field", "partner"].comodel == "res.partner" and got["old.model", "method", "go"].line == 8
+    assert got["old.model", "field", "partner"].comodel == "res.partner" and got["old.model", "method", "go"].line == 9
+    assert got["old.model", "method", "write"].has_super and not got["old.model", "method", "go"].has_super
     edges = {(r.model, r.kind, r.dst, r.via_field) for r in python_code.inherit_edges(python_code.members(d)).collect()}
-    assert edges == {("sale.order", "INHERITS", "mail.thread", None), ("sale.order", "DELEGATES_TO", "res.partner", "partner_id")}
+    assert edges == {("sale.order", "INHERITS", "mail.thread", None), ("sale.order", "DELEGATES_TO", "res.partner", "partner_id"), ("old.model", "DELEGATES_TO", "res.partner", "partner")}
 
 
 def test_python_tests(spark):
@@ -108,3 +112,55 @@ def test_editions(spark):
     d = spark.createDataFrame(rows, "name string, license string, author string, path string")
     got = d.select(repos.edition(*(d[c] for c in d.columns), prefixes=["vx_"], authors=["Vendor"], association="assoc"))
     assert [r[0] for r in got.collect()] == ["vendor", "enterprise", "vendor", "custom", "community", "custom", "association"]
+
+
+def test_uses_follow_definitions():
+    src = """
+class T(TransactionCase):
+    @classmethod
+    def setUpClass(cls):
+        cls.order = cls.env["sale.order"].create({})
+        cls.other = make()
+
+    def test_a(self):
+        order, n = self.order, 1
+        mine = self.order.with_user(u).sudo()
+        self.assertEqual(mine.state, self.order.total)
+        if n:
+            mine = self.other
+        mine.gone
+        for line in self.env["sale.line"].search([]):
+            line.price
+        (a, mine) = pair()
+        self.order._private
+        self.order.line_ids.qty
+
+    def tearDown(self):
+        self.order.unlink()
+"""
+    got = [(r["test"], r["model"], r["name"], r["called"], r["asserted"], r["via"]) for r in python_code.use_rows(src)]
+    a = ("test_a", "sale.order")
+    assert set(got) == {("setUpClass", "sale.order", "create", True, False, "setup"), (*a, "with_user", True, False, "assert"), (*a, "sudo", True, False, "assert"), (*a, "state", False, True, "assert"),
+        (*a, "total", False, True, "assert"), ("test_a", "sale.line", "search", True, False, "assert"), ("test_a", "sale.line", "price", False, False, "assert"), (*a, "line_ids", False, False, "assert"),
+        ("tearDown", "sale.order", "unlink", True, False, "setup")} and len(got) == len(set(got))
+    assert {g[2] for g in got} == {"create", "with_user", "sudo", "state", "total", "search", "price", "line_ids", "unlink"}
+    assert python_code.use_rows("class T(:") == [] and python_code.use_rows(None) == []
+
+
+def test_code_only():
+    same = lambda s: markup.code_only(s)
+    assert same("a // b\nc") == "a     \nc" and same("a /* b") == "a     " and same("'a\\'b' + c") == "'    ' + c"
+    assert same("x = a / b / c; y = /[/'\"]+/g.test(s)") == "x = a / b / c; y = /        .test(s)"
+    assert same("`a ${b + `c ${d} e` + '}'} f` g") == "`  ${b + `  ${d}  ` + ' '}  ` g"
+    assert same("return /'/ ; s") == "return /   ; s" and same("f(/{/) }") == "f(/  ) }"
+    assert same("'open\nnext") == "'    \nnext"
+    for s in ("`${", "`", "'", "/", "}", "${}", "\\", "a`b${c}d`e}"):
+        assert len(same(s)) == len(s)
+
+
+def test_script_content_ends_at_its_bracket():
+    src = 'class A extends B { x = "}"; }\nclass C extends D { /* { */ }\nvar W = A.extend({ a: [1, (2)] }); tail();\nrequire("x.y")'
+    got = [(r["kind"], r["name"], r["target"], r["content"]) for r in markup.script_rows(src)]
+    assert got == [("component", "A", None, 'class A extends B { x = "}"; }'), ("component", "C", None, "class C extends D { /* { */ }"), ("component", "W", None, "W = A.extend({ a: [1, (2)] })"), ("import", None, "x.y", 'require("x.y")')]
+    assert markup.script_rows("// class A extends B {") == [{"kind": "chunk", "era": None, "content": "// class A extends B {"}] and markup.script_rows(None) == []
+    assert [(r["kind"], r["target"], r["name"]) for r in markup.script_rows('import "@a/b";\nimport X, { y as z } from \'@c/d\';')] == [("import", "@a/b", None), ("import", "@c/d", "X, { y as z }")]
