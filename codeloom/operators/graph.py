@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .lineage import Growing, cut
 from .ordering import reach
@@ -46,10 +48,44 @@ def ancestors(starts: DataFrame, edges: DataFrame, hops: int = 3, kinds: Sequenc
     return found.select("start", "name", "depth", F.col("edge.kind").alias("kind"), F.col("edge.via_field").alias("via_field"))
 
 
-def is_subtype(pairs: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
-    """``pairs`` (comodel, target) with ``ok``: equal, or the target is an ancestor by INHERITS."""
+#: Edges that a single request's hop may bring to the driver; a request that meets more is walked by joins.
+FEW_EDGES = 5_000
+
+
+def ancestors_of(names: Sequence, edges: DataFrame, hops: int = 3, kinds: Sequence[str] = (INHERITS, DELEGATES), most: int = FEW_EDGES) -> tuple[DataFrame, list | None]:
+    """``ancestors`` of a few starts, and all names found (None where there were too many edges for the driver).
+
+    Each hop reads the edges of the names of the last depth alone: a filter that reaches the scan, no join and no shuffle of the graph.
+    A hop with more than ``most`` edges hands the request to ``ancestors``, with the same rows.
+    """
+    spark, names = edges.sparkSession, list(dict.fromkeys(names))
+    name_type = to_arrow_type(edges.schema["src"].dataType)
+    schema = pa.schema([("start", name_type), ("name", name_type), ("depth", pa.int32()), ("kind", pa.string()), ("via_field", pa.string())])
+    found = {(n, n): (0, None, None) for n in names}
+    front = {(n, n) for n in names}
+    for depth in range(1, hops + 1):
+        here = sorted({name for _, name in front})
+        step = edges.filter(F.col("src").isin(here) & F.col("kind").isin(*kinds) & (F.col("src") != F.col("dst"))).select("src", "dst", "kind", "via_field").distinct()
+        rows = step.limit(most + 1).collect() if here else []
+        if len(rows) > most:
+            return ancestors(spark.createDataFrame(pa.table([pa.array(names, name_type)], ["start"])), edges, hops, kinds), None
+        best: dict = {}
+        for r in rows:
+            for start in (s for s, name in front if name == r.src):
+                order = (KIND_RANK.get(r.kind, 1), r.via_field or "", r.kind, r.via_field)
+                if (start, r.dst) not in found and (best.get((start, r.dst)) is None or order[:2] < best[start, r.dst][:2]):
+                    best[start, r.dst] = order
+        found |= {k: (depth, o[2], o[3]) for k, o in best.items()}
+        front = set(best)
+    columns = zip(*((s, n, *v) for (s, n), v in found.items())) if found else [[]] * 5
+    tags = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema)], schema=schema))  # a local relation: no task, no shuffle
+    return tags, sorted({n for _, n in found})
+
+
+def is_subtype(pairs: DataFrame, edges: DataFrame, hops: int = 5, tags: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (comodel, target) with ``ok``: equal, or the target is an ancestor by INHERITS. ``tags`` are the comodels' ancestors where they are known."""
     own = pairs.select(F.col("comodel").alias("start"))
-    reach = ancestors(own, edges, hops, (INHERITS,)).select(F.col("start").alias("comodel"), F.col("name").alias("target"), F.lit(True).alias("_hit"))
+    reach = (ancestors(own, edges, hops, (INHERITS,)) if tags is None else tags).select(F.col("start").alias("comodel"), F.col("name").alias("target"), F.lit(True).alias("_hit"))
     return pairs.join(reach, ["comodel", "target"], "left").select(*pairs.columns, F.coalesce("_hit", F.lit(False)).alias("ok"))
 
 

@@ -72,15 +72,18 @@ def inherited_members(t: Tables) -> DataFrame:
 ONE = 120
 
 
-def one(t: Tables) -> DataFrame:
-    return starts(t).filter(F.col("start") == ONE)
-
-
 @query(f"{tags_sql(3)}, {M} " + _INHERITED.format(er=ER, where=f" WHERE a.start = {ONE}"))
 def one_model_members(t: Tables) -> DataFrame:
     """A single request's form: members of one model."""
-    tags = graph.ancestors(one(t), edges(t))
-    return ranking.inherited_members(tags, members(t)).select("start", "name", "owner", "depth", "module", "edition", "ttype")
+    tags, have = _one(t)
+    return ranking.inherited_members(tags, have).select("start", "name", "owner", "depth", "module", "edition", "ttype")
+
+
+def _one(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The one model's ancestors, and the members of these alone: the filter reaches the scan."""
+    tags, names = graph.ancestors_of([ONE], edges(t))
+    have = members(t)
+    return tags, have if names is None else have.filter(F.col("model").isin(names))
 
 
 @query(f"""{tags_sql(5, "'INHERITS'")} SELECT p.comodel, p.target, a.start IS NOT NULL AS ok FROM (SELECT {ONE}::BIGINT AS comodel, unnest([{ONE},
@@ -88,7 +91,8 @@ def one_model_members(t: Tables) -> DataFrame:
 def one_subtype(t: Tables) -> DataFrame:
     """A single request's form: whether one model is what four others are."""
     targets = F.explode(F.array(*[F.lit(x).cast("bigint") for x in (ONE, ONE // 4, ONE // 32, 7)])).alias("target")
-    return graph.is_subtype(one(t).select(F.col("start").alias("comodel"), targets), edges(t))
+    tags, _ = graph.ancestors_of([ONE], edges(t), 5, (graph.INHERITS,))
+    return graph.is_subtype(t.spark.range(ONE, ONE + 1).select(F.col("id").alias("comodel"), targets), edges(t), tags=tags)
 
 
 @query(f"{tags_sql(3)}, {M} " + _INHERITED.format(er=ER, where=" WHERE m.module = 'm3'"))
@@ -132,9 +136,10 @@ def field_lookup(t: Tables) -> DataFrame:
 )
 def one_field_lookup(t: Tables) -> DataFrame:
     """A single request's form: where one model has one field from."""
-    wanted = one(t).select("start", F.lit("f17").alias("field"))
+    tags, have = _one(t)
+    wanted = tags.filter("depth = 0").select("start", F.lit("f17").alias("field"))
     magic = t.spark.createDataFrame([(n, k) for n, k, _ in MAGIC_FIELDS], "name string, ttype string")
-    return ranking.field_lookup(wanted, graph.ancestors(one(t), edges(t)), members(t), magic).drop("ttype")
+    return ranking.field_lookup(wanted, tags, have.filter("name = 'f17'"), magic).drop("ttype")
 
 
 @query(f"""WITH RECURSIVE {E}, r AS (SELECT p_partkey AS root, p_partkey AS name, 0 AS depth FROM part

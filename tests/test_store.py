@@ -258,3 +258,22 @@ def test_newest_versions_are_not_cut(spark):
     names = [f"{a}.{b}" for a in range(12) for b in range(5)] + ["main", "x.1"]
     got = [r.version for r in newest_versions(spark.createDataFrame([(n,) for n in names], "version string")).orderBy("place").collect()]
     assert got == sorted(names[:60], key=lambda v: [-int(x) for x in v.split(".")]) + ["main", "x.1"]
+
+
+def test_few_starts_walk_by_pushed_filters(spark):
+    rng = random.Random(3)
+    e = spark.createDataFrame([(rng.randrange(40), rng.randrange(40), rng.choice(["INHERITS", "DELEGATES_TO"]), rng.choice([None, "f1", "f2"])) for _ in range(90)], "src long, dst long, kind string, via_field string")
+    for names, hops, kinds in (([1, 2, 3], 3, ("INHERITS", "DELEGATES_TO")), ([5], 5, ("INHERITS",)), ([], 2, ("INHERITS",)), ([99], 2, ("INHERITS",))):
+        want = rows(graph.ancestors(spark.createDataFrame([(n,) for n in names], "start long"), e, hops, kinds), "start", "name", "depth", "kind", "via_field")
+        tags, found = graph.ancestors_of(names, e, hops, kinds)
+        assert rows(tags, "start", "name", "depth", "kind", "via_field") == want and found == sorted({r[1] for r in want})
+        if names:
+            over, none = graph.ancestors_of(names, e, hops, kinds, most=0)
+            assert rows(over, "start", "name", "depth", "kind", "via_field") == want and (none is None or names == [99])
+
+
+def test_single_requests_read_a_filtered_scan(spark):
+    from codeloom.plans import QUERIES
+    plan = QUERIES["one_model_members"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    scan = plan[plan.index("PushedFilters") :]
+    assert "In(l_partkey" in scan or "EqualTo(l_partkey" in scan
