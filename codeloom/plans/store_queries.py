@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ann, embedding, graph, history, lineage, sinks, store, tools
+from ..operators import ann, embedding, examples, graph, history, lineage, sinks, store, tools
 from .registry import Tables, query
 from .text_queries import _COS
 from .tool_queries import _KINDS, _NAMES, _SAFETY, fields, key, walk_sql
@@ -270,3 +270,71 @@ def ingest_modules(t: Tables) -> DataFrame:
     """The modules to scan: those with a changed file, or all of a repository whose history was rewritten."""
     heads, commits = _history(t)
     return history.ingest_plan(heads, commits, *_trees(t))[1]
+
+
+# example search. Chunks are documents with the vector of the same number; modules are sources, each depending on that of half its number
+
+_CHUNKS_SQL = f"""c AS (SELECT doc_id AS id, ['method', 'field', 'css', 'scss', 'test_method'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 17 = 0 THEN '__unresolved__' ELSE source END AS module, 'v' || (doc_id // 5 % 2) AS version, lang AS profile,
+    CASE WHEN doc_id % 5 IN (2, 3) THEN '.o_' || source || '_' || (doc_id % 7) ELSE 'action_' || lang || '_' || (doc_id % 11) END AS entity_name, CAST(doc_id % 3 AS INTEGER) AS chunk_idx, text AS content, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+  dep AS (SELECT DISTINCT source AS src, 'src' || (CAST(substr(source, 4) AS INTEGER) // 2) AS dst, v AS version FROM documents, (SELECT unnest(['v0', 'v1']) AS v) WHERE source <> 'src0'),
+  dn AS (SELECT dst AS module, version, count(*) AS n FROM dep GROUP BY ALL)"""
+_ASKS = (
+    (1, "how are totals computed", "v1", [], None, None, 5, 3), (2, ".o_src1", "v0", ["css", "scss"], None, "src3", 20, 8), (3, "find the action_en_3 override please", "v0", [], None, None, 10, None),
+    (4, "action_de_1 or action_fr_2", "v1", ["method", "field"], ["de", "en"], None, 7, None), (5, "compute", "v0", ["method"], None, "src9", 30, 21), (6, "anything", "v0", [], [], None, 5, 4), (7, "  ", "v0", [], None, None, 5, 4),
+    (8, ".o_src0_4", "v1", ["scss"], ["en"], None, 3, 11),
+)
+
+
+def _chunk_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    i = F.col("doc_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("method", "field", "css", "scss", "test_method")]), (i % 5 + 1).cast("int"))
+    style = F.concat(F.lit(".o_"), F.col("source"), F.lit("_"), i % 7)
+    name = F.when((i % 5).isin(2, 3), style).otherwise(F.concat(F.lit("action_"), F.col("lang"), F.lit("_"), i % 11))
+    c = t.documents.join(t.embeddings, F.col("vec_id") == i).select(i.alias("id"), kind.alias("kind"), F.when(i % 17 == 0, store.UNRESOLVED).otherwise(F.col("source")).alias("module"),
+        F.concat(F.lit("v"), F.expr("doc_id div 5") % 2).alias("version"), F.col("lang").alias("profile"), name.alias("entity_name"), (i % 3).cast("int").alias("chunk_idx"), F.col("text").alias("content"), "embedding")
+    half = F.concat(F.lit("src"), F.expr("cast(substr(source, 4) as int) div 2"))
+    dep = t.documents.filter("source <> 'src0'").select(F.col("source").alias("src"), half.alias("dst"), F.explode(F.array(F.lit("v0"), F.lit("v1"))).alias("version")).distinct()
+    return c, dep
+
+
+def _asked_examples(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(*a[:7], a[7]) for a in _ASKS], "ask long, text string, version string, kinds array<string>, allowed array<string>, context string, k int, like long")
+    return rows.join(t.embeddings.select(F.col("vec_id").alias("like"), F.col("embedding").alias("vec")), "like", "left").drop("like")
+
+
+def _asks_sql() -> str:
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    lists = lambda v: "NULL::VARCHAR[]" if v is None else f"{v}::VARCHAR[]"
+    return ", ".join(f"({a}, '{q}', '{v}', {lists(ks)}, {lists(al)}, {text(c)}, {k}, {'NULL' if n is None else n}::BIGINT, '{r}')" for (a, q, v, ks, al, c, k, n), r in zip(_ASKS, ("s", "l", "x", "x", "s", "s", "n", "l")))
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS_SQL}, q AS (SELECT ask, q.text, q.version, kinds, allowed, context, least(k, 20) AS most, e.embedding AS vec, route FROM (VALUES {_asks_sql()}) q(ask, text, version, kinds, allowed, context, k, near, route) LEFT JOIN embeddings e ON e.vec_id = near),
+  v AS (SELECT q.ask, q.text, q.vec, q.route, q.most, q.context, c.* FROM q JOIN c ON c.version = q.version AND (len(kinds) = 0 OR list_contains(kinds, kind)) AND (allowed IS NULL OR list_contains(allowed, profile))),
+  w AS (SELECT *, 'literal' AS match, NULL::DOUBLE AS cos, row_number() OVER (PARTITION BY ask ORDER BY length(entity_name), module, chunk_idx, id) AS place FROM v WHERE route = 'l' AND contains(lower(entity_name), lower(text))
+    UNION ALL SELECT *, 'lexical', NULL, row_number() OVER (PARTITION BY ask ORDER BY length(entity_name), module, chunk_idx, id) FROM v WHERE route = 'x'
+      AND len(list_filter(CASE ask WHEN 3 THEN ['find', 'action_en_3', 'override'] ELSE ['action_de_1', 'action_fr_2'] END, lambda k: contains(lower(entity_name), k))) > 0
+    UNION ALL SELECT * EXCLUDE (cos), 'semantic', cos, row_number() OVER (PARTITION BY ask ORDER BY cos DESC, id) FROM (SELECT *, {_COS.replace("b.embedding", "a.vec")} AS cos FROM v a WHERE vec IS NOT NULL AND route IN ('l', 's'))),
+  f AS (SELECT * FROM w WHERE place <= most QUALIFY row_number() OVER (PARTITION BY ask, id ORDER BY match = 'semantic', place) = 1),
+  g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ask ORDER BY match = 'semantic', place) <= most),
+  r AS (SELECT DISTINCT context AS root, version, context AS name FROM q WHERE context IS NOT NULL UNION SELECT r.root, r.version, dep.dst FROM r JOIN dep ON dep.src = r.name AND dep.version = r.version),
+  h AS (SELECT ask, id, match, place, CASE match WHEN 'literal' THEN 2.0 + (count(*) FILTER (WHERE match = 'literal') OVER (PARTITION BY ask) - row_number() OVER (PARTITION BY ask ORDER BY match = 'semantic', place) + 1) * 1e-6
+      WHEN 'semantic' THEN cos * (1 + 0.02 * ln(coalesce(n, 0) + 1.0)) END + CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.root = g.context AND r.version = g.version AND r.name = g.module AND r.name <> r.root) THEN 0.2 ELSE 0.0 END AS score
+    FROM g LEFT JOIN dn USING (module, version) WHERE module <> '__unresolved__')
+  SELECT ask, CAST(row_number() OVER (PARTITION BY ask ORDER BY score DESC NULLS LAST, match = 'semantic', place) AS INTEGER) AS rank, id, match, round(score, 6) AS score FROM h""")
+def example_search(t: Tables) -> DataFrame:
+    """Queries by every route: semantic, literal with semantic rows behind, keywords where there is no vector; scoped, capped and reranked."""
+    return examples.find_examples(_asked_examples(t), *_chunk_rows(t)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_CHUNKS_SQL}, q AS (SELECT vec_id AS ask, embedding AS vec, CASE WHEN vec_id % 200 = 0 THEN 'en_' END AS model FROM embeddings WHERE vec_id % 100 = 0),
+  h AS (SELECT ask, model, c.*, {_COS.replace("a.embedding", "c.embedding").replace("b.embedding", "q.vec")} AS cos FROM c, q WHERE kind = 'test_method' AND version = 'v1'),
+  k AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY cos DESC, id) AS place FROM h QUALIFY place <= 10),
+  s AS (SELECT *, cos * (1 + 0.02 * ln(coalesce(n, 0) + 1.0)) AS score FROM k LEFT JOIN dn USING (module, version) WHERE module <> '__unresolved__'),
+  o AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, place) AS rank FROM s)
+  SELECT ask, CAST(rank AS INTEGER) AS rank, id, 'semantic' AS match, round(score, 6) AS score FROM o WHERE model IS NULL OR contains(entity_name, model) OR contains(content, model)""")
+def test_example_search(t: Tables) -> DataFrame:
+    """Nearest tests of the stated query set; where a model is asked for, only tests that name it."""
+    none = F.lit(None)
+    asks = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("ask"), F.lit("how is it tested").alias("text"), F.lit("v1").alias("version"), F.array().cast("array<string>").alias("kinds"),
+        none.cast("array<string>").alias("allowed"), none.cast("string").alias("context"), F.lit(10).alias("k"), F.col("embedding").alias("vec"), F.lit("form").alias("test_kind"), F.when(F.col("vec_id") % 200 == 0, "en_").alias("model"))
+    return examples.find_test_examples(asks, *_chunk_rows(t)).withColumn("score", F.round("score", 6))
