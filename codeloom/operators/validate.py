@@ -28,19 +28,32 @@ def _ratio(candidate: Column, name: Column) -> Column:
     return ratio(candidate, name)
 
 
+#: Letters of names, rare ones first; any fixed order gives the same pairs, this one few of them.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate_"
+
+
+def _letters(name: Column) -> Column:
+    """A name's letters as a set: each with the number of times it stood before in the name, rare and repeated ones first."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    before = lambda c, i: F.when(i > 0, F.size(F.filter(F.slice(chars, F.lit(1), F.greatest(i, F.lit(1))), lambda d: d == c))).otherwise(0)
+    return F.array_sort(F.transform(chars, lambda c, i: F.struct((-before(c, i)).alias("n"), F.instr(F.lit(RARE_FIRST), c).alias("r"), c.alias("c"))))
+
+
 def suggest(wanted: DataFrame, candidates: DataFrame, key: str, name: str = "name") -> DataFrame:
     """``wanted`` (key, name) with ``suggestion``: the most alike of the key's candidate names, if any is alike enough.
 
-    Pairs meet by key alone, a model's field names, so a name is never compared with other models'. Pairs whose lengths rule out
-    ``ALIKE``, or that share too few letters, are dropped before Python sees them. Of equally alike names the last by order wins.
+    Names as alike as ``ALIKE`` share that part of their letters, so each has one of the other's among the first letters of its own, by one fixed
+    order: pairs meet by key and such a letter, never all of a key's. Those that share too few letters are dropped before Python rates the
+    rest. Of equally alike names the last by order wins.
     """
-    w = wanted.select(key, name).distinct()
-    c = candidates.select(key, F.col(name).alias("_candidate")).distinct()
-    a, b = F.length(name), F.length("_candidate")
-    both = w.join(c, key).filter(2.0 * F.least(a, b) >= ALIKE * (a + b))
-    letters = lambda x: F.array_distinct(F.split(x, ""))
-    both = both.filter(F.size(F.array_intersect(letters(F.col(name)), letters(F.col("_candidate")))) > 0)
-    rated = both.withColumn("_ratio", _ratio(F.col("_candidate"), F.col(name))).filter(F.col("_ratio") >= ALIKE)
+    # a name of n letters shares at least ALIKE / (2 - ALIKE) * n of them with any name that is alike
+    first = lambda c: F.slice(c, 1, F.size(c) - F.ceil(F.size(c) * (ALIKE / (2 - ALIKE)) - 1e-9).cast("int") + 1)
+    w = wanted.select(key, name).distinct().withColumn("_mine", _letters(F.col(name)))
+    c = candidates.select(key, F.col(name).alias("_candidate")).distinct().withColumn("_theirs", _letters(F.col("_candidate")))
+    left, right = w.select("*", F.explode(first(F.col("_mine"))).alias("_letter")), c.select("*", F.explode(first(F.col("_theirs"))).alias("_letter"))
+    both = left.join(right, [key, "_letter"]).drop("_letter").distinct()
+    enough = 2.0 * F.size(F.array_intersect("_mine", "_theirs")) >= ALIKE * (F.size("_mine") + F.size("_theirs")) - 1e-9
+    rated = both.filter(enough).withColumn("_ratio", _ratio(F.col("_candidate"), F.col(name))).filter(F.col("_ratio") >= ALIKE)
     best = rated.groupBy(key, name).agg(F.max(F.struct("_ratio", "_candidate"))["_candidate"].alias("suggestion"))
     return wanted.join(best, [key, name], "left")
 

@@ -277,3 +277,26 @@ def test_single_requests_read_a_filtered_scan(spark):
     plan = QUERIES["one_model_members"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     scan = plan[plan.index("PushedFilters") :]
     assert "In(l_partkey" in scan or "EqualTo(l_partkey" in scan
+
+
+def test_suggestions_equal_all_pairs(spark):
+    """Pairs that meet by rare letters are all that difflib calls alike."""
+    from difflib import SequenceMatcher
+    rng = random.Random(8)
+    base = ["partner_id", "amount_total", "state", "x", "", "aaaa", "aaab", "name_get", "éà_ü", "line_ids", "zz"]
+    def worn(n):
+        letters = list(n)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "_", "zq", "é"])
+        return "".join(letters)
+    wanted = sorted({(rng.choice("AB"), worn(rng.choice(base))) for _ in range(150)})
+    names = sorted({(rng.choice("AB"), worn(rng.choice(base))) for _ in range(150)})
+    got = validate.suggest(spark.createDataFrame(wanted, "model string, name string"), spark.createDataFrame(names, "model string, name string"), "model")
+    want = {}
+    for m, n in wanted:
+        rated = [(SequenceMatcher(None, c, n).ratio(), c) for k, c in names if k == m]
+        best = max((r for r in rated if r[0] >= 0.7 and r[1] and n), default=(0, None))
+        want[m, n] = best[1]
+    have = {(r.model, r.name): r.suggestion for r in got.collect()}
+    assert {k: v for k, v in have.items() if k[1]} == {k: v for k, v in want.items() if k[1]} and sum(v is not None for v in have.values()) > 40
