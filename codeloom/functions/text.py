@@ -130,3 +130,29 @@ def chunk_header(kind: Column, module: Column, version: Column, owner: Column, n
 def headed(kind: Column, header: Column, body: Column) -> Column:
     """A chunk's text; kinds without a header (scripts and styles) are their bodies."""
     return F.when(header.isNull(), body).otherwise(F.concat_ws("\n", header, body))
+
+
+#: Test names and mocked models that a script suite's text lists.
+SUITE_NAMES, SUITE_MOCKS = 10, 5
+
+
+def suite_text(framework: Column, path: Column, version: Column, describes: Column, names: Column, mounts: Column, tags: Column, mocks: Column) -> Column:
+    """A script suite's chunk: what it is and where, then a line for each list that isn't empty; of the test names the first ten."""
+    line = lambda label, c, most=None: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c if most is None else F.slice(c, 1, most), ", ")))
+    more = F.when(F.size(names) > SUITE_NAMES, F.concat(F.lit("(+ "), F.size(names) - SUITE_NAMES, F.lit(" more tests)")))
+    head = F.concat(F.lit("[js:"), framework, F.lit("] "), path, F.lit(" ("), version, F.lit(")"))
+    return F.concat_ws("\n", head, line("describe: ", describes), line("tests: ", names, SUITE_NAMES), more, line("mounts: ", mounts), line("tags: ", tags), line("mock_models: ", mocks, SUITE_MOCKS))
+
+
+def pattern_text(snippet: Column, gotchas: Column) -> Column:
+    """A curated pattern's chunk: its snippet, then what to look out for."""
+    return F.when(F.size(gotchas) > 0, F.concat_ws("\n", snippet, F.lit("---"), F.array_join(gotchas, "\n"))).otherwise(snippet)
+
+
+def pattern_entity(language: Column, pattern_id: Column) -> Column:
+    return F.concat_ws("__", language, pattern_id)
+
+
+def style_entity(language: Column, kind: Column, name: Column) -> Column:
+    """SCSS and LESS chunks are named by kind and name, those of CSS by name alone."""
+    return F.when(language.isin("scss", "less"), F.concat_ws(":", kind, name)).otherwise(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import risk_level
@@ -79,3 +79,17 @@ def merged_properties(df: DataFrame, keys: list[str], array: str, flag: str, val
     """Union of arrays, OR of flags, first non-null value in order."""
     first = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
     return df.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(array)))).alias(array), F.bool_or(flag).alias(flag), first.alias(value))
+
+
+def top_models(models: DataFrame, depends: DataFrame, most: int = 100) -> DataFrame:
+    """(version, place, model, module, dependents): of each version the models whose defining modules most others depend on.
+
+    ``models``: model, module, version, is_definition; ``depends``: src, dst, version. A version none of whose models is known as a definition lists all
+    its models. Ties follow the model's and the module's name.
+    """
+    defined = models.groupBy("version").agg(F.bool_or(F.coalesce("is_definition", F.lit(False))).alias("_any"))
+    rows = models.join(defined, "version").filter(F.coalesce("is_definition", F.lit(False)) | ~F.col("_any"))
+    counts = depends.select("src", F.col("dst").alias("module"), "version").distinct().groupBy("module", "version").agg(F.count(F.lit(1)).alias("dependents"))
+    rows = rows.join(counts, ["module", "version"], "left").fillna(0, ["dependents"])
+    order = Window.partitionBy("version").orderBy(F.desc("dependents"), "model", "module")
+    return rows.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < most).select("version", "place", "model", "module", "dependents")

@@ -32,11 +32,25 @@ def having_overrides(t: Tables):
     return aggregates.overridden(t.lineitem, ["l_partkey", "l_linenumber"], "l_suppkey")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) ORDER BY p_partkey LIMIT 200")
+@query("""WITH z AS (SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49))
+  SELECT p_partkey, p_name, (SELECT count(*) FROM z) AS total FROM z ORDER BY p_partkey LIMIT 200""")
 def zero_coverage(t: Tables):
-    """The reference lists 200 such fields at most, in name order."""
+    """The reference lists 200 such fields at most, in name order, and says how many there are."""
     covered = t.lineitem.filter("l_quantity > 49").withColumnRenamed("l_partkey", "p_partkey")
-    return aggregates.zero_coverage(t.part, covered, "p_partkey").orderBy("p_partkey").limit(200).select("p_partkey", "p_name")
+    return ranking.with_total(aggregates.zero_coverage(t.part, covered, "p_partkey").select("p_partkey", "p_name"), [F.col("p_partkey")], 0, 200)
+
+
+@query("""WITH m AS (SELECT l_partkey AS model, l_suppkey AS module, l_returnflag AS version, bool_or(l_linenumber = 2 AND l_returnflag <> 'N') AS is_definition FROM lineitem GROUP BY 1, 2, 3),
+  d AS (SELECT dst AS module, version, count(DISTINCT src) AS n FROM (SELECT s_suppkey AS src, s_suppkey // 3 AS dst, v AS version FROM supplier, (SELECT unnest(['A', 'N']) AS v)) GROUP BY ALL),
+  k AS (SELECT m.*, coalesce(n, 0) AS dependents, bool_or(is_definition) OVER (PARTITION BY version) AS any_ FROM m LEFT JOIN d USING (module, version)),
+  p AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY dependents DESC, model, module) - 1 AS place FROM k WHERE is_definition OR NOT any_)
+  SELECT version, CAST(place AS INTEGER) AS place, model, module, dependents FROM p WHERE place < 100""")
+def top_models(t: Tables):
+    """The hundred models of each version that most depend on; a version without definitions lists all its models."""
+    li = t.lineitem
+    m = li.groupBy(F.col("l_partkey").alias("model"), F.col("l_suppkey").alias("module"), F.col("l_returnflag").alias("version")).agg(F.bool_or((F.col("l_linenumber") == 2) & (F.col("l_returnflag") != "N")).alias("is_definition"))
+    d = t.supplier.select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 3").alias("dst"), F.explode(F.array(F.lit("A"), F.lit("N"))).alias("version"))
+    return aggregates.top_models(m, d)
 
 
 @query("""WITH v AS (SELECT o_custkey AS k, count(*) AS views FROM orders GROUP BY 1), m AS (SELECT o_custkey AS k, count(*) AS methods FROM orders

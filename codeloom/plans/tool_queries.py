@@ -494,3 +494,19 @@ def view_type_alias(t: Tables) -> DataFrame:
     kind = F.when(F.col("p_size") % 3 == 0, "tree").when(F.col("p_size") % 3 == 1, "list").otherwise("form")
     return t.part.filter("p_type like '%T%'").filter(tools.view_type(kind, "list")).select("p_partkey")
 
+
+@query("""WITH x AS (SELECT p_partkey, p_size, p_name, p_brand, list_transform(range(p_size % 14), lambda i: 't' || i) AS names FROM part)
+  SELECT p_partkey, '[js:hoot] ' || p_brand || ' (v)' || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'describe: ' || p_name || ', b' ELSE '' END || CASE WHEN len(names) > 0 THEN chr(10) || 'tests: ' || array_to_string(names[1:10], ', ') ELSE '' END
+      || CASE WHEN len(names) > 10 THEN chr(10) || '(+ ' || (len(names) - 10) || ' more tests)' ELSE '' END || CASE WHEN len(names) > 0 THEN chr(10) || 'mock_models: ' || array_to_string(names[1:5], ', ') ELSE '' END AS suite,
+    p_name || CASE WHEN len(names) > 0 THEN chr(10) || '---' || chr(10) || array_to_string(names, chr(10)) ELSE '' END AS pattern, 'python__' || p_brand AS entity,
+    CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'mixin:' || p_name ELSE 'variable:' || p_name END AS style FROM x""")
+def chunk_bodies(t: Tables) -> DataFrame:
+    """Chunks of script suites and curated patterns, and the names of style chunks."""
+    names = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.concat(F.lit("t"), i))
+    names = F.slice(names, F.lit(1), F.col("p_size") % 14)
+    none = F.array().cast("array<string>")
+    describes = F.when(F.col("p_size") % 2 == 0, F.array(F.col("p_name"), F.lit("b"))).otherwise(none)
+    kind = F.when(key() % 3 == 1, "mixin").when(key() % 3 == 2, "variable").otherwise("selector")
+    language = F.when(key() % 3 == 1, "scss").when(key() % 3 == 2, "less").otherwise("css")
+    return t.part.select("p_partkey", text.suite_text(F.lit("hoot"), F.col("p_brand"), F.lit("v"), describes, names, none, none, names).alias("suite"), text.pattern_text(F.col("p_name"), names).alias("pattern"),
+        text.pattern_entity(F.lit("python"), F.col("p_brand")).alias("entity"), text.style_entity(language, kind, F.col("p_name")).alias("style"))
