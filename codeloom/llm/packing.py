@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, running, small_batches, tidy
@@ -114,8 +115,26 @@ def one_round(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     return new.union(stay).union(left)
 
 
+@contextmanager
+def interpreted(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside are run without compiling each stage: a round's tables are tiny, and its many stages' code would fill the driver's memory."""
+    name = "spark.sql.codegen.wholeStage"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def rounds(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Runs (run_length, first_rank, n, first_sequence, offset) that place all pieces. ``counts`` has ``length`` and ``n``."""
+    first = cut(counts.select("length", "n"), "counts")  # at most one row a length; the pieces behind them are counted as compiled code
+    with interpreted(counts.sparkSession):
+        return _rounds(first, capacity)
+
+
+def _rounds(counts: DataFrame, capacity: int) -> DataFrame:
     spark = counts.sparkSession
     rows = counts.coalesce(1).select(F.lit("todo").alias("kind"), F.col("length").cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
         F.col("n").cast("long").alias("c"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
