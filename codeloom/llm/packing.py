@@ -7,7 +7,8 @@ takes, which gives every piece its best fit, longest first. It is a matching of
 closes the uppermost ones, and at each level a gap meets the piece before it. Ranks share the pieces of a length among the gaps that
 meet it; where pieces of that length are left over, a gap takes several at once. Gaps are updated, and the next round
 begins. Sequences are opened when no piece fits: as many as the tokens left need at least, and one for each piece of over half a
-sequence. Each round is written to the shared folder; the driver sees only totals. The rounds yield
+sequence. Each round is written to the shared folder; the driver sees only totals, until at most ``LAST_PIECES`` pieces and ``LAST_GAPS`` runs of gaps are
+left, which is few whatever the input: it gives each of these its best fit, longest first. The rounds yield
 runs of (length, ranks, sequences, offset), and a join by length and block of ranks gives every piece its place.
 
 Cases: a null text is an empty one; a document without ids gives no piece; null ids are packed like others; rows
@@ -18,6 +19,7 @@ are left out, whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -32,6 +34,8 @@ from .tokens import encode_documents
 CAPACITY = 1024
 #: Ranks that one key of the final join spans.
 RANK_BLOCK = 4096
+#: Pieces, and runs of gaps, up to which the driver places what is left itself, one by one.
+LAST_PIECES, LAST_GAPS = 5_000, 50_000
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -115,6 +119,42 @@ def one_round(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     return new.union(stay).union(left)
 
 
+def last_runs(rows: list, opened: int, capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Runs of one piece each that place the last pieces: each in the smallest gap that fits, longest first, a new sequence where none does.
+
+    ``rows`` (kind, a, b, c): pieces left as (length, first rank, number) and gaps as (size, first sequence, number).
+    """
+    gaps: dict[int, list[list[int]]] = {}  # runs of gaps by size: first sequence and number
+    for _, size, first, n in (r for r in rows if r[0] == "gap" and r[3] > 0):
+        gaps.setdefault(size, []).append([first, n])
+    sizes, out = sorted(gaps), []
+
+    def put(size: int, seq: int) -> None:
+        if size:
+            if size not in gaps:
+                gaps[size] = []
+                insort(sizes, size)
+            gaps[size].append([seq, 1])
+
+    for _, length, first, n in sorted((r for r in rows if r[0] == "todo" and r[3] > 0), key=lambda r: -r[1]):
+        for rank in range(first, first + n):
+            at = bisect_left(sizes, length)
+            if at == len(sizes):
+                size, seq, opened = capacity, opened, opened + 1
+            else:
+                size = sizes[at]
+                run = gaps[size][-1]
+                seq = run[0]
+                run[0], run[1] = run[0] + 1, run[1] - 1
+                if not run[1]:
+                    gaps[size].pop()
+                if not gaps[size]:
+                    del gaps[size], sizes[at]
+            out.append((length, rank, 1, seq, capacity - size))
+            put(size - length, seq)
+    return out
+
+
 @contextmanager
 def interpreted(spark: SparkSession) -> Iterator[None]:
     """Plans made inside are run without compiling each stage: a round's tables are tiny, and its many stages' code would fill the driver's memory."""
@@ -145,11 +185,16 @@ def _rounds(counts: DataFrame, capacity: int) -> DataFrame:
             F.sum(left * F.col("a")).alias("tokens"), F.sum(F.when(2 * F.col("a") > capacity, left)).alias("large"),
                 F.min(F.when(left > 0, F.col("a"))).alias("shortest"),
             F.max(F.when(left > 0, F.col("a"))).alias("longest"), F.max(F.when(F.col("kind") == "gap", F.col("a"))).alias("gap"),
+            F.coalesce(F.sum(left), F.lit(0)).alias("pieces"), F.count_if(F.col("kind") == "gap").alias("runs"),
         ).first()
         if not total.tokens:
             break
         if total.longest > capacity or total.shortest < 1:
             raise ValueError(f"pieces of {total.longest} ids don't fit")
+        if placed and total.pieces <= LAST_PIECES and total.runs <= LAST_GAPS:
+            last = state.filter("kind in ('todo', 'gap')").select("kind", "a", "b", "c").collect()
+            placed.append(spark.createDataFrame(last_runs(last, opened, capacity), "a long, b long, c long, d long, e long"))
+            break
         todo = state.filter("kind = 'todo'").select(F.col("a").alias("length"), F.col("b").alias("taken"), F.col("c").alias("left_"))
         gaps = state.filter("kind = 'gap'").select(F.col("a").alias("size"), F.col("b").alias("first"), F.col("c").alias("n"))
         if (total.gap or 0) < total.shortest:
@@ -157,7 +202,7 @@ def _rounds(counts: DataFrame, capacity: int) -> DataFrame:
             gaps = gaps.union(spark.range(1).select(F.lit(capacity).cast("long"), F.lit(opened).cast("long"), F.lit(fresh).cast("long")))
             opened += fresh
         state = cut(one_round(todo, gaps, capacity), "round")
-        placed.append(state.filter("kind = 'run'"))
+        placed.append(state.filter("kind = 'run'").select(*"abcde"))
     schema = "run_length long, first_rank long, n long, first_sequence long, offset long"
     if not placed:
         return spark.createDataFrame([], schema)

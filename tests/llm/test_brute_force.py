@@ -512,7 +512,10 @@ def test_a_round_matches_like_a_loop(spark):
         assert {(r.length, r.size): r.units for r in packing.matched(todo, runs).collect()} == plain_round(pieces, gaps)
 
 
-def test_rounds_are_tight_and_valid(spark):
+@pytest.mark.parametrize("last", [0, 40, 5000])
+def test_rounds_are_tight_and_valid(spark, monkeypatch, last):
+    """Whether rounds place all pieces, or the driver the last few."""
+    monkeypatch.setattr(packing, "LAST_PIECES", last)
     rng = random.Random(2)
     for top, most in ((64, 50), (9, 300), (64, 3)):
         counts: dict[int, int] = {}
