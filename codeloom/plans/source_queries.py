@@ -215,7 +215,7 @@ def parsed_scripts(t: Tables) -> DataFrame:
         "era", "name", "target", "template")
 
 
-_TRICKY = """/** @odoo-module **/
+_TRICKY = """/** @web-module **/
 import { Component, useState } from "@web/core%s";
 // class Ghost%s extends Component {}
 const text = "patch(Ghost.prototype, 'x', {})", re = /class Ghost extends Component {"/g;
@@ -226,7 +226,7 @@ export class Card%s extends owl.Component {
 }
 registry.category("fields").add("card%s", Card%s);
 Card%s.patch("web.fix", T => class extends T { });
-odoo.define("web.old%s", function (require) { var W = require("web.Widget"); });"""
+boot.define("web.old%s", function (require) { var W = require("web.Widget"); });"""
 
 
 @query("""WITH x AS (SELECT s_suppkey AS k FROM supplier), r AS (

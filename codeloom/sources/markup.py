@@ -144,7 +144,7 @@ _SCRIPT_SHAPES = (
     # kind, era, pattern with name, target and extends groups; fixed shapes of the three generations
     ("component", "era1", re.compile(r"(?P<name>[\w.$]+)\s*=\s*(?P<extends>[\w.$]+)\.extend\s*\(")),
     ("patch", "era2", re.compile(r"(?P<target>[\w.$]+)\.include\s*\(\s*\{")),
-    ("module", "era2", re.compile(rf"\bodoo\.define\s*\(\s*(?P<name>{_Q})")),
+    ("module", "era2", re.compile(rf"\b[\w$]+\.define\s*\(\s*(?P<name>{_Q})")),
     ("import", "era2", re.compile(rf"(?:(?P<name>[\w$]+)\s*=\s*)?\brequire\s*\(\s*(?P<target>{_Q})\s*\)")),
     ("component", "era3", re.compile(r"\bclass\s+(?P<name>[\w$]+)\s+extends\s+(?P<extends>[\w.$]+)\s*\{")),
     ("patch", "era3", re.compile(rf"(?<![\w.$])patch\s*\(\s*(?P<target>[\w.$]+?)(?:\.prototype)?\s*,\s*(?:(?P<name>{_Q})\s*,)?")),
