@@ -40,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all tasks of a shuffle, however small it is: for work that costs far more than its rows' bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class Growing:
     """A table that grows by written parts; all parts are read as one, so plans don't grow with their number."""
 

@@ -164,3 +164,12 @@ def test_script_content_ends_at_its_bracket():
     assert got == [("component", "A", None, 'class A extends B { x = "}"; }'), ("component", "C", None, "class C extends D { /* { */ }"), ("component", "W", None, "W = A.extend({ a: [1, (2)] })"), ("import", None, "x.y", 'require("x.y")')]
     assert markup.script_rows("// class A extends B {") == [{"kind": "chunk", "era": None, "content": "// class A extends B {"}] and markup.script_rows(None) == []
     assert [(r["kind"], r["target"], r["name"]) for r in markup.script_rows('import "@a/b";\nimport X, { y as z } from \'@c/d\';')] == [("import", "@a/b", None), ("import", "@c/d", "X, { y as z }")]
+
+
+def test_parsing_is_dealt_over_tasks(spark):
+    """Files of one split are parsed by many tasks, and edges parse them once."""
+    d = spark.createDataFrame([(f"p{i}.py", "m", "17.0", f"class A:\n    _name = 'a{i}'\n    _inherit = ['b', 'c']\n") for i in range(40)],
+        "path string, module string, version string, content string").coalesce(1)
+    assert python_code.members(d).rdd.getNumPartitions() > 1 and markup.views(d).rdd.getNumPartitions() > 1
+    edges = python_code.inherit_edges(python_code.members(d))
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and edges.count() == 80
