@@ -15,6 +15,7 @@ from ..functions.text import literal_column, style_literal
 from ..streaming.events import late_guard
 from .graph import chain, closure, levels
 from .joins import counted
+from .lineage import cut
 from .ranking import declaring_module, first_by, inherited_members, tests_first
 
 #: Tests and fields that a listing shows, modules of a profile's page.
@@ -109,10 +110,28 @@ def profile_repos(profiles: DataFrame, repos: DataFrame) -> DataFrame:
 def profile_modules(profiles: DataFrame, repos: DataFrame, modules: DataFrame, page: int = 0, size: int = PROFILE_MODULES) -> DataFrame:
     """A page of each profile's modules by name, of at most ``PROFILE_MODULES``, with ``total``. ``modules`` has (name, repo)."""
     size = min(size, PROFILE_MODULES)
-    own = profile_repos(profiles, repos).select("profile", "repo").join(modules, "repo").select("profile", "name").distinct()
-    place = F.row_number().over(Window.partitionBy("profile").orderBy("name"))
-    total = own.groupBy("profile").agg(F.count(F.lit(1)).alias("total"))
-    return own.withColumn("place", place).filter((F.col("place") > page * size) & (F.col("place") <= (page + 1) * size)).join(total, "profile")
+    # profiles with the same profiles of repositories above them have the same modules: one of them, the least, stands for all
+    holders = repos.select(F.col("profile").alias("name")).distinct()
+    up = chain(profiles.select(F.col("name").alias("start")), profiles).join(holders, "name")
+    alike = cut(up.groupBy("start").agg(F.array_sort(F.collect_set("name")).alias("_above")))
+    least = alike.groupBy("_above").agg(F.min("start").alias("_least"))
+    least = cut(alike.join(least, "_above").select(F.col("start").alias("profile"), "_least"))
+    here = alike.join(least.select(F.col("_least").alias("start")).distinct(), "start", "left_semi").select("start", F.explode("_above").alias("profile"))
+    here = cut(here.join(repos.select("repo", "profile"), "profile").select("start", "repo").distinct())
+    # a name of one repository alone is counted there once; names of several are counted for each profile
+    held = cut(modules.select("repo", "name").distinct())
+    spread = held.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("repo").alias("repo"))
+    alone = spread.filter("_n = 1").groupBy("repo").agg(F.count(F.lit(1)).alias("_n"))
+    several = held.join(spread.filter("_n > 1").select("name"), "name", "left_semi")
+    counts = here.join(alone, "repo").groupBy("start").agg(F.sum("_n").alias("_n")).unionByName(
+        here.join(several, "repo").select("start", "name").distinct().groupBy("start").agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.groupBy("start").agg(F.sum("_n").alias("total"))
+    # the first names of a profile are among the first of each of its repositories
+    order = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("name"))
+    first = held.withColumn("place", order("repo")).filter(F.col("place") <= (page + 1) * size).select("repo", "name")
+    own = here.join(first, "repo").select("start", "name").distinct().withColumn("place", order("start"))
+    shown = own.filter((F.col("place") > page * size) & (F.col("place") <= (page + 1) * size)).join(total, "start")
+    return least.join(shown.withColumnRenamed("start", "_least"), "_least").select("profile", "name", "place", "total")
 
 
 def children(profiles: DataFrame) -> DataFrame:
