@@ -6,13 +6,14 @@ import ast
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import RELATIONAL, is_domain_operator
 from .graph import is_subtype, walk_paths
+from .lineage import cut, dealt
 
 #: Fixed value: how alike two names are at least, where one is suggested for the other.
 ALIKE = 0.7
@@ -20,41 +21,69 @@ ALIKE = 0.7
 CONNECTORS = ("&", "|", "!")
 
 
-def _ratio(candidate: Column, name: Column) -> Column:
-    @F.pandas_udf("double")
-    def ratio(candidate: pd.Series, name: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(candidate, name)])
+#: Names of one key, wanted ones and candidates, that one task compares at most, about.
+BLOCK_NAMES = 1000
 
-    return ratio(candidate, name)
 
+def _nearest(names: list[str], candidates: list[str]) -> list[tuple[float, str] | None]:
+    """For each name the ratio and candidate that are greatest, if the ratio is ``ALIKE`` at least.
 
-#: Letters of names, rare ones first; any fixed order gives the same pairs, this one few of them.
-RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate_"
-
-
-def _letters(name: Column) -> Column:
-    """A name's letters as a set: each with the number of times it stood before in the name, rare and repeated ones first."""
-    chars = F.filter(F.split(name, ""), lambda c: c != "")
-    before = lambda c, i: F.when(i > 0, F.size(F.filter(F.slice(chars, F.lit(1), F.greatest(i, F.lit(1))), lambda d: d == c))).otherwise(0)
-    return F.array_sort(F.transform(chars, lambda c, i: F.struct((-before(c, i)).alias("n"), F.instr(F.lit(RARE_FIRST), c).alias("r"), c.alias("c"))))
+    Names share no more letters than their counts have in common, which bounds the ratio: candidates come by that bound, and those under the best
+    ratio so far are not rated.
+    """
+    place = {c: i for i, c in enumerate(sorted(set("".join(candidates))))}
+    counts = np.zeros((len(candidates), len(place)), np.int32)
+    for i, x in enumerate(candidates):
+        for c in x:
+            counts[i, place[c]] += 1
+    sizes, out = counts.sum(1), []
+    for name in names:
+        mine = np.zeros(len(place), np.int32)
+        for c in name:
+            if c in place:
+                mine[place[c]] += 1
+        both = sizes + len(name)
+        bound = np.where(both > 0, 2.0 * np.minimum(counts, mine).sum(1) / np.maximum(both, 1), 1.0)
+        rate, best = SequenceMatcher(None, "", name), None  # what it learns about the second text serves all candidates
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < (best[0] if best else ALIKE):
+                break
+            rate.set_seq1(candidates[i])
+            found = (rate.ratio(), candidates[i])
+            if found[0] >= ALIKE and (best is None or found > best):
+                best = found
+        out.append(best)
+    return out
 
 
 def suggest(wanted: DataFrame, candidates: DataFrame, key: str, name: str = "name") -> DataFrame:
     """``wanted`` (key, name) with ``suggestion``: the most alike of the key's candidate names, if any is alike enough.
 
-    Names as alike as ``ALIKE`` share that part of their letters, so each has one of the other's among the first letters of its own, by one fixed
-    order: pairs meet by key and such a letter, never all of a key's. Those that share too few letters are dropped before Python rates the
-    rest. Of equally alike names the last by order wins.
+    Of equally alike names the last by order wins. A key's names are dealt into blocks of about ``BLOCK_NAMES``, and every block of wanted names meets every
+    block of candidates in a task of its own: names travel once for each such block, pairs never. Work grows with the pairs that are too alike in their letters to be told
+    apart by them.
     """
-    # a name of n letters shares at least ALIKE / (2 - ALIKE) * n of them with any name that is alike
-    first = lambda c: F.slice(c, 1, F.size(c) - F.ceil(F.size(c) * (ALIKE / (2 - ALIKE)) - 1e-9).cast("int") + 1)
-    w = wanted.select(key, name).distinct().withColumn("_mine", _letters(F.col(name)))
-    c = candidates.select(key, F.col(name).alias("_candidate")).distinct().withColumn("_theirs", _letters(F.col("_candidate")))
-    left, right = w.select("*", F.explode(first(F.col("_mine"))).alias("_letter")), c.select("*", F.explode(first(F.col("_theirs"))).alias("_letter"))
-    both = left.join(right, [key, "_letter"]).drop("_letter").distinct()
-    enough = 2.0 * F.size(F.array_intersect("_mine", "_theirs")) >= ALIKE * (F.size("_mine") + F.size("_theirs")) - 1e-9
-    rated = both.filter(enough).withColumn("_ratio", _ratio(F.col("_candidate"), F.col(name))).filter(F.col("_ratio") >= ALIKE)
-    best = rated.groupBy(key, name).agg(F.max(F.struct("_ratio", "_candidate"))["_candidate"].alias("suggestion"))
+    w = wanted.select(key, F.col(name).alias("_name")).filter("_name <> ''").distinct()
+    c = candidates.select(key, F.col(name).alias("_name")).filter("_name <> ''").distinct()
+    blocks = lambda d, n: d.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_NAMES).cast("int").alias(n))
+    sizes = cut(blocks(w, "_nw").join(blocks(c, "_nc"), key))
+    own = lambda n: F.pmod(F.xxhash64("_name"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = w.join(sizes, key).select(key, "_name", own("_nw").alias("_w"), every("_nc").alias("_c"))
+    right = c.join(sizes, key).select(key, "_name", own("_nc").alias("_c"), every("_nw").alias("_w"))
+    kind = wanted.schema[key].dataType.simpleString()
+
+    def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        names, other = mine.column("_name").to_pylist(), theirs.column("_name").to_pylist()
+        best = _nearest(names, other) if names and other else [None] * len(names)
+        rows = [(k, n, *b) for k, n, b in zip(mine.column(key).to_pylist(), names, best) if b]
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.Table.from_arrays([pa.array(columns[0], mine.schema.field(key).type), *(pa.array(x, t) for x, t in zip(columns[1:], (pa.string(), pa.float64(), pa.string())))],
+            [key, "_name", "_ratio", "_candidate"])
+
+    at = [key, "_w", "_c"]
+    rated = dealt(left, *at).groupBy(*at).cogroup(dealt(right, *at).groupBy(*at)).applyInArrow(compare, f"`{key}` {kind}, _name string, _ratio double, _candidate string")
+    best = rated.groupBy(key, F.col("_name").alias(name)).agg(F.max(F.struct("_ratio", "_candidate"))["_candidate"].alias("suggestion"))
     return wanted.join(best, [key, name], "left")
 
 

@@ -300,3 +300,40 @@ def test_suggestions_equal_all_pairs(spark):
         want[m, n] = best[1]
     have = {(r.model, r.name): r.suggestion for r in got.collect()}
     assert {k: v for k, v in have.items() if k[1]} == {k: v for k, v in want.items() if k[1]} and sum(v is not None for v in have.values()) > 40
+
+
+def test_suggestions_deal_a_key_into_blocks(spark, monkeypatch):
+    """Blocks of a key's names meet in tasks of their own, with the answer of one block."""
+    names = spark.createDataFrame([("m", f"field_{i}") for i in range(60)], "model string, name string")
+    wanted = spark.createDataFrame([("m", f"fild_{i}") for i in range(0, 60, 3)], "model string, name string")
+    whole = sorted(map(tuple, validate.suggest(wanted, names, "model").collect()))
+    monkeypatch.setattr(validate, "BLOCK_NAMES", 7)
+    assert all(r[2] for r in whole) and sorted(map(tuple, validate.suggest(wanted, names, "model").collect())) == whole
+
+
+def test_profile_pages_of_names_in_several_repositories(spark):
+    """Profiles alike share an answer; a module of two repositories counts once."""
+    from codeloom.operators import tools
+    rng = random.Random(3)
+    parent = {i: (rng.randrange(i) if i and i % 5 else None) for i in range(30)}
+    repos = sorted({(rng.randrange(8), rng.randrange(12)) for _ in range(20)})
+    modules = sorted({(f"m{rng.randrange(40)}", rng.randrange(8)) for _ in range(90)})
+    got = tools.profile_modules(spark.createDataFrame(list(parent.items()), "name int, parent int"), spark.createDataFrame(repos, "repo int, profile int"),
+        spark.createDataFrame(modules, "name string, repo int"), 1, 6)
+    want = set()
+    for p in parent:
+        up, at = set(), p
+        while at is not None:
+            up.add(at)
+            at = parent[at]
+        names = sorted({n for n, r in modules if any((r, q) in repos for q in up)})
+        want |= {(p, n, i + 1, len(names)) for i, n in enumerate(names) if 6 <= i < 12}
+    assert want and {(r.profile, r.name, r.place, r.total) for r in got.collect()} == want
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Sides that grow with the input are joined by shuffle, however small Spark guesses them."""
+    from codeloom.plans import QUERIES
+    for name in ("field_lookup", "test_coverage"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") <= (name == "field_lookup"), plan  # the few built-in fields alone
