@@ -1,17 +1,20 @@
 """Example search as one answer: literal names first, then nearest vectors, or keywords where a query has no vector; reranked by dependents and context.
 
-A block of queries is searched at once. Queries are counted and sent to every task; chunks are scanned once for each way of
+A block of queries is searched at once; more of them are dealt into blocks. A block's queries are sent to every task; chunks are scanned once for each way of
 searching and never shuffled, since each task keeps its own best rows of a query before the few that are left meet.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
 from ..functions.text import keywords, literal_column, style_literal
 from .graph import closure
+from .lineage import cut
 from .search import CENTRALITY, CLOSURE_BONUS, LITERAL_FLOOR, LITERAL_STEP
 from .store import UNRESOLVED
 
@@ -21,7 +24,7 @@ STYLE_KINDS = ("css", "scss", "less")
 TEST_KINDS = ("test_method", "test_class", "js_test")
 #: Kinds of tests by how they run, as a caller names them.
 BACKEND_TESTS = ("transaction", "http", "form", "savepoint")
-#: Queries of one block.
+#: Queries of one block, at most; more of them are dealt into blocks of about half as many.
 BLOCK = 1000
 
 ASK = "ask long, text string, version string, kinds array<string>, allowed array<string>, context string, k int, vec array<float>"
@@ -62,8 +65,16 @@ def find_examples(asks: DataFrame, chunks: DataFrame, depends: DataFrame, id_col
     Literal rows stand above all semantic ones, in the order of their search; what they leave open is filled with semantic rows. The score of
     a semantic row grows with its module's dependents; modules that the ask's context depends on get a bonus. Placeholders' rows go after the search.
     """
-    if asks.limit(BLOCK + 1).count() > BLOCK:
-        raise ValueError(f"at most {BLOCK} queries at once; deal them out in blocks")
+    n = asks.count()
+    if n > BLOCK:
+        asks, chunks, depends = cut(asks), cut(chunks), cut(depends)
+        blocks = -(-2 * n // BLOCK)
+        part = lambda i: asks.filter(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == i)
+        return reduce(DataFrame.union, [cut(_find_block(part(i), chunks, depends, id_col)) for i in range(blocks)])
+    return _find_block(asks, chunks, depends, id_col)
+
+
+def _find_block(asks: DataFrame, chunks: DataFrame, depends: DataFrame, id_col: str) -> DataFrame:
     asks = routed(asks)
     slim = chunks.select(F.col(id_col).alias("id"), "kind", "module", "version", "profile", "entity_name", "chunk_idx", "content", "embedding")
     named = F.when(literal_column(F.col("_text")) == "content", _contains(F.col("content"), F.trim("_text"))).otherwise(_contains(F.col("entity_name"), F.trim("_text")))
@@ -107,6 +118,6 @@ def find_test_examples(asks: DataFrame, chunks: DataFrame, depends: DataFrame, i
     narrowed = asks.withColumn("kinds", F.when(F.col("test_kind") == "js", F.array(F.lit("js_test"))).when(F.col("test_kind").isin(*BACKEND_TESTS),
         F.array(F.lit("test_method"), F.lit("test_class"))).otherwise(F.array(*[F.lit(k) for k in TEST_KINDS])))
     found = find_examples(narrowed.drop("test_kind", "model"), chunks.filter(F.col("kind").isin(*TEST_KINDS)), depends, id_col)
-    named = found.join(F.broadcast(asks.select("ask", "model")), "ask").join(chunks.select(F.col(id_col).alias("id"), "entity_name", "content"), "id")  # asks were counted
+    named = found.join(asks.select("ask", "model"), "ask").join(chunks.select(F.col(id_col).alias("id"), "entity_name", "content"), "id")
     about = F.col("model").isNull() | F.contains("entity_name", F.col("model")) | F.contains("content", F.col("model"))
     return named.filter(F.coalesce(about, F.lit(False))).select("ask", "rank", "id", "match", "score")

@@ -74,3 +74,13 @@ def test_caps_and_empty_tables(spark, tables):
     many = spark.createDataFrame([(i, "method", "m", "v", "p", f"n{i}", 0, "x", at(i / 10)) for i in range(50)], CHUNK)
     assert len(ask(spark, (many, depends), ("how", [], None, None, 40, U))[0]) == examples.SEARCHED
     assert ask(spark, (chunks.limit(0), depends.limit(0)), ("how", [], None, "ctx", 4, U), ("$x", ["css"], None, None, 4, None)) == [[], []]
+
+
+def test_many_asks_are_dealt_into_blocks(spark, monkeypatch):
+    """More asks than one block takes are answered as those of one block are."""
+    from codeloom.plans import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, QUERIES["test_example_search"](spark, folder).collect()))
+    monkeypatch.setattr(examples, "BLOCK", 1)
+    assert whole and sorted(map(tuple, QUERIES["test_example_search"](spark, folder).collect())) == whole
