@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .lineage import Growing, cut
+from .lineage import Growing, cut, shuffled
 from .ordering import reach
 
 INHERITS, DELEGATES = "INHERITS", "DELEGATES_TO"
@@ -40,7 +40,7 @@ def ancestors(starts: DataFrame, edges: DataFrame, hops: int = 3, kinds: Sequenc
     none = F.lit(None).cast(step.schema["edge"].dataType)
     found = starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth"), none.alias("edge")).distinct()
     for depth in range(1, hops + 1):
-        met = found.join(step.withColumnRenamed("edge", "_edge"), (F.col("name") == F.col("src")) & (F.col("depth") == depth - 1), "left")
+        met = found.join(shuffled(step.withColumnRenamed("edge", "_edge")), (F.col("name") == F.col("src")) & (F.col("depth") == depth - 1), "left")
         own = F.struct("name", F.col("depth"), F.col("edge"))
         beyond = F.struct(F.col("dst").alias("name"), F.lit(depth).alias("depth"), F.col("_edge").alias("edge"))
         both = met.select("start", F.inline(F.when(F.col("dst").isNull(), F.array(own)).otherwise(F.array(own, beyond))))

@@ -45,6 +45,14 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: never gathered in the driver to be broadcast.
+
+    Spark guesses the size of derived tables from the bytes of their files, which is far too little where rows are made from a few small columns.
+    """
+    return df.hint("merge")
+
+
 class Growing:
     """A table that grows by written parts; all parts are read as one, so plans don't grow with their number."""
 

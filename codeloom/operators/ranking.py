@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edition_rank, version_key
-from .lineage import cut
+from .lineage import cut, shuffled
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -53,16 +53,16 @@ def field_lookup(wanted: DataFrame, tags: DataFrame, members: DataFrame, magic:
     ``wanted`` has (start, field). The result says by ``step`` (direct, magic, inherited) where each was found; fields
     found nowhere have a null step.
     """
-    have = tags.select("start", F.col("name").alias("owner"), "depth").join(members.select(F.col("model").alias("owner"),
-        F.col("name").alias("field"), "module", "ttype"), "owner")
-    found = wanted.join(have, ["start", "field"]).select("start", "field", F.when(F.col("depth") == 0, 0).otherwise(2).alias("prio"), "depth",
+    have = tags.select("start", F.col("name").alias("owner"), "depth").join(shuffled(members.select(F.col("model").alias("owner"),
+        F.col("name").alias("field"), "module", "ttype")), "owner")
+    found = wanted.join(shuffled(have), ["start", "field"]).select("start", "field", F.when(F.col("depth") == 0, 0).otherwise(2).alias("prio"), "depth",
         "owner", "module", "ttype")
     fixed = wanted.join(magic.select(F.col("name").alias("field"), "ttype"), "field").select("start", "field", F.lit(1).alias("prio"),
         F.lit(0).alias("depth"), F.col("start").alias("owner"), F.lit(None).cast("string").alias("module"), "ttype")
     best = first_by(found.unionByName(fixed), ["start", "field"], [F.col("prio"), F.col("depth"),
         F.when(F.col("prio") == 0, F.lit(None)).otherwise(F.col("owner")).asc_nulls_first(), F.col("module").asc_nulls_last()])
     step = F.when(F.col("prio") == 0, "direct").when(F.col("prio") == 1, "magic").when(F.col("prio") == 2, "inherited")
-    return wanted.join(best, ["start", "field"], "left").select("start", "field", step.alias("step"), "depth", "owner", "module", "ttype")
+    return wanted.join(shuffled(best), ["start", "field"], "left").select("start", "field", step.alias("step"), "depth", "owner", "module", "ttype")
 
 
 def via_rank(via: Column) -> Column:
