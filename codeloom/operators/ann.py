@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,10 @@ from .lineage import cut, fresh_folder
 SAMPLE_ROWS, FIT_ROUNDS = 20_000, 12
 #: Rows of a list that one task writes; larger lists are dealt over several files.
 LIST_ROWS = 500_000
-#: Queries that are sent to every task at once.
+#: Queries that are sent to every task at once, at most; more of them are dealt into blocks of about half as many.
 QUERY_BLOCK = 4096
+#: Rows and queries whose products are held at once.
+TILE_ROWS, TILE_QUERIES = 1024, 256
 #: Angles err by far less than this in doubles.
 ANGLE_SLACK = 1e-6
 
@@ -123,15 +127,12 @@ def _probe(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, wanted: np.nda
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
+        for b in (whole.slice(at, TILE_ROWS) for whole in batches for at in range(0, whole.num_rows, TILE_ROWS)):
             lists = b.column("list").to_numpy()
             x = _unit(_matrix(b.column(vec)))
             keys = b.column(key).to_numpy(zero_copy_only=False)
-            for at in np.unique(lists):
+            for at, asks in ((at, every[i : i + TILE_QUERIES]) for at in np.unique(lists) for every in [np.flatnonzero(wanted[:, at])] for i in range(0, len(every), TILE_QUERIES)):
                 mine = np.flatnonzero(lists == at)
-                asks = np.flatnonzero(wanted[:, at])
-                if not len(asks):
-                    continue
                 scores = x[mine] @ unit[asks].T
                 for j, q in enumerate(asks):
                     s, i = scores[:, j], keys[mine]
@@ -140,7 +141,7 @@ def _probe(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, wanted: np.nda
                     if len(s) > k:
                         least = np.partition(s, len(s) - k)[len(s) - k] - ANGLE_SLACK
                         s, i = s[s >= least], i[s >= least]
-                    held[q] = s, i
+                    held[q] = s.copy(), i.copy()  # a view would keep the whole tile
         for q, (s, i) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), ids[q])), pa.array(i), pa.array(s)], ["query", key, "score"])
 
@@ -152,15 +153,25 @@ def _best(found: DataFrame, k: int, key: str) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def _blocks(queries: DataFrame, id_col: str) -> list[DataFrame]:
+    """``queries`` in parts of at most about ``QUERY_BLOCK`` rows, by a hash of their ids."""
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return [queries]
+    parts = -(-2 * n // QUERY_BLOCK)
+    return [queries.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) == i) for i in range(parts)]
+
+
 def _queries(queries: DataFrame, id_col: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
-    held = queries.filter(has_direction(vec)).select(id_col, vec).limit(QUERY_BLOCK + 1).toPandas()
-    if len(held) > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} queries at once; deal them out in blocks")
+    """Ids and vectors of one block."""
+    held = queries.filter(has_direction(vec)).select(id_col, vec).toPandas()
     return held[id_col].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in held[vec]]) if len(held) else np.zeros((0, 1))
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int, where: Column | None = None, id_col: str = "query", vec: str = "embedding") -> DataFrame:
     """(query, key, score, place): the k nearest among the ``probes`` lists nearest to each query; approximate."""
+    if len(parts := _blocks(queries, id_col)) > 1:
+        return reduce(DataFrame.unionByName, [search(index, q, k, probes, where, id_col, vec) for q in parts])
     ids, vectors = _queries(queries, id_col, vec)
     near = np.argsort(-(_unit(vectors) @ index.centroids.T), axis=1)[:, :probes] if len(ids) and len(index.centroids) else np.zeros((0, 0), int)
     wanted = np.zeros((len(ids), max(1, len(index.centroids))), bool)
@@ -177,6 +188,9 @@ def search_until_full(index: Index, queries: DataFrame, k: int, where: Column |
     Lists come by their bound (centroid angle less radius), twice as many each round. A query is done when it has k rows that pass ``where`` and
     no list left can hold a nearer one, or when no list is left. What a query needs to know between rounds is its k-th score: one number.
     """
+    if len(parts := _blocks(queries, id_col)) > 1:
+        found = [search_until_full(index, q, k, where, first, id_col, vec) for q in parts]
+        return reduce(DataFrame.unionByName, [f for f, _ in found]), [sum(n) for n in zip_longest(*(r for _, r in found), fillvalue=0)]
     ids, vectors = _queries(queries, id_col, vec)
     empty = index.rows([]).select(F.lit(0).cast("long").alias("query"), index.key, F.lit(0.0).alias("score"))
     if not len(ids) or not len(index.centroids):
@@ -205,25 +219,32 @@ def search_until_full(index: Index, queries: DataFrame, k: int, where: Column |
 
 def exact(df: DataFrame, queries: DataFrame, k: int, key: str = "id", vec: str = "embedding") -> DataFrame:
     """(query, key, score, place) by every query against every row, for measuring recall: queries in a block sent to each task."""
+    if len(parts := _blocks(queries, "query")) > 1:
+        return reduce(DataFrame.unionByName, [exact(df, q, k, key, vec) for q in parts])
     ids, vectors = _queries(queries, "query", vec)
     rows = df.filter(has_direction(vec)).withColumn("list", F.lit(0))
     return _best(_probe(rows, ids, vectors, np.ones((len(ids), 1), bool), k, key, vec), k, key)
 
 
 def probes_for(index: Index, queries: DataFrame, k: int, target: float = 0.95) -> int:
-    """The least number of lists that finds the share ``target`` of the true k nearest of ``queries``, a block of sample queries.
+    """The least number of lists that finds the share ``target`` of the true k nearest of ``queries``.
 
     Each true neighbour lies in the list that is some place in its query's order of lists: the answer is a quantile of those places.
     """
+    needed = np.sort(np.concatenate([_places(index, q, k) for q in _blocks(queries, "query")]))
+    return int(needed[max(0, int(np.ceil(target * len(needed))) - 1)]) if len(needed) else len(index.centroids)
+
+
+def _places(index: Index, queries: DataFrame, k: int) -> np.ndarray:
+    """In which place of its query's order of lists each true neighbour of a block of queries lies, from 1."""
     ids, vectors = _queries(queries, "query", "embedding")
     if not len(ids) or not len(index.centroids):
-        return len(index.centroids)
+        return np.zeros(0, int)
     place = np.argsort(np.argsort(-(_unit(vectors) @ index.centroids.T), axis=1), axis=1)
     at = {q: i for i, q in enumerate(ids)}
     rows = index.rows()
     true = exact(rows.drop("list"), queries, k, index.key, index.vec).join(rows.select(index.key, "list"), index.key).select("query", "list").collect()  # k rows a query
-    needed = np.sort([place[at[r.query], r.list] + 1 for r in true])
-    return int(needed[max(0, int(np.ceil(target * len(needed))) - 1)]) if len(needed) else len(index.centroids)
+    return np.array([place[at[r.query], r.list] + 1 for r in true], int)
 
 
 def recall(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
