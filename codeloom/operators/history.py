@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import shuffled
 from .ordering import reach
 
 #: Files that make a folder a module.
@@ -22,7 +23,7 @@ def is_ancestor(pairs: DataFrame, commits: DataFrame) -> DataFrame:
     known = commits.select("repo", F.col("sha").alias("old")).distinct().withColumn("_known", F.lit(True))
     found = reach(pairs.select(node("new").alias("start")).distinct(), links).select(F.col("start.repo").alias("repo"), F.col("start.sha").alias("new"),
         F.col("name.sha").alias("old"), F.lit(True).alias("_hit"))
-    out = pairs.join(found, ["repo", "old", "new"], "left").join(known, ["repo", "old"], "left")
+    out = pairs.join(shuffled(found), ["repo", "old", "new"], "left").join(shuffled(known), ["repo", "old"], "left")
     return out.select(*pairs.columns, F.coalesce(F.col("_hit") & (F.col("_known") | (F.col("old") == F.col("new"))), F.lit(False)).alias("ancestor"))
 
 
@@ -37,7 +38,7 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     # two sums of independent hashes: equal trees cancel out, whatever the order of their files
     one, two = (F.sum(F.col("side") * F.xxhash64(F.lit(seed), "path", "blob").cast("decimal(38,0)")) for seed in (1, 2))
     differ = both.groupBy("repo", "_top").agg(one.alias("a"), two.alias("b")).filter("a <> 0 or b <> 0").select("repo", "_top")
-    files = both.join(differ, ["repo", "_top"], "left_semi").groupBy("repo", "path").agg(F.sum("side").alias("s"), F.count_distinct("blob").alias("blobs"))
+    files = both.join(shuffled(differ), ["repo", "_top"], "left_semi").groupBy("repo", "path").agg(F.sum("side").alias("s"), F.count_distinct("blob").alias("blobs"))
     return files.filter("s <> 0 or blobs > 1").select("repo", "path")
 
 
@@ -48,7 +49,7 @@ def modules_of(paths: DataFrame, tree: DataFrame) -> DataFrame:
     above = paths.filter(F.size(parts) > 1).select("repo", "path", F.explode(tops).alias("t")).select("repo", "path", "t.*")
     have = tree.filter(F.substring_index("path", "/", -1).isin(*MANIFESTS) & F.col("path").contains("/"))
     have = have.select("repo", F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
-    near = above.join(have, ["repo", "folder"]).groupBy("repo", "path").agg(F.max(F.struct("depth", "folder"))["folder"].alias("module"))
+    near = above.join(shuffled(have), ["repo", "folder"]).groupBy("repo", "path").agg(F.max(F.struct("depth", "folder"))["folder"].alias("module"))
     return near.select("repo", "module").distinct()
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import Growing, cut
+from .lineage import Growing, cut, shuffled
 from .ranking import placed
 
 
@@ -52,9 +52,9 @@ def reach(starts: DataFrame, links: DataFrame) -> DataFrame:
     jump = cut(links.select("src", "dst").filter("src is not null and dst is not null").distinct())
     found, length = Growing(starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth")).distinct()), 1
     while True:
-        far = found.all().join(jump, F.col("name") == F.col("src")).groupBy("start", F.col("dst").alias("name")).agg(F.min(F.col("depth") + length).alias("depth"))
-        if not found.add(far.join(found.all().select("start", "name"), ["start", "name"], "left_anti").select("start", "name", "depth")):
+        far = found.all().join(shuffled(jump), F.col("name") == F.col("src")).groupBy("start", F.col("dst").alias("name")).agg(F.min(F.col("depth") + length).alias("depth"))
+        if not found.add(far.join(shuffled(found.all().select("start", "name")), ["start", "name"], "left_anti").select("start", "name", "depth")):
             return found.all()
         b = jump.withColumnsRenamed({"src": "_mid", "dst": "_end"})
-        jump = cut(jump.join(b, F.col("dst") == F.col("_mid")).select("src", F.col("_end").alias("dst")).distinct())
+        jump = cut(jump.join(shuffled(b), F.col("dst") == F.col("_mid")).select("src", F.col("_end").alias("dst")).distinct())
         length *= 2

@@ -45,3 +45,23 @@ def test_changed_modules(spark):
     modes, modules = history.ingest_plan(heads, spark.createDataFrame(COMMITS, COMMIT), before, after)
     assert {r.repo: r.mode for r in modes.collect()} == {"r": "incremental", "s": "full", "t": "skip", "u": "full"}
     assert sorted((r.repo, r.module, r.mode) for r in modules.collect()) == [("r", "fresh", "incremental"), ("r", "m/sub", "incremental")] + [("s", m, "full") for m in ("fresh", "m", "m/sub", "same")]
+
+
+def test_walks_broadcast_nothing(spark, monkeypatch):
+    """Rounds of a walk join by shuffle: what grows with the graph is never gathered in the driver."""
+    from codeloom.operators import graph, lineage, ordering
+
+    plans = []
+
+    class Watched(lineage.Growing):
+        def add(self, part):
+            plans.append(part._jdf.queryExecution().executedPlan().toString())
+            return super().add(part)
+
+    monkeypatch.setattr(ordering, "Growing", Watched)
+    monkeypatch.setattr(graph, "Growing", Watched)
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src int, dst int")
+    names = spark.createDataFrame([(i,) for i in range(1, 5)], "name int")
+    assert ordering.reach(names.selectExpr("name as start"), links).count() == 10
+    assert {(r.name, r.level) for r in graph.levels(links, names).collect()} == {(4, 0), (3, 1), (2, 2), (1, 3)}
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
