@@ -175,16 +175,16 @@ def levels(edges: DataFrame, names: DataFrame) -> DataFrame:
 
     ``left`` has each name with edges to names that have no level yet. Names without such edges are peeled, and their edges go.
     """
-    step = cut(edges.select("src", "dst").distinct().join(names.select(F.col("name").alias("dst")), "dst", "left_semi").join(
-        names.select(F.col("name").alias("src")), "src", "left_semi"))
+    step = cut(edges.select("src", "dst").distinct().join(shuffled(names.select(F.col("name").alias("dst"))), "dst", "left_semi").join(
+        shuffled(names.select(F.col("name").alias("src"))), "src", "left_semi"))
     left, done, k = cut(names.select("name").distinct()), None, 0
     while True:
-        fresh = left.join(step.select(F.col("src").alias("name")).distinct(), "name", "left_anti").select("name", F.lit(k).alias("level"))
+        fresh = left.join(shuffled(step.select(F.col("src").alias("name")).distinct()), "name", "left_anti").select("name", F.lit(k).alias("level"))
         if done is None:
             done = Growing(fresh)
         elif not done.add(fresh):
             return done.all()
-        peeled = done.last().select("name")
+        peeled = shuffled(done.last().select("name"))
         left = cut(left.join(peeled, "name", "left_anti"))
         step = cut(step.join(peeled.withColumnRenamed("name", "dst"), "dst", "left_anti"))
         k += 1
