@@ -48,8 +48,10 @@ _START_RE = r"(?<![\p{L}\p{N}§¤])\p{Lu}\p{Ll}+"
 _NAME_RE = r"(?<=[\p{L}§,;:][ \t\n\r])\p{Lu}\p{Ll}+"
 _SIGN_RE = r"(?<![\p{L}\p{N}§¤])[-−](?=[0-9])"
 _EXPONENT_RE = "(?<=[0-9][eE])[-−](?=[0-9])"
-_NUMBER_RE = rf"(?:{_SIGN_RE})?[0-9]+(?:[.,][0-9]+)*(?:[eE][-+−]?[0-9]+)?"
-_VALUE_RE = f"{SIGN}?[0-9]+(?:[{COMMA}{POINT}][0-9]+)*(?:e{SIGN}?[0-9]+)?"
+# repeated groups are possessive: Java's greedy ones go one call deeper for each repeat, and a run of some thousand overflows the stack, which ends the executor
+_MORE_NAMES_RE = r"(?:[ \t]\p{Lu}\p{Ll}++)*+"
+_NUMBER_RE = rf"(?:{_SIGN_RE})?[0-9]++(?:[.,][0-9]++)*+(?:[eE][-+−]?[0-9]+)?"
+_VALUE_RE = f"{SIGN}?[0-9]++(?:[{COMMA}{POINT}][0-9]++)*+(?:e{SIGN}?[0-9]+)?"
 _UNIT_RE = rf"([0-9]) ?((?i:{UNITS}))([^\p{{L}}\p{{N}}]|$)"
 _SPLIT_RE = rf"[^\p{{L}}\p{{N}}§¤{COMMA}{POINT}{SIGN}{START}]+"
 
@@ -64,7 +66,7 @@ def _plain(text: Column) -> Column:
 
 def template_tokens(text: Column) -> Column:
     """Lower-cased tokens with placeholders."""
-    t = F.regexp_replace(_plain(text), _NAME_RE + r"(?:[ \t]\p{Lu}\p{Ll}+)*", NAME)
+    t = F.regexp_replace(_plain(text), _NAME_RE + _MORE_NAMES_RE, NAME)
     t = F.regexp_replace(t, _UNIT_RE, f"$1 {UNIT}$3")
     return F.transform(_split(F.regexp_replace(t, _NUMBER_RE, NUMBER)), lambda x: F.when(x.isin(*NUMBER_WORDS), NUMBER).otherwise(x))
 
@@ -87,7 +89,7 @@ def _bare(token: Column) -> Column:
 def canonical(token: Column) -> Column:
     """The template token of a slot token."""
     word = _bare(token)
-    return F.when(token.startswith(NAME), F.regexp_replace(token, r"(?:§\p{Ll}+)+", NAME)).when(token.startswith(UNIT), F.lit(UNIT)).when(
+    return F.when(token.startswith(NAME), F.regexp_replace(token, r"(?:§\p{Ll}++)++", NAME)).when(token.startswith(UNIT), F.lit(UNIT)).when(
         word.isin(*NUMBER_WORDS), F.lit(NUMBER)).otherwise(F.regexp_replace(word, _VALUE_RE, NUMBER))
 
 

@@ -100,3 +100,13 @@ def test_clashing_names(spark):
     for keep in (simhash.keep_first, near_copies.keep_first):
         got = keep(twice)
         assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == [1, 2]
+
+
+def test_very_long_runs(spark):
+    """A run of thousands of names or of a number's groups is one token; a greedy pattern overflows the stack and ends the session's JVM."""
+    names, groups = "so " + " ".join(["Aa Bbb"] * 10_000), "so " + ",".join(["1", "22"] * 10_000)
+    docs = spark.createDataFrame([(1, f"{names}. {ITEMS[2][1]}"), (2, f"{groups} {ITEMS[2][1]}"), (3, names)], "doc_id long, text string")
+    sizes = docs.orderBy("doc_id").select(F.size(decontaminate.template_tokens(F.col("text"))).alias("n"), F.size(F.transform(
+        decontaminate.slot_tokens(F.col("text"), True), decontaminate.canonical)).alias("m")).collect()
+    assert [(r.n, r.m) for r in sizes] == [(18, 18), (18, 18), (2, 2)]
+    assert {r.doc_id for r in decontaminate.keep_unseen(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()} == {3}
