@@ -45,6 +45,18 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows that one task of a sized shuffle sorts or hashes.
+TASK_ROWS = 500_000
+
+
+def sized(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as ``rows`` rows need, so that a task's memory doesn't grow with the input.
+
+    What follows by these keys needs no other shuffle. Rows are counted, since Spark joins partitions by their compressed bytes, which tell little of what is made of them.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """A side of a join that grows with the input: never gathered in the driver to be broadcast.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edition_rank, version_key
-from .lineage import cut, shuffled
+from .lineage import cut, shuffled, sized
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -31,20 +31,47 @@ def parent_order() -> list[Column]:
     return [F.col("is_definition").desc_nulls_last(), F.col("field_count").desc_nulls_last(), F.col("module").asc_nulls_last()]
 
 
-def inherited_members(tags: DataFrame, members: DataFrame, module: str | None = None) -> DataFrame:
+def met_rows(tags: DataFrame, members: DataFrame) -> int:
+    """How many rows ``tags`` (name) joined with ``members`` (model) gives."""
+    a = tags.groupBy("name").agg(F.count(F.lit(1)).alias("_a"))
+    b = members.groupBy(F.col("model").alias("name")).agg(F.count(F.lit(1)).alias("_b"))
+    return a.join(shuffled(b), "name").agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+
+
+def inherited_members(tags: DataFrame, members: DataFrame, module: str | None = None, few: bool = False) -> DataFrame:
     """Each start's members, own and inherited, from the nearest owner.
 
-    ``tags`` comes from ``graph.ancestors``; ``members`` has (model, name, module, edition, ttype). As in the reference, a
-    module filter applies before the nearest owner is picked, so a farther owner can win.
+    ``tags`` comes from ``graph.ancestors``; ``members`` has (model, name, module, edition, ttype), repeats are harmless. As in the reference, a
+    module filter applies before the nearest owner is picked, so a farther owner can win. Both are written and what their join gives is counted, so
+    that tasks are as many as its rows need; a request for ``few`` starts goes without.
     """
     rows = members if module is None else members.filter(F.col("module") == module)
-    # a model's members are joined once for each name that reaches it; the least struct is combined before the shuffle
-    rows = tags.select("start", F.col("name").alias("owner"), "depth").join(rows.withColumnRenamed("model", "owner"), "owner")
-    last = lambda c: F.struct(F.col(c).isNull(), F.col(c))
-    order = F.struct(F.col("depth"), edition_rank(F.col("edition")).alias("e"), last("module").alias("m"), last("owner").alias("o"))
-    rest = [c for c in rows.columns if c not in ("start", "name")]
-    best = rows.groupBy("start", "name").agg(F.min(F.struct(order.alias("_order"), *rest)).alias("b"))
-    return best.select("start", "name", *[F.col(f"b.{c}").alias(c) for c in rest])
+    rest = [c for c in rows.columns if c not in ("model", "name", "module")]
+    # of a model's rows of one name only the first can be picked, whatever the start
+    own = ["_e", "_none", "module", *rest]
+    first = F.min(F.struct(edition_rank(F.col("edition")).alias("_e"), F.col("module").isNull().alias("_none"), "module", *rest)).alias("b")
+    if not few:
+        rows = sized(rows, rows.count(), "model", "name")
+    rows = rows.groupBy("model", "name").agg(first).select("model", "name", *[F.col(f"b.{c}").alias(c) for c in own])
+    tags = tags.select("start", "name", "depth")
+    if few:
+        met = tags.withColumnRenamed("name", "owner").join(rows.withColumnRenamed("model", "owner"), "owner")
+    else:
+        tags, rows = cut(tags), cut(rows)
+        n = met_rows(tags, rows)
+        met = sized(tags.withColumnRenamed("name", "owner"), n, "owner").join(shuffled(sized(rows.withColumnRenamed("model", "owner"), n, "owner")), "owner")
+        met = sized(met, n, "start", "name")
+    best = met.groupBy("start", "name").agg(F.min(F.struct("depth", "_e", "_none", "module", "owner", *rest)).alias("b"))
+    return best.select("start", "name", *[F.col(f"b.{c}").alias(c) for c in ("owner", "depth", *[c for c in members.columns if c not in ("model", "name")])])
+
+
+def count_members(tags: DataFrame, members: DataFrame) -> DataFrame:
+    """(start, n): how many names the members of a start and its ancestors have; a start without any has no row."""
+    names = sized(members.select(F.col("model").alias("name"), F.col("name").alias("member")), members.count(), "name", "member").distinct()
+    tags, names = cut(tags.select("start", "name")), cut(names)
+    n = met_rows(tags, names.withColumnRenamed("name", "model"))
+    met = sized(tags, n, "name").join(shuffled(sized(names, n, "name")), "name").select("start", "member")
+    return sized(met, n, "start", "member").distinct().groupBy("start").agg(F.count("member").alias("n"))
 
 
 def field_lookup(wanted: DataFrame, tags: DataFrame, members: DataFrame, magic: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from ..functions.text import literal_column, style_literal
 from ..streaming.events import late_guard
 from .graph import chain, closure, levels
 from .joins import counted
-from .lineage import cut
-from .ranking import declaring_module, first_by, inherited_members, tests_first
+from .lineage import cut, shuffled, sized
+from .ranking import declaring_module, first_by, inherited_members, met_rows, tests_first
 
 #: Tests and fields that a listing shows, modules of a profile's page.
 TESTS_SHOWN, UNCOVERED_SHOWN, PROFILE_MODULES = 200, 200, 50
@@ -42,15 +42,18 @@ def fields_listing(tags: DataFrame, members: DataFrame, module: str | None = Non
     Built-in fields are left out where a module is asked for, and where any owner declares the name; they honour the kind and
     name filters. ``members`` has (model, name, module, edition, ttype).
     """
+    tags = cut(tags)
     rows = inherited_members(tags, members, module).select("start", "name", "owner", "ttype", F.lit(False).alias("builtin"))
     if module is None:
         starts = tags.select("start").distinct()
-        owned = tags.select("start", F.col("name").alias("owner")).join(members.filter(F.col("name").isin(*(n for n, _, _ in MAGIC_FIELDS))).select(
-            F.col("model").alias("owner"), "name"), "owner").select("start", "name").distinct()
+        declared = cut(members.filter(F.col("name").isin(*(n for n, _, _ in MAGIC_FIELDS))).select("model", "name").distinct())
+        n = met_rows(tags, declared)
+        owned = tags.select("start", F.col("name").alias("owner")).join(shuffled(declared.withColumnRenamed("model", "owner")), "owner")
+        owned = sized(owned.select("start", "name"), n, "start", "name").distinct()
         # six rows, one for each built-in field
         prelude = starts.select("start", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("ttype")) for n, t,
             _ in MAGIC_FIELDS])).alias("m")).select("start", "m.*")
-        prelude = prelude.join(owned, ["start", "name"], "left_anti").select("start", "name", F.col("start").alias("owner"), "ttype",
+        prelude = prelude.join(shuffled(owned), ["start", "name"], "left_anti").select("start", "name", F.col("start").alias("owner"), "ttype",
             F.lit(True).alias("builtin"))
         rows = rows.unionByName(prelude)
     if kind:

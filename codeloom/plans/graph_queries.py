@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MAGIC_FIELDS
 from ..operators import diff, graph, joins, ordering, ranking, scope, store
+from ..operators.lineage import shuffled, sized
 from .registry import Tables, query
 
 EDITIONS = ("community", "enterprise", "vendor", "association", "custom")
@@ -25,11 +26,16 @@ def edges(t: Tables) -> DataFrame:
 
 
 def members(t: Tables) -> DataFrame:
+    return declared(t).distinct()
+
+
+def declared(t: Tables) -> DataFrame:
+    """Members with repeats."""
     s = F.col("l_suppkey")
     edition = F.element_at(F.array(*[F.lit(e) for e in EDITIONS]), (s % 5 + 1).cast("int"))
     ttype = F.element_at(F.array(*[F.lit(x) for x in ("char", "integer", "many2one", "one2many")]), (s % 4 + 1).cast("int"))
     return t.lineitem.select(F.col("l_partkey").alias("model"), F.concat(F.lit("f"), s % 40).alias("name"),
-        F.concat(F.lit("m"), s % 7).alias("module"), edition.alias("edition"), ttype.alias("ttype")).distinct()
+        F.concat(F.lit("m"), s % 7).alias("module"), edition.alias("edition"), ttype.alias("ttype"))
 
 
 E = """e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, 'INHERITS' AS kind, 0 AS kr, 'f' || (p_partkey % 5) AS via FROM part WHERE p_partkey > 1
@@ -65,7 +71,7 @@ _INHERITED = "SELECT start, name, owner, depth, module, edition, ttype FROM (SEL
 @query(f"{tags_sql(3)}, {M} " + _INHERITED.format(er=ER, where=""))
 def inherited_members(t: Tables) -> DataFrame:
     tags = graph.ancestors(starts(t), edges(t))
-    return ranking.inherited_members(tags, members(t)).select("start", "name", "owner", "depth", "module", "edition", "ttype")
+    return ranking.inherited_members(tags, declared(t)).select("start", "name", "owner", "depth", "module", "edition", "ttype")
 
 
 #: One model, as a single request asks for it; the tables of all sizes have it.
@@ -76,7 +82,7 @@ ONE = 120
 def one_model_members(t: Tables) -> DataFrame:
     """A single request's form: members of one model."""
     tags, have = _one(t)
-    return ranking.inherited_members(tags, have).select("start", "name", "owner", "depth", "module", "edition", "ttype")
+    return ranking.inherited_members(tags, have, few=True).select("start", "name", "owner", "depth", "module", "edition", "ttype")
 
 
 def _one(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +104,7 @@ def one_subtype(t: Tables) -> DataFrame:
 @query(f"{tags_sql(3)}, {M} " + _INHERITED.format(er=ER, where=" WHERE m.module = 'm3'"))
 def inherited_members_of_module(t: Tables) -> DataFrame:
     tags = graph.ancestors(starts(t), edges(t))
-    return ranking.inherited_members(tags, members(t), "m3").select("start", "name", "owner", "depth", "module", "edition", "ttype")
+    return ranking.inherited_members(tags, declared(t), "m3").select("start", "name", "owner", "depth", "module", "edition", "ttype")
 
 
 _INH = "'INHERITS'"
@@ -107,8 +113,7 @@ _INH = "'INHERITS'"
 @query(f"{tags_sql(3, _INH)}, {M} SELECT a.start, count(DISTINCT m.name) AS n FROM a JOIN m ON a.name = m.model GROUP BY 1")
 def methods_inherits_only(t: Tables) -> DataFrame:
     tags = graph.ancestors(starts(t), edges(t), kinds=(graph.INHERITS,))
-    return tags.join(members(t).select(F.col("model").alias("name"), F.col("name").alias("member")), "name").groupBy("start").agg(
-        F.count_distinct("member").alias("n"))
+    return ranking.count_members(tags, declared(t))
 
 
 @query(f"{tags_sql(3)}, owners AS (SELECT start, count(*) AS n_owners, max(depth) AS deepest FROM a GROUP BY 1) SELECT * FROM owners")

@@ -122,7 +122,7 @@ def _members_with_display(t: Tables) -> DataFrame:
     ttype = F.element_at(F.array(*[F.lit(x) for x in ("char", "integer", "many2one", "one2many")]), (s % 4 + 1).cast("int"))
     name = F.when(s % 13 == 0, "display_name").otherwise(F.concat(F.lit("f"), s % 40))
     return t.lineitem.select(F.col("l_partkey").alias("model"), name.alias("name"), F.concat(F.lit("m"), s % 7).alias("module"),
-        edition.alias("edition"), ttype.alias("ttype")).distinct()
+        edition.alias("edition"), ttype.alias("ttype"))
 
 
 @query(f"""WITH d AS (SELECT l_partkey AS model, l_suppkey AS sk, count(*) AS field_count FROM lineitem GROUP BY 1, 2),
