@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import closure
+from .lineage import shuffled, sized
 from .ranking import first_by
 
 
@@ -48,11 +49,12 @@ def keep_old_vectors(old: DataFrame, new: DataFrame, scope: Sequence[str], vec:
 def same_name_inherits(models: DataFrame) -> DataFrame:
     """Edges extender -> definition of one model name in other modules. ``models``: name, module, version, is_definition.
 
-    Extenders point at definitions alone (K x D edges), not at each other.
+    Extenders point at definitions alone (K x D edges), not at each other. Repeats go before the join, so that no edge is hashed or sorted.
     """
-    d = models.filter("is_definition").select("name", "version", F.col("module").alias("dst_module"))
-    e = models.filter("not is_definition").select("name", "version", F.col("module").alias("src_module"))
-    return e.join(d, ["name", "version"]).filter(F.col("src_module") != F.col("dst_module")).select("name", "version", "src_module", "dst_module").distinct()
+    n = models.count()
+    side = lambda which, module: sized(models.filter(which).select("name", "version", F.col("module").alias(module)), n, "name", "version").distinct()
+    met = side("not is_definition", "src_module").join(shuffled(side("is_definition", "dst_module")), ["name", "version"])
+    return met.filter(F.col("src_module") != F.col("dst_module")).select("name", "version", "src_module", "dst_module")
 
 
 def is_definition(name: Column, own_name_set: Column, inherit: Column) -> Column:
