@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import risk_level
+from .lineage import shuffled
 
 UNCATEGORISED = "(uncategorized)"
 
@@ -87,9 +88,10 @@ def top_models(models: DataFrame, depends: DataFrame, most: int = 100) -> DataFr
     ``models``: model, module, version, is_definition; ``depends``: src, dst, version. A version none of whose models is known as a definition lists all
     its models. Ties follow the model's and the module's name.
     """
-    defined = models.groupBy("version").agg(F.bool_or(F.coalesce("is_definition", F.lit(False))).alias("_any"))
-    rows = models.join(defined, "version").filter(F.coalesce("is_definition", F.lit(False)) | ~F.col("_any"))
     counts = depends.select("src", F.col("dst").alias("module"), "version").distinct().groupBy("module", "version").agg(F.count(F.lit(1)).alias("dependents"))
-    rows = rows.join(counts, ["module", "version"], "left").fillna(0, ["dependents"])
-    order = Window.partitionBy("version").orderBy(F.desc("dependents"), "model", "module")
-    return rows.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < most).select("version", "place", "model", "module", "dependents")
+    rows = models.filter("version is not null").withColumn("_defined", F.coalesce("is_definition", F.lit(False))).join(shuffled(counts), ["module", "version"], "left").fillna(0, ["dependents"])
+    # definitions and the rest are ranked apart; ranks are compared with ``most`` as they are, so that Spark keeps so many of each task before the last shuffle
+    order = Window.partitionBy("version", "_defined").orderBy(F.desc("dependents"), "model", "module")
+    first = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most)
+    first = first.withColumn("_any", F.bool_or("_defined").over(Window.partitionBy("version"))).filter(F.col("_defined") | ~F.col("_any"))
+    return first.select("version", (F.col("_rn") - 1).alias("place"), "model", "module", "dependents")
