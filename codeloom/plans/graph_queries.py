@@ -278,12 +278,14 @@ _DECL = "SELECT l_partkey AS model, l_suppkey AS sk, count(*) AS field_count FRO
     ORDER BY is_definition DESC, field_count DESC, dependents DESC, {ER}, module) AS rn FROM x) WHERE rn = 1""")
 def declaring_rank(t: Tables) -> DataFrame:
     li = t.lineitem
-    d = li.groupBy(F.col("l_partkey").alias("model"), F.col("l_suppkey").alias("sk")).agg(F.count(F.lit(1)).alias("field_count"))
-    dep = li.groupBy(F.col("l_suppkey").alias("sk")).agg(F.count_distinct("l_orderkey").alias("dependents"))
+    n = li.count()
+    by_module = sized(li.select(F.col("l_partkey").alias("model"), F.col("l_suppkey").alias("sk"), "l_orderkey"), n, "sk")
+    d = by_module.groupBy("model", "sk").agg(F.count(F.lit(1)).alias("field_count"))
+    dep = by_module.groupBy("sk").agg(F.count_distinct("l_orderkey").alias("dependents"))
     edition = F.element_at(F.array(*[F.lit(e) for e in EDITIONS]), (F.col("sk") % 5 + 1).cast("int"))
-    x = d.join(dep, "sk").select("model", F.concat(F.lit("m"), "sk").alias("module"), (F.col("sk") % 3 == 0).alias("is_definition"), "field_count",
+    x = d.join(shuffled(dep), "sk").select("model", F.concat(F.lit("m"), "sk").alias("module"), (F.col("sk") % 3 == 0).alias("is_definition"), "field_count",
         "dependents", edition.alias("edition"))
-    return ranking.declaring_module(x, ["model"])
+    return ranking.declaring_module(sized(x, n, "model"), ["model"])
 
 
 @query(f"""WITH d AS ({_DECL}), x AS (SELECT model, 'm' || sk AS module, sk % 4 = 0 AS is_definition, field_count FROM d)
