@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import risk_level
-from .lineage import shuffled
+from .lineage import shuffled, sized
 
 UNCATEGORISED = "(uncategorized)"
 
@@ -82,16 +82,18 @@ def merged_properties(df: DataFrame, keys: list[str], array: str, flag: str, val
     return df.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(array)))).alias(array), F.bool_or(flag).alias(flag), first.alias(value))
 
 
-def top_models(models: DataFrame, depends: DataFrame, most: int = 100) -> DataFrame:
+def top_models(models: DataFrame, depends: DataFrame, most: int = 100, rows: int | None = None) -> DataFrame:
     """(version, place, model, module, dependents): of each version the models whose defining modules most others depend on.
 
     ``models``: model, module, version, is_definition; ``depends``: src, dst, version. A version none of whose models is known as a definition lists all
-    its models. Ties follow the model's and the module's name.
+    its models. Ties follow the model's and the module's name. Where ``models`` is dealt by module and version for so many ``rows``, the rest is dealt alike.
     """
     counts = depends.select("src", F.col("dst").alias("module"), "version").distinct().groupBy("module", "version").agg(F.count(F.lit(1)).alias("dependents"))
-    rows = models.filter("version is not null").withColumn("_defined", F.coalesce("is_definition", F.lit(False))).join(shuffled(counts), ["module", "version"], "left").fillna(0, ["dependents"])
+    if rows is not None:
+        counts = sized(counts, rows, "module", "version")
+    known = models.filter("version is not null").withColumn("_defined", F.coalesce("is_definition", F.lit(False))).join(shuffled(counts), ["module", "version"], "left").fillna(0, ["dependents"])
     # definitions and the rest are ranked apart; ranks are compared with ``most`` as they are, so that Spark keeps so many of each task before the last shuffle
     order = Window.partitionBy("version", "_defined").orderBy(F.desc("dependents"), "model", "module")
-    first = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most)
+    first = known.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most)
     first = first.withColumn("_any", F.bool_or("_defined").over(Window.partitionBy("version"))).filter(F.col("_defined") | ~F.col("_any"))
     return first.select("version", (F.col("_rn") - 1).alias("place"), "model", "module", "dependents")

@@ -49,10 +49,11 @@ def zero_coverage(t: Tables):
 def top_models(t: Tables):
     """The hundred models of each version that most depend on; a version without definitions lists all its models."""
     li = t.lineitem
-    li = sized(li.select("l_partkey", "l_suppkey", "l_returnflag", "l_linenumber"), li.count(), "l_suppkey", "l_returnflag")
+    n = li.count()
+    li = sized(li.select("l_partkey", "l_suppkey", "l_returnflag", "l_linenumber"), n, "l_suppkey", "l_returnflag")
     m = li.groupBy(F.col("l_partkey").alias("model"), F.col("l_suppkey").alias("module"), F.col("l_returnflag").alias("version")).agg(F.bool_or((F.col("l_linenumber") == 2) & (F.col("l_returnflag") != "N")).alias("is_definition"))
     d = t.supplier.select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 3").alias("dst"), F.explode(F.array(F.lit("A"), F.lit("N"))).alias("version"))
-    return aggregates.top_models(m, d)
+    return aggregates.top_models(m, d, rows=n)
 
 
 @query("""WITH v AS (SELECT o_custkey AS k, count(*) AS views FROM orders GROUP BY 1), m AS (SELECT o_custkey AS k, count(*) AS methods FROM orders
