@@ -92,16 +92,30 @@ def is_subtype(pairs: DataFrame, edges: DataFrame, hops: int = 5, tags: DataFram
 def closure(roots: DataFrame, edges: DataFrame, hops: int | None = 20) -> DataFrame:
     """(root, name, depth): everything that a root depends on, at its shortest depth; the root itself is left out.
 
-    A loop of joins on the frontier. What was reached lies in one written table a hop and is anti-joined, so cycles end; the loop ends when a hop reaches
-    nothing new, or after ``hops`` (20 is the dependency listing's own bound; None has no bound).
+    Joins by hop from the names that the last hop met. Each hop is written. Once the hops since the last comparison have met as many rows as were found before, they
+    are compared with these, so cycles end, and what was found is shuffled no oftener than its growth pays for. Between two comparisons a name may be met again.
+    The loop ends when nothing new is met, or after ``hops`` (20 is the dependency listing's own bound; None has no bound).
     """
-    step = cut(edges.select("src", "dst").distinct())
+    step = cut(edges.select("src", "dst").filter("dst is not null").distinct())
     found, depth = Growing(roots.select("root", F.col("root").alias("name"), F.lit(0).alias("depth")).distinct()), 0
     while hops is None or depth < hops:
-        depth += 1
-        near = found.last().select("root", "name").join(step, F.col("name") == F.col("src")).select("root", F.col("dst").alias("name")).distinct()
-        fresh = near.join(found.all().select("root", "name"), ["root", "name"], "left_anti")
-        if not found.add(fresh.select("root", "name", F.lit(depth).alias("depth"))):
+        front, size, walk, walked = found.last().filter(F.col("depth") == depth), found.all().count(), None, 0
+        while walked < size and (hops is None or depth < hops):
+            depth += 1
+            near = front.select("root", "name").join(step, F.col("name") == F.col("src")).select("root", F.col("dst").alias("name")).distinct().withColumn("depth", F.lit(depth))
+            if walk is None:
+                walk = Growing(near)
+            else:
+                walk.add(near)
+            front = walk.last()
+            met = front.count()
+            walked += met
+            if not met:
+                break
+        if walk is None:
+            break
+        fresh = walk.all().groupBy("root", "name").agg(F.min("depth").alias("depth"))
+        if not found.add(fresh.join(shuffled(found.all().select("root", "name")), ["root", "name"], "left_anti")):
             break
     return found.all().filter("depth > 0")
 
