@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group that links of 0.8 Jaccard on five-word shingles connect."""
+    """One document, that with the least id, of each group that links of 0.8 Jaccard on five-word shingles connect; links are found through SimHash and pivot tables."""
     return near_copies.keep_first(docs)
 
 
