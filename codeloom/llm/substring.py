@@ -28,15 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, give_back, utf8
+from .common import cut, free_encoder, trim, utf8
 
 WINDOW = 50
 #: A bucket's bytes of text lie between these, so that small inputs still make many tasks.
-LEAST_BUCKET, MOST_BUCKET = 4 << 20, 8 << 20
+LEAST_BUCKET, MOST_BUCKET = 2 << 20, 4 << 20
 #: Words hashed at once.
-SEGMENT = 1 << 16
+SEGMENT = 1 << 14
 #: Owners of hashes that meet in one task of a range, and the bits that tell ranges apart (fewer for up to ``FEW`` owners).
-OWNERS, RANGE_BITS, FEW, FEW_BITS = 4096, 10, 1024, 8
+OWNERS, RANGE_BITS, FEW, FEW_BITS = 4096, 11, 512, 8
+#: Bytes of messages from which a task of a range gives its memory back at once.
+LARGE_MEETING = 4 << 20
 #: Two primes below 2^32 and a base for each.
 PRIMES, BASES = (4294967291, 4294967279), (2862933555, 3935559001)
 LAST_ID = (1 << 63) - 1
@@ -78,21 +80,41 @@ def window_hashes(words: list[bytes], window: int = WINDOW) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, ascending; where each is first; and the place of every value among them."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    distinct, first = ordered[new], order[new]
+    del ordered
+    rank = np.cumsum(new, dtype=np.int32)
+    rank -= 1
+    place = np.empty(len(values), np.int32)
+    place[order] = rank
+    return distinct, first, place
+
+
 class Bucket:
-    """The documents of one bucket in id order, with the hashes of all their windows."""
+    """The documents of one bucket in id order, with the hashes of all their windows; words are split one document at a time."""
 
     def __init__(self, table: pa.Table, window: int):
         ids = np.array([LAST_ID if i is None else i for i in table.column("id").to_pylist()], np.int64)
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
-        texts = utf8(table.column("text").to_pylist())
-        self.words = [texts[i].split() for i in self.order]
-        each = [window_hashes(w, window) for w in self.words]
+        self.texts = table.column("text")
+        each = [window_hashes(self.words(k), window) for k in range(len(ids))]
         self.bounds = np.cumsum([0, *map(len, each)])
         every = np.concatenate([*each, np.empty(0, np.uint64)])
-        self.distinct, first, self.place = np.unique(every, return_index=True, return_inverse=True)
-        owner = np.repeat(np.arange(len(each)), np.diff(self.bounds))
-        self.first_id = self.ids[owner[first]] if len(first) else np.empty(0, np.int64)
+        del each
+        self.distinct, first, self.place = _ranked(every)
+        self.first_id = self.ids[np.searchsorted(self.bounds, first, side="right") - 1]
+
+    def text(self, k: int) -> str | None:
+        return self.texts[int(self.order[k])].as_py()
+
+    def words(self, k: int) -> list[bytes]:
+        return utf8([self.text(k)])[0].split()
 
 
 def _edges(distinct: np.ndarray, first: int, bits: int, depth: int) -> np.ndarray:
@@ -144,7 +166,9 @@ class Meeting:
         sent = [_unpacked(x) for x in table.column("hashes").to_pylist()]
         self.edges = np.cumsum([0, *(len(h) for h, _ in sent)])
         self.ids = np.concatenate([i for _, i in sent])
-        self.distinct, self.place = np.unique(np.concatenate([h for h, _ in sent]), return_inverse=True)
+        hashes = np.concatenate([h for h, _ in sent])
+        del sent
+        self.distinct, _, self.place = _ranked(hashes)
         self.least = np.full(len(self.distinct), LAST_ID, np.int64)
         np.minimum.at(self.least, self.place, self.ids)
 
@@ -161,13 +185,24 @@ class Meeting:
 def smaller_ids(sent: DataFrame, owners: int, bits: int, depth: int, most: int) -> DataFrame:
     """(owner, range, bits) to the messages of ``owners`` owners in ranges of ``depth`` high bits."""
     kinds = "owner long, range long, bits binary"
+
+    def met(t: pa.Table) -> pa.Table:
+        out = Meeting(t).answers()
+        if t.nbytes > LARGE_MEETING:
+            trim()
+        return out
+
     if owners <= most:
-        return sent.groupBy("range").applyInArrow(lambda t: Meeting(t).answers(), kinds)
+        return sent.groupBy("range").applyInArrow(met, kinds)
     sent = cut(sent, "window-hashes").withColumn("group", F.floor(F.col("owner") / most))
 
     def pass_on(t: pa.Table) -> pa.Table:
         m = Meeting(t)
-        return _send(m.owners[0] // most, m.distinct, m.least, m.range, bits, depth)
+        out = _send(m.owners[0] // most, m.distinct, m.least, m.range, bits, depth)
+        del m
+        if t.nbytes > LARGE_MEETING:
+            trim()
+        return out
 
     def come_back(t: pa.Table, above: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -178,7 +213,11 @@ def smaller_ids(sent: DataFrame, owners: int, bits: int, depth: int, most: int)
         for r, raw in zip(above.column("range").to_pylist(), above.column("bits").to_pylist()):
             r -= m.range << bits
             elsewhere[e[r] : e[r + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=e[r + 1] - e[r]).astype(bool)
-        return m.answers(elsewhere)
+        out = m.answers(elsewhere)
+        del m
+        if t.nbytes > LARGE_MEETING:
+            trim()
+        return out
 
     up = sent.groupBy("range", "group").applyInArrow(pass_on, "owner long, range long, hashes binary")
     above = smaller_ids(up, -(-owners // most), bits, depth + bits, most).withColumn("coarse", F.shiftright("range", bits))
@@ -212,8 +251,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64(place), F.lit(buckets)).cast("long"))
 
     def send(table: pa.Table) -> pa.Table:
+        free_encoder()
         b = Bucket(table, window)
-        return _send(table.column("bucket")[0].as_py(), b.distinct, b.first_id, 0, bits, 0)
+        out = _send(table.column("bucket")[0].as_py(), b.distinct, b.first_id, 0, bits, 0)
+        del b
+        trim()
+        return out
 
     def merge(docs_: pa.Table, answered: pa.Table) -> pa.Table:
         if not docs_.num_rows:
@@ -223,16 +266,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         less = np.zeros(len(b.distinct), bool)
         for r, raw in zip(answered.column("range").to_pylist(), answered.column("bits").to_pylist()):
             less[e[r] : e[r + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=e[r + 1] - e[r]).astype(bool)
-        texts = docs_.column("text").take(pa.array(b.order)).to_pylist() if carry else None
         kept, counts, removed, spans = [], [], [], []
-        for k, words in enumerate(b.words):
+        for k in range(len(b.ids)):
+            words = b.words(k)
             own = b.place[b.bounds[k] : b.bounds[k + 1]]
             starts, stops = spans_of(less[own] | (b.first_id[own] < b.ids[k]), window)
             keep = np.ones(len(words), bool)
             for a, z in zip(starts.tolist(), stops.tolist()):
                 keep[a:z] = False
             whole = carry and not len(starts)
-            kept.append(texts[k] if whole else b" ".join(compress(words, keep) if len(starts) else words).decode("utf-8", "surrogatepass"))
+            kept.append(b.text(k) if whole else b" ".join(compress(words, keep) if len(starts) else words).decode("utf-8", "surrogatepass"))
             counts.append(len(words))
             removed.append(len(words) - int(keep.sum()))
             spans.append([{"start": a, "stop": z} for a, z in zip(starts.tolist(), stops.tolist())])
@@ -241,7 +284,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pa.array(spans, out_schema.field("spans").type)]
         out = pa.table([*columns, docs_.column("row").take(pa.array(b.order))], names=[*out_schema.names, "row"])
         del b
-        give_back()
+        trim()
         return out
 
     out_schema = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()),

@@ -174,7 +174,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     tied = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id())
     keys = in_order(["id", "_tie", "_place"])
     placed = tied.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
-    files = placed.mapInArrow(tidy(write), "part long, uri string, n_docs long, n_tokens long").collect()
+    files = placed.mapInArrow(tidy(write, keep_encoder=True), "part long, uri string, n_docs long, n_tokens long").collect()
     return [r.asDict() for r in sorted(files, key=lambda r: r.part)], dictionary
 
 

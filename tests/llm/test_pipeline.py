@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeloom.llm import toxicity
+from codeloom.llm import common, queries, substring, tokens, toxicity
 from codeloom.llm.common import cut
 
 from .test_brute_force import FOLDER, plain_removal
@@ -101,3 +104,26 @@ def test_nothing_gives_nothing(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = cut(stage(spark, docs, FOLDER), "empty-test")
         assert docs.count() == 0, name
+
+
+def test_a_bucket_holds_little_more_than_its_windows():
+    """Words and texts are split one document at a time, so a bucket's memory is that of its windows' hashes."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=200)) for _ in range(1000)]
+    t = pa.table({"bucket": [0] * len(texts), "id": list(range(len(texts))), "text": texts})
+    substring.Bucket(t, 50)  # tables of powers stay
+    tracemalloc.start()
+    b = substring.Bucket(t, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(b.place)
+
+
+def test_tasks_that_do_not_encode_free_the_tokenizer():
+    encode = common.tidy(lambda batches: (tokens.encode_documents(queries.tokenizer(), ["a b"], 2) for _ in batches), keep_encoder=True)
+    other = common.tidy(lambda batches: batches)
+    assert len(list(encode(iter([0])))) == 1 and tokens.encoder.cache_info().currsize
+    list(encode(iter([])))
+    assert tokens.encoder.cache_info().currsize
+    list(other(iter([0])))
+    assert not tokens.encoder.cache_info().currsize
