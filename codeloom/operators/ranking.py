@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edition_rank, version_key
-from .lineage import cut, shuffled, sized
+from .lineage import Growing, cut, shuffled, sized
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -92,6 +92,58 @@ def field_lookup(wanted: DataFrame, tags: DataFrame, members: DataFrame, magic:
     return wanted.join(shuffled(best), ["start", "field"], "left").select("start", "field", step.alias("step"), "depth", "owner", "module", "ttype")
 
 
+def nearest_fields(wanted: DataFrame, edges: DataFrame, members: DataFrame, magic: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """``field_lookup`` among all ancestors, however far up they are.
+
+    ``edges`` has (src, dst, kind), ``members`` repeats are harmless. The fields that are still wanted walk up hop by hop, from the names that the last hop met: a field
+    leaves the walk where it is found, one that no model declares never enters it, so few are left after the first hops. Each hop is written; as in
+    ``graph.closure`` names are compared with those met before once they have doubled, so cycles end.
+    """
+    pair = ["start", "field"]
+    step = cut(edges.filter(F.col("kind").isin(*kinds) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct())
+    asked = cut(wanted.select(*pair).distinct())
+    names = cut(asked.select("field").distinct())
+    have = members.select(F.col("model").alias("name"), F.col("name").alias("field"), "module", "ttype").join(names, "field", "left_semi")
+    have = cut(have.groupBy("name", "field").agg(F.min(F.struct(F.col("module").isNull().alias("none"), "module", "ttype")).alias("hit")))
+
+    def met(front: DataFrame, depth: int) -> DataFrame:
+        return front.join(shuffled(have), ["name", "field"], "left").select(*pair, "name", F.lit(depth).alias("depth"), "hit")
+
+    def beyond(front: DataFrame) -> DataFrame:
+        left = front.filter("hit is null").join(shuffled(front.filter("hit is not null").select(*pair)), pair, "left_anti")
+        return left.join(shuffled(step), F.col("name") == F.col("src")).select(*pair, F.col("dst").alias("name")).distinct()
+
+    found, depth = Growing(met(asked.withColumn("name", F.col("start")), 0)), 0
+    fixed = magic.select(F.col("name").alias("field"), F.col("ttype").alias("_fixed"))
+    front = found.last().join(fixed, "field", "left_anti").join(cut(have.select("field").distinct()), "field", "left_semi")
+    while True:
+        size, walk, walked, n = found.all().count(), None, 0, 1
+        while n and (walk is None or walked < size):
+            depth += 1
+            near = met(beyond(front), depth)
+            if walk is None:
+                walk = Growing(near)
+            else:
+                walk.add(near)
+            front = walk.last()
+            n = front.count()
+            walked += n
+        if not n:
+            break
+        fresh = walk.all().groupBy(*pair, "name").agg(F.min(F.struct("depth", "hit")).alias("b")).select(*pair, "name", "b.depth", "b.hit")
+        if not found.add(fresh.join(shuffled(found.all().select(*pair, "name")), [*pair, "name"], "left_anti")):
+            break
+        front = found.last().filter(F.col("depth") == depth)
+    hits = found.all().union(walk.all()).filter("hit is not null")
+    best = hits.groupBy(*pair).agg(F.min(F.struct("depth", F.col("name").alias("owner"), F.col("hit.none"), F.col("hit.module"), F.col("hit.ttype"))).alias("b"))
+    rows = wanted.join(shuffled(best), pair, "left").join(fixed, "field", "left")
+    # a built-in field doesn't walk, so it was found on the model itself or not at all
+    magical = F.col("b").isNull() & F.col("_fixed").isNotNull()
+    step_name = F.when(magical, "magic").when(F.col("b.depth") == 0, "direct").when(F.col("b").isNotNull(), "inherited")
+    return rows.select(*pair, step_name.alias("step"), F.when(magical, 0).otherwise(F.col("b.depth")).alias("depth"), F.when(magical, F.col("start")).otherwise(F.col("b.owner")).alias("owner"),
+        F.col("b.module").alias("module"), F.when(magical, F.col("_fixed")).otherwise(F.col("b.ttype")).alias("ttype"))
+
+
 def via_rank(via: Column) -> Column:
     """How directly a test covers something: by an assertion, in its body, or otherwise."""
     return F.when(via == "assert", 0).when(via == "body", 1).otherwise(2)

@@ -122,7 +122,8 @@ def owner_names(t: Tables) -> DataFrame:
 
 
 @query(
-    f"{tags_sql(3)}, {M}, w AS (SELECT p_partkey AS start, unnest(['f1', 'f2', 'f17', 'create_uid', 'nothing']) AS field FROM part), mg AS (SELECT * FROM (VALUES "
+    f"WITH RECURSIVE {E}, r AS (SELECT p_partkey AS start, p_partkey AS name, 0 AS depth FROM part UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src),"
+    f" a AS (SELECT start, name, min(depth) AS depth FROM r GROUP BY 1, 2), {M}, w AS (SELECT p_partkey AS start, unnest(['f1', 'f2', 'f17', 'create_uid', 'nothing']) AS field FROM part), mg AS (SELECT * FROM (VALUES "
     + ", ".join(f"('{n}', '{k}')" for n, k, _ in MAGIC_FIELDS)
     + ") v(field, ttype)), c AS (SELECT w.start, w.field, CASE WHEN a.depth = 0 THEN 0 ELSE 2 END AS prio, a.depth, a.name AS owner, m.module, m.ttype FROM w JOIN a USING (start) JOIN m ON m.model = a.name AND m.name = w.field"
     " UNION ALL SELECT w.start, w.field, 1, 0, w.start, NULL, mg.ttype FROM w JOIN mg USING (field)),"
@@ -132,7 +133,7 @@ def owner_names(t: Tables) -> DataFrame:
 def field_lookup(t: Tables) -> DataFrame:
     wanted = starts(t).select("start", F.explode(F.array(*[F.lit(x) for x in ("f1", "f2", "f17", "create_uid", "nothing")])).alias("field"))
     magic = t.spark.createDataFrame([(n, k) for n, k, _ in MAGIC_FIELDS], "name string, ttype string")
-    return ranking.field_lookup(wanted, graph.ancestors(starts(t), edges(t)), members(t), magic).drop("ttype")
+    return ranking.nearest_fields(wanted, edges(t), declared(t), magic, (graph.INHERITS, graph.DELEGATES)).drop("ttype")
 
 
 @query(
