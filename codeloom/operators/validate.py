@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import RELATIONAL, is_domain_operator
+from .alike import nearest
 from .graph import is_subtype, walk_paths
 from .lineage import cut, dealt
 
@@ -22,46 +21,15 @@ CONNECTORS = ("&", "|", "!")
 
 
 #: Names of one key, wanted ones and candidates, that one task compares at most, about.
-BLOCK_NAMES = 1000
-
-
-def _nearest(names: list[str], candidates: list[str]) -> list[tuple[float, str] | None]:
-    """For each name the ratio and candidate that are greatest, if the ratio is ``ALIKE`` at least.
-
-    Names share no more letters than their counts have in common, which bounds the ratio: candidates come by that bound, and those under the best
-    ratio so far are not rated.
-    """
-    place = {c: i for i, c in enumerate(sorted(set("".join(candidates))))}
-    counts = np.zeros((len(candidates), len(place)), np.int32)
-    for i, x in enumerate(candidates):
-        for c in x:
-            counts[i, place[c]] += 1
-    sizes, out = counts.sum(1), []
-    for name in names:
-        mine = np.zeros(len(place), np.int32)
-        for c in name:
-            if c in place:
-                mine[place[c]] += 1
-        both = sizes + len(name)
-        bound = np.where(both > 0, 2.0 * np.minimum(counts, mine).sum(1) / np.maximum(both, 1), 1.0)
-        rate, best = SequenceMatcher(None, "", name), None  # what it learns about the second text serves all candidates
-        for i in np.argsort(-bound, kind="stable").tolist():
-            if bound[i] < (best[0] if best else ALIKE):
-                break
-            rate.set_seq1(candidates[i])
-            found = (rate.ratio(), candidates[i])
-            if found[0] >= ALIKE and (best is None or found > best):
-                best = found
-        out.append(best)
-    return out
+BLOCK_NAMES = 20_000
 
 
 def suggest(wanted: DataFrame, candidates: DataFrame, key: str, name: str = "name") -> DataFrame:
     """``wanted`` (key, name) with ``suggestion``: the most alike of the key's candidate names, if any is alike enough.
 
     Of equally alike names the last by order wins. A key's names are dealt into blocks of about ``BLOCK_NAMES``, and every block of wanted names meets every
-    block of candidates in a task of its own: names travel once for each such block, pairs never. Work grows with the pairs that are too alike in their letters to be told
-    apart by them.
+    block of candidates in a task of its own: names travel once for each such block, pairs never. A name is compared with a
+    tree of the candidates, whose branches are left where their letters in order can't be alike enough.
     """
     w = wanted.select(key, F.col(name).alias("_name")).filter("_name <> ''").distinct()
     c = candidates.select(key, F.col(name).alias("_name")).filter("_name <> ''").distinct()
@@ -75,7 +43,7 @@ def suggest(wanted: DataFrame, candidates: DataFrame, key: str, name: str = "nam
 
     def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         names, other = mine.column("_name").to_pylist(), theirs.column("_name").to_pylist()
-        best = _nearest(names, other) if names and other else [None] * len(names)
+        best = nearest(names, other, ALIKE) if names and other else [None] * len(names)
         rows = [(k, n, *b) for k, n, b in zip(mine.column(key).to_pylist(), names, best) if b]
         columns = list(zip(*rows)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(columns[0], mine.schema.field(key).type), *(pa.array(x, t) for x, t in zip(columns[1:], (pa.string(), pa.float64(), pa.string())))],
