@@ -285,13 +285,18 @@ _ASKS = (
 )
 
 
-def _chunk_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _chunk_texts(t: Tables) -> DataFrame:
+    """Chunks without their vectors."""
     i = F.col("doc_id")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("method", "field", "css", "scss", "test_method")]), (i % 5 + 1).cast("int"))
     style = F.concat(F.lit(".o_"), F.col("source"), F.lit("_"), i % 7)
     name = F.when((i % 5).isin(2, 3), style).otherwise(F.concat(F.lit("action_"), F.col("lang"), F.lit("_"), i % 11))
-    c = t.documents.join(t.embeddings, F.col("vec_id") == i).select(i.alias("id"), kind.alias("kind"), F.when(i % 17 == 0, store.UNRESOLVED).otherwise(F.col("source")).alias("module"),
-        F.concat(F.lit("v"), F.expr("doc_id div 5") % 2).alias("version"), F.col("lang").alias("profile"), name.alias("entity_name"), (i % 3).cast("int").alias("chunk_idx"), F.col("text").alias("content"), "embedding")
+    return t.documents.select(i.alias("id"), kind.alias("kind"), F.when(i % 17 == 0, store.UNRESOLVED).otherwise(F.col("source")).alias("module"),
+        F.concat(F.lit("v"), F.expr("doc_id div 5") % 2).alias("version"), F.col("lang").alias("profile"), name.alias("entity_name"), (i % 3).cast("int").alias("chunk_idx"), F.col("text").alias("content"))
+
+
+def _chunk_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    c = _chunk_texts(t).join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id")
     half = F.concat(F.lit("src"), F.expr("cast(substr(source, 4) as int) div 2"))
     dep = t.documents.filter("source <> 'src0'").select(F.col("source").alias("src"), half.alias("dst"), F.explode(F.array(F.lit("v0"), F.lit("v1"))).alias("version")).distinct()
     return c, dep
@@ -337,4 +342,4 @@ def test_example_search(t: Tables) -> DataFrame:
     none = F.lit(None)
     asks = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("ask"), F.lit("how is it tested").alias("text"), F.lit("v1").alias("version"), F.array().cast("array<string>").alias("kinds"),
         none.cast("array<string>").alias("allowed"), none.cast("string").alias("context"), F.lit(10).alias("k"), F.col("embedding").alias("vec"), F.lit("form").alias("test_kind"), F.when(F.col("vec_id") % 200 == 0, "en_").alias("model"))
-    return examples.find_test_examples(asks, *_chunk_rows(t)).withColumn("score", F.round("score", 6))
+    return examples.find_test_examples(asks, *_chunk_rows(t), texts=_chunk_texts(t)).withColumn("score", F.round("score", 6))
