@@ -53,16 +53,38 @@ def inherited_members(tags: DataFrame, members: DataFrame, module: str | None =
     if not few:
         rows = sized(rows, rows.count(), "model", "name")
     rows = rows.groupBy("model", "name").agg(first).select("model", "name", *[F.col(f"b.{c}").alias(c) for c in own])
-    tags = tags.select("start", "name", "depth")
+    tags, told = tags.select("start", "name", "depth"), [c for c in members.columns if c not in ("model", "name")]
     if few:
         met = tags.withColumnRenamed("name", "owner").join(rows.withColumnRenamed("model", "owner"), "owner")
-    else:
-        tags, rows = cut(tags), cut(rows)
-        n = met_rows(tags, rows)
-        met = sized(tags.withColumnRenamed("name", "owner"), n, "owner").join(shuffled(sized(rows.withColumnRenamed("model", "owner"), n, "owner")), "owner")
-        met = sized(met, n, "start", "name")
-    best = met.groupBy("start", "name").agg(F.min(F.struct("depth", "_e", "_none", "module", "owner", *rest)).alias("b"))
-    return best.select("start", "name", *[F.col(f"b.{c}").alias(c) for c in ("owner", "depth", *[c for c in members.columns if c not in ("model", "name")])])
+        best = met.groupBy("start", "name").agg(F.min(F.struct("depth", "_e", "_none", "module", "owner", *rest)).alias("b"))
+        return best.select("start", "name", *[F.col(f"b.{c}").alias(c) for c in ("owner", "depth", *told)])
+    tags, rows = cut(tags), cut(rows)
+    n = met_rows(tags, rows)
+    book, packed = _packed(rows, ["name", *own])
+    met = sized(tags.withColumnRenamed("name", "owner"), n, "owner").join(shuffled(sized(packed.withColumnRenamed("model", "owner"), n, "owner")), "owner")
+    met = sized(met, n, "start").select("start", "depth", "owner", F.inline(F.arrays_zip("_c", "_h", "_f")))
+    # numbers of one name and of one module's rows of it are consecutive
+    name, head = (F.col("_c").cast("long") - F.col("_f")).alias("_name"), (F.col("_c").cast("long") - F.col("_h")).alias("_head")
+    best = met.groupBy("start", name).agg(F.min(F.struct("depth", head, "owner", "_c")).alias("b")).select("start", "b.owner", "b.depth", "b._c")
+    return best.join(book, "_c").select("start", "name", "owner", "depth", *told)
+
+
+def _packed(rows: DataFrame, words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Different ``words`` of ``rows``, whose last but ``rest`` are name, edition's rank, whether there is no module, and module, numbered in their order (``_c``);
+    and for each model the numbers of its rows, with how far each is from the first of its name (``_f``) and of its name and module (``_h``).
+
+    So a member travels as a few bytes instead of its words, in number types that are as short as the greatest number allows.
+    """
+    book, at = placed(rows.select(*words).distinct(), words), F.col("place")
+    first = lambda *by: at - F.min("place").over(Window.partitionBy(*by))
+    book = cut(book.select(*words, at.alias("_c"), first(words[0]).alias("_f"), first(*words[:4]).alias("_h")))
+    most = book.agg(*[F.max(c).alias(c) for c in ("_c", "_f", "_h")]).first()
+    short = {c: next(t for t, top in (("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31), ("bigint", 2**63)) if (most[c] or 0) < top) for c in ("_c", "_f", "_h")}
+    book = book.select(*words, *[F.col(c).cast(t).alias(c) for c, t in short.items()])
+    same = [F.col(f"r.{w}").eqNullSafe(F.col(f"b.{w}")) for w in words]
+    coded = rows.alias("r").join(book.alias("b"), same).select("r.model", *[f"b.{c}" for c in short])
+    packed = sized(coded, rows.count(), "model").groupBy("model").agg(F.sort_array(F.collect_list(F.struct(*short))).alias("m"))
+    return book.drop("_f", "_h"), packed.select("model", *[F.col(f"m.{c}").alias(c) for c in short])
 
 
 def count_members(tags: DataFrame, members: DataFrame) -> DataFrame:
